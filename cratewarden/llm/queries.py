@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contaminated
 from .mixing import mix_report
+from .pii import pii_report
 from .quality import quality_report
 from .secrets import secret_report
 from .sharding import shard_documents
 from .simhash import simhash_report
 from .substrings import substring_report
+from .toolcalls import toolcall_report
 from .warc import archive_report
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcall_report(table(spark, sf_dir, "conversations"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -50,12 +60,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_warc": op3_warc,
     "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_toolcalls": op8_toolcalls,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
