@@ -72,6 +72,20 @@ INPUTS = {
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'security.txt', concat('# policy', chr(10), 'Contact: mailto:sec@x.example', chr(10), 'Expires: 2030-01-01') FROM {documents} WHERE doc_id % 5 = 1""",
 }
 
+INPUTS["baseline"] = f"""SELECT package_id, sbom_id, CASE WHEN length(name) % 6 = 0 THEN concat(name, '-old') ELSE name END AS name, CASE WHEN length(name) % 4 = 0 THEN concat(version, '.1') ELSE version END AS version, license, purl, is_root FROM ({INPUTS["components"]}) c WHERE length(name) % 7 <> 1"""
+#: JSON documents; doubled braces are braces.
+INPUTS["sboms"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, CAST(p_partkey AS STRING) AS sbom_id, CASE CAST(p_partkey % 4 AS INT) WHEN 3 THEN CASE WHEN p_partkey % 8 = 3 THEN 'not json' ELSE '{{"hello": 1}}' END WHEN 2 THEN concat('{{"bomFormat":"CycloneDX","metadata":{{"component":{{"name":"/tmp/scan/root","version":"', CASE WHEN p_partkey % 3 = 0 THEN 'sha256:0123456789abcdef0123' ELSE '2.0' END, '","bom-ref":"dir:/tmp/scan/root"}}}},"components":[{{"type":"library","name":"', p_name, '","version":"1.', CAST(p_size AS STRING), '","purl":"pkg:npm/x","licenses":[{{"license":{{"id":"MIT"}}}},{{"license":{{"name":"ISC"}}}}],"hashes":[{{"alg":"x","value":"0000"}},{{"alg":"y","value":"ab"}}],"evidence":{{"occurrences":[{{"location":"/tmp/a/b.js"}}]}}}},{{"name":"./lib/plain"}}]}}')
+ ELSE concat('{{"spdxVersion":"SPDX-2.3","name":"../x/app","documentDescribes":["SPDXRef-DocumentRoot-Directory-..-packages-app"],"packages":[{{"SPDXID":"SPDXRef-DocumentRoot-Directory-..-packages-app","name":"app","versionInfo":"', CASE WHEN p_partkey % 5 = 0 THEN '0123456789abcdef0123456789abcdef01' ELSE '3.1' END, '","licenseConcluded":"(MIT)","sourceInfo":"acquired from /tmp/x/y and ../z/q here","checksums":[{{"algorithm":"SHA1","checksumValue":"0000"}},{{"algorithm":"SHA256","checksumValue":"0a"}}]}},{{"SPDXID":"SPDXRef-b","name":"vendor/', CAST(p_size AS STRING), '","licenseDeclared":"ISC","externalRefs":[{{"referenceType":"other","referenceLocator":"q"}},{{"referenceType":"purl","referenceLocator":"pkg:composer/v"}}]}}],"relationships":[{{"spdxElementId":"SPDXRef-DocumentRoot-Directory-..-packages-app","relationshipType":"CONTAINS","relatedSpdxElement":"SPDXRef-b"}}]}}') END AS content, p_partkey AS k, p_name, p_size FROM {part}"""
+INPUTS["manifests"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, concat('sub/', CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN 'composer.lock' WHEN 1 THEN 'package.json' WHEN 2 THEN 'package-lock.json' WHEN 3 THEN 'yarn.lock' WHEN 4 THEN 'requirements.txt' WHEN 5 THEN 'Pipfile.lock' WHEN 6 THEN 'go.mod' ELSE 'other.txt' END) AS path,
+ CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN concat('{{"packages":[{{"name":"a/b","version":"', v, '"}}],"packages-dev":[{{"name":"c/d"}}]}}') WHEN 1 THEN concat('{{"dependencies":{{"x":"^', v, '","y":"1"}},"devDependencies":{{"y":"2"}}}}')
+ WHEN 2 THEN CASE WHEN p_partkey % 3 = 0 THEN concat('{{"lockfileVersion":3,"packages":{{"":{{"version":"9"}},"node_modules/@s/m":{{"version":"', v, '"}}}}}}') ELSE concat('{{"lockfileVersion":1,"dependencies":{{"old":{{"version":"', v, '"}},"nov":{{}}}}}}') END
+ WHEN 3 THEN concat('# yarn lockfile v1', chr(10), chr(10), '"@sc/pk@^1.0", "@sc/pk@^1.1":', chr(10), '  version "', v, '"', chr(10), '  resolved "u"', chr(10), chr(10), 'left-pad@^1:', chr(10), '  version "1.3.0"', chr(10), '  version "8.8"', chr(10))
+ WHEN 4 THEN concat('# c', chr(10), 'flask[async]==', v, ' ; python_version > "3"', chr(10), 'requests >= 2.0,<3', chr(10), 'noversion', chr(10), '-r x.txt') WHEN 5 THEN concat('{{"default":{{"p":{{"version":"==', v, '"}},"q":{{"version":"==1"}}}},"develop":{{"q":{{"version":"==2"}},"r":{{}}}}}}')
+ WHEN 6 THEN concat('module m', chr(10), 'require (', chr(10), chr(9), 'github.com/a/b v', v, chr(10), chr(9), '// c', chr(10), ')', chr(10), 'require github.com/c/d v2', chr(10), chr(9), 'github.com/no/no v9') ELSE 'nothing' END AS content, v FROM (SELECT *, concat('1.', CAST(p_size AS STRING)) AS v FROM {part}) p"""
+INPUTS["vuln_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'oops' ELSE concat('{{"matches":[{{"vulnerability":{{"id":"CVE-', CAST(p_partkey AS STRING), '","severity":"High","cvss":[{{"version":"3.1","metrics":{{"baseScore":', CAST(p_size % 10 AS STRING), '.5}}}},{{"version":"2.0","metrics":{{"baseScore":1.0}}}}]}}}},{{"vulnerability":{{"id":"GHSA-x"}}}}]}}') END AS content, p_size FROM {part}"""
+INPUTS["lint_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'PHP Fatal error' ELSE concat('{{"totals":{{}},"files":{{"a.php":{{"errors":1,"warnings":0,"messages":[{{"message":"m', CAST(p_size AS STRING), '","source":"S.R","severity":5,"fixable":true,"type":"ERROR","line":', CAST(p_size AS STRING), ',"column":1}}]}},"b.php":{{"errors":0,"warnings":1,"messages":[{{"message":"w","type":"WARNING","line":2}}]}}}}}}') END AS content, p_size FROM {part}"""
+INPUTS["target_lists"] = """SELECT c_custkey AS k, concat('a', CAST(c_custkey AS STRING), '@x.example, b.example;c.example', chr(10), '# comment, z', chr(10), '  d', CAST(c_custkey AS STRING), '.example  ', chr(10), chr(10), 'e .example,,#f') AS value FROM {customer}"""
+
 #: What an input needs on top that the two engines write differently: Spark column, DuckDB expression.
 SIZED = {"files": ("size", F.octet_length("content").cast("long"), "CAST(strlen(content) AS BIGINT)")}
 
@@ -91,7 +105,7 @@ def duck(*names: str) -> str:
     """The inputs as `WITH name AS (...), ...`, for DuckDB."""
     parts = []
     for name in names:
-        text = re.sub(r"\{(\w+)\}", r"\1", INPUTS[name])
+        text = re.sub(r"\{(\w+)\}", r"\1", INPUTS[name]).replace("{{", "{").replace("}}", "}")
         if name in SIZED:
             text = f"SELECT *, {SIZED[name][2]} AS {SIZED[name][0]} FROM ({text}) sized"
         parts.append(f"{name} AS ({text})")
