@@ -114,6 +114,12 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the lines that pass; the columns of `docs`."""
+    """The documents that pass, with the lines that pass; the columns of `docs`.
+
+    The row number keeps the optimizer from moving the filter below the columns
+    that it depends on, where each would be computed again inside every lambda.
+    """
     out, name = judge_quality(docs)
-    return out.filter(F.col(name["kept"])).select(*(F.col(name["clean"]).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    row = scratch_name(out, "row")
+    passed = out.withColumn(row, F.monotonically_increasing_id()).filter(F.col(name["kept"]) & (F.col(row) >= 0))
+    return passed.select(*(F.col(name["clean"]).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
