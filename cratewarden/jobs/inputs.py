@@ -46,7 +46,7 @@ INPUTS = {
  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_discount * 100 AS INT) / 2.0 END AS v31, CASE WHEN l_linenumber % 3 <> 2 THEN CAST(l_discount * 100 AS INT) / 4.0 END AS v30, CASE WHEN l_linenumber % 5 < 3 THEN CAST(l_tax * 100 AS INT) / 2.0 END AS v2 FROM {lineitem}""",
     "domains": "SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}",
     "dns_records": """SELECT domain AS name, 'MX' AS rtype, CAST(10 AS INT) AS priority, concat('mx', CAST(k % 7 AS STRING), '.', CASE WHEN k % 5 = 0 THEN 'aspmx.l.google.com.' WHEN k % 5 = 1 THEN 'x.mail.protection.outlook.com.' ELSE concat(domain, '.') END) AS value FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) a WHERE k % 6 <> 0
- UNION ALL SELECT domain, 'MX', CAST(CASE WHEN k % 2 = 0 THEN 5 ELSE 20 END AS INT), concat('backup.', domain, '.') FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) b WHERE k % 4 = 1
+ UNION ALL SELECT domain, 'MX', CAST(CASE WHEN k % 8 = 1 THEN 5 ELSE 20 END AS INT), concat('backup.', domain, '.') FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) b WHERE k % 4 = 1
  UNION ALL SELECT domain, 'A', CAST(NULL AS INT), concat('10.', CAST(k % 250 AS STRING), '.1.', CAST(k % 9 AS STRING)) FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) c WHERE k % 12 <> 0
  UNION ALL SELECT concat('backup.', domain), 'A', CAST(NULL AS INT), concat('10.9.', CAST(k % 250 AS STRING), '.7') FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) d WHERE k % 4 = 1
  UNION ALL SELECT domain, 'TXT', CAST(NULL AS INT), CASE CAST(k % 6 AS INT) WHEN 0 THEN 'v=spf1 +all' WHEN 1 THEN 'v=spf1 include:_spf.a.example a mx ~all' WHEN 2 THEN 'v=spf1 a:b.example mx:c.example ptr:d include:e include:f include:g include:h exists:i -all' WHEN 3 THEN 'v=spf1 ?all' WHEN 4 THEN 'unrelated' ELSE 'V=SPF1 ip4:1.2.3.4' END FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) e
@@ -56,7 +56,8 @@ INPUTS = {
  UNION ALL SELECT domain, 'NS', CAST(NULL AS INT), 'ns9.host.example.' FROM (SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}) i WHERE k % 8 > 3""",
     "dnsbl_answers": """SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS name, CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'dbl.spamhaus.org' WHEN 1 THEN 'multi.surbl.org' WHEN 2 THEN 'dbl.nordspam.com' ELSE 'rhsbl.abuse.ch' END AS zone,
  CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN '127.0.1.4' WHEN 1 THEN '127.0.0.20' WHEN 2 THEN '127.255.255.254' WHEN 3 THEN '127.0.1.99' ELSE '127.0.0.216' END AS code FROM {supplier} WHERE s_suppkey % 3 = 0
- UNION ALL SELECT concat(CAST(s_suppkey % 9 AS STRING), '.1.', CAST(s_suppkey % 250 AS STRING), '.10'), CASE WHEN s_suppkey % 2 = 0 THEN 'zen.spamhaus.org' ELSE 'bl.spamcop.net' END, CASE WHEN s_suppkey % 3 = 0 THEN '127.0.0.2' WHEN s_suppkey % 3 = 1 THEN '127.255.255.252' ELSE '127.0.0.11' END FROM {supplier} WHERE s_suppkey % 4 = 2""",
+ UNION ALL SELECT concat(CAST(s_suppkey % 9 AS STRING), '.1.', CAST(s_suppkey % 250 AS STRING), '.10'), CASE WHEN s_suppkey % 2 = 0 THEN 'zen.spamhaus.org' ELSE 'bl.spamcop.net' END, CASE WHEN s_suppkey % 3 = 0 THEN '127.0.0.2' WHEN s_suppkey % 3 = 1 THEN '127.255.255.252' ELSE '127.0.0.11' END FROM {supplier} WHERE s_suppkey % 4 = 2
+ UNION ALL SELECT concat('7.', CAST(s_suppkey % 250 AS STRING), '.9.10'), CASE WHEN s_suppkey % 3 = 0 THEN 'zen.spamhaus.org' ELSE 'bl.spamcop.net' END, CASE WHEN s_suppkey % 5 = 0 THEN '127.255.255.252' ELSE '127.0.0.4' END FROM {supplier} WHERE s_suppkey % 16 = 1""",
     "whois": """SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, CASE CAST(s_suppkey % 7 AS INT) WHEN 0 THEN concat('Domain: x', chr(10), 'Creation Date: 20', CAST(10 + s_suppkey % 16 AS STRING), '-03-04T05:06:07Z', chr(13), chr(10), 'created: 1999-01-01') WHEN 1 THEN concat('  Registered on: ', CASE WHEN s_suppkey % 2 = 0 THEN '05-Jan-2007' ELSE '2025-12-20' END) WHEN 2 THEN 'created: 2025.11.02' WHEN 3 THEN 'Registrar: none' WHEN 4 THEN 'Creation Date: before the flood' WHEN 5 THEN 'Created On: 2025-10-15' ELSE concat('Registrant: y', chr(10), 'Registration Time: 2003-07-08 00:00:00') END AS raw FROM {supplier}""",
     "relay_probes": """SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, CAST(25 AS INT) AS port, s_suppkey % 3 > 0 AS reached, s_suppkey % 9 = 1 AS accepted FROM {supplier} WHERE s_suppkey % 6 <> 0
  UNION ALL SELECT concat('d', CAST(s_suppkey AS STRING), '.example'), CAST(587 AS INT), s_suppkey % 5 = 0, s_suppkey % 15 = 0 FROM {supplier} WHERE s_suppkey % 6 <> 0""",
@@ -67,7 +68,7 @@ INPUTS = {
  concat('src/f', CAST(l_suppkey % 9 AS STRING), '.php') AS file, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 80 AS INT) AS col, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'ERROR' WHEN l_returnflag = 'A' THEN 'WARNING' ELSE 'WARNING' END AS type, concat('message ', CAST(l_linenumber AS STRING)) AS message, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('Compat.Rule', CAST(l_suppkey % 5 AS STRING)) END AS source, CAST(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber % 6 END AS INT) AS severity, l_partkey % 2 = 0 AS fixable
  FROM {lineitem} WHERE l_orderkey % 3 = 0""",
     "plugin_files": """SELECT concat('pkg', CAST(doc_id AS STRING)) AS package_id, 'plugin.php' AS path, concat('<?php', chr(10), '/*', chr(10), ' * Plugin Name: Demo ', CAST(doc_id AS STRING), chr(10), ' * Version: 1.', CAST(doc_id % 9 AS STRING), chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' * Author: Ann ', CAST(doc_id AS STRING), chr(10)) END, CASE WHEN doc_id % 4 = 0 THEN concat(' * Author URI: mailto:a', CAST(doc_id AS STRING), '@x.example', chr(10)) WHEN doc_id % 4 = 1 THEN concat(' * Author URI: https://x.example/me', chr(10)) ELSE '' END, CASE WHEN doc_id % 5 < 2 THEN concat(' * Support: help', CAST(doc_id % 3 AS STRING), '@x.example', chr(10)) ELSE '' END, CASE WHEN doc_id % 7 < 3 THEN concat(' * Security: mailto:sec@x.example', chr(10)) ELSE '' END, ' */', chr(10), text) AS content FROM {documents} WHERE doc_id % 10 <> 9
- UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'readme.txt', concat('=== Demo ===', chr(10), 'Contributors: bob, eve', chr(10), CASE WHEN doc_id % 6 = 0 THEN concat('Donate link: https://x.example/give?to=me@x.example', chr(10)) ELSE '' END, 'Stable tag: 1.', CAST(doc_id % 9 AS STRING), chr(10), chr(10), '== Description ==', chr(10), 'Some text.', chr(10), '== Support ==', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Write to help0@x.example please' ELSE 'See https://x.example/support/desk now' END, chr(10), '== Security Policy ==', chr(10), 'Report at https://x.example/security/report ok', chr(10)) FROM {documents} WHERE doc_id % 4 <> 3
+ UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'readme.txt', concat('=== Demo ===', chr(10), 'Contributors: bob, eve', chr(10), CASE WHEN doc_id % 6 = 0 THEN concat('Donate link: https://x.example/give?to=me@x.example', chr(10)) ELSE '' END, 'Stable tag: 1.', CAST(doc_id % 9 AS STRING), chr(10), chr(10), '== Description ==', chr(10), 'Some text.', chr(10), '== Support ==', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Write to help0@x.example please' ELSE 'See https://x.example/support/desk now' END, chr(10), '== Security ==', chr(10), 'Report at https://x.example/security/report ok', chr(10)) FROM {documents} WHERE doc_id % 4 <> 3
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'SUPPORT.md', CASE WHEN doc_id % 3 = 0 THEN 'nobody here' ELSE concat('Ask help', CAST(doc_id % 2 AS STRING), '@x.example.') END FROM {documents} WHERE doc_id % 3 <> 2
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'security.txt', concat('# policy', chr(10), 'Contact: mailto:sec@x.example', chr(10), 'Expires: 2030-01-01') FROM {documents} WHERE doc_id % 5 = 1""",
 }

@@ -1,0 +1 @@
+"""Nothing streams here yet: the work that this library covers is over finished inputs."""
