@@ -1,0 +1 @@
+"""Operators for large text corpora. Nothing else in the library imports this subpackage."""
