@@ -87,8 +87,8 @@ INPUTS["vuln_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS p
 INPUTS["lint_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'PHP Fatal error' ELSE concat('{{"totals":{{}},"files":{{"a.php":{{"errors":1,"warnings":0,"messages":[{{"message":"m', CAST(p_size AS STRING), '","source":"S.R","severity":5,"fixable":true,"type":"ERROR","line":', CAST(p_size AS STRING), ',"column":1}}]}},"b.php":{{"errors":0,"warnings":1,"messages":[{{"message":"w","type":"WARNING","line":2}}]}}}}}}') END AS content, p_size FROM {part}"""
 INPUTS["target_lists"] = """SELECT c_custkey AS k, concat('a', CAST(c_custkey AS STRING), '@x.example, b.example;c.example', chr(10), '# comment, z', chr(10), '  d', CAST(c_custkey AS STRING), '.example  ', chr(10), chr(10), 'e .example,,#f') AS value FROM {customer}"""
 
-#: What an input needs on top that the two engines write differently: Spark column, DuckDB expression.
-SIZED = {"files": ("size", F.octet_length("content").cast("long"), "CAST(strlen(content) AS BIGINT)")}
+#: What an input needs on top that the two engines write differently: column, Spark's and DuckDB's expression.
+SIZED = {"files": ("size", "CAST(octet_length(content) AS BIGINT)", "CAST(strlen(content) AS BIGINT)")}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     out = spark.sql(text, **tables)
     if name in SIZED:
         column, expression, _ = SIZED[name]
-        out = out.withColumn(column, expression)
+        out = out.withColumn(column, F.expr(expression))
     return out
 
 
