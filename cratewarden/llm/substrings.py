@@ -5,8 +5,8 @@ its anchor: equal windows have equal anchors, and a run of windows shares one,
 so a text has about one anchor for 13 words. Each task counts the anchors of
 its rows in a count-min sketch; merged, the sketches overestimate how often an
 anchor, and so any window under it, occurs. A second pass sends on only windows
-whose anchor is estimated to be repeated, and those are grouped exactly, by 128
-hash bits. No repeated window can be missed; a full sketch only sends more.
+whose anchor is estimated to be repeated, and those are grouped exactly, by 96 hash
+bits. No repeated window can be missed; a full sketch only sends more.
 
 Scale. The merged sketch has a fixed size (`cells` bits for each of two rows,
 16 MB as it stands), whatever the input, so it can be broadcast. Beyond some
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import cut
 
 WINDOW = 50
 GRAM = 25
@@ -66,9 +65,15 @@ def _sketch_task(cells: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             # a new row's first window counts again, even if its anchor is the last row's
             begins = bounds[:-1][bounds[:-1] < len(found)]
             first[begins] = inside[begins]
+            # a document counts each of its anchors once, so what only it repeats isn't sent on
+            at = np.flatnonzero(first)
+            doc = np.searchsorted(bounds, at, "right")
+            order = np.lexsort((found[at], doc))
+            at, doc = at[order], doc[order]
+            once = np.concatenate([[True], (found[at][1:] != found[at][:-1]) | (doc[1:] != doc[:-1])])[: len(at)]
             for row in range(2):
-                at, n = np.unique(sketch_cells(found[first], row, cells), return_counts=True)
-                counts[row][at] = np.minimum(counts[row][at] + n, 2)
+                cell, n = np.unique(sketch_cells(found[at[once]], row, cells), return_counts=True)
+                counts[row][cell] = np.minimum(counts[row][cell] + n, 2)
     for row in range(2):
         used = np.flatnonzero(counts[row])
         pieces, starts = np.unique(used // PIECE, return_index=True)
@@ -118,17 +123,24 @@ def _windows_task(sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             at = np.flatnonzero(wordhash.within(bounds, WINDOW, len(found)))
             at = at[_estimated(bits, found[at])]
             row = np.searchsorted(bounds, at, "right") - 1
-            w1, w2 = wordhash.windows(hashes, WINDOW)[at], wordhash.windows(hashes, WINDOW, second=True)[at]
+            name = wordhash.windows(hashes, WINDOW)[at].view(np.int64)
+            check = (wordhash.windows(hashes, WINDOW, second=True)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             rows = pa.array(row + base)
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), doc.take(rows), key.take(rows), pa.array((at - bounds[row]).astype(np.int32))], ["w1", "w2", "doc_id", "row_key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(check), doc.take(rows), key.take(rows), pa.array((at - bounds[row]).astype(np.int32))], ["name", "check", "doc_id", "row_key", "at"])
 
 
 def repeated_windows(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """docs (doc_id, row_key, text) -> (doc_id, row_key, at) for each window that also starts in a document with a smaller doc_id."""
+    """docs (doc_id, row_key, text) -> (doc_id, row_key, at) for each window that also starts in a document with a smaller doc_id.
+
+    The windows are made twice, once for the aggregate and once for the join:
+    making them is cheaper than keeping them.
+    """
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, cells))
-    seen = cut(docs.select("doc_id", "row_key", "text").mapInArrow(lambda batches: _windows_task(sketch, batches), "w1 long, w2 long, doc_id long, row_key long, at int"), "substring-windows")
-    first = seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    return seen.join(first, ["w1", "w2"]).filter("doc_id > first").select("doc_id", "row_key", "at")
+    texts = docs.select("doc_id", "row_key", "text")
+    schema = "name long, check int, doc_id long, row_key long, at int"
+    seen = texts.mapInArrow(lambda batches: _windows_task(sketch, batches), schema)
+    first = seen.groupBy("name", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    return seen.join(first, ["name", "check"]).filter("doc_id > first").select("doc_id", "row_key", "at")
 
 
 def _removal(frame: pd.DataFrame) -> pd.DataFrame:
