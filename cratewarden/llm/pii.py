@@ -93,7 +93,7 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     counted = {0: ("order", "invoice no.", "version", "page", "isbn", "ref"), 1: ("looking", "time"), 2: ("tracking", "serial", "id"), 3: ("time", "section")}
     made = [(g, 1, cue, s) for g, some in ((0, phones), (1, emails), (2, cards), (3, six)) for s in some for cue in introduced[g]]
     made += [(g, 0, cue, s) for g, some in ((0, phones[1:]), (1, prose), (2, cards), (3, clock)) for s in some for cue in counted[g]]
-    made += [(g, 1, "and", s) for g, s in ((0, phones[0]), (1, emails[1]), (3, six[0]))] + [(g, 0, "and", s) for g, s in ((0, phones[2]), (0, phones[3]), (1, prose[0]), (2, cards[0]))]
+    made += [(g, 1, "and", s) for g, s in ((0, phones[0]), *((1, e) for e in emails), (3, six[0]))] + [(g, 0, "and", s) for g, s in ((0, phones[2]), (0, phones[3]), (1, prose[0]), (2, cards[0]))]
     choices = F.array(*(
         F.struct(lit(label).alias("label"), lit(g).alias("generator"), F.struct(lit(0).alias("start"), lit(0).alias("stop"), s.alias("text"), F.concat(w, lit(f" {cue} ")).alias("before"), F.concat(lit(" "), F.substring("m", 1, 2), lit(" ")).alias("after")).alias("span"))
         for g, label, cue, s in made
@@ -142,10 +142,13 @@ def train(docs: DataFrame) -> Model:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(fitted)
         trees = [(w, _parsed([x.strip() for x in t.toDebugString.splitlines()[1:]])) for w, t in zip(model.treeWeights, model.trees, strict=True)]
         made = Model(trees, [2.0] * len(GENERATORS))
-        held = samples.filter("part = 0").select("generator", "label", made.score(F.col("f")).alias("score"))
-        above = Window.partitionBy("generator").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        exact = held.withColumn("precision", F.avg("label").over(above)).filter(F.col("precision") >= PRECISION)
-        for generator, threshold in exact.groupBy("generator").agg(F.min("score")).collect():
+        held = samples.filter("part = 0").groupBy("generator", made.score(F.col("f")).alias("score")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+        falling = Window.partitionBy("generator").orderBy(F.col("score").desc())
+        above = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # halfway to the next lower score
+        line = (F.col("score") + F.coalesce(F.lead("score").over(falling), F.lit(0.0))) / 2
+        exact = held.select("generator", line.alias("line"), (F.sum("good").over(above) / F.sum("n").over(above)).alias("precision")).filter(F.col("precision") >= PRECISION)
+        for generator, threshold in exact.groupBy("generator").agg(F.min("line")).collect():
             made.thresholds[generator] = threshold
         return made
     finally:

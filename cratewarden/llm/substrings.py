@@ -122,8 +122,12 @@ def _windows_task(sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             found = anchors(hashes)
             at = np.flatnonzero(wordhash.within(bounds, WINDOW, len(found)))
             at = at[_estimated(bits, found[at])]
-            row = np.searchsorted(bounds, at, "right") - 1
-            name = wordhash.windows(hashes, WINDOW)[at].view(np.int64)
+            row, every = np.searchsorted(bounds, at, "right") - 1, wordhash.windows(hashes, WINDOW)
+            # of equal windows in one document the first stands for all
+            order = np.lexsort((at, every[at], row))
+            new = np.concatenate([[True], (every[at[order]][1:] != every[at[order]][:-1]) | (row[order][1:] != row[order][:-1])])[: len(at)]
+            at, row = at[order][new], row[order][new]
+            name = every[at].view(np.int64)
             check = (wordhash.windows(hashes, WINDOW, second=True)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             rows = pa.array(row + base)
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(check), doc.take(rows), key.take(rows), pa.array((at - bounds[row]).astype(np.int32))], ["name", "check", "doc_id", "row_key", "at"])
@@ -132,6 +136,9 @@ def _windows_task(sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def repeated_windows(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """docs (doc_id, row_key, text) -> (doc_id, row_key, at) for each window that also starts in a document with a smaller doc_id.
 
+    Of windows that one document repeats only the first is given: a text of few
+    words said over and over is a few rows, not a hot key.
+
     The windows are made twice, once for the aggregate and once for the join:
     making them is cheaper than keeping them.
     """
@@ -144,13 +151,15 @@ def repeated_windows(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 
 
 def _removal(frame: pd.DataFrame) -> pd.DataFrame:
-    """Drop the words under the windows that start at `starts`."""
+    """Drop the words under the windows that start at `starts`, and under windows equal to those."""
     total, removed, kept = [], [], []
     for text, starts in zip(frame["text"], frame["starts"], strict=True):
         tokens = (text or "").encode().split()
         gone = np.zeros(len(tokens) + 1, np.int64)
         if starts is not None and len(starts):
-            at = np.unique(np.asarray(starts))
+            _, hashes, _ = next(wordhash.chunks(pa.array([text])))
+            names = wordhash.windows(hashes, WINDOW)
+            at = np.flatnonzero(np.isin(names, names[np.asarray(starts)]))
             gone[at] += 1
             ends = at + WINDOW
             gone[ends] -= 1

@@ -133,7 +133,7 @@ def _write_task(folder: str, dictionary: bytes, frames: Iterator[pd.DataFrame])
         for page_id, html, known, first in zip(frame["page_id"], frame["html"], frame["known"], frame["first"], strict=True):
             if out is None:
                 name = f"{uuid.uuid4().hex}.warc.zst"
-                out, size, n = store.open_output_stream(f"{base}/{name}"), 0, 0
+                out, size, n = store.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 if dictionary:
                     size += out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
             own = None if pd.isna(page_id) else int(page_id)
@@ -226,7 +226,7 @@ def read_archives(manifest: DataFrame, folder: str, *, payloads: bool = False) -
         for batch in batches:
             for name, expected in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 rows, n, held = [], 0, 0
-                with store.open_input_stream(f"{base}/{name}") as stream:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for record in read_records(stream):
                         n += 1
                         held += len(record["payload"] or b"") * payloads
