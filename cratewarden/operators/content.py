@@ -1,12 +1,15 @@
 """Content scan: malicious patterns, types that disagree with extensions, embedded code, image hygiene, risk.
 
-Files whose content meets none of the patterns are dropped by one combined
-expression before any line is made, so lines exist only for suspicious files;
+Files without any of the words that patterns need are dropped by plain search,
+and those whose content meets no pattern by one combined expression, before any
+line is made, so lines exist only for suspicious files;
 from there on everything is in proportion to the hits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from ..refdata import (
     EXECUTABLE_TYPE,
     IMAGE_EXTENSIONS,
     PATTERN_TYPES,
+    PATTERN_WORDS,
     PATTERNS,
     SAFE_PAIRS,
     SCAN_LIMIT,
@@ -59,7 +63,9 @@ def pattern_hits(files: DataFrame) -> DataFrame:
 
     The patterns are literals of one expression, each compiled once for a task.
     """
-    suspicious = files.filter(F.col("content").rlike(COMBINED))
+    low = F.lower("content")
+    worded = reduce(lambda a, b: a | b, (low.contains(w) for w in PATTERN_WORDS))
+    suspicious = files.filter(worded & F.col("content").rlike(COMBINED))
     rows = suspicious.select("package_id", "path", F.posexplode(F.split("content", "\n")).alias("line", "text")).filter(F.col("text").rlike(COMBINED))
     ids = F.array(*(F.when(F.col("text").rlike(FLAGS + p), F.lit(n)) for n, p in enumerate(PATTERNS, 1)))
     hits = rows.select("package_id", "path", (F.col("line") + 1).alias("line"), "text", F.explode(F.filter(ids, lambda i: i.isNotNull())).alias("pattern_id"))

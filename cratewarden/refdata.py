@@ -96,6 +96,8 @@ PATTERNS = [
     r"call_user_func(_array)?\s*\(\s*\$_(GET|POST)",
     r"\$\{?\$_(GET|POST|REQUEST)\s*\[.{0,30}\]\}?\s*\(",
 ]
+#: Every text that meets a pattern holds one of these, in some case.
+PATTERN_WORDS = r"/dev/tcp /bin/ socket fsockopen socat coinhive cryptonight monero stratum+tcp:// xmrig cryptoloot base64_decode atob b64decode fromhex fromcharcode \x chr gzinflate preg_replace curl --post-file document. $_".split()
 PATTERN_TYPES = [("reverse_shell", "CRITICAL", 1, 8), ("crypto_miner", "CRITICAL", 9, 14), ("obfuscation", "HIGH", 15, 22), ("data_exfil", "HIGH", 23, 27), ("webshell", "MEDIUM", 28, 37)]
 
 #: Content types that an extension must have, whole.
