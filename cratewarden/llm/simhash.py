@@ -139,12 +139,16 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 # of radius 0 and threshold 0 in each: every point is an anchor. A pair at 15 %
 # shares an anchor in one band of 26, so 90 bands find 97 % of such pairs, and
 # nearly all that are closer. In a bucket each member is compared with the
-# bucket's first and with the one before it, never with all.
+# bucket's first and with the one before it, never with all. A pair within
+# WIDE_DISTANCE is verified on one-permutation sketches of both shingle sets,
+# BINS bytes each, whose error is 0.02 at most.
 
 WIDE = 256
 BANDS, BAND_BITS = 90, 20
-#: Most differing bits of WIDE for a near copy: 0.17, where similarity is about 0.76.
-WIDE_DISTANCE = 43
+#: Most differing bits of WIDE for a candidate: 0.18, where similarity is about 0.73.
+WIDE_DISTANCE = 46
+BINS = 512
+SIMILARITY, MARGIN = 0.8, 0.01
 
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 _SEEDS = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(WIDE // 64)]
@@ -163,21 +167,31 @@ def _wide(hashes: np.ndarray, shingle: int) -> np.ndarray:
     return (2 * counts > len(made)).astype(np.uint8)
 
 
-def with_wide_fingerprint(docs: DataFrame, fp: str, keys: str, shingle: int) -> DataFrame:
-    """`docs` with `fp` (four longs) and `keys`, its anchor in each band."""
+def _sketch(hashes: np.ndarray, shingle: int) -> bytes:
+    """For each of BINS bins of the shingles, one byte of the smallest hash there, or 0 if it is empty."""
+    out = np.zeros(BINS, np.uint8)
+    if len(hashes):
+        made = np.sort(wordhash.mix(wordhash.windows(hashes, min(shingle, len(hashes))) ^ np.uint64(0x2545F4914F6CDD1D)))
+        bins, first = np.unique((made >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), return_index=True)
+        out[bins] = made[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def with_wide_fingerprint(docs: DataFrame, fp: str, keys: str, sketch: str, shingle: int) -> DataFrame:
+    """`docs` with `fp` (four longs), `keys`, its anchor in each band, and the `sketch` of its shingles."""
     weights = 1 << np.arange(BAND_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            bits = [_wide(hashes[a:b], shingle) for _, hashes, bounds in wordhash.chunks(texts, fold=_FOLD) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            bits = np.array(bits, np.uint8).reshape(len(bits), WIDE)
+            made = [(_wide(hashes[a:b], shingle), _sketch(hashes[a:b], shingle)) for _, hashes, bounds in wordhash.chunks(texts, fold=_FOLD) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            bits = np.array([m[0] for m in made], np.uint8).reshape(len(made), WIDE)
             fps = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
             at = (bits[:, _SAMPLES] * weights).sum(axis=2).astype(np.int32)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype))) for x in (fps, at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, fp, keys])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array([m[1] for m in made], pa.binary())], [*batch.schema.names, fp, keys, sketch])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(fp, T.ArrayType(T.LongType())), T.StructField(keys, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(fp, T.ArrayType(T.LongType())), T.StructField(keys, T.ArrayType(T.IntegerType())), T.StructField(sketch, T.BinaryType())]))
 
 
 def near_links(fps: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -191,18 +205,34 @@ def near_links(fps: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     return met.filter(differing <= distance).select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
 
 
+def verified(links: DataFrame, fps: DataFrame, similarity: float = SIMILARITY - MARGIN) -> DataFrame:
+    """The links (a, b) whose sketches show that similarity. fps (node, sketch)."""
+    sketches = fps.select("node", "sketch")
+    pairs = links.join(sketches.withColumnsRenamed({"node": "a", "sketch": "left"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "right"}), "b").select("a", "b", "left", "right")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            same = ((left == right) & (left > 0)).sum(axis=1)
+            either = ((left > 0) | (right > 0)).sum(axis=1)
+            near = same >= similarity * either
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
+
+    return pairs.mapInArrow(task, links.schema)
+
+
 def drop_near_copies(docs: DataFrame, *, shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
     """Of each group of near copies one row stays, that with the smallest doc_id; the columns of `docs`.
 
     Texts without words are one group. Repeated rows are copies; of equal
     doc_ids any one row stays, and a null doc_id only if it is alone.
     """
-    fp, keys, row = (scratch_name(docs, k) for k in ("fp", "keys", "row"))
-    rows = cut(with_wide_fingerprint(docs, fp, keys, shingle).withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    fp, keys, sketch, row = (scratch_name(docs, k) for k in ("fp", "keys", "sketch", "row"))
+    rows = cut(with_wide_fingerprint(docs, fp, keys, sketch, shingle).withColumn(row, F.monotonically_increasing_id()), "near-rows")
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(row).alias("row"))
-    fps = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"), F.first(keys).alias("keys")).withColumn("node", F.col("first.row"))
+    fps = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"), F.first(keys).alias("keys"), F.first(sketch).alias("sketch")).withColumn("node", F.col("first.row"))
     fps = cut(fps, "near-fingerprints")
-    component = connected_components(near_links(fps, distance))
+    component = connected_components(verified(near_links(fps, distance), fps))
     named = fps.select("node", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
