@@ -15,8 +15,9 @@ by a banded edit distance.
 Not every window of every document is walked. n words with k edits leave an
 untouched run of ceil((n - k) / (k + 1)) words, so a window within k edits
 shares a run of `gram_size` words with the item, at places that differ by k at
-most: only the 2k + 1 windows around each shared gram can be near, and no
-window is lost by leaving out the others.
+most: only the 2k + 1 windows around each shared gram can be near. Each edit
+spoils `gram_size` grams of q words at most, so such a window shares at least
+n - q + 1 - kq of them. No window is lost by leaving out the others.
 
 Scale. Documents pass through one narrow stage. The benchmark is tested in
 blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, each broadcast;
@@ -144,6 +145,12 @@ def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> dic
     begin = np.repeat(at, n_same) - offset[which]
     sizes = np.array([len(t) for t in index.tokens])[item[which]]
     row = np.searchsorted(bounds, np.repeat(at, n_same), "right") - 1
+    # all shared grams of a near window lie within 2k of each other
+    k, place = (sizes * MAX_EDITS).astype(np.int64), item[which] * (1 << 40) + begin
+    line = np.sort(place)
+    together = np.searchsorted(line, place + 2 * k, "right") - np.searchsorted(line, place - 2 * k, "left")
+    enough = together >= sizes - q + 1 - k * q
+    begin, sizes, row = begin[enough], sizes[enough], row[enough]
     out = {}
     for n in np.unique(sizes):
         own = sizes == n
