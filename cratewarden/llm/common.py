@@ -37,6 +37,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """About n rows, chosen by a hash of `key`; all rows of a smaller table.
+
+    The share comes from a count, so no rows meet in one task to be chosen.
+    Rows with one key stay together, and a key of very many rows may exceed n.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.xxhash64(*key) < F.lit(int(2**64 * (n / total)) - 2**63))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -9,7 +9,7 @@ The fitted trees become CASE expressions over a feature array, so after training
 everything is one narrow stage of built-in functions.
 
 Labelled samples. Spans of known kind are written into contexts made of the
-words of a bounded sample of the documents (SAMPLE_ROWS rows, SAMPLE_WORDS
+words of a bounded sample of the documents (about SAMPLE_ROWS rows, SAMPLE_WORDS
 distinct words): numbers after words that introduce a telephone or a card are
 positive, the same shapes after words for orders, versions or pages negative.
 """
@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import bounded_sample, words
 from .spans import as_text, free_of, matches, spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -74,7 +74,7 @@ def features(span: Column, generator: Column) -> Column:
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(label, generator, span, part): labelled spans in context, part 0 to 3 by hash."""
-    sample = docs.filter(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(SAMPLE_ROWS)
+    sample = bounded_sample(docs.select("doc_id", "text"), SAMPLE_ROWS, "doc_id")
     word = sample.select(F.explode(words(F.col("text"))).alias("w")).select(F.regexp_replace(F.lower("w"), "[^a-z]++", "").alias("w")).filter(F.length("w") >= 2)
     word = word.groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h").limit(SAMPLE_WORDS)
     n = F.concat(F.lpad(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(10**10)).cast("string"), 10, "7"), F.lpad(F.pmod(F.xxhash64("w", F.lit(2)), F.lit(10**10)).cast("string"), 10, "3"))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import bounded_sample, words
 from .spans import as_text, free_of, matches, spans
 
 KINDS = ("assign", "access", "hex")
@@ -28,7 +28,7 @@ HEX = r"[0-9a-f]{24,}+"
 #: Tokens that the models judge, and the alphabet of their bigrams; digits, capitals and signs share no class with small letters.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
-#: Rows and distinct words that the models are trained on at most.
+#: Rows (about) and distinct words (at most) that the models are trained on.
 SAMPLE_ROWS, SAMPLE_WORDS = 400, 4000
 #: Mean log-likelihood ratio for each bigram over which a token is random.
 THRESHOLD = 0.8
@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(label, token): 1 for random strings, 0 for ordinary identifiers, from a bounded sample of the words of `docs`."""
-    sample = docs.filter(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(SAMPLE_ROWS)
+    sample = bounded_sample(docs.select("doc_id", "text"), SAMPLE_ROWS, "doc_id")
     word = sample.select(F.explode(words(F.col("text"))).alias("w")).select(F.lower(F.regexp_replace("w", r"[^\p{L}]++", "")).alias("w"))
     word = word.filter(F.length("w").between(2, 24)).groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h").limit(SAMPLE_WORDS)
     # partners by one more hash, so that joining two words needs no order between rows

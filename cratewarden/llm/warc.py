@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import bounded_sample, cut, shared_dir
 
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 8192, 32 << 10
@@ -117,7 +117,7 @@ def open_uri(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads, or nothing where there are too few."""
     text = F.coalesce(F.col("html"), F.lit(""))
-    sample = pages.filter(F.length(text) > 0).select(F.xxhash64("page_id", text).alias("h"), F.substring(text, 1, SAMPLE_BYTES).alias("t")).orderBy("h").limit(SAMPLE_PAGES).collect()
+    sample = bounded_sample(pages, SAMPLE_PAGES, "page_id").filter(F.length(text) > 0).select(F.substring(text, 1, SAMPLE_BYTES).alias("t")).limit(2 * SAMPLE_PAGES).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.t.encode() for r in sample]).as_bytes()
     except zstandard.ZstdError:
