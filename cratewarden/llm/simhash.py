@@ -23,7 +23,7 @@ counted in numpy, from 64-bit shingle hashes made in each task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,37 +134,42 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 # --- near copies of 5-word shingles at similarity 0.8 -------------------------------------------------
 #
 # Two texts of similarity 0.8 differ in about 15 % of SimHash bits, far beyond
-# what anchors of a 64-bit code can cover. The stage therefore takes WIDE bits
-# and lays the anchors in BANDS random subcubes of BAND_BITS bits, with the code
-# of radius 0 and threshold 0 in each: every point is an anchor. A pair at 15 %
-# shares an anchor in one band of 26, so 90 bands find 97 % of such pairs, and
-# nearly all that are closer. In a bucket each member is compared with the
-# bucket's first and with the one before it, never with all. A pair within
-# WIDE_DISTANCE is verified on one-permutation sketches of both shingle sets,
-# BINS bytes each, whose error is 0.02 at most.
-
-WIDE = 256
-BANDS, BAND_BITS = 90, 20
-#: Most differing bits of WIDE for a candidate: 0.18, where similarity is about 0.73.
-WIDE_DISTANCE = 46
+# what anchors can cover, and buckets of few bits fill with strangers as the
+# input grows. The stage therefore takes BANDS * ROWS smallest hashes of each
+# shingle set; a band's key is 64 bits of ROWS of them, which strangers share
+# with the chance of their similarity to the power ROWS, whatever the input's
+# size. A pair at 0.8 shares a key in some band with chance 0.9999.
+#
+# All members of a bucket meet, but not in all pairs: each meets the bucket's
+# first and the one before it, in an order of the bucket's own, and then those
+# that are in other components than itself. A large group of near copies thus
+# costs one row for each member, and no pair of a bucket is left out that could
+# join two components.
+
+BANDS, ROWS = 32, 6
+#: Most differing bits of BANDS * ROWS, one from each smallest hash, for a candidate: at similarity 0.8 the mean is 19.2 and the deviation 4.2.
+MOST_BITS = 44
 BINS = 512
 SIMILARITY, MARGIN = 0.8, 0.01
 
 _FOLD = np.frombuffer(_LOWER, np.uint8)
-_SEEDS = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(WIDE // 64)]
-_SAMPLES = np.argsort(np.random.default_rng(11).random((BANDS, WIDE)), axis=1)[:, :BAND_BITS]
+_FACTORS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORDS = BANDS * ROWS // 64
+#: Shingles that are multiplied by all factors at once.
+_STEP = 512
+
+
+def _shingles(hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """The hashes of one text's set of shingles, sorted."""
+    return np.unique(wordhash.windows(hashes, min(shingle, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
 
 
-def _wide(hashes: np.ndarray, shingle: int) -> np.ndarray:
-    """The WIDE bits of one text's word hashes."""
-    if not len(hashes):
-        return np.zeros(WIDE, np.uint8)
-    made = wordhash.windows(hashes, min(shingle, len(hashes)))
-    counts = np.zeros(WIDE, np.int64)
-    for at in range(0, len(made), _BLOCK):
-        bits = np.stack([wordhash.mix(made[at : at + _BLOCK] ^ s) for s in _SEEDS], axis=1).view(np.uint8)
-        counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return (2 * counts > len(made)).astype(np.uint8)
+def _smallest(made: np.ndarray) -> np.ndarray:
+    """The smallest hash of a set under each factor."""
+    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(made), _STEP):
+        np.minimum(out, (made[at : at + _STEP, None] * _FACTORS).min(axis=0), out=out)
+    return out
 
 
 def _sketch(hashes: np.ndarray, shingle: int) -> bytes:
@@ -177,32 +182,54 @@ def _sketch(hashes: np.ndarray, shingle: int) -> bytes:
     return out.tobytes()
 
 
-def with_wide_fingerprint(docs: DataFrame, fp: str, keys: str, sketch: str, shingle: int) -> DataFrame:
-    """`docs` with `fp` (four longs), `keys`, its anchor in each band, and the `sketch` of its shingles."""
-    weights = 1 << np.arange(BAND_BITS)
+def with_shingle_set(docs: DataFrame, digest: str, size: str, bits: str, keys: str, sketch: str, shingle: int) -> DataFrame:
+    """`docs` with the `digest` (128 bits) and `size` of its shingle set, `bits` (longs) and `keys` of its smallest hashes, and its `sketch`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            made = [(_wide(hashes[a:b], shingle), _sketch(hashes[a:b], shingle)) for _, hashes, bounds in wordhash.chunks(texts, fold=_FOLD) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            bits = np.array([m[0] for m in made], np.uint8).reshape(len(made), WIDE)
-            fps = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            at = (bits[:, _SAMPLES] * weights).sum(axis=2).astype(np.int32)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype))) for x in (fps, at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array([m[1] for m in made], pa.binary())], [*batch.schema.names, fp, keys, sketch])
-
-    return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(fp, T.ArrayType(T.LongType())), T.StructField(keys, T.ArrayType(T.IntegerType())), T.StructField(sketch, T.BinaryType())]))
-
-
-def near_links(fps: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """fps (node, fp, keys), all different -> (a, b): links that join all within `distance` which share an anchor with their neighbours."""
-    points = fps.select("node", "fp", F.posexplode("keys").alias("band", "key"))
-    bucket = Window.partitionBy("band", "key").orderBy("node")
-    me = F.struct("node", "fp")
-    met = points.select("node", "fp", F.array(F.first(me).over(bucket), F.lag(me).over(bucket)).alias("others"))
-    met = met.select("node", "fp", F.explode(F.array_distinct("others")).alias("other")).filter("other is not null and other.node <> node")
-    differing = sum((F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("other.fp")[k])) for k in range(1, WIDE // 64)), F.bit_count(F.col("fp")[0].bitwiseXOR(F.col("other.fp")[0])))
-    return met.filter(differing <= distance).select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
+            words = [hashes[a:b] for _, hashes, bounds in wordhash.chunks(texts, fold=_FOLD) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            sets = [_shingles(w, shingle) for w in words]
+            least = wordhash.mix(np.array([_smallest(s) for s in sets], np.uint64).reshape(len(sets), BANDS * ROWS))
+            signs = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+            key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(sets), 0)
+            for k in range(ROWS):
+                key = wordhash.mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[:, k::ROWS])
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (signs, key.view(np.int64))]
+            digests, sizes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())
+            sketches = pa.array([_sketch(w, shingle) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests, sizes, *lists, sketches], [*batch.schema.names, digest, size, bits, keys, sketch])
+
+    longs = T.ArrayType(T.LongType())
+    return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(digest, T.BinaryType()), T.StructField(size, T.LongType()), T.StructField(bits, longs), T.StructField(keys, longs), T.StructField(sketch, T.BinaryType())]))
+
+
+def _maybe_near(a: str, b: str) -> Column:
+    """Whether the sizes and bits of two members allow similarity 0.8."""
+    small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    differing = [F.bit_count(F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}"))) for k in range(_WORDS)]
+    return (small * 5 >= large * 4) & (sum(differing[1:], differing[0]) <= MOST_BITS)
+
+
+def near_links(fps: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fps (node, size, bits, keys), sets all different -> (a, b): links that join all which share a key and pass `verify`."""
+    points = fps.select("node", "size", *(F.col("bits")[k].alias(f"bits{k}") for k in range(_WORDS)), F.explode("keys").alias("key"))
+    points = cut(points.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1").drop("many"), "near-buckets")
+    member = F.struct("node", "size", *(f"bits{k}" for k in range(_WORDS)))
+    bucket = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    met = points.select(member.alias("x"), F.array(F.first(member).over(bucket), F.lag(member).over(bucket)).alias("others"))
+    met = met.select("x", F.explode(F.array_distinct("others")).alias("y")).filter("y is not null and x.node <> y.node")
+    met = met.filter(_maybe_near("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met = cut(met, "near-met")
+    links = cut(verify(met), "near-links")
+    # what shares a bucket and is in two components still has to meet
+    placed = points.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    placed = cut(placed.join(parted, "key", "left_semi").select("key", "component", member.alias("x")), "near-parted")
+    left, right = placed.alias("l"), placed.select("key", F.col("component").alias("other"), F.col("x").alias("y")).alias("r")
+    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("component") < F.col("other")) & _maybe_near("x", "y"))
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    return links.unionByName(cut(verify(cut(rest, "near-rest")), "near-links"))
 
 
 def verified(links: DataFrame, fps: DataFrame, similarity: float = SIMILARITY - MARGIN) -> DataFrame:
@@ -221,18 +248,18 @@ def verified(links: DataFrame, fps: DataFrame, similarity: float = SIMILARITY -
     return pairs.mapInArrow(task, links.schema)
 
 
-def drop_near_copies(docs: DataFrame, *, shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     """Of each group of near copies one row stays, that with the smallest doc_id; the columns of `docs`.
 
     Texts without words are one group. Repeated rows are copies; of equal
     doc_ids any one row stays, and a null doc_id only if it is alone.
     """
-    fp, keys, sketch, row = (scratch_name(docs, k) for k in ("fp", "keys", "sketch", "row"))
-    rows = cut(with_wide_fingerprint(docs, fp, keys, sketch, shingle).withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    digest, size, bits, keys, sketch, row = (scratch_name(docs, k) for k in ("digest", "size", "bits", "keys", "sketch", "row"))
+    rows = cut(with_shingle_set(docs, digest, size, bits, keys, sketch, shingle).withColumn(row, F.monotonically_increasing_id()), "near-rows")
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(row).alias("row"))
-    fps = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"), F.first(keys).alias("keys"), F.first(sketch).alias("sketch")).withColumn("node", F.col("first.row"))
+    fps = rows.groupBy(digest).agg(F.min(order).alias("first"), *(F.first(c).alias(name) for c, name in ((size, "size"), (bits, "bits"), (keys, "keys"), (sketch, "sketch")))).withColumn("node", F.col("first.row"))
     fps = cut(fps, "near-fingerprints")
-    component = connected_components(verified(near_links(fps, distance), fps))
+    component = connected_components(near_links(fps, lambda links: verified(links, fps)))
     named = fps.select("node", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -334,6 +334,18 @@ def test_near_copies_leave_one(docs, rows, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_meet_all_members_of_a_bucket(spark):
+    """Pairs whose members are neither first in their buckets nor neighbours there, among many strangers that share every bucket."""
+    rng = random.Random(3)
+    fps = []
+    for pair in range(60):
+        bits = [rng.getrandbits(63) for _ in range(3)]
+        fps += [(pair, 100, bits, [7, 8]), (1000 - pair, 100, [bits[0] ^ 5, *bits[1:]], [7, 8])]
+    table = spark.createDataFrame(fps, "node long, size long, bits array<long>, keys array<long>")
+    got = {(r.a, r.b) for r in simhash.near_links(table, lambda links: links).collect()}
+    assert got == {(pair, 1000 - pair) for pair in range(60)}
+
+
 # --- 8 ---
 
 
