@@ -346,6 +346,24 @@ def test_near_copies_meet_all_members_of_a_bucket(spark):
     assert got == {(pair, 1000 - pair) for pair in range(60)}
 
 
+def test_near_copies_are_verified_on_shingle_sets(spark):
+    """Pairs a few shingles above and below 0.8, on long texts."""
+    rng = random.Random(8)
+    rows, expected = [], set()
+    for pair in range(40):
+        w = prose(rng, 904).split()
+        at = 0 if pair % 2 else 1
+        # of 900 shingles 100 are changed, which is 0.8, or 101 are
+        changed = w[: 800 + 4 - at] + prose(rng, 100 + at).split()
+        rows += [(2 * pair, " ".join(w)), (2 * pair + 1, " ".join(changed))]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, changed))
+        near = len(a & b) * 10 >= len(a | b) * 8
+        assert near == (at == 0)
+        expected |= {2 * pair} if near else {2 * pair, 2 * pair + 1}
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert got == expected
+
+
 # --- 8 ---
 
 
