@@ -428,6 +428,14 @@ def test_markov_models_on_held_out_labels(docs):
     assert held.agg(F.avg((F.col("p") == F.col("label")).cast("int"))).first()[0] > 0.95
 
 
+def test_long_tokens_are_scored(spark, rows):
+    data = b"".join(hashlib.sha256(bytes([k])).digest() for k in range(64))
+    tokens = [base64.b64encode(data)[:n].decode() for n in (20, 128, 129, 340, 2700)]
+    docs = spark.createDataFrame([*((i, t) for i, t, _ in rows), *((1000 + i, f"begin {t} end") for i, t in enumerate(tokens))], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secret_report(docs).filter("doc_id >= 1000").collect()}
+    assert [got[1000 + i].spans for i in range(len(tokens))] == [f"random:6:{6 + len(t)}" for t in tokens]
+
+
 # --- 10 ---
 
 
