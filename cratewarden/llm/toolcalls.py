@@ -159,26 +159,28 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
 def derive_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of plain conversations, which have no tool calls of their own.
 
-    Each assistant turn becomes a call whose tool and arguments follow from its
-    text, some of them wrong on purpose, one in three needing the call two turns
-    before; the turn after it, if a user's, is its result.
+    Each assistant turn becomes a call whose tool follows from its text and whose
+    arguments hold all of it, some of them wrong on purpose, one in three needing
+    the call two turns before; the turn after it, if a user's, is its result. All
+    other rows (system, opening turns, unknown roles) are results without an
+    identifier, which link to nothing.
     """
     text = F.coalesce("text", F.lit(""))
     h = F.crc32(text)
-    quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(5), F.length(F.to_json(F.struct(c.alias("v")))) - 5)
-    start = quoted(F.substring(text, 1, 40))
+    quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    whole = quoted(text)
     arguments = (
-        F.when(h % 13 == 0, F.concat(F.lit('{"query":'), start))
-        .when(h % 4 == 0, F.concat(F.lit('{"limit":'), F.when(h % 7 == 0, F.lit('"ten"')).otherwise((h % 50).cast("string")), F.lit(',"query":'), start, F.lit("}")))
-        .when(h % 4 == 1, F.concat(F.lit('{"expression":"'), F.length(text).cast("string"), F.lit(' + '), F.col("turn").cast("string"), F.lit('"'), F.when(h % 11 == 0, ',"precision":2.5').otherwise(',"precision":2'), F.lit("}")))
-        .when(h % 4 == 2, F.concat(F.lit('{"timeout":2.50,"url":"https://example.com/'), h.cast("string"), F.lit('"}')))
-        .otherwise(F.concat(F.lit('{"text":'), start, F.when(h % 7 == 0, "").otherwise(',"target":"de","formal":true'), F.lit("}")))
+        F.when(h % 13 == 0, F.concat(F.lit('{"query":'), whole))
+        .when(h % 4 == 0, F.concat(F.lit('{"limit":'), F.when(h % 7 == 0, F.lit('"ten"')).otherwise((h % 50).cast("string")), F.lit(',"query":'), whole, F.lit("}")))
+        .when(h % 4 == 1, F.concat(F.lit('{"expression":'), quoted(F.concat_ws(" + ", F.length(text).cast("string"), F.col("turn").cast("string"), text)), F.when(h % 11 == 0, ',"precision":2.5').otherwise(',"precision":2'), F.lit("}")))
+        .when(h % 4 == 2, F.concat(F.lit('{"timeout":2.50,"url":'), quoted(F.concat(F.lit("https://example.com/"), h.cast("string"), F.lit("?"), text)), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"text":'), whole, F.when(h % 7 == 0, "").otherwise(',"target":"de","formal":true'), F.lit("}")))
     )
     name = F.element_at(F.array(*map(F.lit, ("search", "calculate", "fetch", "translate"))), (h % 4 + 1).cast("int"))
     identifier = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     needs = F.when(h % 3 == 0, F.array(identifier(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
     calls = conversations.filter("role = 'assistant'").select("conv_id", identifier(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
-    results = conversations.filter("role = 'user' and turn > 0").select("conv_id", identifier(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = conversations.filter("role is null or role <> 'assistant'").select("conv_id", F.when(F.expr("role = 'user' and turn > 0"), identifier(F.col("turn") - 1)).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -402,6 +402,25 @@ def test_tool_calls_of_conversations_against_brute_force(spark):
     assert toolcalls.toolcall_report(table.limit(0)).count() == 0
 
 
+def test_tool_calls_hold_whole_texts_and_every_row(spark):
+    rng = random.Random(4)
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "first"), (2, 0, "user", "opening"), (2, 1, "tool", None), (2, 2, None, "odd")]
+    long = [f'say "{k}" \\ é ' + prose(rng, 300) for k in range(40)]
+    rows += [(10, k, "assistant", t) for k, t in enumerate(long)] + [(10, 99, "assistant", None)]
+    out = toolcalls.toolcall_report(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert len(out) == len(rows)
+    called = {r.turn: json.loads(r.json)["arguments"] for r in out if r.status != "orphan_result"}
+    calls, _ = toolcalls.derive_events(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    raw = {r.turn: r.arguments for r in calls.collect()}
+    for k, t in enumerate(long):
+        # arguments that are wrong on purpose may be no JSON; the text is in them all the same
+        held = called[k].values() if called[k] is not None else [json.loads(raw[k] + "}")["query"]]
+        assert any(isinstance(v, str) and v.endswith(t) for v in held)
+    assert {r.name for r in out if r.name} == set(toolcalls.SCHEMAS)
+    orphans = sorted(((r.conv_id, r.result_turn, json.loads(r.json)["result"]) for r in out if r.status == "orphan_result"), key=str)
+    assert orphans == [(1, 0, "be brief"), (1, 1, "first"), (2, 0, "opening"), (2, 1, None), (2, 2, "odd")]
+
+
 # --- 9 ---
 
 
