@@ -66,7 +66,7 @@ INPUTS = {
     "smtp_probes": """SELECT concat('user', CAST(c_custkey AS STRING), '@d', CAST(c_custkey % 40 AS STRING), '.example') AS address, CAST(c_custkey % 6 AS INT) AS rc, c_custkey % 4 > 0 AS connected, c_custkey % 5 > 0 AS banner, c_custkey % 3 > 0 AS mail_from, c_custkey % 2 = 0 AS tls, c_custkey % 29 = 0 AS open_relay, c_custkey % 7 = 0 AS fallback_alive FROM {customer}""",
     "phpcs": """SELECT concat('pkg', CAST(l_suppkey % 23 AS STRING)) AS package_id, CASE CAST(l_partkey % 15 AS INT) WHEN 0 THEN '5.2' WHEN 1 THEN '5.3' WHEN 2 THEN '5.4' WHEN 3 THEN '5.5' WHEN 4 THEN '5.6' WHEN 5 THEN '7.0' WHEN 6 THEN '7.1' WHEN 7 THEN '7.2' WHEN 8 THEN '7.3' WHEN 9 THEN '7.4' WHEN 10 THEN '8.0' WHEN 11 THEN '8.1' WHEN 12 THEN '8.2' WHEN 13 THEN '8.3' ELSE '8.4' END AS php_version,
  concat('src/f', CAST(l_suppkey % 9 AS STRING), '.php') AS file, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 80 AS INT) AS col, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'ERROR' WHEN l_returnflag = 'A' THEN 'WARNING' ELSE 'WARNING' END AS type, concat('message ', CAST(l_linenumber AS STRING)) AS message, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('Compat.Rule', CAST(l_suppkey % 5 AS STRING)) END AS source, CAST(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber % 6 END AS INT) AS severity, l_partkey % 2 = 0 AS fixable
- FROM {lineitem} WHERE l_orderkey % 3 = 0""",
+ FROM {lineitem}""",
     "plugin_files": """SELECT concat('pkg', CAST(doc_id AS STRING)) AS package_id, 'plugin.php' AS path, concat('<?php', chr(10), '/*', chr(10), ' * Plugin Name: Demo ', CAST(doc_id AS STRING), chr(10), ' * Version: 1.', CAST(doc_id % 9 AS STRING), chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' * Author: Ann ', CAST(doc_id AS STRING), chr(10)) END, CASE WHEN doc_id % 4 = 0 THEN concat(' * Author URI: mailto:a', CAST(doc_id AS STRING), '@x.example', chr(10)) WHEN doc_id % 4 = 1 THEN concat(' * Author URI: https://x.example/me', chr(10)) ELSE '' END, CASE WHEN doc_id % 5 < 2 THEN concat(' * Support: help', CAST(doc_id % 3 AS STRING), '@x.example', chr(10)) ELSE '' END, CASE WHEN doc_id % 7 < 3 THEN concat(' * Security: mailto:sec@x.example', chr(10)) ELSE '' END, ' */', chr(10), text) AS content FROM {documents} WHERE doc_id % 10 <> 9
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'readme.txt', concat('=== Demo ===', chr(10), 'Contributors: bob, eve', chr(10), CASE WHEN doc_id % 6 = 0 THEN concat('Donate link: https://x.example/give?to=me@x.example', chr(10)) ELSE '' END, 'Stable tag: 1.', CAST(doc_id % 9 AS STRING), chr(10), chr(10), '== Description ==', chr(10), 'Some text.', chr(10), '== Support ==', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Write to help0@x.example please' ELSE 'See https://x.example/support/desk now' END, chr(10), '== Security ==', chr(10), 'Report at https://x.example/security/report ok', chr(10)) FROM {documents} WHERE doc_id % 4 <> 3
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'SUPPORT.md', CASE WHEN doc_id % 3 = 0 THEN 'nobody here' ELSE concat('Ask help', CAST(doc_id % 2 AS STRING), '@x.example.') END FROM {documents} WHERE doc_id % 3 <> 2

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from cratewarden.jobs import inputs
 from cratewarden.operators import audit as A
 from cratewarden.operators import integrity as I
 from cratewarden.operators import licenses as L
@@ -79,3 +80,8 @@ def test_read_package_files(spark, tmp_path):
         (tmp_path / path).write_text("hello")
     rows = D.read_package_files(spark, str(tmp_path)).select("package_id", "path", "size").collect()
     assert {(r.package_id, r.path, r.size) for r in rows} == {("pkg", "a.txt", 5), ("pkg", "sub/b c.php", 5)}
+
+
+def test_linter_messages_come_from_every_row(spark):
+    sf = "/root/testdata/sf0.001"
+    assert inputs.frame(spark, sf, "phpcs").count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
