@@ -1,8 +1,10 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 An item of n words contaminates a document if n consecutive words of it lie
-within floor(max_edits * n) word edits of the item. Words are runs of letters,
-digits and other non-ASCII characters, ASCII letters in lower case.
+within floor(max_edits * n) word edits of the item. At either end of the document the
+window may hang over by as many words; each that is missing is one edit. Words
+are runs of letters, digits and other non-ASCII characters, ASCII letters in
+lower case.
 
 The CGK embedding reads a sequence with a pointer that at step j moves on by
 the random bit f_j(symbol), so sequences at a small edit distance fall into step
@@ -17,7 +19,8 @@ untouched run of ceil((n - k) / (k + 1)) words, so a window within k edits
 shares a run of `gram_size` words with the item, at places that differ by k at
 most: only the 2k + 1 windows around each shared gram can be near. Each edit
 spoils `gram_size` grams of q words at most, so such a window shares at least
-n - q + 1 - kq of them. No window is lost by leaving out the others.
+n - q + 1 - kq of them. No window is lost by leaving out the others. Windows
+that hang over an end are few, and are verified without a walk.
 
 Scale. Documents pass through one narrow stage. The benchmark is tested in
 blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, each broadcast;
@@ -111,13 +114,14 @@ def band_keys(words: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
-def edit_distance(words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: int, limit: int) -> np.ndarray:
-    """Word edits between each window of n words and its n-word item (a row of `items`), or limit + 1 if more."""
+def edit_distance(words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: int, limit: int, missing: np.ndarray | int = 0) -> np.ndarray:
+    """Word edits between each window of n - missing words and its n-word item (a row of `items`), or limit + 1 if more."""
     width = 2 * limit + 1
     far = limit + 1
     offset = np.arange(width) - limit
     row = np.where(offset >= 0, offset, far)[None, :].repeat(len(starts), 0)
-    window = words[starts[:, None] + np.arange(n)]
+    # words beyond a shorter window are in columns that its distance doesn't depend on
+    window = words[np.minimum(starts[:, None] + np.arange(n), len(words) - 1)]
     for i in range(1, n + 1):
         j = i + offset
         valid = (j >= 0) & (j <= n)
@@ -128,11 +132,11 @@ def edit_distance(words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: i
         for c in range(1, width):
             new[:, c] = np.minimum(new[:, c], new[:, c - 1] + 1)
         row = np.minimum(new, far)
-    return row[:, limit]
+    return row[np.arange(len(row)), limit - missing]
 
 
-def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> dict[int, np.ndarray]:
-    """By item size, the starts of windows that may be near an item, from shared grams of q words."""
+def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By item size, the starts of windows that may be near an item, from shared grams of q words, and (start, missing words, item) of those over an end."""
     grams, item, offset = index.grams[q]
     found = wordhash.windows(hashes, q)
     bits = np.zeros(1 << 20, bool)
@@ -150,39 +154,43 @@ def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> dic
     line = np.sort(place)
     together = np.searchsorted(line, place + 2 * k, "right") - np.searchsorted(line, place - 2 * k, "left")
     enough = together >= sizes - q + 1 - k * q
-    begin, sizes, row = begin[enough], sizes[enough], row[enough]
+    begin, sizes, row, which = begin[enough], sizes[enough], row[enough], item[which][enough]
     out = {}
     for n in np.unique(sizes):
         own = sizes == n
         k = allowed(int(n))
         around = begin[own][:, None] + np.arange(-k, k + 1)
-        keep = (around >= bounds[row[own]][:, None]) & (around + n <= bounds[row[own] + 1][:, None])
-        out[int(n)] = np.unique(around[keep])
+        low, high = bounds[row[own]][:, None], bounds[row[own] + 1][:, None]
+        keep = (around >= low) & (around + n <= high)
+        start, missing = np.maximum(around, low), np.where(around < low, low - around, around + n - high)
+        over = ~keep & (missing <= k) & (start + n - missing <= high)
+        edge = np.stack([start[over], missing[over], np.broadcast_to(which[own][:, None], over.shape)[over]])
+        out[int(n)] = np.unique(around[keep]), np.unique(edge, axis=1)
     return out
 
 
-def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(starts, items, distances, item size) of the verified windows."""
+def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, items, distances, words) of the verified windows."""
     out = []
     for q in index.grams:
-        for n, starts in _starts(index, hashes, bounds, q).items():
-            if not len(starts):
-                continue
-            pairs = []
-            for (keys, items), key in zip(index.tables[n], band_keys(hashes, starts, n), strict=True):
-                low = np.searchsorted(keys, key, "left")
-                many = np.searchsorted(keys, key, "right") - low
-                which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                pairs.append(np.repeat(np.arange(len(starts)), many) * len(index.ids) + items[which])
-            pairs = np.unique(np.concatenate(pairs))
-            at, item = starts[pairs // len(index.ids)], pairs % len(index.ids)
+        for n, (starts, (at, missing, item)) in _starts(index, hashes, bounds, q).items():
+            if len(starts):
+                pairs = []
+                for (keys, items), key in zip(index.tables[n], band_keys(hashes, starts, n), strict=True):
+                    low = np.searchsorted(keys, key, "left")
+                    many = np.searchsorted(keys, key, "right") - low
+                    which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    pairs.append(np.repeat(np.arange(len(starts)), many) * len(index.ids) + items[which])
+                pairs = np.unique(np.concatenate(pairs))
+                at, item = np.concatenate([at, starts[pairs // len(index.ids)]]), np.concatenate([item, pairs % len(index.ids)])
+                missing = np.concatenate([missing, np.zeros(len(pairs), np.int64)])
             if not len(at):
                 continue
             distance = np.concatenate([
-                edit_distance(hashes, at[i : i + 20_000], np.stack([index.tokens[x] for x in item[i : i + 20_000]]), n, allowed(n)) for i in range(0, len(at), 20_000)
+                edit_distance(hashes, at[i : i + 20_000], np.stack([index.tokens[x] for x in item[i : i + 20_000]]), n, allowed(n), missing[i : i + 20_000]) for i in range(0, len(at), 20_000)
             ])
             near = distance <= allowed(n)
-            out.append((at[near], item[near], distance[near], n))
+            out.append((at[near], item[near], distance[near], n - missing[near]))
     return out
 
 
@@ -194,7 +202,7 @@ def _match_task(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             for at, item, distance, n in matches(index, hashes, bounds):
                 row = np.searchsorted(bounds, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [doc.take(pa.array(row + base)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(at - bounds[row], pa.int64()), pa.array(distance, pa.int32()), pa.array(np.full(len(at), n), pa.int32())],
+                    [doc.take(pa.array(row + base)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(at - bounds[row], pa.int64()), pa.array(distance, pa.int32()), pa.array(n, pa.int32())],
                     ["doc_id", "item_id", "start_word", "edits", "n_words"],
                 )
 
@@ -247,7 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a window near any item; the columns and rows of `docs`, in one narrow stage for each block."""
+    """The documents without a window near any item, also over an end; the columns and rows of `docs`, in one narrow stage for each block."""
     schema = docs.schema
     for index in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -510,6 +510,25 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+def test_decontamination_of_texts_that_end_within_an_item(spark):
+    """Whole texts, tails and heads that lost words of an item: each lost word is one edit."""
+    rng = random.Random(12)
+    item, other = prose(rng, 40).split(), prose(rng, 60).split()
+    rows, expected = [], {}
+    for n in range(11):
+        gone = set(rng.sample(range(40), n))
+        left = [w for k, w in enumerate(item) if k not in gone]
+        for k, words_ in enumerate((left, other + left, left + other, item[n:], item[: 40 - n])):
+            rows.append((10 * n + k, " ".join(words_)))
+            if n <= 8:
+                expected[10 * n + k] = n
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.edits for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == expected
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == {i for i, _ in rows} - set(expected)
+
+
 def test_recall_target():
     assert decontaminate.recall() > 0.99
 
