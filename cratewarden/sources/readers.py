@@ -43,13 +43,13 @@ def read_package_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(~F.col("path").rlike(EXCLUDED))
 
 
-def _members(name: str, data: bytes, limit: int) -> Iterator[tuple[str, int, bytes | None]]:
-    """(path, size, content) of the files in an archive, opened one at a time; content is null over the limit."""
+def _members(name: str, data: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """(path, size, content) of the files in an archive, opened one at a time."""
     if name.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             for item in archive.infolist():
                 if not item.is_dir():
-                    yield item.filename, item.file_size, archive.read(item) if item.file_size <= limit else None
+                    yield item.filename, item.file_size, archive.read(item)
         return
     openers = {".gz": gzip.open, ".tgz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
     opener = next((o for e, o in openers.items() if name.endswith(e)), None)
@@ -57,15 +57,15 @@ def _members(name: str, data: bytes, limit: int) -> Iterator[tuple[str, int, byt
     with stream, tarfile.open(fileobj=stream, mode="r|") as archive:
         for item in archive:
             if item.isfile():
-                yield item.name, item.size, archive.extractfile(item).read() if item.size <= limit else None
+                yield item.name, item.size, archive.extractfile(item).read()
 
 
-def expand_archives(archives: DataFrame, limit: int = 10 * 1024 * 1024, batch_bytes: int = 32 << 20) -> DataFrame:
+def expand_archives(archives: DataFrame, batch_bytes: int = 32 << 20) -> DataFrame:
     """archives (package_id, path, content) -> (package_id, archive, path, size, content, error), a row for each inner file.
 
-    Members are streamed: a task holds one archive, and at most batch_bytes of
-    what came out of it. A member over `limit` keeps its size and has no
-    content. What isn't an archive gives one row with an error.
+    Members are streamed and each is read whole: a task holds one archive, and
+    at most batch_bytes and one member of what came out of it. What isn't an
+    archive gives one row with an error.
     """
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,9 +74,9 @@ def expand_archives(archives: DataFrame, limit: int = 10 * 1024 * 1024, batch_by
             rows, held = [], 0
             for package, name, data in zip(frame["package_id"], frame["path"], frame["content"], strict=True):
                 try:
-                    for path, size, content in _members(name, data, limit):
+                    for path, size, content in _members(name, data):
                         rows.append((package, name, path, size, content, None))
-                        held += len(content or b"")
+                        held += len(content)
                         if held > batch_bytes:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
