@@ -1,35 +1,43 @@
 """Consistent-hash ring with virtual nodes and bounded loads, in DataFrame operations only.
 
-Keys (texts) sit on a ring of `cells` positions; every shard owns
-`virtual_nodes` points on it, and a key belongs to the first point clockwise.
-A point may hold (1 + slack) times its equal part of all bytes. Keys that meet
-a full point go on clockwise to the next with room, first come first served,
-so no shard can hold more than (1 + slack) of the mean and only keys behind a
-full point move.
-
-Served in ring order, this is a queue with a fixed service time: a key at
-cumulative size x in arc a is served at x + max(j * room - load before arc j,
-j <= a), and lands on the point which that number, divided by the room, names.
-One prefix sum and one running maximum over the ring give the whole placement;
-no loop and no pass over the rows is needed.
-
-Scale. The ring is planned on at most cells * (1 + 1 / heavy) pre-aggregated
-buckets, whatever the input: a cell that holds over `heavy` times the mean is
-salted by row into as many buckets as it needs, so a text that is a third of
-all rows becomes hundreds of even buckets. The plan is small enough to be
-broadcast by that bound. Rows are shuffled once, without their text, to number
-the slots inside each bucket.
+Keys (texts) sit on a ring of 2 ** CELL_BITS cells; every shard owns
+`virtual_nodes` points on it, at places that depend on the shard alone, and a
+key belongs to the first point clockwise. A shard has room for the mean. What it
+can't hold goes on clockwise to the next point of a shard with room, round by
+round: in each round all that still wait are offered to the first open point,
+shards take them in order of priority until they are full, and a full shard's
+points leave the ring. When no more than `slack` times the room waits in all,
+it stays where it arrives, so no shard exceeds (1 + slack) times the mean by more
+than one key. Nothing else moves: a new shard takes its own arcs, and beside
+them only keys that were or become overflow change places.
+
+Priority. Large keys (over 1 / LARGE of all bytes) first, so that what a shard
+takes last is small and it ends near its room; then by hash. A key that would
+exceed the room by more than half of itself goes on. Where that closes every
+shard, those that are under their room take the rest, each until it has reached
+it; as the rooms hold all bytes together, nothing is left over.
+
+Scale. The ring is planned on at most 2 ** CELL_BITS * (1 + 2 / heavy)
+pre-aggregated buckets, whatever the input: a cell that holds over `heavy` times
+the mean is salted by row into as many buckets as it needs, and the buckets of one
+with over 1 / SPREAD of all have places of their own on the ring. A text that is
+a third of all rows so becomes thousands of even buckets all around, also where
+its rows share a doc_id. A round handles buckets alone, and most are placed in
+the first. The plan is broadcast, being small by that bound. Rows are shuffled
+once, without their text, to number the slots inside each bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Bits of the ring position; 2 ** CELL_BITS cells.
-CELL_BITS = 13
+CELL_BITS = 17
+#: A bucket over 1 / LARGE of all bytes is placed before others; a cell over 1 / SPREAD of all is spread over the ring.
+LARGE, SPREAD = 8192, 1024
 
 
 def text_size(text):
@@ -37,98 +45,90 @@ def text_size(text):
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def ring_points(spark, shards: int, virtual_nodes: int) -> DataFrame:
-    """One row for each virtual node: its shard and its cell on the ring."""
-    node = spark.range(shards * virtual_nodes, numPartitions=1)
-    return node.select(
-        (F.col("id") % shards).cast("int").alias("shard"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("node"), F.col("id")), 64 - CELL_BITS).cast("int").alias("cell"),
-        F.col("id").alias("sub"),
-    )
+def cell_of(*key):
+    return F.shiftrightunsigned(F.xxhash64(*key), 64 - CELL_BITS).cast("int")
 
 
-def plan_ring(buckets: DataFrame, shards: int, virtual_nodes: int, slack: float) -> DataFrame:
-    """buckets (cell, sub, bytes, n) -> (cell, sub, bytes, n, shard, total): the shard of each bucket."""
-    points = shards * virtual_nodes
-    ring = ring_points(buckets.sparkSession, shards, virtual_nodes)
-    mixed = buckets.select("cell", "sub", "bytes", "n", F.lit(0).alias("point"), F.lit(None).cast("int").alias("shard")).unionByName(
-        ring.select("cell", "sub", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("point"), "shard")
-    )
-    clockwise = Window.orderBy("cell", "point", "sub")
-    before = clockwise.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mixed = (
-        mixed.withColumn("x", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-        .withColumn("arc", F.coalesce(F.sum("point").over(before), F.lit(0)))
-        .withColumn("total", F.sum("bytes").over(whole))
-        .withColumn("room", F.col("total") * F.lit((1 + slack) / points))
-        # what the server has spare when arc `arc + 1` begins, which is at its point
-        .withColumn("spare", F.when(F.col("point") == 1, (F.col("arc") + 1) * F.col("room") - F.col("x")))
-        .withColumn("spare_so_far", F.max("spare").over(before))
-        .withColumn("spare_in_all", F.greatest(F.max("spare").over(whole), F.lit(0.0)))
-    )
-    # On the second turn of the ring the queue that the first one left is there.
-    second = F.col("total") + F.col("x") + F.greatest(F.col("spare_in_all"), F.coalesce(F.col("spare_so_far") + points * F.col("room") - F.col("total"), F.lit(0.0)))
-    placed = mixed.filter("point = 0").withColumn("arc", (F.floor((second + F.col("bytes") / 2) / F.col("room")) % points).cast("int"))
-    owner = mixed.filter("point = 1").select(F.col("arc").cast("int").alias("arc"), "shard")
-    return placed.drop("shard").join(F.broadcast(owner), "arc").select("cell", "sub", "bytes", "n", "shard", F.col("total").alias("total"))
+def ring_points(spark: SparkSession, shards: int, virtual_nodes: int) -> DataFrame:
+    """(shard, at): one row for each virtual node. More shards add points and move none."""
+    node = spark.range(shards * virtual_nodes, numPartitions=1)
+    shard, replica = (F.col("id") % shards).cast("int"), F.floor(F.col("id") / shards)
+    return node.select(shard.alias("shard"), cell_of(F.lit("node"), shard, replica).alias("at"))
 
 
-def settle(placed: DataFrame, shards: int) -> DataFrame:
-    """Let what a shard holds over the mean go on to the shards, clockwise, that hold less: placed -> (cell, sub, shard, first).
+def offer(waiting: DataFrame, points: DataFrame, loads: list[int], room: float, rule: str) -> DataFrame:
+    """waiting (cell, sub, at, bytes, n, big, luck) -> also shard, that of the first point clockwise, and whether it is taken.
 
-    Points are full to within a bucket, shards only to within a few of them,
-    which shows where a document is a visible part of a shard. The smallest
-    buckets of a shard move.
+    rule: `half` takes what exceeds the room by half of itself at most, `under` what comes while the room isn't reached, `all` everything.
     """
-    mean = F.col("total") / shards
-    held = Window.partitionBy("shard").orderBy(F.col("bytes").desc(), "cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("over", F.coalesce(F.sum("bytes").over(held), F.lit(0)) + F.col("bytes") / 2 > mean)
-    kept = placed.groupBy("shard").agg(F.sum(F.when(~F.col("over"), F.col("bytes")).otherwise(0)).alias("load"), F.max("total").alias("total"))
-    every = placed.sparkSession.range(shards, numPartitions=1).select(F.col("id").cast("int").alias("shard")).join(F.broadcast(kept), "shard", "left")
-    one = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    line = Window.orderBy("shard", "cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.greatest(F.max("total").over(one) / shards - F.coalesce("load", F.lit(0)), F.lit(0.0))
-    rooms = every.withColumn("room", room).withColumn("at", F.coalesce(F.sum("room").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("room").over(one))
-    rooms = rooms.filter("room > 0").select("at", F.col("shard").alias("to"))
-    moving = placed.filter("over").withColumn("at", (F.coalesce(F.sum("bytes").over(line), F.lit(0)) + F.col("bytes") / 2) / F.sum("bytes").over(one))
-    met = moving.select("cell", "sub", "n", "shard", "at", F.lit(None).cast("int").alias("to")).unionByName(
-        rooms.select(F.lit(None).cast("int").alias("cell"), F.lit(None).cast("long").alias("sub"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("shard"), "at", "to")
-    )
-    before = Window.orderBy("at", F.col("to").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = met.withColumn("to", F.last("to", ignorenulls=True).over(before)).filter(F.col("cell").isNotNull()).select("cell", "sub", "n", F.coalesce("to", "shard").alias("shard"))
+    turned = points.unionByName(points.select("shard", (F.col("at") + (1 << CELL_BITS)).alias("at")))
+    mixed = waiting.withColumns({"point": F.lit(0), "shard": F.lit(None).cast("int")}).unionByName(turned.withColumn("point", F.lit(1)), allowMissingColumns=True)
+    # read against the clock, the last point seen is the first one clockwise
+    back = Window.orderBy(F.col("at").desc(), F.col("point").desc(), F.col("shard").desc(), "cell", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = mixed.withColumn("shard", F.last("shard", ignorenulls=True).over(back)).filter("point = 0").drop("point")
+    turn = Window.partitionBy("shard").orderBy(F.col("big").desc(), "luck", "cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    load = F.element_at(F.lit(loads), F.col("shard") + 1) + F.coalesce(F.sum("bytes").over(turn), F.lit(0))
+    fits = {"half": (load + F.col("bytes") / 2 < room) | (load == 0), "under": load < room, "all": F.lit(True)}
+    return met.withColumn("taken", fits[rule])
+
+
+def plan_ring(buckets: DataFrame, shards: int, virtual_nodes: int, slack: float) -> DataFrame:
+    """buckets (cell, sub, at, bytes, n) -> (cell, sub, shard, first): the shard of each bucket, and its first slot there."""
+    spark = buckets.sparkSession
+    total = buckets.agg(F.sum("bytes")).first()[0] or 0
+    room = total / shards
+    points = ring_points(spark, shards, virtual_nodes)
+    large = F.when(F.col("bytes") * LARGE > total, F.col("bytes")).otherwise(F.lit(0))
+    waiting = buckets.withColumns({"big": large, "luck": F.xxhash64(F.lit("luck"), "cell", "sub")})
+    loads, ring, rule, placed = [0] * shards, set(range(shards)), "half", None
+    while True:
+        if total - sum(loads) <= slack * room:
+            rule = "all"
+        met = cut(offer(waiting, points.filter(F.col("shard").isin(sorted(ring))), loads, room, rule), "shard-round")
+        taken = met.filter("taken").select("cell", "sub", "n", "shard")
+        placed = taken if placed is None else placed.unionByName(taken)
+        answers = met.groupBy("shard").agg(F.sum(F.when(F.col("taken"), F.col("bytes")).otherwise(0)), F.count_if(~F.col("taken"))).collect()  # a row for each shard
+        for shard, held, refused in answers:
+            loads[shard] += held
+            if refused:
+                ring.discard(shard)
+        if not any(refused for *_, refused in answers):
+            break
+        waiting = met.filter("not taken").drop("shard", "taken")
+        if not ring:
+            ring, rule = {s for s in range(shards) if loads[s] < room}, "under"
     slots = Window.partitionBy("shard").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    settled = placed.filter(~F.col("over")).select("cell", "sub", "n", "shard").unionByName(moved)
-    return settled.select("cell", "sub", "shard", F.coalesce(F.sum("n").over(slots), F.lit(0)).alias("first"))
+    return placed.select("cell", "sub", "shard", F.coalesce(F.sum("n").over(slots), F.lit(0)).alias("first"))
+
+
+def with_bucket(rows: DataFrame, heavy: int) -> DataFrame:
+    """rows (cell, size, salt) with `sub` and the place `at` instead of the salt: rows of one cell and sub go to one shard together."""
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.greatest(F.col("n") / F.sum("n").over(every), F.col("bytes") / F.sum("bytes").over(every))
+    fan = cells.select("cell", F.ceil(share * F.lit((1 << CELL_BITS) / heavy)).cast("long").alias("fan"), (share * SPREAD > 1).alias("hot"))
+    rows = rows.join(F.broadcast(fan), "cell").withColumn("sub", F.pmod("salt", "fan"))
+    return rows.withColumn("at", F.when(F.col("hot"), cell_of(F.lit("spread"), F.col("cell"), F.col("sub"))).otherwise(F.col("cell"))).drop("salt", "fan", "hot")
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 24, virtual_nodes: int = 8, slack: float = 0.01, heavy: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 24, virtual_nodes: int = 512, slack: float = 0.005, heavy: int = 4) -> DataFrame:
     """Place every row of `docs` (doc_id, text): (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
     Sizes are near equal between shards (law `bytes`); grown_shard is null
-    under that law. Equal texts stay side by side on the ring, so they share a
-    shard unless its bound parts them. Null texts are empty; null doc_ids and
-    repeated rows are rows like any others; ties are numbered in any order of
-    equal rows; an empty table gives no rows; other columns are ignored.
+    under that law. Equal texts share a place on the ring, so they share a
+    shard unless its bound parts them or they are a visible part of the table. Null texts are empty; null doc_ids and
+    repeated rows are rows like any others, and rows that are equal in all are
+    told apart by where they stand in the table; an empty table gives no rows;
+    other columns are ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = cut(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            text_size(F.col("text")).alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(F.lit("key"), text), 64 - CELL_BITS).cast("int").alias("cell"),
-            F.xxhash64(F.lit("salt"), F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())).alias("salt"),
-        ),
-        "shard-rows",
-    )
-    cells = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = F.greatest(F.col("n") / F.sum("n").over(every), F.col("bytes") / F.sum("bytes").over(every))
-    fan = cells.select("cell", F.ceil(share * F.lit((1 << CELL_BITS) / heavy)).cast("long").alias("fan"))
-    rows = narrow.join(F.broadcast(fan), "cell").withColumn("sub", F.pmod("salt", "fan")).drop("salt", "fan")
-    buckets = rows.groupBy("cell", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    plan = settle(cut(plan_ring(buckets, shards, virtual_nodes, slack), "shard-ring"), shards)
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    narrow = docs.select(
+        doc_id.alias("doc_id"), text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), cell_of(F.lit("key"), text).alias("cell"),
+        F.xxhash64(F.lit("salt"), doc_id, F.monotonically_increasing_id()).alias("salt"),
+    )
+    rows = with_bucket(cut(narrow, "shard-rows"), heavy)
+    buckets = cut(rows.groupBy("cell", "sub", "at").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-buckets")
+    plan = plan_ring(buckets, shards, virtual_nodes, slack)
     inside = Window.partitionBy("cell", "sub").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("rank", F.row_number().over(inside))

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on odd input: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import base64
+import bisect
 import hashlib
 import json
 import random
@@ -134,6 +135,60 @@ def test_sharding_repeats_and_null_ids(spark):
     assert len(got) == 5 and sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 1, 1]
 
 
+def test_sharding_splits_rows_that_are_equal_in_all(spark):
+    """A third of all rows share one doc_id and one text."""
+    docs = spark.range(12000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE repeat(cast(id AS string), 1 + id % 40) END AS text")
+    rows = sharding.shard_documents(docs).cache()
+    loads = [r[1] for r in rows.groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(loads) == 24 and max(loads) < 1.02 * sum(loads) / 24 and min(loads) > 0.98 * sum(loads) / 24
+    assert all(r.n == r.d == r.last + 1 and r.first == 0 for r in rows.groupBy("shard").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("first"), F.max("slot").alias("last")).collect())
+
+
+def ring(buckets, points, shards, slack):
+    """The bounded-load ring, key by key, on a sorted list of points."""
+    total = sum(x[2] for x in buckets)
+    room = total / shards
+    loads, places, open_, under = [0] * shards, {}, set(range(shards)), False
+    waiting = sorted(buckets, key=lambda x: (-x[2] if x[2] * sharding.LARGE > total else 0, x[3], x[0], x[1]))
+    while waiting:
+        here = sorted((c, s) for s, c in points if s in open_)
+        left, full, last = [], set(), sum(x[2] for x in waiting) <= slack * room
+        for key in waiting:
+            cell, sub, size, _, at = key
+            shard = here[bisect.bisect_left(here, (at, -1)) % len(here)][1]
+            fits = last or (loads[shard] < room if under else loads[shard] + size / 2 < room or loads[shard] == 0)
+            if shard in full or not fits:
+                full.add(shard)
+                left.append(key)
+            else:
+                loads[shard] += size
+                places[cell, sub] = shard
+        open_ -= full
+        waiting = left
+        if not open_:
+            open_, under = {s for s in range(shards) if loads[s] < room}, True
+    return places
+
+
+def test_sharding_against_a_ring_walked_key_by_key(spark):
+    """Places of the buckets as on a ring of sorted points; few documents move when a shard is added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    narrow = docs.select(F.col("doc_id"), sharding.text_size(F.col("text")).alias("size"), sharding.cell_of(F.lit("key"), F.coalesce("text", F.lit(""))).alias("cell"), F.xxhash64("doc_id").alias("salt"))
+    buckets = sharding.with_bucket(narrow, 4).groupBy("cell", "sub", "at").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).cache()
+    keys = [tuple(r) for r in buckets.select("cell", "sub", "bytes", F.xxhash64(F.lit("luck"), "cell", "sub"), "at").collect()]
+    for shards, slack in ((5, 0.0), (24, 0.01)):
+        points = [tuple(r) for r in sharding.ring_points(spark, shards, 64).collect()]
+        got = {(r.cell, r.sub): r.shard for r in sharding.plan_ring(buckets, shards, 64, slack).collect()}
+        assert got == ring(keys, points, shards, slack)
+
+
+def test_sharding_moves_few_documents_when_it_grows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    before, after = (sharding.shard_documents(docs, shards=n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (24, 25))
+    n, moved, to_old = before.join(after, "doc_id").agg(F.count(F.lit(1)), F.count_if(F.expr("s24 <> s25")), F.count_if(F.expr("s24 <> s25 and s25 < 24"))).first()
+    assert moved < 0.1 * n and to_old < 0.05 * n
+
+
 # --- 3 ---
 
 
