@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, words
-from .spans import as_text, free_of, matches, spans
+from .spans import as_text, free_of, merged, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, and what their matches must hold. Lookbehinds only spare starts that an earlier one covers.
@@ -155,49 +155,36 @@ def train(docs: DataFrame) -> Model:
         samples.unpersist()
 
 
-def _with_spans(rows: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
-    found, gaps = matches(F.col("text"), pattern, guard)
-    rows = rows.withColumn("found", found)
-    rows = rows.withColumn("gaps", F.when(F.size("found") > 0, F.split("text", pattern)).otherwise(F.array().cast("array<string>")))
-    return rows.withColumn(name, spans(F.col("found"), F.col("gaps"))).drop("found", "gaps")
-
-
 def scan_pii(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, the base spans of each kind, and those that the trees add (`more`: kind, start, stop, score).
 
-    Places are code points, end exclusive. An added span overlaps no base span
-    and no added one with a higher score. Null texts are empty; rows are
+    Places are code points, end exclusive. An added span overlaps no base span;
+    added ones that overlap are merged under the kind with the highest score,
+    so that all of them is redacted. Null texts are empty; rows are
     scanned each for itself; other columns are ignored; without any text there
     is nothing to train on, and nothing is added.
     """
     model = train(docs)
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = _with_spans(rows, "email", EMAIL, text.contains("@"))
-    rows = _with_spans(rows, "ip", IP, text.rlike(r"[0-9]\.[0-9]"))
-    rows = _with_spans(rows, "card", CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){15}"))
-    rows = _with_spans(rows, "phone", PHONE, text.contains("+"))
+    base = {"email": (EMAIL, text.contains("@")), "ip": (IP, text.rlike(r"[0-9]\.[0-9]")), "card": (CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){15}")), "phone": (PHONE, text.contains("+"))}
+    rows = with_spans(rows, base | {f"g{g}": (pattern, text.rlike(guard)) for g, (_, pattern, guard) in enumerate(GENERATORS.values())})
     rows = rows.withColumns({
         "ip": F.filter("ip", lambda s: s["text"].rlike(OCTETS)),
         "card": F.filter("card", lambda s: luhn(digits(s["text"]))),
         "phone": F.filter("phone", lambda s: F.length(digits(s["text"])).between(8, 15)),
     })
-    for g, (pattern, guard) in enumerate((x[1:] for x in GENERATORS.values())):
-        rows = _with_spans(rows, f"g{g}", pattern, text.rlike(guard))
-    names = [f"g{g}" for g in range(len(GENERATORS))]
-    rows = rows.drop("text").withColumn("base", F.concat(*KINDS))
-    proposed = F.concat(*(_tagged(name, g) for g, name in enumerate(names)))
-    rows = rows.withColumn("proposed", F.filter(proposed, lambda p: free_of(p["span"], F.col("base"))))
+    rows = rows.drop("text").withColumns({"base": F.concat(*KINDS), "proposed": F.concat(*(_tagged(f"g{g}", g) for g in range(len(GENERATORS))))})
+    rows = free_of(rows, "proposed", "base")
     rows = rows.withColumn("proposed", F.transform("proposed", lambda p: F.struct(p["span"].alias("span"), p["generator"].alias("generator"), features(p["span"], p["generator"]).alias("f"))))
     kinds, thresholds = F.array(*(F.lit(KINDS.index(x[0])) for x in GENERATORS.values())), F.array(*map(F.lit, model.thresholds))
     scored = F.transform("proposed", lambda p: F.struct(F.get(kinds, p["generator"]).alias("kind"), p["span"]["start"].alias("start"), p["span"]["stop"].alias("stop"), model.score(p["f"]).alias("score"), p["generator"].alias("generator")))
-    rows = rows.withColumn("scored", F.filter(scored, lambda s: s["score"] >= F.get(thresholds, s["generator"])))
-    better = lambda o, s: (o["start"] < s["stop"]) & (s["start"] < o["stop"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (F.struct(o["start"], o["stop"], o["kind"]) < F.struct(s["start"], s["stop"], s["kind"]))))
-    return rows.withColumn("more", F.filter("scored", lambda s: ~F.exists("scored", lambda o: better(o, s)))).select("doc_id", *KINDS, "more")
+    rows = rows.withColumn("more", F.filter(scored, lambda s: s["score"] >= F.get(thresholds, s["generator"])))
+    return merged(rows, "more").select("doc_id", *KINDS, "more")
 
 
 def _tagged(name: str, generator: int) -> Column:
-    return F.transform(name, lambda s: F.struct(s.alias("span"), F.lit(generator).alias("generator")))
+    return F.transform(name, lambda s: F.struct(s.alias("span"), F.lit(generator).alias("generator"), s["start"].alias("start"), s["stop"].alias("stop")))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, words
-from .spans import as_text, free_of, matches, spans
+from .spans import as_text, free_of, with_spans
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns. A minimum length stands in the pattern where a shorter run can't hold a longer match.
@@ -90,28 +90,19 @@ def scan_secrets(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text) -> doc_id, the spans of each base kind (`assign`, `access`, `hex`) and those the models add (`random`).
 
     Spans are whole matches, in code points, end exclusive. A token is added if
-    it overlaps no base span, mixes letters and digits, and its ratio is over the
-    threshold. Null texts are empty; rows are scanned each for itself; other
-    columns are ignored; an empty table trains on nothing and gives no rows.
+    it overlaps no base span and its ratio is over the threshold. Null texts are
+    empty; rows are scanned each for itself; other columns are ignored; an empty
+    table trains on nothing and gives no rows.
     """
     table = train(labelled_samples(docs))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     patterns = {"assign": (ASSIGN, text.rlike("(?i)passw|secret|token|api_?key")), "access": (ACCESS, text.contains("AKIA")), "hex": (HEX, F.lit(True)), "random": (TOKEN, F.lit(True))}
-    for kind, (pattern, guard) in patterns.items():
-        found, gaps = matches(text, pattern, guard)
-        if kind in ("hex", "random"):
-            rows = rows.withColumn(f"{kind}_found", found)
-            gaps = F.when(F.size(f"{kind}_found") > 0, F.split(text, pattern)).otherwise(F.array().cast("array<string>"))
-            rows = rows.withColumn(f"{kind}_gaps", gaps)
-        else:
-            rows = rows.withColumns({f"{kind}_found": found, f"{kind}_gaps": gaps})
-        rows = rows.withColumn(kind, spans(F.col(f"{kind}_found"), F.col(f"{kind}_gaps"))).drop(f"{kind}_found", f"{kind}_gaps")
-    rows = rows.drop("text")
+    rows = with_spans(rows, patterns).drop("text")
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 1)) >= 6))
     rows = rows.withColumn("base", F.concat(*KINDS))
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
-    return rows.withColumn("random", F.filter("random", lambda s: F.when(mixed(s["text"]) & free_of(s, F.col("base")), ratio(s["text"], table) > threshold).otherwise(False))).drop("base")
+    rows = free_of(rows, "random", "base")
+    return rows.withColumn("random", F.filter("random", lambda s: ratio(s["text"], table) > threshold)).drop("base")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cratewarden.llm import decontaminate, mixing, pii, quality, secrets, sharding, simhash, substrings, toolcalls, warc
+from cratewarden.llm import decontaminate, mixing, pii, quality, secrets, sharding, simhash, spans, substrings, toolcalls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = "cell string, sub string, fp string, keys string, row string, size string, target string, found string, name string, at string, kept string, component string"
@@ -609,3 +609,42 @@ def test_pipeline(spark, docs, rows, tmp_path):
     good = {r.doc_id for r in quality.quality_report(docs).collect() if r.kept}
     assert set(seen[0]) == good and 30 not in seen[2] and seen[3] == seen[4]
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == seen[4]
+
+
+# --- spans of long texts ---
+
+
+def test_running_folds_and_overlaps_against_brute_force(spark):
+    rng = random.Random(6)
+    lists = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 2, spans.BLOCK - 1, spans.BLOCK, spans.BLOCK + 1, 1000)]
+    rows = spark.createDataFrame([(lists,)], "lists array<array<int>>")
+    sums, most = (spans.with_running(rows, "r", "lists", zero, op).first().r for zero, op in ((0, lambda a, b: a + b), (-1, F.greatest)))
+    assert sums == [[sum(x[:i]) for i in range(len(x))] for x in lists] and most == [[max([-1, *x[:i]]) for i in range(len(x))] for x in lists]
+    span = "array<struct<kind int, start int, stop int, score double>>"
+    for _ in range(30):
+        some = lambda n, wide: [(rng.randrange(2), a, a + rng.randint(1, wide), rng.random()) for a in (rng.randrange(400) for _ in range(n))]
+        wanted, others = some(rng.choice([0, 1, 30]), 9), some(rng.choice([0, 1, 25]), 12)
+        frame = spark.createDataFrame([(wanted, others)], f"w {span.replace(' int', ':int').replace(' double', ':double')}, o {span.replace(' int', ':int').replace(' double', ':double')}")
+        free = [s for s in wanted if not any(o[1] < s[2] and s[1] < o[2] for o in others)]
+        got = spans.free_of(frame, "w", "o").first().w
+        assert sorted(map(tuple, got)) == sorted(free)
+        groups_, end = [], -1
+        for s in sorted(free, key=lambda s: s[1:]):
+            if s[1] >= end:
+                groups_.append([])
+            groups_[-1].append(s)
+            end = max(end, s[2])
+        best = [max(g, key=lambda s: (s[3], s[0])) for g in groups_]
+        assert [tuple(x) for x in spans.merged(frame.withColumn("w", F.expr("filter(w, s -> not exists(o, t -> t.start < s.stop and s.start < t.stop))")), "w").first().w] == [(b[0], g[0][1], max(s[2] for s in g), b[3]) for b, g in zip(best, groups_, strict=True)]
+
+
+def test_long_texts_of_many_matches(spark, rows):
+    """Every place in a text of 60,000 matches, in a time that squares would not allow."""
+    text = "\n".join(f"a{i}@b.example {i % 256}.1.2.3 call 555-{100 + i % 900}-{1000 + i % 9000}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9999, text)], "doc_id long, text string")
+    got = pii.pii_report(docs).filter("doc_id = 9999").first()
+    expected = [f"email:{m.start()}:{m.end()}" for m in re.finditer(PII_BASE[0][1], text)] + [f"ip:{m.start()}:{m.end()}" for m in re.finditer(PII_BASE[1][1], text)]
+    assert got.n_email == got.n_ip == 20_000 and got.base_sha256 == hashlib.sha256(",".join(expected).encode()).hexdigest()
+    lines = "\n".join(hashlib.md5(bytes([i % 256, i >> 8])).hexdigest() for i in range(20_000))
+    got = secrets.secret_report(docs.filter("doc_id < 100").unionByName(spark.createDataFrame([(9998, lines)], "doc_id long, text string"))).filter("doc_id = 9998").first()
+    assert got.n_hex == 20_000 and got.base_sha256 == hashlib.sha256(",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(20_000)).encode()).hexdigest()
