@@ -1,17 +1,19 @@
 """Tool-call linking: calls meet results by identifier, in dependency order, as canonical JSON.
 
-Calls and results are hash-joined on (conversation, call id). Dependencies are
-ordered by rounds: each round places the calls whose dependencies all are
-placed, so a call's level is its longest chain. Arguments are validated against
+Calls and results are hash-joined on (conversation, call id). A call's level is
+its longest chain of dependencies. It is found in rounds of path doubling: each
+round places the calls that wait for none, and an edge to a call that waits for
+one other alone jumps over it, so chains halve. Arguments are validated against
 the tool's schema, and each event is serialised as JSON with sorted keys and no
 spaces.
 
 Scale. Every join and aggregate is keyed by (conversation, call id), so a
 conversation that holds a third of all events is spread like any other; no
 conversation is gathered anywhere, and (level, turn, call_id) orders its rows.
-Rounds touch only calls that wait, and are written to the shared folder. There
-is no cap on rounds: they end when nothing can be placed, which is also how
-cycles are found.
+Rounds touch only calls that wait, and are written to the shared folder; their
+number grows with the logarithm of the longest chain, and with the depth of calls
+that wait for several others at once. There is no cap on rounds: they end when
+nothing changes, which is also how cycles are found.
 """
 
 from __future__ import annotations
@@ -88,28 +90,43 @@ def levels(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, depends_on), keys distinct and not null -> (conv_id, call_id, level); null in and behind cycles.
 
     A dependency that is no call of the conversation counts as met.
+
+    What is known of a call is a row for each call it waits for, whose level and
+    `steps` are a lower bound of its own, and one without such a call, whose
+    `steps` alone are.
     """
     nodes = cut(calls.select(*KEY, "depends_on"), "call-nodes")
+    n = nodes.count()
     edges = nodes.select(*KEY, F.explode("depends_on").alias("needs")).filter("needs is not null").distinct()
-    known = nodes.select("conv_id", F.col("call_id").alias("needs"))
-    edges = cut(edges.join(known, ["conv_id", "needs"], "left_semi"), "call-edges")
-    placed = cut(nodes.select(*KEY).join(edges, KEY, "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    rounds, level = [placed], 0
-    waiting = edges
+    edges = edges.join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
+    none = F.lit(None).cast("string")
+    rows = nodes.select(*KEY, none.alias("needs"), F.lit(0).cast("long").alias("steps")).unionByName(edges.select(*KEY, "needs", F.lit(1).cast("long").alias("steps")))
+    found = None
     while True:
-        # an edge is met once what it needs is placed; only the last round's calls are new
-        left = waiting.join(placed.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti")
-        left = cut(left, "call-waiting")
-        level += 1
-        placed = cut(waiting.select(*KEY).distinct().join(left, KEY, "left_anti").withColumn("level", F.lit(level)), "call-levels")
-        if placed.isEmpty():
+        rows = cut(rows, "call-rows")
+        waits = F.col("needs").isNotNull()
+        known = rows.groupBy(*KEY).agg(F.max(F.when(~waits, F.col("steps"))).alias("base"), F.count("needs").alias("open"), F.max("needs").alias("target"), F.max(F.when(waits, F.col("steps"))).alias("jump"))
+        known = cut(known, "call-known")
+        placed = known.filter("open = 0").select(*KEY, F.col("base").alias("level"))
+        # a chain longer than there are calls runs in a circle, and is left where it is
+        state = known.filter((F.col("open") == 0) | ((F.col("open") == 1) & (F.col("jump") <= n))).select("conv_id", F.col("call_id").alias("needs"), "base", "target", "jump")
+        if found is not None:
+            # an edge may have jumped to a call that is placed already
+            state = state.unionByName(found.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("base")), allowMissingColumns=True)
+        found = placed if found is None else found.unionByName(placed)
+        met = rows.filter(waits).join(state, ["conv_id", "needs"], "left")
+        seen = F.col("base").isNotNull()
+        step = lambda needs, steps: F.struct(needs.alias("needs"), steps.cast("long").alias("steps"))
+        parts = F.when(~seen, F.array(step(F.col("needs"), F.col("steps")))).when(F.col("target").isNull(), F.array(step(none, F.col("steps") + F.col("base")))).otherwise(
+            F.array(step(none, F.col("steps") + F.col("base")), step(F.col("target"), F.col("steps") + F.col("jump")))
+        )
+        moved = met.select(*KEY, F.explode(parts).alias("p"), seen.alias("moved")).select(*KEY, "p.*", "moved")
+        own = rows.filter(~waits).join(known.filter("open > 0").select(*KEY), KEY, "left_semi").withColumn("moved", F.lit(False))
+        after = cut(own.unionByName(moved).groupBy(*KEY, "needs").agg(F.max("steps").alias("steps"), F.max("moved").alias("moved")), "call-moved")
+        if after.filter("moved").isEmpty():
             break
-        rounds.append(placed)
-        waiting = left
-    found = rounds[0]
-    for part in rounds[1:]:
-        found = found.unionByName(part)
-    return nodes.select(*KEY).join(found, KEY, "left")
+        rows = after.drop("moved")
+    return nodes.select(*KEY).join(found, KEY, "left").withColumn("level", F.col("level").cast("int"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
