@@ -42,6 +42,8 @@ from . import wordhash
 MAX_EDITS = 0.2
 WALKS, BANDS, SAMPLES = 6, 6, 2
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 64 << 20
+#: Shared grams, and windows, that a task handles at once.
+SLICE, WINDOWS = 1 << 21, 20_000
 #: Share of a walk's steps that agree, at worst, for a window within the threshold (measured: 0.45 to 0.95).
 WORST_AGREEMENT = 0.4
 
@@ -70,7 +72,7 @@ def gram_size(n: int) -> int:
 class Index:
     """A block of items, ready to be matched. All arrays; a few hundred bytes for each word of an item."""
 
-    ids: list[int]
+    ids: list[int | None]
     tokens: list[np.ndarray]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by gram size: hash sorted, item, offset
     tables: dict[int, list[dict[int, np.ndarray]]] = field(default_factory=dict)  # by item size: for each band, key -> items
@@ -135,63 +137,87 @@ def edit_distance(words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: i
     return row[np.arange(len(row)), limit - missing]
 
 
-def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By item size, the starts of windows that may be near an item, from shared grams of q words, and (start, missing words, item) of those over an end."""
-    grams, item, offset = index.grams[q]
-    found = wordhash.windows(hashes, q)
+def _shared(index: Index, found: np.ndarray, q: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The places of grams of q words that a text shares with items, first row and number of rows of each in the gram table, and slices of them.
+
+    A slice (from, to) holds about SLICE rows of the table and one place at
+    least, so a gram that very many items share takes no more memory than others.
+    """
+    grams, _, _ = index.grams[q]
     bits = np.zeros(1 << 20, bool)
     bits[(grams & _U((1 << 20) - 1)).astype(np.int64)] = True
     at = np.flatnonzero(bits[(found & _U((1 << 20) - 1)).astype(np.int64)])
     low = np.searchsorted(grams, found[at], "left")
     n_same = np.searchsorted(grams, found[at], "right") - low
     at, low, n_same = at[n_same > 0], low[n_same > 0], n_same[n_same > 0]
-    which = np.repeat(low, n_same) + np.arange(n_same.sum()) - np.repeat(np.cumsum(n_same) - n_same, n_same)
-    begin = np.repeat(at, n_same) - offset[which]
-    sizes = np.array([len(t) for t in index.tokens])[item[which]]
-    row = np.searchsorted(bounds, np.repeat(at, n_same), "right") - 1
-    # all shared grams of a near window lie within 2k of each other
-    k, place = (sizes * MAX_EDITS).astype(np.int64), item[which] * (1 << 40) + begin
-    line = np.sort(place)
-    together = np.searchsorted(line, place + 2 * k, "right") - np.searchsorted(line, place - 2 * k, "left")
-    enough = together >= sizes - q + 1 - k * q
-    begin, sizes, row, which = begin[enough], sizes[enough], row[enough], item[which][enough]
-    out = {}
-    for n in np.unique(sizes):
-        own = sizes == n
-        k = allowed(int(n))
-        around = begin[own][:, None] + np.arange(-k, k + 1)
-        low, high = bounds[row[own]][:, None], bounds[row[own] + 1][:, None]
-        keep = (around >= low) & (around + n <= high)
-        start, missing = np.maximum(around, low), np.where(around < low, low - around, around + n - high)
-        over = ~keep & (missing <= k) & (start + n - missing <= high)
-        edge = np.stack([start[over], missing[over], np.broadcast_to(which[own][:, None], over.shape)[over]])
-        out[int(n)] = np.unique(around[keep]), np.unique(edge, axis=1)
-    return out
+    total = np.cumsum(n_same)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - n_same[begin] + SLICE, "right")))
+        yield begin, end, at, low, n_same
+        begin = end
 
 
-def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """By item size, the starts of windows that may be near an item, from shared grams of q words, and (start, missing words, item) of those over an end."""
+    _, item, offset = index.grams[q]
+    lengths = np.array([len(t) for t in index.tokens])
+    reach = int(lengths.max() * (1 + 2 * MAX_EDITS)) + q
+    found = wordhash.windows(hashes, q)
+    for first, end, every, every_low, every_n in _shared(index, found, q):
+        # a window that shares a gram in this slice has its other grams within `reach`
+        left, right = np.searchsorted(every, every[first] - reach, "left"), np.searchsorted(every, every[end - 1] + reach, "right")
+        at, low, n_same = every[left:right], every_low[left:right], every_n[left:right]
+        which = np.repeat(low, n_same) + np.arange(n_same.sum()) - np.repeat(np.cumsum(n_same) - n_same, n_same)
+        begin = np.repeat(at, n_same) - offset[which]
+        sizes = lengths[item[which]]
+        row = np.searchsorted(bounds, np.repeat(at, n_same), "right") - 1
+        # all shared grams of a near window lie within 2k of each other
+        k, place = (sizes * MAX_EDITS).astype(np.int64), item[which] * (1 << 40) + begin
+        line = np.sort(place)
+        together = np.searchsorted(line, place + 2 * k, "right") - np.searchsorted(line, place - 2 * k, "left")
+        enough = (together >= sizes - q + 1 - k * q) & np.repeat((at >= every[first]) & (at <= every[end - 1]), n_same)
+        begin, sizes, row, which = begin[enough], sizes[enough], row[enough], item[which][enough]
+        out = {}
+        for n in np.unique(sizes):
+            own = sizes == n
+            k = allowed(int(n))
+            around = begin[own][:, None] + np.arange(-k, k + 1)
+            lower, upper = bounds[row[own]][:, None], bounds[row[own] + 1][:, None]
+            keep = (around >= lower) & (around + n <= upper)
+            start, missing = np.maximum(around, lower), np.where(around < lower, lower - around, around + n - upper)
+            over = ~keep & (missing <= k) & (start + n - missing <= upper)
+            edge = np.stack([start[over], missing[over], np.broadcast_to(which[own][:, None], over.shape)[over]])
+            out[int(n)] = np.unique(around[keep]), np.unique(edge, axis=1)
+        yield out
+
+
+def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(starts, items, distances, words) of the verified windows."""
-    out = []
     for q in index.grams:
-        for n, (starts, (at, missing, item)) in _starts(index, hashes, bounds, q).items():
-            if len(starts):
-                pairs = []
-                for (keys, items), key in zip(index.tables[n], band_keys(hashes, starts, n), strict=True):
-                    low = np.searchsorted(keys, key, "left")
-                    many = np.searchsorted(keys, key, "right") - low
-                    which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    pairs.append(np.repeat(np.arange(len(starts)), many) * len(index.ids) + items[which])
-                pairs = np.unique(np.concatenate(pairs))
-                at, item = np.concatenate([at, starts[pairs // len(index.ids)]]), np.concatenate([item, pairs % len(index.ids)])
-                missing = np.concatenate([missing, np.zeros(len(pairs), np.int64)])
-            if not len(at):
-                continue
-            distance = np.concatenate([
-                edit_distance(hashes, at[i : i + 20_000], np.stack([index.tokens[x] for x in item[i : i + 20_000]]), n, allowed(n), missing[i : i + 20_000]) for i in range(0, len(at), 20_000)
-            ])
-            near = distance <= allowed(n)
-            out.append((at[near], item[near], distance[near], n - missing[near]))
-    return out
+        for proposed in _starts(index, hashes, bounds, q):
+            for n, (starts, (at, missing, item)) in proposed.items():
+                for i in range(0, len(starts), WINDOWS):
+                    part = starts[i : i + WINDOWS]
+                    row, met = met_items(index, band_keys(hashes, part, n), n)
+                    at, item, missing = np.concatenate([at, part[row]]), np.concatenate([item, met]), np.concatenate([missing, np.zeros(len(row), np.int64)])
+                for i in range(0, len(at), WINDOWS):
+                    s = slice(i, i + WINDOWS)
+                    distance = edit_distance(hashes, at[s], np.stack([index.tokens[x] for x in item[s]]), n, allowed(n), missing[s])
+                    near = distance <= allowed(n)
+                    yield at[s][near], item[s][near], distance[near], n - missing[s][near]
+
+
+def met_items(index: Index, keys: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) for each window whose key is that of an n-word item in some band."""
+    pairs = [np.zeros(0, np.int64)]
+    for (own, items), key in zip(index.tables[n], keys, strict=True):
+        low = np.searchsorted(own, key, "left")
+        many = np.searchsorted(own, key, "right") - low
+        which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs.append(np.repeat(np.arange(len(key)), many) * len(index.ids) + items[which])
+    met = np.unique(np.concatenate(pairs))
+    return met // len(index.ids), met % len(index.ids)
 
 
 def _match_task(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +254,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(text) > BLOCK_BYTES):
             yield from made()
             ids, texts, size = [], [], 0
-        ids.append(-1 if item_id is None else item_id)
+        ids.append(item_id)
         texts.append(text)
         size += len(text)
     if ids:
@@ -239,7 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id")
     """(doc_id, item_id, start_word, edits, n_words): for each document and item within the threshold, its nearest window, the first of equals.
 
     doc_id takes the values of `key`. Null texts have no words; repeated rows
-    with one doc_id give one row for each item; a null item_id counts as -1;
+    with one doc_id give one row for each item; rows without an item_id count as one item without a name;
     empty tables give no rows; other columns of either table are ignored.
     """
     schema = "doc_id long, item_id long, start_word long, edits int, n_words int"

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.fs
 import pytest
 import xxhash
@@ -476,6 +477,24 @@ def test_tool_calls_hold_whole_texts_and_every_row(spark):
     assert orphans == [(1, 0, "be brief"), (1, 1, "first"), (2, 0, "opening"), (2, 1, None), (2, 2, "odd")]
 
 
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """A chain of 5,000 calls, a circle, calls behind it, and random dependencies, against brute force."""
+    rng = random.Random(16)
+    calls = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(5000)]
+    calls += [(2, f"r{i}", [f"r{(i + 1) % 7}"]) for i in range(7)] + [(2, "behind", ["r3"]), (2, "far", ["behind", "free"]), (2, "free", ["nobody"]), (2, "self", ["self"])]
+    random_ = {f"d{i}": [f"d{rng.randrange(max(0, i - 9), i)}" for _ in range(rng.choice([0, 1, 1, 2]))] if i else [] for i in range(60)}
+    calls += [(3, k, v) for k, v in random_.items()]
+    rounds = []
+    monkeypatch.setattr(toolcalls, "cut", lambda df, name, cut=toolcalls.cut: rounds.append(name) or cut(df, name))
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(spark.createDataFrame(calls, "conv_id long, call_id string, depends_on array<string>")).collect()}
+
+    def level(k):
+        return max((1 + level(d) for d in random_[k]), default=0)
+
+    expected = {(1, f"c{i}"): i for i in range(5000)} | {(2, f"r{i}"): None for i in range(7)} | {(2, "behind"): None, (2, "far"): None, (2, "free"): 0, (2, "self"): None} | {(3, k): level(k) for k in random_}
+    assert got == expected and rounds.count("call-known") < 20
+
+
 # --- 9 ---
 
 
@@ -556,7 +575,7 @@ def test_decontamination(spark, empty):
             c = tokens(item)
             best = min((edits(w[s : s + len(c)], c) for s in range(len(w) - len(c) + 1)), default=99) if c else 99
             if c and best <= decontaminate.allowed(len(c)):
-                expected[n, -1 if i is None else i] = best
+                expected[n, i] = best
     assert set(got) <= set(expected)
     assert len(got) >= 0.97 * len(expected) and all(expected[k] <= v for k, v in got.items())
     dirty = {n for n, _ in got}
@@ -584,6 +603,53 @@ def test_decontamination_of_texts_that_end_within_an_item(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == {i for i, _ in rows} - set(expected)
 
 
+def test_lsh_recall_without_the_gram_filter():
+    """Of windows at the edits allowed, the bands of the walks alone meet at least nine in ten."""
+    rng = random.Random(14)
+    vocabulary = prose(rng, 3000).split()
+    met = total = 0
+    for n in (10, 14, 20, 30, 45):
+        items = [rng.choices(vocabulary, k=n) for _ in range(60)]
+        index = decontaminate.Index(list(range(60)), decontaminate.item_words([" ".join(x) for x in items]))
+        for i, item in enumerate(items):
+            w = list(item)
+            for _ in range(decontaminate.allowed(n)):
+                at, kind = rng.randrange(len(w)), rng.random()
+                w[at : at + (kind < 0.75)] = [rng.choice(vocabulary)] if kind > 0.25 else []
+            w = (w + rng.choices(vocabulary, k=n))[:n]
+            words_ = decontaminate.item_words([" ".join(w)])[0]
+            _, found = decontaminate.met_items(index, decontaminate.band_keys(words_, np.zeros(1, int), n), n)
+            met, total = met + (i in found), total + 1
+    print("recall of the bands alone", met / total)
+    assert met >= 0.9 * total
+
+
+def test_shared_grams_in_slices(spark, monkeypatch):
+    """Items and texts full of the same grams: slices of any size give the same windows."""
+    rng = random.Random(15)
+    common = "which of the following is the best answer to this question".split()
+    items = [" ".join(common + rng.choices("abcdefgh", k=8) + common[:5]) for _ in range(40)]
+    index = decontaminate.Index(list(range(40)), decontaminate.item_words(items))
+    text = " ".join(" ".join(common * rng.randint(1, 3)) + " " + rng.choice(items) for _ in range(30))
+    words_ = decontaminate.item_words([text])[0]
+
+    def found():
+        return {(int(a), int(i), int(d)) for at, item, distance, _ in decontaminate.matches(index, words_, np.array([0, len(words_)])) for a, i, d in zip(at, item, distance, strict=True)}
+
+    whole = found()
+    assert len(whole) > 30
+    for size in (200, 5000):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        assert found() == whole
+
+
+def test_null_item_ids_stay_apart(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    benchmark = spark.createDataFrame([(None, text), (-1, text + " twelve")], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), benchmark).collect()
+    assert sorted(((r.item_id, r.edits) for r in got), key=str) == [(-1, 1), (None, 0)]
+
+
 def test_recall_target():
     assert decontaminate.recall() > 0.99
 
