@@ -8,12 +8,14 @@ anchor, and so any window under it, occurs. A second pass sends on only windows
 whose anchor is estimated to be repeated, and those are grouped exactly, by 96 hash
 bits. No repeated window can be missed; a full sketch only sends more.
 
-Scale. The merged sketch has a fixed size (`cells` bits for each of two rows,
-16 MB as it stands), whatever the input, so it can be broadcast. Beyond some
-100 million anchors raise `cells`; an overfull sketch costs time, not results.
-Windows are grouped by a partial aggregate (the smallest doc_id), and a passage
-that very many documents share is one row for each task there. Texts are
-shuffled once, with the positions to remove.
+Scale. The sketch has about 4 cells for each anchor, by the bytes of the texts,
+up to MAX_CELLS (2 ** 30: 128 MB of bits for each of its two rows), which is the
+bound of what is broadcast. Beyond some 20 GB of text the cells fill, and beyond
+some 200 GB the sketch sorts out little: the result is the same, but more windows
+are grouped. Tasks count in pieces of BUFFER anchors and send the cells that
+these use, never a whole sketch. Windows are grouped by a partial aggregate (the
+smallest doc_id), and a passage that very many documents share is one row for
+each task there. Texts are shuffled once, with the positions to remove.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
 
 WINDOW = 50
 GRAM = 25
-CELLS = 1 << 26
+#: Bounds of the number of cells, and the bytes of text for one.
+MIN_CELLS, MAX_CELLS, CELL_BYTES = 1 << 20, 1 << 30, 20
 #: Cells in one piece of a sketch; pieces are what tasks send and merge.
 PIECE = 1 << 16
+#: Anchors that a task holds before it sends what they count.
+BUFFER = 1 << 20
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -54,36 +59,49 @@ def _text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text"))
 
 
+def _document_anchors(column: pa.Array) -> Iterator[np.ndarray]:
+    """The anchors of each document once, for runs of documents."""
+    for _, hashes, bounds in wordhash.chunks(column):
+        found = anchors(hashes)
+        if not len(found):
+            continue
+        inside = wordhash.within(bounds, WINDOW, len(found))
+        first = np.concatenate([[True], (found[1:] != found[:-1]) | ~inside[:-1]]) & inside
+        # a new row's first window counts again, even if its anchor is the last row's
+        begins = bounds[:-1][bounds[:-1] < len(found)]
+        first[begins] = inside[begins]
+        # a document counts each of its anchors once, so what only it repeats isn't sent on
+        at = np.flatnonzero(first)
+        doc = np.searchsorted(bounds, at, "right")
+        order = np.lexsort((found[at], doc))
+        at, doc = at[order], doc[order]
+        yield found[at[np.concatenate([[True], (found[at][1:] != found[at][:-1]) | (doc[1:] != doc[:-1])])[: len(at)]]]
+
+
 def _sketch_task(cells: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's sketch: for each piece of it, the cells counted once and those counted more often."""
-    counts = [np.zeros(cells, np.uint8) for _ in range(2)]
+    """A task's sketches: for each piece, the cells counted once and those counted more often."""
+    held, n = [], 0
     for batch in batches:
-        for _, hashes, bounds in wordhash.chunks(_text(batch)):
-            found = anchors(hashes)
-            inside = wordhash.within(bounds, WINDOW, len(found))
-            first = np.concatenate([[True], (found[1:] != found[:-1]) | ~inside[:-1]])[: len(found)] & inside if len(found) else inside
-            # a new row's first window counts again, even if its anchor is the last row's
-            begins = bounds[:-1][bounds[:-1] < len(found)]
-            first[begins] = inside[begins]
-            # a document counts each of its anchors once, so what only it repeats isn't sent on
-            at = np.flatnonzero(first)
-            doc = np.searchsorted(bounds, at, "right")
-            order = np.lexsort((found[at], doc))
-            at, doc = at[order], doc[order]
-            once = np.concatenate([[True], (found[at][1:] != found[at][:-1]) | (doc[1:] != doc[:-1])])[: len(at)]
-            for row in range(2):
-                cell, n = np.unique(sketch_cells(found[at[once]], row, cells), return_counts=True)
-                counts[row][cell] = np.minimum(counts[row][cell] + n, 2)
+        for found in _document_anchors(_text(batch)):
+            held.append(found)
+            n += len(found)
+            if n >= BUFFER:
+                yield _sketch(np.concatenate(held), cells)
+                held, n = [], 0
+    if n:
+        yield _sketch(np.concatenate(held), cells)
+
+
+def _sketch(anchor: np.ndarray, cells: int) -> pa.RecordBatch:
+    out = {"row": [], "piece": [], "once": [], "often": []}
     for row in range(2):
-        used = np.flatnonzero(counts[row])
+        used, n = np.unique(sketch_cells(anchor, row, cells), return_counts=True)
         pieces, starts = np.unique(used // PIECE, return_index=True)
-        out = {"row": [], "piece": [], "once": [], "often": []}
-        for piece, at in zip(pieces, np.split(used, starts[1:]) if len(used) else [], strict=True):
+        for piece, at, many in zip(pieces, np.split(used, starts[1:]), np.split(n, starts[1:]), strict=True):
             low = (at - piece * PIECE).astype(np.uint16)
-            often = counts[row][at] > 1
-            for k, v in (("row", row), ("piece", int(piece)), ("once", low[~often].tobytes()), ("often", low[often].tobytes())):
+            for k, v in (("row", row), ("piece", int(piece)), ("once", low[many == 1].tobytes()), ("often", low[many > 1].tobytes())):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int32()), pa.array(out["piece"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["often"], pa.binary())], ["row", "piece", "once", "often"])
+    return pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int32()), pa.array(out["piece"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["often"], pa.binary())], ["row", "piece", "once", "often"])
 
 
 def _merge_piece(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
@@ -95,8 +113,11 @@ def _merge_piece(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": [key[0]], "piece": [key[1]], "repeated": [np.packbits(count >= 2).tobytes()]})
 
 
-def repeated_cells(docs: DataFrame, cells: int = CELLS) -> list[np.ndarray]:
+def repeated_cells(docs: DataFrame, cells: int | None = None) -> list[np.ndarray]:
     """The merged sketch as bits: for each of its two rows, which cells count two or more. 2 * cells / 8 bytes at most."""
+    if cells is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (size // CELL_BYTES).bit_length()))
     parts = docs.select("text").mapInArrow(lambda batches: _sketch_task(cells, batches), "row int, piece int, once binary, often binary")
     merged = parts.groupBy("row", "piece").applyInPandas(_merge_piece, "row int, piece int, repeated binary")
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
@@ -133,7 +154,7 @@ def _windows_task(sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(check), doc.take(rows), key.take(rows), pa.array((at - bounds[row]).astype(np.int32))], ["name", "check", "doc_id", "row_key", "at"])
 
 
-def repeated_windows(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+def repeated_windows(docs: DataFrame, cells: int | None = None) -> DataFrame:
     """docs (doc_id, row_key, text) -> (doc_id, row_key, at) for each window that also starts in a document with a smaller doc_id.
 
     Of windows that one document repeats only the first is given: a text of few
@@ -173,7 +194,12 @@ def _removal(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.drop(columns=["text", "starts"]).assign(n_words=total, n_removed=removed, kept=kept)
 
 
-def dedup_substrings(docs: DataFrame, *, cells: int = CELLS) -> DataFrame:
+def row_key() -> Column:
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64("text", F.octet_length("text"))
+
+
+def dedup_substrings(docs: DataFrame, *, cells: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept): each text without the windows that an earlier document has.
 
     Earlier means a smaller doc_id; a null doc_id is neither earlier nor later
@@ -181,9 +207,9 @@ def dedup_substrings(docs: DataFrame, *, cells: int = CELLS) -> DataFrame:
     each for itself and remove nothing from each other. Texts under 50 words
     have no window. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    gone = repeated_windows(docs.filter(F.col("doc_id").isNotNull()), cells).groupBy("row_key").agg(F.collect_set("at").alias("starts"))
-    joined = docs.join(gone, "row_key", "left").select("doc_id", "text", "starts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", row_key())
+    gone = repeated_windows(docs.filter(F.col("doc_id").isNotNull()), cells).groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("starts"))
+    joined = docs.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts")
     return joined.mapInPandas(lambda frames: map(_removal, frames), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes handled at once; a longer text is handled alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BYTE_BASE, WORD_BASE, SECOND_BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 
 _SPACE = np.zeros(256, bool)
