@@ -11,10 +11,14 @@ source's words that are due by t. Inverting it turns a copy's place in its
 source's stream of words into a training position, and the mix is range-sorted
 by that position.
 
-Scale. The stream of a source is in order of a hash, so its prefix sums are
-taken in two levels: sums per (source, cell of the hash), at most
-sources * CELLS rows, and a window inside each cell. A source that holds a
-third of all rows is spread over all cells.
+Scale. The stream of a source is in order of a hash of doc_id, source and text,
+so its prefix sums are taken in two levels: sums per (source, cell of the hash),
+at most sources * 4096 rows, and a window inside each cell. A source that holds a
+third of all rows is spread over all cells, also where doc_ids are null or
+repeated. Rows that are equal in all three and so many that they fill a cell
+(over HOT of them, and 1 / 4096 of the table) stand at the head of their cell, in
+parts by their place in the table. The table of sources, a row for each, is
+ranked in one task.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .common import cut, scratch_name, word_count
 
 #: Hex digits of the hash that name a cell: 4096 cells for each source.
 CELL_DIGITS = 3
+#: Equal rows beyond which they are parted.
+HOT = 1000
 #: Slope of the weight over time, by the source's weight class 1, 2, 3.
 RAMPS = (-0.5, 0.0, 0.5)
 
@@ -57,20 +63,43 @@ def due_at(share: Column, ramp: Column) -> Column:
     return F.when(share <= 0, F.lit(0.0)).otherwise(2 * share / (linear + F.sqrt(linear * linear + 4 * ramp * share)))
 
 
-def plan_mix(docs: DataFrame, *, size: str, max_epochs: int = 3, ramps: tuple[float, ...] = RAMPS) -> DataFrame:
+def stream_hash() -> Column:
+    """A row's place in the stream of its source."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.coalesce(F.col("source"), F.lit("")), F.lit("/"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
+
+
+def with_cell(rows: DataFrame, key: str, order: str, cell: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` with the cell, digits of the order and behind them `~` or, for one of very many equal rows, its order and part; and (key, cell, cell_size)."""
+    digits = F.substring(order, 1, CELL_DIGITS)
+    counts = cut(rows.groupBy(key, digits.alias(cell)).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("cell_size")), "mix-counts")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max(HOT, (total or 0) >> (4 * CELL_DIGITS))
+    hot = []
+    if (most or 0) > least:
+        many = rows.groupBy(key, order).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+        hot = [(f"{r[0]}\n{r[1]}", -(-r[2] // least)) for r in many.collect()]  # 4096 rows at most
+    if not hot:
+        return rows.withColumn(cell, F.concat(digits, F.lit("~"))), counts.select(key, F.concat(cell, F.lit("~")).alias(cell), "cell_size")
+    parts = F.element_at(F.map_from_arrays(F.lit([k for k, _ in hot]), F.lit([n for _, n in hot])), F.concat(F.col(key), F.lit("\n"), F.col(order)))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts)
+    rows = rows.withColumn(cell, F.concat(digits, F.coalesce(F.concat(F.col(order), F.lit("/"), F.lpad(part.cast("string"), 10, "0")), F.lit("~"))))
+    return rows, rows.groupBy(key, cell).agg(F.sum(size).alias("cell_size"))
+
+
+def plan_mix(docs: DataFrame, *, size: str, hashed: str | None = None, max_epochs: int = 3, ramps: tuple[float, ...] = RAMPS) -> DataFrame:
     """`docs` with source_size, target, copies and offset (words of its source before it), under names that it doesn't have.
 
-    Returns (frame, names). Rows need doc_id, source and `size`. A document is
+    Returns (frame, names). Rows need doc_id, source and `size`, and text or its
+    stream hash in the column `hashed`, which is dropped. A document is
     taken once for each whole epoch that its source gives, and once more if the
     middle of it lies before the end of the last, begun epoch.
     """
     name = {k: scratch_name(docs, k) for k in ("key", "order", "cell", "source_size", "target", "weight", "offset", "copies", "cell_offset")}
-    key, cell = name["key"], name["cell"]
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.coalesce(F.col("source"), F.lit(""))).cast("binary"))
+    key, cell, order = name["key"], name["cell"], name["order"]
     # a source's key is never null and never one that a real source has
-    rows = docs.withColumns({key: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), name["order"]: order}).withColumn(cell, F.substring(F.col(name["order"]), 1, CELL_DIGITS))
+    rows = docs.withColumns({key: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), order: F.col(hashed) if hashed else stream_hash()}).drop(*([hashed] if hashed else []))
+    rows, cells = with_cell(rows, key, order, cell, size)
     up_to = Window.partitionBy(key).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(key, cell).agg(F.sum(size).alias("cell_size"))
     cells = cut(cells.withColumn(name["cell_offset"], F.coalesce(F.sum("cell_size").over(up_to), F.lit(0))), "mix-cells")
     sources = cells.groupBy(key).agg(F.sum("cell_size").alias("source_size")).withColumn("source", F.when(F.col(key) != "", F.expr(f"substring(`{key}`, 2)")))
     targets = source_targets(sources, max_epochs=max_epochs).select(
@@ -109,8 +138,8 @@ def mix_documents(docs: DataFrame, *, max_epochs: int = 3) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row for each document, in training order: (doc_id, size, source_size, target, taken, copies, first_position)."""
-    narrow = cut(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "mix-rows")
-    planned, name = plan_mix(narrow, size="size")
+    narrow = cut(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), stream_hash().alias("hash")), "mix-rows")
+    planned, name = plan_mix(narrow, size="size", hashed="hash")
     rows = planned.select(
         "doc_id", "size", F.col(name["source_size"]).alias("source_size"), F.col(name["target"]).alias("target"),
         (F.col("size") * F.col(name["copies"])).cast("long").alias("taken"), F.col(name["copies"]).alias("copies"),

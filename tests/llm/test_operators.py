@@ -260,6 +260,14 @@ def test_substrings_lose_nothing_with_a_full_sketch(docs, rows):
     assert got == {i: x[1] for i, x in removed(rows).items()}
 
 
+def test_substrings_with_equal_row_keys_and_small_buffers(docs, rows, monkeypatch):
+    """Texts of different documents under one key keep their own places; a task may send its counts in many parts."""
+    monkeypatch.setattr(substrings, "row_key", lambda: F.lit(1).cast("long"))
+    monkeypatch.setattr(substrings, "BUFFER", 10)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_report(docs).collect()}
+    assert got == removed(rows)
+
+
 def test_substrings_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(None, text), (2, text), (2, text), (3, text)], "doc_id long, text string")
@@ -321,6 +329,21 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_report(empty).count() == 0
 
 
+def test_mixing_with_null_and_repeated_ids(spark, monkeypatch):
+    """A third of doc_ids null, a third of rows equal in all: cells stay small, and the sums are those of the stream row by row."""
+    monkeypatch.setattr(mixing, "HOT", 50)
+    docs = spark.range(3000).selectExpr("CASE cast(id % 3 as int) WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 3 = 1 THEN 'the same text' ELSE repeat('w ', 1 + cast(id % 37 as int)) || id END AS text", "CASE WHEN id % 2 = 0 THEN 'a' WHEN id % 5 > 0 THEN 'b' END AS source")
+    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
+    planned, name = mixing.plan_mix(sized, size="size")
+    got = planned.select("source", "size", F.col(name["offset"]).alias("at"), F.col(name["source_size"]).alias("of")).collect()
+    for source in ("a", "b", None):
+        line = sorted((r.at, r.size) for r in got if r.source == source)
+        assert [a for a, _ in line] == [sum(s for _, s in line[:k]) for k in range(len(line))] and {r.of for r in got if r.source == source} == {sum(s for _, s in line)}
+    rows = sized.withColumns({"k": F.coalesce("source", F.lit("")), "o": mixing.stream_hash()})
+    assert mixing.with_cell(rows, "k", "o", "c", "size")[0].groupBy("k", "c").count().agg(F.max("count")).first()[0] < 120
+    assert sorted(map(tuple, mixing.mix_report(docs).collect()), key=str) == sorted(map(tuple, mixing.mix_report(docs).collect()), key=str)
+
+
 def test_mix_is_in_training_order_and_counts_copies(docs):
     report = {r.doc_id: r.copies for r in mixing.mix_report(docs).collect()}
     mixed = mixing.mix_documents(docs)
