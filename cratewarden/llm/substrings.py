@@ -8,10 +8,10 @@ anchor, and so any window under it, occurs. A second pass sends on only windows
 whose anchor is estimated to be repeated, and those are grouped exactly, by 96 hash
 bits. No repeated window can be missed; a full sketch only sends more.
 
-Scale. The sketch has about 4 cells for each anchor, by the bytes of the texts,
+Scale. The sketch has about 8 cells for each anchor, by the bytes of the texts,
 up to MAX_CELLS (2 ** 30: 128 MB of bits for each of its two rows), which is the
-bound of what is broadcast. Beyond some 20 GB of text the cells fill, and beyond
-some 200 GB the sketch sorts out little: the result is the same, but more windows
+bound of what is broadcast. Beyond some 10 GB of text the cells fill, and beyond
+some 100 GB the sketch sorts out little: the result is the same, but more windows
 are grouped. Tasks count in pieces of BUFFER anchors and send the cells that
 these use, never a whole sketch. Windows are grouped by a partial aggregate (the
 smallest doc_id), and a passage that very many documents share is one row for
@@ -33,7 +33,7 @@ from . import wordhash
 WINDOW = 50
 GRAM = 25
 #: Bounds of the number of cells, and the bytes of text for one.
-MIN_CELLS, MAX_CELLS, CELL_BYTES = 1 << 20, 1 << 30, 20
+MIN_CELLS, MAX_CELLS, CELL_BYTES = 1 << 20, 1 << 30, 10
 #: Cells in one piece of a sketch; pieces are what tasks send and merge.
 PIECE = 1 << 16
 #: Anchors that a task holds before it sends what they count.
