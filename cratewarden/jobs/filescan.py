@@ -72,7 +72,7 @@ FINDINGS = f"""{HITS}{MISMATCH}{DECEPTIVE}{EMBEDDED}{HYGIENE}, found AS (SELECT
  UNION ALL SELECT package_id, path, 'embedded_code', 'embedded_code', severity FROM emb UNION ALL SELECT package_id, '(scan root)', 'file_hygiene', 'file_hygiene', severity FROM hyg)"""
 WEIGHTS = R.values(list(R.CONTENT_WEIGHTS.items()), "name, weight")
 CONTENT_RISK = f""", risk AS (SELECT package_id, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS risk_score, CASE WHEN count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) > 0 THEN 'fail' ELSE 'pass' END AS status
- FROM (SELECT *, CASE kind WHEN 'mime_mismatch' THEN 'mismatch_' || lower(severity) WHEN 'embedded_code' THEN 'embedded_' || lower(severity) WHEN 'file_hygiene' THEN 'hygiene_' || lower(severity) ELSE type END AS nm FROM found) f LEFT JOIN (SELECT * FROM {WEIGHTS}) w ON f.nm = w.name GROUP BY 1)"""
+ FROM (SELECT package_id FROM files GROUP BY 1) p LEFT JOIN (SELECT *, CASE kind WHEN 'mime_mismatch' THEN 'mismatch_' || lower(severity) WHEN 'embedded_code' THEN 'embedded_' || lower(severity) WHEN 'file_hygiene' THEN 'hygiene_' || lower(severity) ELSE type END AS nm FROM found) f USING (package_id) LEFT JOIN (SELECT * FROM {WEIGHTS}) w ON f.nm = w.name GROUP BY 1)"""
 
 jobs.add("scannable_files", lambda f: C.scannable_files(f).select("package_id", "path", "size"), "files", sql=f"SELECT package_id, path, size FROM files WHERE {SCANNABLE}")
 jobs.add("scan_coverage", lambda f: C.scan_coverage(f, 20_000), "files", sql=f"SELECT package_id, count(*) AS files, count(*) FILTER (size > 0 AND size <= 20000 AND coalesce({EXT}, '') NOT IN {within(R.SKIPPED_EXTENSIONS)}) AS scanned, count(*) FILTER (size > 20000) AS size_skipped FROM files GROUP BY 1")
@@ -85,8 +85,8 @@ jobs.add("deceptive_extension", C.deceptive_extension, "files", sql=f"{DECEPTIVE
 jobs.add("embedded_code", C.embedded_code, "files", sql=f"{EMBEDDED} SELECT * FROM emb")
 jobs.add("image_hygiene", C.image_hygiene, "files", sql=f"{MISMATCH}{HYGIENE} SELECT * FROM hyg")
 jobs.add("all_content_findings", C.all_content_findings, "files", sql=f"{FINDINGS} SELECT * FROM found")
-jobs.add("content_summary", lambda f: C.content_summary(C.all_content_findings(f)), "files", sql=f"{FINDINGS} SELECT package_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) AS total_issues FROM found GROUP BY 1")
-jobs.add("content_risk", lambda f: C.content_risk(C.all_content_findings(f)), "files", sql=f"{FINDINGS}{CONTENT_RISK} SELECT * FROM risk")
+jobs.add("content_summary", lambda f: C.content_summary(C.all_content_findings(f), f), "files", sql=f"{FINDINGS} SELECT package_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(severity) AS total_issues FROM (SELECT package_id FROM files GROUP BY 1) p LEFT JOIN found USING (package_id) GROUP BY 1")
+jobs.add("content_risk", lambda f: C.content_risk(C.all_content_findings(f), f), "files", sql=f"{FINDINGS}{CONTENT_RISK} SELECT * FROM risk")
 
 # --- permissions ---
 O_, G_, U_, S_ = "(mode % 10)", "(mode // 10 % 10)", "(mode // 100 % 10)", "(mode // 1000 % 10)"
@@ -102,8 +102,8 @@ PFOUND = f""", tests AS (SELECT *, CASE WHEN kind = 'link' THEN {LINK} END AS lc
  CASE WHEN kind <> 'link' AND {INV} THEN 'inversion' END, CASE WHEN lc = 'external' THEN 'external_link' END, CASE WHEN {SENS} THEN 'sensitive_exposed' END] AS crit, [CASE WHEN lc = 'internal' THEN 'internal_link' END, CASE WHEN lc = 'dangling' THEN 'dangling_link' END, CASE WHEN {EXEC} THEN 'unneeded_exec' END, CASE WHEN {ART} THEN 'deploy_artifact' END] AS oth FROM tests),
  pf AS (SELECT package_id, path, mode, issue, regexp_matches(path, '(^|/)(vendor|node_modules)/') AS in_dependencies FROM (SELECT *, unnest(list_concat(list_concat(crit, oth), [CASE WHEN kind <> 'link' AND {SEC} AND mode IN (400,440,444,500,550,555,600,700) AND len(list_filter(crit, lambda x: x IS NOT NULL)) = 0 AND NOT {EXEC} THEN 'secure_permissions' END])) AS issue FROM flags) WHERE issue IS NOT NULL)"""
 PWEIGHTS = R.values(R.PERMISSION_WEIGHTS, "issue, weight, critical, counted")
-PRISK = f"""{PFOUND}, prisk AS (SELECT package_id, CAST(sum(weight) AS BIGINT) AS risk_score, count(*) FILTER (counted) AS issues, count(*) FILTER (critical) AS critical_issues, count(*) FILTER (issue = 'secure_permissions' AND NOT in_dependencies) AS hardened, count(*) FILTER (issue = 'secure_permissions' AND in_dependencies) AS hardened_dependencies,
- CASE WHEN count(*) FILTER (critical) > 0 THEN 'fail' ELSE 'pass' END AS status FROM pf JOIN (SELECT * FROM {PWEIGHTS}) USING (issue) GROUP BY 1)"""
+PRISK = f"""{PFOUND}, prisk AS (SELECT package_id, CAST(coalesce(sum(weight), 0) AS BIGINT) AS risk_score, count(*) FILTER (counted) AS issues, count(*) FILTER (critical) AS critical_issues, count(*) FILTER (issue = 'secure_permissions' AND NOT in_dependencies) AS hardened, count(*) FILTER (issue = 'secure_permissions' AND in_dependencies) AS hardened_dependencies,
+ CASE WHEN count(*) FILTER (critical) > 0 THEN 'fail' ELSE 'pass' END AS status FROM (SELECT package_id FROM entries GROUP BY 1) e LEFT JOIN (SELECT * FROM pf JOIN (SELECT * FROM {PWEIGHTS}) USING (issue)) w USING (package_id) GROUP BY 1)"""
 MODE_COLUMNS = ["package_id", "path", "mode", "world_writable", "inversion", "secure", "priv_esc", "sticky"]
 jobs.add("classify_modes", lambda e: P.classify_modes(e).select(*MODE_COLUMNS), "entries", sql=f"SELECT package_id, path, mode, {WW} AS world_writable, {INV} AS inversion, {SEC} AS secure, {ESC} AS priv_esc, {STK} AS sticky FROM entries WHERE kind <> 'link'")
 jobs.add("classify_symlinks", P.classify_symlinks, "entries", sql=f"SELECT package_id, path, link_target, link_resolved, {LINK} AS link_class FROM entries WHERE kind = 'link'")
@@ -112,7 +112,7 @@ jobs.add("exposed_secrets", P.exposed_secrets, "entries", sql=f"SELECT package_i
 jobs.add("orphan_ownership", lambda e: P.orphan_ownership(e, R.small(e.sparkSession, [(n,) for n in range(7)], "uid"), R.small(e.sparkSession, [(n,) for n in range(4)], "gid")), "entries", sql="SELECT package_id, path, uid, gid, uid > 6 AS no_user, gid > 3 AS no_group FROM entries WHERE kind <> 'link' AND (uid > 6 OR gid > 3)")
 jobs.add("deploy_artifacts", P.deploy_artifacts, "entries", sql=f"SELECT package_id, path, kind FROM entries WHERE {ART}")
 jobs.add("permission_findings", P.permission_findings, "entries", sql=f"{PFOUND} SELECT * FROM pf")
-jobs.add("permission_risk", lambda e: P.permission_risk(P.permission_findings(e)), "entries", sql=f"{PRISK} SELECT * FROM prisk")
+jobs.add("permission_risk", lambda e: P.permission_risk(P.permission_findings(e), e), "entries", sql=f"{PRISK} SELECT * FROM prisk")
 jobs.add("permission_fix_plan", lambda e: P.permission_fix_plan(P.permission_findings(e)), "entries", sql=f"""{PFOUND} SELECT * FROM (SELECT package_id, path, issue, mode, CAST(CASE WHEN issue IN ('world_writable_file', 'world_writable_dir') THEN mode - 2 WHEN issue = 'sticky_missing' THEN mode + 1000 WHEN issue = 'sensitive_exposed' THEN mode // 100 * 100 WHEN issue = 'unneeded_exec' THEN mode - {O_} % 2 - 10 * ({G_} % 2) - 100 * ({U_} % 2) END AS INT) AS proposed FROM pf) WHERE proposed IS NOT NULL""")
-jobs.add("filescan_rollup", lambda f, e: P.filescan_rollup(O.file_totals(f), P.permission_risk(P.permission_findings(e)).filter("risk_score % 3 <> 0"), C.content_summary(C.all_content_findings(f))), "files", "entries", sql=f"""{FINDINGS}{PRISK}, s AS (SELECT package_id, count(*) AS files FROM files GROUP BY 1), c AS (SELECT package_id, count(*) AS total_issues FROM found GROUP BY 1)
- SELECT package_id, files, issues, total_issues, CASE WHEN coalesce(issues, 0) > 0 OR coalesce(total_issues, 0) > 0 THEN 'HIGH' WHEN files IS NULL OR issues IS NULL OR total_issues IS NULL THEN 'ERROR' ELSE 'CLEAN' END AS level FROM s FULL JOIN (SELECT package_id, issues FROM prisk WHERE risk_score % 3 <> 0) p USING (package_id) FULL JOIN c USING (package_id)""")
+jobs.add("filescan_rollup", lambda f, e: P.filescan_rollup(O.file_totals(f), P.permission_risk(P.permission_findings(e), e).filter("risk_score % 3 <> 1"), C.content_summary(C.all_content_findings(f), f)), "files", "entries", sql=f"""{FINDINGS}{PRISK}, s AS (SELECT package_id, count(*) AS files FROM files GROUP BY 1), c AS (SELECT package_id, count(severity) AS total_issues FROM (SELECT package_id FROM files GROUP BY 1) p LEFT JOIN found USING (package_id) GROUP BY 1)
+ SELECT package_id, files, issues, total_issues, CASE WHEN coalesce(issues, 0) > 0 OR coalesce(total_issues, 0) > 0 THEN 'HIGH' WHEN files IS NULL OR issues IS NULL OR total_issues IS NULL THEN 'ERROR' ELSE 'CLEAN' END AS level FROM s FULL JOIN (SELECT package_id, issues FROM prisk WHERE risk_score % 3 <> 1) p USING (package_id) FULL JOIN c USING (package_id)""")

@@ -1,7 +1,9 @@
 """Derived inputs: package data made from the driver's tables by SQL that both Spark and DuckDB run.
 
 Each text is a query over {tables}; `frame` runs it in Spark, `duck` gives it
-as a WITH clause for the SQL that a query is checked against.
+as a WITH clause for the SQL that a query is checked against. The number of
+packages grows with the tables. One in five packages of files is clean: plain
+names of usual types and modes.
 """
 
 from __future__ import annotations
@@ -27,21 +29,21 @@ MODES = """(VALUES (0,644),(1,755),(2,666),(3,777),(4,4755),(5,2755),(6,44),(7,6
 INPUTS = {
     "files": f"""SELECT d.package_id, d.doc_id, CASE WHEN n.numbered = 1 THEN concat(n.pre, d.id, n.post) ELSE concat(n.pre, n.post) END AS path,
  CASE WHEN d.doc_id % 17 = 3 THEN '' WHEN d.s = 7 THEN concat(x.snippet, chr(10), d.text) WHEN x.snippet IS NULL THEN d.text ELSE concat(d.text, chr(10), x.snippet, chr(10)) END AS content,
- CASE WHEN d.doc_id % 17 = 3 THEN 'inode/x-empty' WHEN d.doc_id % 7 < 4 THEN n.usual WHEN d.doc_id % 7 = 4 THEN 'image/webp' WHEN d.doc_id % 7 = 5 THEN 'text/x-php' ELSE 'application/octet-stream' END AS mime
- FROM (SELECT doc_id, concat('pkg', CAST(doc_id % 41 AS STRING)) AS package_id, CAST(doc_id AS STRING) AS id, CAST(doc_id % 31 AS INT) AS k, CAST(doc_id % 43 AS INT) AS s, text FROM {{documents}}) d
+ CASE WHEN d.doc_id % 17 = 3 THEN 'inode/x-empty' WHEN d.s = 42 OR d.doc_id % 7 < 4 THEN n.usual WHEN d.doc_id % 7 = 4 THEN 'image/webp' WHEN d.doc_id % 7 = 5 THEN 'text/x-php' ELSE 'application/octet-stream' END AS mime
+ FROM (SELECT doc_id, concat('pkg', CAST(CAST(FLOOR(doc_id / 25) AS BIGINT) AS STRING)) AS package_id, CAST(doc_id AS STRING) AS id, CASE WHEN FLOOR(doc_id / 25) % 5 = 1 THEN 3 ELSE CAST(doc_id % 31 AS INT) END AS k, CASE WHEN FLOOR(doc_id / 25) % 5 = 1 THEN 42 ELSE CAST(doc_id % 43 AS INT) END AS s, text FROM {{documents}}) d
  JOIN (SELECT k, pre, post, numbered, CASE k WHEN 2 THEN 'image/jpeg' WHEN 6 THEN 'image/svg+xml' WHEN 13 THEN 'application/gzip' WHEN 16 THEN 'font/woff2' WHEN 22 THEN 'image/png' WHEN 26 THEN 'image/gif' ELSE 'text/plain' END AS usual FROM {NAMES}) n ON d.k = n.k
  LEFT JOIN {SNIPPETS} ON d.s = x.s""",
-    "entries": f"""SELECT concat('pkg', CAST(d.doc_id % 41 AS STRING)) AS package_id, CASE WHEN n.numbered = 1 THEN concat(n.pre, CAST(d.doc_id AS STRING), n.post) ELSE concat(n.pre, n.post) END AS path,
- CASE WHEN d.doc_id % 11 = 0 THEN 'link' WHEN d.doc_id % 13 = 0 THEN 'dir' ELSE 'file' END AS kind, m.mode, CAST(d.doc_id % 9 AS INT) AS uid, CAST(d.doc_id % 6 AS INT) AS gid,
- CASE WHEN d.doc_id % 11 = 0 THEN 'target' END AS link_target, CASE WHEN d.doc_id % 11 = 0 THEN CASE CAST(d.doc_id % 3 AS INT) WHEN 0 THEN NULL WHEN 1 THEN concat('/srv/', concat('pkg', CAST(d.doc_id % 41 AS STRING)), '/lib') ELSE '/etc/passwd' END END AS link_resolved
- FROM (SELECT doc_id FROM {{documents}}) d JOIN {NAMES} ON d.doc_id % 31 = n.k JOIN {MODES} ON d.doc_id % 29 = m.k""",
-    "components": """SELECT concat('pkg', CAST(l.l_orderkey % 97 AS STRING)) AS package_id, CAST(l.l_orderkey AS STRING) AS sbom_id,
+    "entries": f"""SELECT concat('pkg', CAST(CAST(FLOOR(d.doc_id / 25) AS BIGINT) AS STRING)) AS package_id, CASE WHEN n.numbered = 1 THEN concat(n.pre, CAST(d.doc_id AS STRING), n.post) ELSE concat(n.pre, n.post) END AS path,
+ CASE WHEN d.clean THEN 'file' WHEN d.doc_id % 11 = 0 THEN 'link' WHEN d.doc_id % 13 = 0 THEN 'dir' ELSE 'file' END AS kind, CASE WHEN d.clean THEN 644 ELSE m.mode END AS mode, CAST(d.doc_id % 9 AS INT) AS uid, CAST(d.doc_id % 6 AS INT) AS gid,
+ CASE WHEN d.doc_id % 11 = 0 AND NOT d.clean THEN 'target' END AS link_target, CASE WHEN d.doc_id % 11 = 0 AND NOT d.clean THEN CASE CAST(d.doc_id % 3 AS INT) WHEN 0 THEN NULL WHEN 1 THEN concat('/srv/', concat('pkg', CAST(CAST(FLOOR(d.doc_id / 25) AS BIGINT) AS STRING)), '/lib') ELSE '/etc/passwd' END END AS link_resolved
+ FROM (SELECT doc_id, FLOOR(doc_id / 25) % 5 = 1 AS clean FROM {{documents}}) d JOIN {NAMES} ON CASE WHEN d.clean THEN 3 ELSE d.doc_id % 31 END = n.k JOIN {MODES} ON d.doc_id % 29 = m.k""",
+    "components": """SELECT concat('pkg', CAST(CAST(FLOOR(l.l_orderkey / 64) AS BIGINT) AS STRING)) AS package_id, CAST(l.l_orderkey AS STRING) AS sbom_id,
  CASE CAST(p.p_partkey % 19 AS INT) WHEN 0 THEN 'reqeusts' WHEN 1 THEN '@internal/auth-tokens' WHEN 2 THEN 'guzzlehttq/guzzle' WHEN 3 THEN 'guzzlehttp/guzle' WHEN 4 THEN 'vue' WHEN 5 THEN 'private-api' WHEN 6 THEN 'my-test-kit' WHEN 7 THEN 'ab' WHEN 8 THEN '12345' WHEN 9 THEN 'Lod_ash' WHEN 10 THEN 'psr/http_client' WHEN 11 THEN 'expresss' WHEN 12 THEN 'monolog/monolog' ELSE replace(p.p_name, ' ', '-') END AS name,
  CASE WHEN l.l_linenumber = 7 THEN '99.0.1' ELSE concat(CAST(l.l_linenumber AS STRING), '.', CAST(p.p_partkey % 4 AS STRING), '.0') END AS version,
  CASE CAST(p.p_partkey % 23 AS INT) WHEN 0 THEN 'MIT' WHEN 1 THEN 'GPLv2+' WHEN 2 THEN 'SSPL-1.0 OR MIT' WHEN 3 THEN 'GPL-2.0-only AND MIT' WHEN 4 THEN 'NOASSERTION' WHEN 5 THEN 'SSPL-1.0' WHEN 6 THEN 'Commercial License' WHEN 7 THEN 'Apache License 2.0' WHEN 8 THEN 'LGPL-2.1+' WHEN 9 THEN 'MPL-2.0 OR GPL-3.0' WHEN 10 THEN '(MIT OR Apache-2.0)' WHEN 11 THEN 'GPL-2.0 WITH Classpath-exception-2.0' WHEN 12 THEN NULL WHEN 13 THEN 'Foo OR Bar' WHEN 14 THEN '3-Clause BSD' WHEN 15 THEN 'BUSL-1.1 AND MIT' WHEN 16 THEN 'GPL-3.0 OR LGPL-3.0' WHEN 17 THEN 'all rights reserved OR MIT' ELSE 'ISC' END AS license,
  CASE WHEN p.p_partkey % 5 = 0 THEN concat('pkg:wordpress/', CAST(p.p_partkey AS STRING)) ELSE concat('pkg:npm/', CAST(p.p_partkey AS STRING)) END AS purl, l.l_linenumber = 1 AS is_root
  FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
-    "matches": """SELECT concat('pkg', CAST(l_orderkey % 97 AS STRING)) AS package_id, concat('CVE-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS vuln_id,
+    "matches": """SELECT concat('pkg', CAST(CAST(FLOOR(l_orderkey / 64) AS BIGINT) AS STRING)) AS package_id, concat('CVE-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS vuln_id,
  CASE CAST((l_partkey + l_linenumber) % 7 AS INT) WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' WHEN 4 THEN 'Negligible' WHEN 5 THEN 'Unknown' ELSE 'High' END AS severity,
  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_discount * 100 AS INT) / 2.0 END AS v31, CASE WHEN l_linenumber % 3 <> 2 THEN CAST(l_discount * 100 AS INT) / 4.0 END AS v30, CASE WHEN l_linenumber % 5 < 3 THEN CAST(l_tax * 100 AS INT) / 2.0 END AS v2 FROM {lineitem}""",
     "domains": "SELECT concat('d', CAST(s_suppkey AS STRING), '.example') AS domain, s_suppkey AS k FROM {supplier}",
@@ -64,8 +66,8 @@ INPUTS = {
     "addresses": """SELECT concat(CASE CAST(c_custkey % 13 AS INT) WHEN 0 THEN 'Info' WHEN 1 THEN 'noreply' WHEN 2 THEN 'postmaster+x' WHEN 3 THEN 'staff' WHEN 4 THEN 'bad address' WHEN 5 THEN 'sales' ELSE concat('user', CAST(c_custkey AS STRING)) END, '@',
  CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'mailinator.example' ELSE concat('d', CAST(c_custkey % 40 AS STRING), '.example') END, CASE WHEN c_custkey % 10 = 0 THEN '.' ELSE '' END) AS address, c_custkey AS k FROM {customer}""",
     "smtp_probes": """SELECT concat('user', CAST(c_custkey AS STRING), '@d', CAST(c_custkey % 40 AS STRING), '.example') AS address, CAST(c_custkey % 6 AS INT) AS rc, c_custkey % 4 > 0 AS connected, c_custkey % 5 > 0 AS banner, c_custkey % 3 > 0 AS mail_from, c_custkey % 2 = 0 AS tls, c_custkey % 29 = 0 AS open_relay, c_custkey % 7 = 0 AS fallback_alive FROM {customer}""",
-    "phpcs": """SELECT concat('pkg', CAST(l_suppkey % 23 AS STRING)) AS package_id, CASE CAST(l_partkey % 15 AS INT) WHEN 0 THEN '5.2' WHEN 1 THEN '5.3' WHEN 2 THEN '5.4' WHEN 3 THEN '5.5' WHEN 4 THEN '5.6' WHEN 5 THEN '7.0' WHEN 6 THEN '7.1' WHEN 7 THEN '7.2' WHEN 8 THEN '7.3' WHEN 9 THEN '7.4' WHEN 10 THEN '8.0' WHEN 11 THEN '8.1' WHEN 12 THEN '8.2' WHEN 13 THEN '8.3' ELSE '8.4' END AS php_version,
- concat('src/f', CAST(l_suppkey % 9 AS STRING), '.php') AS file, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 80 AS INT) AS col, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'ERROR' WHEN l_returnflag = 'A' THEN 'WARNING' ELSE 'WARNING' END AS type, concat('message ', CAST(l_linenumber AS STRING)) AS message, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('Compat.Rule', CAST(l_suppkey % 5 AS STRING)) END AS source, CAST(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber % 6 END AS INT) AS severity, l_partkey % 2 = 0 AS fixable
+    "phpcs": """SELECT concat('pkg', CAST(l_suppkey AS STRING)) AS package_id, CASE CAST(l_partkey % 15 AS INT) WHEN 0 THEN '5.2' WHEN 1 THEN '5.3' WHEN 2 THEN '5.4' WHEN 3 THEN '5.5' WHEN 4 THEN '5.6' WHEN 5 THEN '7.0' WHEN 6 THEN '7.1' WHEN 7 THEN '7.2' WHEN 8 THEN '7.3' WHEN 9 THEN '7.4' WHEN 10 THEN '8.0' WHEN 11 THEN '8.1' WHEN 12 THEN '8.2' WHEN 13 THEN '8.3' ELSE '8.4' END AS php_version,
+ concat('src/f', CAST(l_partkey % 9 AS STRING), '.php') AS file, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 80 AS INT) AS col, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'ERROR' WHEN l_returnflag = 'A' THEN 'WARNING' ELSE 'WARNING' END AS type, concat('message ', CAST(l_linenumber AS STRING)) AS message, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('Compat.Rule', CAST(l_suppkey % 5 AS STRING)) END AS source, CAST(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber % 6 END AS INT) AS severity, l_partkey % 2 = 0 AS fixable
  FROM {lineitem}""",
     "plugin_files": """SELECT concat('pkg', CAST(doc_id AS STRING)) AS package_id, 'plugin.php' AS path, concat('<?php', chr(10), '/*', chr(10), ' * Plugin Name: Demo ', CAST(doc_id AS STRING), chr(10), ' * Version: 1.', CAST(doc_id % 9 AS STRING), chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' * Author: Ann ', CAST(doc_id AS STRING), chr(10)) END, CASE WHEN doc_id % 4 = 0 THEN concat(' * Author URI: mailto:a', CAST(doc_id AS STRING), '@x.example', chr(10)) WHEN doc_id % 4 = 1 THEN concat(' * Author URI: https://x.example/me', chr(10)) ELSE '' END, CASE WHEN doc_id % 5 < 2 THEN concat(' * Support: help', CAST(doc_id % 3 AS STRING), '@x.example', chr(10)) ELSE '' END, CASE WHEN doc_id % 7 < 3 THEN concat(' * Security: mailto:sec@x.example', chr(10)) ELSE '' END, ' */', chr(10), text) AS content FROM {documents} WHERE doc_id % 10 <> 9
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'readme.txt', concat('=== Demo ===', chr(10), 'Contributors: bob, eve', chr(10), CASE WHEN doc_id % 6 = 0 THEN concat('Donate link: https://x.example/give?to=me@x.example', chr(10)) ELSE '' END, 'Stable tag: 1.', CAST(doc_id % 9 AS STRING), chr(10), chr(10), '== Description ==', chr(10), 'Some text.', chr(10), '== Support ==', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Write to help0@x.example please' ELSE 'See https://x.example/support/desk now' END, chr(10), '== Security ==', chr(10), 'Report at https://x.example/security/report ok', chr(10)) FROM {documents} WHERE doc_id % 4 <> 3

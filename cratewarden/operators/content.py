@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, extension
 from ..refdata import (
+    ACTIVE_MARKUP,
     BINARY_TYPE,
     CODELESS_EXTENSIONS,
     CONTENT_WEIGHTS,
@@ -22,9 +23,11 @@ from ..refdata import (
     EXECUTABLE_EXTENSIONS,
     EXECUTABLE_TYPE,
     IMAGE_EXTENSIONS,
+    MARKUP_NAMESPACE,
     PATTERN_TYPES,
     PATTERN_WORDS,
     PATTERNS,
+    PROGRAM_TEXT,
     SAFE_PAIRS,
     SCAN_LIMIT,
     SCRIPTABLE_EXTENSIONS,
@@ -38,10 +41,14 @@ from ..refdata import (
 
 #: Java's mode in which only \n ends a line.
 FLAGS = "(?id)"
-COMBINED = FLAGS + "(" + "|".join(f"(?:{p})" for p in PATTERNS) + ")"
-SCRIPT = r"(?id)(</?script[\s>]|\bon[a-z]+\s*=|javascript\s*:|<foreignObject)"
-NAMESPACE = r"""(?id)xmlns[^=]*=\s*["'](http://www\.w3\.org/2000/svg|http://www\.w3\.org/1999/xhtml|http://www\.w3\.org/1999/XSL/Transform)"""
-CODE = r"(<\?php|<%(eval|exec|system))"
+
+
+def _any(patterns: list[str]) -> str:
+    return FLAGS + "(" + "|".join(f"(?:{p})" for p in patterns) + ")"
+
+
+COMBINED = _any(PATTERNS)
+SCRIPT, NAMESPACE = FLAGS + ACTIVE_MARKUP, FLAGS + MARKUP_NAMESPACE
 
 
 def _scannable(size: Column, path: Column, limit: int) -> Column:
@@ -58,15 +65,18 @@ def scan_coverage(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame:
     return files.groupBy("package_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(_scannable(F.col("size"), F.col("path"), limit)).alias("scanned"), F.count_if(F.col("size") > limit).alias("size_skipped"))
 
 
+def _suspicious() -> Column:
+    """Whether content holds a word that patterns need, in lower case made once, and then one of the patterns."""
+    worded = F.exists(F.array(F.lower("content")), lambda low: reduce(lambda a, b: a | b, (low.contains(w) for w in PATTERN_WORDS)))
+    return worded & F.col("content").rlike(COMBINED)
+
+
 def pattern_hits(files: DataFrame) -> DataFrame:
     """(package_id, path, line, pattern_id, type, severity, text) for every line and pattern that meet.
 
     The patterns are literals of one expression, each compiled once for a task.
     """
-    low = F.lower("content")
-    worded = reduce(lambda a, b: a | b, (low.contains(w) for w in PATTERN_WORDS))
-    suspicious = files.filter(worded & F.col("content").rlike(COMBINED))
-    rows = suspicious.select("package_id", "path", F.posexplode(F.split("content", "\n")).alias("line", "text")).filter(F.col("text").rlike(COMBINED))
+    rows = files.filter(_suspicious()).select("package_id", "path", F.posexplode(F.split("content", "\n")).alias("line", "text")).filter(F.col("text").rlike(COMBINED))
     ids = F.array(*(F.when(F.col("text").rlike(FLAGS + p), F.lit(n)) for n, p in enumerate(PATTERNS, 1)))
     hits = rows.select("package_id", "path", (F.col("line") + 1).alias("line"), "text", F.explode(F.filter(ids, lambda i: i.isNotNull())).alias("pattern_id"))
     kind = severity = None
@@ -93,36 +103,56 @@ def sniff_mime(files: DataFrame) -> DataFrame:
     return files.withColumn("mime", found.when(F.col("content").cast("binary").isNull(), F.lit(None)).otherwise("text/plain"))
 
 
+def _expected(ext: Column) -> Column:
+    """The type that an extension must have, or null."""
+    table = [(e, p) for exts, p in STRICT_TYPES.items() for e in exts.split()]
+    return F.element_at(F.map_from_arrays(F.lit([e for e, _ in table]), F.lit([p for _, p in table])), F.coalesce(ext, F.lit("")))
+
+
+def _mismatch(ext: Column, expected: Column, mime: Column) -> tuple[Column, Column]:
+    """(severity, or null where type and extension agree; detail)."""
+    wrong = ~F.regexp_like(mime, F.concat(F.lit("^("), expected, F.lit(")$")))
+    forgiven = (mime == "application/octet-stream") & ~ext.isin(UNFORGIVEN_EXTENSIONS)
+    flagged = F.when(expected.isNotNull(), wrong & ~forgiven).otherwise(ext.isin(TEXT_EXTENSIONS) & mime.rlike(BINARY_TYPE))
+    images = F.coalesce(expected.startswith("image/"), F.lit(False)) & mime.startswith("image/")
+    severity = F.when(mime.rlike(EXECUTABLE_TYPE), "CRITICAL").when(images, "LOW").otherwise("HIGH")
+    detail = F.when(expected.isNotNull(), F.concat(F.lit("expected "), F.replace(expected, F.lit("\\"), F.lit("")), F.lit(", got "), mime)).otherwise(F.concat(F.lit("text extension has binary MIME: "), mime))
+    return F.when(flagged & ext.isNotNull() & mime.isNotNull(), severity), detail
+
+
 def mime_mismatch(files: DataFrame) -> DataFrame:
     """files (package_id, path, mime) whose type disagrees with the extension: adds ext, severity, detail."""
-    strict = small(files.sparkSession, [(e, p) for exts, p in STRICT_TYPES.items() for e in exts.split()], "ext, expected")
-    rows = files.withColumn("ext", extension(F.col("path"))).filter("ext is not null and mime is not null").join(F.broadcast(strict), "ext", "left")
-    wrong = ~F.regexp_like("mime", F.concat(F.lit("^("), F.col("expected"), F.lit(")$")))
-    forgiven = (F.col("mime") == "application/octet-stream") & ~F.col("ext").isin(UNFORGIVEN_EXTENSIONS)
-    flagged = F.when(F.col("expected").isNotNull(), wrong & ~forgiven).otherwise(F.col("ext").isin(TEXT_EXTENSIONS) & F.col("mime").rlike(BINARY_TYPE))
-    images = F.coalesce(F.col("expected").startswith("image/"), F.lit(False)) & F.col("mime").startswith("image/")
-    severity = F.when(F.col("mime").rlike(EXECUTABLE_TYPE), "CRITICAL").when(images, "LOW").otherwise("HIGH")
-    detail = F.when(F.col("expected").isNotNull(), F.concat(F.lit("expected "), F.replace("expected", F.lit("\\"), F.lit("")), F.lit(", got "), F.col("mime"))).otherwise(F.concat(F.lit("text extension has binary MIME: "), F.col("mime")))
-    return rows.filter(flagged).select("package_id", "path", "ext", "mime", severity.alias("severity"), detail.alias("detail"))
+    rows = files.withColumn("ext", extension(F.col("path"))).withColumn("expected", _expected(F.col("ext")))
+    severity, detail = _mismatch(F.col("ext"), F.col("expected"), F.col("mime"))
+    return rows.select("package_id", "path", "ext", "mime", severity.alias("severity"), detail.alias("detail")).filter("severity is not null")
 
 
-def deceptive_extension(files: DataFrame) -> DataFrame:
-    """Names whose last extension is executable and whose last but one looks like data."""
-    name = F.lower(basename(F.col("path")))
+def _deceptive(path: Column) -> tuple[Column, Column, Column]:
+    """(whether a name deceives, its last extension but one, its last extension)."""
+    name = F.lower(basename(path))
     last, before = F.regexp_extract(name, r"\.([^.]*)$", 1), F.regexp_extract(name, r"([^.]*)\.[^.]*$", 1)
     safe = name.rlike(r"\.(" + "|".join(p.replace(".", r"\.") for p in SAFE_PAIRS) + ")$")
-    rows = files.withColumns({"shown": before, "ext": last})
-    return rows.filter(name.rlike(r"\..*\.") & ~safe & last.isin(EXECUTABLE_EXTENSIONS) & before.isin(DATA_LIKE_EXTENSIONS)).select("package_id", "path", "shown", "ext", F.lit("CRITICAL").alias("severity"))
+    return name.rlike(r"\..*\.") & ~safe & last.isin(EXECUTABLE_EXTENSIONS) & before.isin(DATA_LIKE_EXTENSIONS), before, last
 
 
-def embedded_code(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame:
-    """Scripts in scriptable markup, or in XML of such a vocabulary; program text in images and PDF."""
-    ext, content = extension(F.col("path")), F.col("content")
+def deceptive_extension(files: DataFrame) -> DataFrame:
+    """Names whose last extension is executable and whose last but one looks like data."""
+    found, shown, ext = _deceptive(F.col("path"))
+    return files.filter(found).select("package_id", "path", shown.alias("shown"), ext.alias("ext"), F.lit("CRITICAL").alias("severity"))
+
+
+def _embedded(ext: Column, content: Column, size: Column, limit: int) -> Column:
+    """The severity of embedded code, or null."""
     active = content.rlike(SCRIPT)
     high = (ext.isin(SCRIPTABLE_EXTENSIONS) & active) | ((ext == "xml") & content.rlike(NAMESPACE) & active)
-    critical = ext.isin(CODELESS_EXTENSIONS) & content.rlike(CODE)
-    rows = files.filter((F.col("size") > 0) & (F.col("size") < limit))
-    return rows.withColumn("ext", ext).withColumn("severity", F.when(critical, "CRITICAL").when(high, "HIGH")).filter("severity is not null").select("package_id", "path", "ext", "severity")
+    critical = ext.isin(CODELESS_EXTENSIONS) & content.rlike(PROGRAM_TEXT)
+    return F.when((size > 0) & (size < limit), F.when(critical, "CRITICAL").when(high, "HIGH"))
+
+
+def embedded_code(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame:
+    """Scripts in scriptable markup, or in XML of such a vocabulary; program text in images and PDF."""
+    ext = extension(F.col("path"))
+    return files.select("package_id", "path", ext.alias("ext"), _embedded(ext, F.col("content"), F.col("size"), limit).alias("severity")).filter("severity is not null")
 
 
 def image_hygiene(files: DataFrame) -> DataFrame:
@@ -136,27 +166,36 @@ def image_hygiene(files: DataFrame) -> DataFrame:
     return rows.select("package_id", "images", "mislabels", "percent", severity.alias("severity"), habit.alias("habit")).filter("severity is not null")
 
 
-def all_content_findings(files: DataFrame) -> DataFrame:
-    """Every finding of the scan: (package_id, path, kind, type, severity). files need content, size and mime."""
-    patterns = first_hit_per_type(pattern_hits(scannable_files(files))).select("package_id", "path", F.lit("pattern").alias("kind"), "type", "severity")
-    parts = [
-        mime_mismatch(files).select("package_id", "path", F.lit("mime_mismatch").alias("kind"), F.lit("mime_mismatch").alias("type"), "severity"),
-        deceptive_extension(files).select("package_id", "path", F.lit("deceptive_extension").alias("kind"), F.lit("deceptive").alias("type"), "severity"),
-        embedded_code(files).select("package_id", "path", F.lit("embedded_code").alias("kind"), F.lit("embedded_code").alias("type"), "severity"),
-        image_hygiene(files).select("package_id", F.lit("(scan root)").alias("path"), F.lit("file_hygiene").alias("kind"), F.lit("file_hygiene").alias("type"), "severity"),
-    ]
-    for part in parts:
-        patterns = patterns.unionByName(part)
-    return patterns
-
+def all_content_findings(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame:
+    """Every finding of the scan: (package_id, path, kind, type, severity). files need content, size and mime, and each path once.
 
-def content_summary(findings: DataFrame) -> DataFrame:
-    """Per package, findings by severity and in all. Low mislabels count as issues."""
-    return findings.groupBy("package_id").agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")), F.count(F.lit(1)).alias("total_issues"))
-
-
-def content_risk(findings: DataFrame) -> DataFrame:
-    """Per package: the weighted score, and whether it fails (any critical or high finding)."""
+    Content is read in one pass, which gives all findings of a file at once;
+    image hygiene counts names and types alone in a second, narrow one.
+    """
+    path, ext, mime, content = F.col("path"), F.col("ext"), F.col("mime"), F.col("content")
+    scanned = _scannable(F.col("size"), path, limit)
+    lines = F.when(scanned & _suspicious(), F.filter(F.split(content, "\n"), lambda line: line.rlike(COMBINED)))
+    rows = files.select("package_id", "path", "mime", "content", "size", extension(path).alias("ext"), lines.alias("lines")).withColumn("expected", _expected(ext))
+    finding = lambda test, kind, name, severity: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("type"), severity.alias("severity")))
+    hit = lambda pattern: F.exists("lines", lambda line: line.rlike(pattern))
+    parts = [finding(hit(_any(PATTERNS[first - 1 : last])), "pattern", name, F.lit(level)) for name, level, first, last in PATTERN_TYPES]
+    mismatch, embedded = _mismatch(ext, F.col("expected"), mime)[0], _embedded(ext, content, F.col("size"), limit)
+    parts += [
+        finding(mismatch.isNotNull(), "mime_mismatch", "mime_mismatch", mismatch), finding(_deceptive(path)[0], "deceptive_extension", "deceptive", F.lit("CRITICAL")),
+        finding(embedded.isNotNull(), "embedded_code", "embedded_code", embedded),
+    ]
+    found = rows.select("package_id", "path", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("package_id", "path", "f.*")
+    return found.unionByName(image_hygiene(files).select("package_id", F.lit("(scan root)").alias("path"), F.lit("file_hygiene").alias("kind"), F.lit("file_hygiene").alias("type"), "severity"))
+
+
+def content_summary(findings: DataFrame, packages: DataFrame) -> DataFrame:
+    """For each of the `packages` (package_id, once or more) findings by severity and in all, 0 for a clean one. Low mislabels count as issues."""
+    rows = findings.select("package_id", "severity").unionByName(packages.select("package_id"), allowMissingColumns=True)
+    return rows.groupBy("package_id").agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")), F.count("severity").alias("total_issues"))
+
+
+def content_risk(findings: DataFrame, packages: DataFrame) -> DataFrame:
+    """For each of the `packages` (package_id, once or more) the weighted score, and whether it fails (any critical or high finding)."""
     kind = F.col("kind")
     name = (
         F.when(kind == "mime_mismatch", F.concat(F.lit("mismatch_"), F.lower("severity")))
@@ -165,6 +204,6 @@ def content_risk(findings: DataFrame) -> DataFrame:
         .otherwise(F.col("type"))
     )
     weights = small(findings.sparkSession, list(CONTENT_WEIGHTS.items()), "name, weight")
-    rows = findings.withColumn("name", name).join(F.broadcast(weights), "name", "left")
+    rows = findings.withColumn("name", name).join(F.broadcast(weights), "name", "left").select("package_id", "severity", "weight").unionByName(packages.select("package_id"), allowMissingColumns=True)
     scored = rows.groupBy("package_id").agg(F.sum(F.coalesce("weight", F.lit(0))).cast("long").alias("risk_score"), F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("serious"))
     return scored.select("package_id", "risk_score", F.when(F.col("serious") > 0, "fail").otherwise("pass").alias("status"))

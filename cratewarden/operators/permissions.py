@@ -108,12 +108,15 @@ def permission_findings(entries: DataFrame) -> DataFrame:
     return found.withColumn("in_dependencies", vendor)
 
 
-def permission_risk(findings: DataFrame) -> DataFrame:
-    """Per package: weighted score, issues, hardened entries and verdict. Links inside the package score but are no issue."""
+def permission_risk(findings: DataFrame, packages: DataFrame) -> DataFrame:
+    """For each of the `packages` (package_id, once or more): weighted score, issues, hardened entries and verdict; 0 and pass for a clean one.
+
+    Links inside the package score but are no issue.
+    """
     weights = small(findings.sparkSession, PERMISSION_WEIGHTS, "issue, weight, critical, counted")
-    rows = findings.join(F.broadcast(weights), "issue")
+    rows = findings.join(F.broadcast(weights), "issue").select("package_id", "issue", "in_dependencies", "weight", "critical", "counted").unionByName(packages.select("package_id"), allowMissingColumns=True)
     return rows.groupBy("package_id").agg(
-        F.sum("weight").cast("long").alias("risk_score"), F.count_if("counted").alias("issues"), F.count_if("critical").alias("critical_issues"),
+        F.sum(F.coalesce("weight", F.lit(0))).cast("long").alias("risk_score"), F.count_if("counted").alias("issues"), F.count_if("critical").alias("critical_issues"),
         F.count_if((F.col("issue") == "secure_permissions") & ~F.col("in_dependencies")).alias("hardened"), F.count_if((F.col("issue") == "secure_permissions") & F.col("in_dependencies")).alias("hardened_dependencies"),
     ).withColumn("status", F.when(F.col("critical_issues") > 0, "fail").otherwise("pass"))
 
@@ -138,7 +141,8 @@ def filescan_rollup(stats: DataFrame, permissions: DataFrame, content: DataFrame
     """Per package: CLEAN, HIGH if anything is wrong, else ERROR if a scan is missing.
 
     stats (package_id, files), permissions (package_id, issues), content
-    (package_id, total_issues). A missing scan is a missing row.
+    (package_id, total_issues), each with a row for every package that it scanned,
+    clean ones too. So a missing row is a scan that didn't run or failed.
     """
     rows = stats.select("package_id", "files").join(permissions.select("package_id", "issues"), "package_id", "full").join(content.select("package_id", "total_issues"), "package_id", "full")
     wrong = (F.coalesce("issues", F.lit(0)) > 0) | (F.coalesce("total_issues", F.lit(0)) > 0)

@@ -100,6 +100,11 @@ PATTERNS = [
 PATTERN_WORDS = r"/dev/tcp /bin/ socket fsockopen socat coinhive cryptonight monero stratum+tcp:// xmrig cryptoloot base64_decode atob b64decode fromhex fromcharcode \x chr gzinflate preg_replace curl --post-file document. $_".split()
 PATTERN_TYPES = [("reverse_shell", "CRITICAL", 1, 8), ("crypto_miner", "CRITICAL", 9, 14), ("obfuscation", "HIGH", 15, 22), ("data_exfil", "HIGH", 23, 27), ("webshell", "MEDIUM", 28, 37)]
 
+#: Script in markup, the vocabularies in which XML is scriptable, and program text where none belongs.
+ACTIVE_MARKUP = r"(</?script[\s>]|\bon[a-z]+\s*=|javascript\s*:|<foreignObject)"
+MARKUP_NAMESPACE = r"""xmlns[^=]*=\s*["'](http://www\.w3\.org/2000/svg|http://www\.w3\.org/1999/xhtml|http://www\.w3\.org/1999/XSL/Transform)"""
+PROGRAM_TEXT = r"(<\?php|<%(eval|exec|system))"
+
 #: Content types that an extension must have, whole.
 STRICT_TYPES = {
     "jpg jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/(bmp|x-ms-bmp)",

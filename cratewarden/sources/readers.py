@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.files import EXCLUDED
@@ -31,14 +31,20 @@ VULNERABILITIES = "struct<matches:array<struct<vulnerability:struct<id:string,se
 LINTER = "struct<files:map<string,struct<errors:int,warnings:int,messages:array<struct<message:string,source:string,severity:int,fixable:boolean,type:string,line:int,column:int>>>>>"
 
 
+def below(path: Column, root: str) -> Column:
+    """What of a path lies below a root: both without scheme (any, as file, hdfs or s3a) and doubled slashes, in plain characters."""
+    bare = lambda p: F.regexp_replace(F.regexp_replace(p, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), "^/*|/+", "/")
+    start = bare(F.lit(root.rstrip("/") + "/"))
+    return F.when(F.startswith(bare(path), start), F.substring(bare(path), F.length(start) + 1, F.length(path)))
+
+
 def read_package_files(spark: SparkSession, root: str) -> DataFrame:
     """(package_id, path, size, content) of every file below root/<package>/, outside excluded directories.
 
     Content is read only where a query uses it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://", 1)[-1].lstrip("/").removeprefix("file:").lstrip("/")
-    inner = F.regexp_extract("path", f"^[a-z]*:?/*{base.replace('.', chr(92) + '.')}/(.*)$", 1)
+    inner = below(F.col("path"), root)
     rows = files.select(F.substring_index(inner, "/", 1).alias("package_id"), F.regexp_replace(inner, "^[^/]*/", "").alias("path"), F.col("length").alias("size"), "content")
     return rows.filter(~F.col("path").rlike(EXCLUDED))
 

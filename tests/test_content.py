@@ -26,13 +26,21 @@ def tree(spark, rows):
 def test_each_pattern_type(spark, path, content, kind, severity):
     hits = C.first_hit_per_type(C.pattern_hits(C.scannable_files(tree(spark, [(path, "x\n" + content, "text/plain")])))).collect()
     assert [(h.type, h.severity, h.line) for h in hits] == [(kind, severity, 2)]
-    risk = C.content_risk(C.all_content_findings(tree(spark, [(path, content, "text/plain")]))).collect()[0]
+    files = tree(spark, [(path, content, "text/plain")])
+    risk = C.content_risk(C.all_content_findings(files), files).collect()[0]
     assert risk.status == ("pass" if severity == "MEDIUM" else "fail")
 
 
 def test_clean_file_has_no_findings(spark):
     clean = tree(spark, [("clean_logic.php", "<?php\nfunction evaluate($x) { return $x + 1; }\n", "text/x-php")])
-    assert C.all_content_findings(clean).count() == 0
+    findings = C.all_content_findings(clean)
+    assert findings.count() == 0
+    entries = spark.createDataFrame([("p", "clean_logic.php", "file", 644, None)], "package_id string, path string, kind string, mode int, link_resolved string")
+    permissions, content = P.permission_risk(P.permission_findings(entries), entries), C.content_summary(findings, clean)
+    assert [tuple(r) for r in content.collect()] == [("p", 0, 0, 0, 0, 0)] and [(r.risk_score, r.issues, r.status) for r in permissions.collect()] == [(0, 0, "pass")]
+    assert [tuple(r) for r in C.content_risk(findings, clean).collect()] == [("p", 0, "pass")]
+    level = lambda *scans: P.filescan_rollup(*scans).collect()[0].level
+    assert level(O.file_totals(clean), permissions, content) == "CLEAN" and level(O.file_totals(clean), permissions.limit(0), content) == "ERROR"
 
 
 def test_types_names_and_embedded_code(spark):
@@ -76,12 +84,12 @@ def test_permissions(spark):
     for r in P.permission_findings(entries).collect():
         found.setdefault(r.issue, set()).add(r.path)
     assert found == {"world_writable_file": {"w.txt"}, "world_writable_dir": {"d"}, "sticky_missing": {"d"}, "privilege_escalation": {"suid", "sgid"}, "inversion": {"inv"}, "sensitive_exposed": {".env", "id_rsa"}, "internal_link": {"in"}, "external_link": {"out"}, "dangling_link": {"gone"}, "unneeded_exec": {"readme.txt"}, "secure_permissions": {"safe"}}
-    assert P.permission_risk(P.permission_findings(entries)).collect()[0].status == "fail"
+    assert P.permission_risk(P.permission_findings(entries), entries).collect()[0].status == "fail"
     plan = {(r.path, r.issue): r.proposed for r in P.permission_fix_plan(P.permission_findings(entries)).collect()}
     assert plan["w.txt", "world_writable_file"] == 664 and plan["d", "sticky_missing"] == 1777 and plan[".env", "sensitive_exposed"] == 600 and plan["readme.txt", "unneeded_exec"] == 644
 
 
 def test_empty_tables(spark):
     files = tree(spark, [("a", "b", None)]).limit(0)
-    assert C.content_risk(C.all_content_findings(files)).count() == 0
+    assert C.content_risk(C.all_content_findings(files), files).count() == 0
     assert O.best_practice_files(files).count() == 0
