@@ -5,7 +5,7 @@ reports them in a manifest, which Spark commits like any other output. Files
 carry a name of their own for each attempt, so a retried or lost task leaves at
 most a file that no manifest names. Reading. Tasks take archives from the
 manifest and stream them frame by frame, through a file system that pyarrow
-opens by URI (local, HDFS, S3, GCS); a task never holds more than one record
+opens by URI (local, HDFS, S3 also as s3a, GCS); a task never holds more than one record
 and one read buffer. Every header block and length is validated, and a response's
 digest is checked against its payload.
 
@@ -110,8 +110,16 @@ def parse_record(record: bytes) -> dict:
     return {"page_id": _page(headers["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(headers["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
 
 
+def arrow_uri(uri: str) -> str:
+    """A URI of Spark's as pyarrow names it: Hadoop's s3a and s3n are s3; a bare path is a local file."""
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        return uri if re.match("[A-Za-z][A-Za-z0-9+.-]*:", uri) else f"file://{uri}"
+    return f"{'s3' if scheme.lower() in ('s3a', 's3n') else scheme}://{rest}"
+
+
 def open_uri(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def train_dictionary(pages: DataFrame) -> bytes:

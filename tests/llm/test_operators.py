@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cratewarden.llm import decontaminate, mixing, pii, quality, secrets, sharding, simhash, spans, substrings, toolcalls, warc
+from cratewarden.llm import common, decontaminate, mixing, pii, quality, secrets, sharding, simhash, spans, substrings, toolcalls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = "cell string, sub string, fp string, keys string, row string, size string, target string, found string, name string, at string, kept string, component string"
@@ -215,6 +215,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_uris_as_pyarrow_names_them():
+    assert [warc.arrow_uri(u) for u in ("s3a://b/x", "s3n://b/x", "hdfs://h:8020/x", "file:///x", "file:/x", "/x", "gs://b/x")] == ["s3://b/x", "s3://b/x", "hdfs://h:8020/x", "file:///x", "file:/x", "file:///x", "gs://b/x"]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+    Session.conf = Conf({"spark.master": "local[2]"})
+    assert common.shared_dir(Session) == Session.conf["spark.checkpoint.dir"]
+
+
 def test_warc_rejects_damage(tmp_path):
     record = warc.record_bytes(1, b"hello", None, False)
     assert warc.parse_record(record)["payload"] == b"hello"
