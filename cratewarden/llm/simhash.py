@@ -23,7 +23,7 @@ counted in numpy, from 64-bit shingle hashes made in each task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,16 +140,23 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 # with the chance of their similarity to the power ROWS, whatever the input's
 # size. A pair at 0.8 shares a key in some band with chance 0.9999.
 #
-# All members of a bucket meet, but not in all pairs: each meets the bucket's
-# first and the one before it, in an order of the bucket's own, and then those
-# that are in other components than itself. A large group of near copies thus
-# costs one row for each member, and no pair of a bucket is left out that could
-# join two components. Sizes and bits only propose: every link is verified on
-# both shingle sets, and texts are one node only if their sets are equal.
+# Members of a bucket don't meet in all pairs: each meets the bucket's first and
+# the one before it, in an order of the bucket's own. A large group of near
+# copies thus costs one row for each member. What shares a bucket and is in two
+# components then meets by a prefix join on the shingles themselves, rarest
+# first, which leaves out no pair at 0.8: the first common shingle of such sets,
+# of n and m <= n, is among the first n / 5 + 1 of one and m / 9 + 1 of the other.
+# Passages that many texts share come last in that order, so texts that share no
+# more than that don't meet. Sizes and bits only propose: every link is verified
+# on both shingle sets, and texts are one node only if their sets are equal.
 
 BANDS, ROWS = 32, 6
 #: Most differing bits of BANDS * ROWS, one from each smallest hash, for a candidate: at similarity 0.8 the mean is 19.2 and the deviation 4.2.
 MOST_BITS = 44
+#: Members of a bucket that are put in order together; larger buckets are parted, and tied by their first.
+BUCKET = 4096
+#: Bits of the counters by which shingles are ordered, 4 MB in all.
+COUNTERS = 20
 
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,36 +199,8 @@ def with_shingle_set(docs: DataFrame, digest: str, size: str, bits: str, keys: s
     return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(digest, T.BinaryType()), T.StructField(size, T.LongType()), T.StructField(bits, longs), T.StructField(keys, longs)]))
 
 
-def _maybe_near(a: str, b: str) -> Column:
-    """Whether the sizes and bits of two members allow similarity 0.8."""
-    small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-    differing = [F.bit_count(F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}"))) for k in range(_WORDS)]
-    return (small * 5 >= large * 4) & (sum(differing[1:], differing[0]) <= MOST_BITS)
-
-
-def near_links(fps: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """fps (node, size, bits, keys), sets all different -> (a, b): links that join all which share a key and pass `verify`."""
-    points = fps.select("node", "size", *(F.col("bits")[k].alias(f"bits{k}") for k in range(_WORDS)), F.explode("keys").alias("key"))
-    points = cut(points.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1").drop("many"), "near-buckets")
-    member = F.struct("node", "size", *(f"bits{k}" for k in range(_WORDS)))
-    bucket = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-    met = points.select(member.alias("x"), F.array(F.first(member).over(bucket), F.lag(member).over(bucket)).alias("others"))
-    met = met.select("x", F.explode(F.array_distinct("others")).alias("y")).filter("y is not null and x.node <> y.node")
-    met = met.filter(_maybe_near("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    met = cut(met, "near-met")
-    links = cut(verify(met), "near-links")
-    # what shares a bucket and is in two components still has to meet
-    placed = points.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    placed = cut(placed.join(parted, "key", "left_semi").select("key", "component", member.alias("x")), "near-parted")
-    left, right = placed.alias("l"), placed.select("key", F.col("component").alias("other"), F.col("x").alias("y")).alias("r")
-    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("component") < F.col("other")) & _maybe_near("x", "y"))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    return links.unionByName(cut(verify(cut(rest, "near-rest")), "near-links"))
-
-
-def verified(links: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The links (a, b) whose shingle sets are at similarity 0.8 or more. texts (node, text)."""
+def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the texts (node, text) whose node is in `wanted`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,13 +209,97 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 made = [s.view(np.int64) for s in _shingle_sets(part.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(task, "node long, shingles array<long>"), "near-sets")
+    return cut(texts.join(wanted.select("node"), "node", "left_semi").select("node", "text").mapInArrow(task, "node long, shingles array<long>"), "near-sets")
+
+
+def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) whose shingle sets (node, shingles) are at similarity 0.8 or more."""
     pairs = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "left"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "right"}), "b")
     # of sets of m and n, s in both: s / (m + n - s) >= 4 / 5
     return pairs.filter(F.size(F.array_intersect("left", "right")) * 9 >= (F.size("left") + F.size("right")) * 4).select("a", "b")
 
 
+def _maybe_near(met: DataFrame, fps: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes and bits allow similarity 0.8."""
+    for node, side in (("a", "x"), ("b", "y")):
+        met = met.join(fps.select(F.col("node").alias(node), F.col("size").alias(f"{side}size"), F.col("bits").alias(f"{side}bits")), node)
+    differing = [F.bit_count(F.col("xbits")[k].bitwiseXOR(F.col("ybits")[k])) for k in range(_WORDS)]
+    sizes = F.least("xsize", "ysize") * 5 >= F.greatest("xsize", "ysize") * 4
+    return met.filter(sizes & (sum(differing[1:], differing[0]) <= MOST_BITS)).select("a", "b")
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall on each of 2 ** COUNTERS counters."""
+    shift = np.uint64(64 - COUNTERS)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            at = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> shift
+            counts += np.bincount(at.astype(np.int64), minlength=len(counts))
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["at", "n"])
+
+    found = sets.select("shingles").mapInArrow(task, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 ** COUNTERS rows at most
+    counts = np.zeros(1 << COUNTERS, np.uint32)
+    counts[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    return counts
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """sets (node, component, shingles) -> (a, b): pairs of different components, among them all at similarity 0.8 or more.
+
+    A shingle's pairs of one component are never made: those of its most
+    frequent component meet others only.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - COUNTERS)
+        for batch in batches:
+            for node, component, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = made.values.to_numpy(zero_copy_only=False)
+                n = len(tokens)
+                order = np.lexsort((tokens, counts.value[tokens.view(np.uint64) >> shift]))
+                probe, index = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
+                first = tokens[order[: min(n, probe)]]
+                place = np.arange(1, len(first) + 1)
+                same = [pa.array(np.full(len(first), v, np.int64)) for v in (node, component, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(first), *same, pa.array(place), pa.array(place <= index)], ["token", "node", "component", "size", "place", "indexed"])
+
+    rows = cut(sets.select("node", "component", "shingles").mapInArrow(task, "token long, node long, component long, size long, place long, indexed boolean"), "near-prefixes")
+    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
+    rows = cut(rows.join(parts.filter("parts > 1").drop("parts"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "near-prefixes")
+    left = rows.withColumn("turn", F.when(F.col("other"), 0).otherwise(1)).alias("x")
+    right = rows.filter("indexed").withColumn("turn", F.explode(F.when(F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).alias("y")
+    met = left.join(right, ["token", "turn"]).filter(
+        "x.component <> y.component and (x.size > y.size or (x.size = y.size and x.node > y.node)) and y.size * 5 >= x.size * 4"
+        " and (least(x.size - x.place, y.size - y.place) + 1) * 9 >= (x.size + y.size) * 4"
+    )
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def near_links(fps: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """fps (node, size, bits, keys), sets all different, and their texts (node, text) -> (a, b): verified links that join all which share a key and are near."""
+    points = fps.select("node", F.explode("keys").alias("key"))
+    turned = F.col("node").bitwiseXOR(F.xxhash64("key"))  # the bucket's own order
+    buckets = points.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(turned).alias("first")).filter("many > 1")
+    points = cut(points.join(buckets, "key").withColumn("first", F.col("first").bitwiseXOR(F.xxhash64("key"))), "near-buckets")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BUCKET))
+    before = F.lag("node").over(Window.partitionBy("key", "part").orderBy("turned"))
+    met = points.withColumns({"part": part, "turned": turned}).withColumn("before", before).select("node", F.explode(F.array("first", "before")).alias("other")).filter("other is not null and node <> other")
+    met = cut(_maybe_near(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), fps), "near-met")
+    sets = shingle_sets(texts, met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
+    links = cut(verified(met, sets), "near-links")
+    # what shares a bucket and is in two components still has to meet
+    placed = points.select("key", "node").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    nodes = cut(placed.join(parted, "key", "left_semi").select("node", "component").distinct(), "near-parted")
+    sets = shingle_sets(texts, nodes, shingle)
+    rest = cut(prefix_pairs(sets.join(nodes, "node")).join(met, ["a", "b"], "left_anti"), "near-rest")
+    return links.unionByName(cut(verified(rest, sets), "near-links"))
+
+
 def drop_near_copies(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     """Of each group of near copies one row stays, that with the smallest doc_id; the columns of `docs`.
 
@@ -249,7 +312,7 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     fps = rows.groupBy(digest).agg(F.min(order).alias("first"), *(F.first(c).alias(name) for c, name in ((size, "size"), (bits, "bits"), (keys, "keys")))).withColumn("node", F.col("first.row"))
     fps = cut(fps, "near-fingerprints")
     texts = rows.select(F.col(row).alias("node"), "text")
-    component = connected_components(near_links(fps, lambda links: verified(links, texts, shingle)))
+    component = connected_components(near_links(fps, texts, shingle))
     named = fps.select("node", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -431,17 +431,37 @@ def test_near_copies_leave_one(docs, rows, empty):
 
 
 def test_near_copies_meet_all_members_of_a_bucket(spark):
-    """Pairs whose members are neither first in their buckets nor neighbours there, among many strangers that share every bucket."""
+    """Pairs whose members are neither first in their buckets nor neighbours there, among many strangers that share every bucket and a passage."""
     rng = random.Random(3)
-    fps = []
+    shared, rows = prose(rng, 90), []
     for pair in range(60):
-        bits = [rng.getrandbits(63) for _ in range(3)]
-        fps += [(pair, 100, bits, [7, 8]), (1000 - pair, 100, [bits[0] ^ 5, *bits[1:]], [7, 8])]
-    table = spark.createDataFrame(fps, "node long, size long, bits array<long>, keys array<long>")
-    got = {(r.a, r.b) for r in simhash.near_links(table, lambda links: links).collect()}
+        own = prose(rng, 60)
+        rows += [(pair, f"{own} {shared}"), (1000 - pair, f"{own} {shared} once more")]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    fps = simhash.with_shingle_set(texts, "digest", "size", "bits", "keys", 5).withColumn("keys", F.expr("array(7L, 8L)"))
+    got = {(r.a, r.b) for r in simhash.near_links(fps, texts, 5).collect()}
     assert got == {(pair, 1000 - pair) for pair in range(60)}
 
 
+def test_prefix_pairs_leave_out_no_near_pair(spark):
+    """Sets of many sizes around a few bases, in components of which one is large, against all pairs."""
+    rng = random.Random(5)
+    value = lambda: rng.getrandbits(64) - (1 << 63)
+    common, sets = [value() for _ in range(60)], []
+    for _ in range(12):
+        base = [value() for _ in range(rng.choice((1, 2, 3, 9, 40, 200)))] + rng.sample(common, rng.randint(0, 60))
+        for _ in range(12):
+            kept = [v for v in base if rng.random() < rng.choice((0.85, 0.95, 1.0))]
+            sets.append({*kept, *(value() for _ in range(rng.randint(0, max(1, len(base) // 10))))})
+    sets.append(set())
+    rows = [(node, 0 if node % 3 else node, sorted(s)) for node, s in enumerate(sets)]
+    got = {(r.a, r.b) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "node long, component long, shingles array<long>")).collect()}
+    apart = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if rows[a][1] != rows[b][1]}
+    near = {(a, b) for a, b in apart if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4 and sets[a]}
+    assert len(near) > 100
+    assert near <= got <= apart
+
+
 def test_near_copies_are_verified_on_shingle_sets(spark):
     """Pairs a few shingles above and below 0.8, on long texts."""
     rng = random.Random(8)
