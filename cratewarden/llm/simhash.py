@@ -249,8 +249,9 @@ def _shingle_counts(sets: DataFrame) -> np.ndarray:
 def prefix_pairs(sets: DataFrame) -> DataFrame:
     """sets (node, component, shingles) -> (a, b): pairs of different components, among them all at similarity 0.8 or more.
 
-    A shingle's pairs of one component are never made: those of its most
-    frequent component meet others only.
+    Rows of a shingle's most frequent component meet those of others only, so one
+    large group costs nothing. Pairs inside a less frequent component are
+    compared and left out, so the work grows with the square of a second one.
     """
     counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
 
