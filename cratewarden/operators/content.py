@@ -1,9 +1,9 @@
 """Content scan: malicious patterns, types that disagree with extensions, embedded code, image hygiene, risk.
 
-Files without any of the words that patterns need are dropped by plain search,
-and those whose content meets no pattern by one combined expression, before any
-line is made, so lines exist only for suspicious files;
-from there on everything is in proportion to the hits.
+Files without any of the words that patterns need are dropped by plain search
+before any line is made, and so are lines without one, before the combined
+expression of all patterns reads what is left; from there on everything is in
+proportion to the hits.
 """
 
 from __future__ import annotations
@@ -65,20 +65,25 @@ def scan_coverage(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame:
     return files.groupBy("package_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(_scannable(F.col("size"), F.col("path"), limit)).alias("scanned"), F.count_if(F.col("size") > limit).alias("size_skipped"))
 
 
-def _suspicious() -> Column:
-    """Whether content holds a word that patterns need, in lower case made once, and then one of the patterns."""
-    worded = F.exists(F.array(F.lower("content")), lambda low: reduce(lambda a, b: a | b, (low.contains(w) for w in PATTERN_WORDS)))
-    return worded & F.col("content").rlike(COMBINED)
+def _worded(text: Column) -> Column:
+    """Whether text holds a word that patterns need; its lower case is made once."""
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, (low.contains(w) for w in PATTERN_WORDS)))
+
+
+def _matched(line: Column) -> Column:
+    return _worded(line) & line.rlike(COMBINED)
 
 
 def pattern_hits(files: DataFrame) -> DataFrame:
     """(package_id, path, line, pattern_id, type, severity, text) for every line and pattern that meet.
 
     The patterns are literals of one expression, each compiled once for a task.
+    An inner explode would make the optimizer test the arrays first, and so make them twice.
     """
-    rows = files.filter(_suspicious()).select("package_id", "path", F.posexplode(F.split("content", "\n")).alias("line", "text")).filter(F.col("text").rlike(COMBINED))
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda text, at: F.struct((at + 1).alias("line"), text.alias("text"))), lambda x: _matched(x["text"]))
+    rows = files.filter(_worded(F.col("content"))).select("package_id", "path", F.inline_outer(lines)).filter("line is not null")
     ids = F.array(*(F.when(F.col("text").rlike(FLAGS + p), F.lit(n)) for n, p in enumerate(PATTERNS, 1)))
-    hits = rows.select("package_id", "path", (F.col("line") + 1).alias("line"), "text", F.explode(F.filter(ids, lambda i: i.isNotNull())).alias("pattern_id"))
+    hits = rows.select("package_id", "path", "line", "text", F.explode_outer(F.filter(ids, lambda i: i.isNotNull())).alias("pattern_id"))
     kind = severity = None
     for name, level, first, last in PATTERN_TYPES:
         inside = F.col("pattern_id").between(first, last)
@@ -174,7 +179,7 @@ def all_content_findings(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame
     """
     path, ext, mime, content = F.col("path"), F.col("ext"), F.col("mime"), F.col("content")
     scanned = _scannable(F.col("size"), path, limit)
-    lines = F.when(scanned & _suspicious(), F.filter(F.split(content, "\n"), lambda line: line.rlike(COMBINED)))
+    lines = F.when(scanned & _worded(content), F.filter(F.split(content, "\n"), _matched))
     rows = files.select("package_id", "path", "mime", "content", "size", extension(path).alias("ext"), lines.alias("lines")).withColumn("expected", _expected(ext))
     finding = lambda test, kind, name, severity: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("type"), severity.alias("severity")))
     hit = lambda pattern: F.exists("lines", lambda line: line.rlike(pattern))
@@ -184,7 +189,7 @@ def all_content_findings(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame
         finding(mismatch.isNotNull(), "mime_mismatch", "mime_mismatch", mismatch), finding(_deceptive(path)[0], "deceptive_extension", "deceptive", F.lit("CRITICAL")),
         finding(embedded.isNotNull(), "embedded_code", "embedded_code", embedded),
     ]
-    found = rows.select("package_id", "path", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("package_id", "path", "f.*")
+    found = rows.select("package_id", "path", F.explode_outer(F.array_compact(F.array(*parts))).alias("f")).filter("f is not null").select("package_id", "path", "f.*")
     return found.unionByName(image_hygiene(files).select("package_id", F.lit("(scan root)").alias("path"), F.lit("file_hygiene").alias("kind"), F.lit("file_hygiene").alias("type"), "severity"))
 
 
