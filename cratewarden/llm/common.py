@@ -1,4 +1,4 @@
-"""What several corpus operators share: the shared scratch folder, words, and the input tables."""
+"""What several corpus operators share: the shared scratch folder and its files, words, and the input tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def arrow_uri(uri: str) -> str:
+    """A URI of Spark's as pyarrow names it: Hadoop's s3a and s3n are s3; a bare path is a local file."""
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        return uri if re.match("[A-Za-z][A-Za-z0-9+.-]*:", uri) else f"file://{uri}"
+    return f"{'s3' if scheme.lower() in ('s3a', 's3n') else scheme}://{rest}"
+
+
+def open_uri(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 

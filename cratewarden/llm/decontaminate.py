@@ -23,14 +23,19 @@ n - q + 1 - kq of them. No window is lost by leaving out the others. Windows
 that hang over an end are few, and are verified without a walk.
 
 Scale. Documents pass through one narrow stage. The benchmark is tested in
-blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, each broadcast;
-a benchmark of any size runs in as many passes as it has blocks.
+blocks of about BLOCK_ITEMS items or BLOCK_BYTES bytes. Tasks index the blocks
+and write them to the shared folder, where each Python worker reads a block
+once, so items don't pass through the driver; a benchmark of any size runs in
+as many passes as it has blocks.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .common import cut, open_uri, shared_dir
 
 MAX_EDITS = 0.2
 WALKS, BANDS, SAMPLES = 6, 6, 2
@@ -220,8 +226,8 @@ def met_items(index: Index, keys: list[np.ndarray], n: int) -> tuple[np.ndarray,
     return met // len(index.ids), met % len(index.ids)
 
 
-def _match_task(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index: Index = shared.value
+def _match_task(uri: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = opened(uri)
     for batch in batches:
         doc = batch.column(0)
         for base, hashes, bounds in wordhash.chunks(batch.column(1), _SEPARATORS, _FOLD):
@@ -240,25 +246,38 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The items in blocks that are small enough to be broadcast. Items without words are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    ids, texts, size = [], [], 0
+def index_blocks(benchmark: DataFrame) -> list[str]:
+    """The items in blocks that a task can hold, each an index file in the shared folder: their URIs. Items without words are left out.
 
-    def made() -> Iterator[Index]:
-        found = [(i, w) for i, w in zip(ids, item_words(texts), strict=True) if len(w)]
-        if found:
-            yield Index([i for i, _ in found], [w for _, w in found])
-
-    for item_id, text in items.toLocalIterator():
-        if ids and (len(ids) >= BLOCK_ITEMS or size + len(text) > BLOCK_BYTES):
-            yield from made()
-            ids, texts, size = [], [], 0
-        ids.append(item_id)
-        texts.append(text)
-        size += len(text)
-    if ids:
-        yield from made()
+    Tasks make the indexes, one of a block each; a task that runs again writes a
+    file of another name, and only the files of finished tasks are listed.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+    items = cut(items, "benchmark-items")
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not n:
+        return []
+    many, folder = max(-(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES)), shared_dir(benchmark.sparkSession)
+
+    def build(group: pa.Table) -> pa.Table:
+        found = [(i, w) for i, w in zip(group.column("item_id").to_pylist(), item_words(group.column("text").to_pylist()), strict=True) if len(w)]
+        uris = [f"{folder}/benchmark-index-{uuid.uuid4().hex}"] if found else []
+        for uri in uris:
+            files, path = open_uri(uri)
+            with files.open_output_stream(path) as out:
+                pickle.dump(Index([i for i, _ in found], [w for _, w in found]), out, protocol=5)
+        return pa.table({"uri": pa.array(uris, pa.string())})
+
+    made = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(many))).groupBy("block").applyInArrow(build, "uri string")
+    return [r.uri for r in cut(made, "benchmark-indexes").collect()]  # a row for each block
+
+
+@lru_cache(maxsize=1)
+def opened(uri: str) -> Index:
+    """An index file, read once by each Python worker that needs it."""
+    files, path = open_uri(uri)
+    with files.open_input_stream(path) as source:
+        return pickle.loads(source.read())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -270,9 +289,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id")
     """
     schema = "doc_id long, item_id long, start_word long, edits int, n_words int"
     found = None
-    for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        part = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches, shared=shared: _match_task(shared, batches), schema)
+    for uri in index_blocks(benchmark):
+        part = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches, uri=uri: _match_task(uri, batches), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -283,14 +301,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id")
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a window near any item, also over an end; the columns and rows of `docs`, in one narrow stage for each block."""
     schema = docs.schema
-    for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for uri in index_blocks(benchmark):
 
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def task(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for base, hashes, bounds in wordhash.chunks(batch.column(batch.schema.get_field_index("text")), _SEPARATORS, _FOLD):
-                    for at, *_ in matches(shared.value, hashes, bounds):
+                    for at, *_ in matches(opened(uri), hashes, bounds):
                         clean[base + np.searchsorted(bounds, at, "right") - 1] = False
                 yield batch.filter(pa.array(clean))
 

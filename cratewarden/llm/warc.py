@@ -26,12 +26,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, shared_dir
+from .common import bounded_sample, cut, open_uri, shared_dir
 
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 8192, 32 << 10
@@ -110,18 +109,6 @@ def parse_record(record: bytes) -> dict:
     return {"page_id": _page(headers["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(headers["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
 
 
-def arrow_uri(uri: str) -> str:
-    """A URI of Spark's as pyarrow names it: Hadoop's s3a and s3n are s3; a bare path is a local file."""
-    scheme, colon, rest = uri.partition("://")
-    if not colon:
-        return uri if re.match("[A-Za-z][A-Za-z0-9+.-]*:", uri) else f"file://{uri}"
-    return f"{'s3' if scheme.lower() in ('s3a', 's3n') else scheme}://{rest}"
-
-
-def open_uri(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(arrow_uri(uri))
-
-
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads, or nothing where there are too few."""
     text = F.coalesce(F.col("html"), F.lit(""))

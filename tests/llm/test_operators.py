@@ -216,7 +216,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_uris_as_pyarrow_names_them():
-    assert [warc.arrow_uri(u) for u in ("s3a://b/x", "s3n://b/x", "hdfs://h:8020/x", "file:///x", "file:/x", "/x", "gs://b/x")] == ["s3://b/x", "s3://b/x", "hdfs://h:8020/x", "file:///x", "file:/x", "file:///x", "gs://b/x"]
+    assert [common.arrow_uri(u) for u in ("s3a://b/x", "s3n://b/x", "hdfs://h:8020/x", "file:///x", "file:/x", "/x", "gs://b/x")] == ["s3://b/x", "s3://b/x", "hdfs://h:8020/x", "file:///x", "file:/x", "file:///x", "gs://b/x"]
 
 
 def test_shared_folder_must_be_named_on_a_cluster():
