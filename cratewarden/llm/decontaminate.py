@@ -108,16 +108,16 @@ def band_keys(words: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]
     for walk in range(WALKS):
         rng = np.random.default_rng((n, walk))
         steps = np.sort(np.stack([rng.choice(2 * n, SAMPLES, replace=False) if 2 * n >= SAMPLES else np.zeros(SAMPLES, int) for _ in range(BANDS)]), axis=1)
-        at = np.zeros(len(starts), np.int64)
+        sampled = steps.tolist()
+        place, end = starts.astype(np.int64), starts + n
         keys = [np.full(len(starts), band + 1, np.uint64) for band in range(BANDS)]
         for j in range(int(steps.max()) + 1):
-            over = at >= n
-            symbol = np.where(over, _U(0), words[starts + np.minimum(at, n - 1)])
-            for band in range(BANDS):
-                if j in steps[band]:
-                    keys[band] = wordhash.mix(keys[band] * _U(0x9E3779B97F4A7C15) ^ symbol)
+            # a pointer has moved j words at most, so none is past its window before step n
+            symbol = words[place] if j < n else np.where(place < end, words[np.minimum(place, end - 1)], _U(0))
+            for band in (b for b in range(BANDS) if j in sampled[b]):
+                keys[band] = wordhash.mix(keys[band] * _U(0x9E3779B97F4A7C15) ^ symbol)
             # f_j: one bit of the symbol under a multiplier of its own step
-            at += ((symbol * _U(int(rng.integers(1, 2**63)) | 1)) >> _U(63)).astype(np.int64)
+            place += ((symbol * _U(int(rng.integers(1, 2**63)) | 1)) >> _U(63)).view(np.int64)
         out += keys
     return out
 
