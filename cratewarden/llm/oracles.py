@@ -47,4 +47,30 @@ x AS (SELECT *, CAST(whole + CASE WHEN off + size / 2.0::DOUBLE < target - whole
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies, CASE WHEN copies > 0 THEN round(CASE WHEN u <= 0 THEN 0.0 ELSE 2 * u / ((1 - {_ramp}) + sqrt((1 - {_ramp}) * (1 - {_ramp}) + 4 * {_ramp} * u)) END, 9) END AS first_position FROM x
 """
 
-SQL = {"op4_substrings": OP4, "op5_quality": OP5, "op6_mixing": OP6}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+c AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(t) * docs) // words) AS m FROM d, c WHERE len(t) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+_nearest = """{0} AS (SELECT i, p, arg_min(e, dist * 100 + e) AS e, min(dist) AS dist FROM (SELECT v.i, v.p, b.e, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS dist FROM v JOIN {1} b USING (p, k) GROUP BY v.i, v.p, b.e) GROUP BY i, p),"""
+_refined = """{0} AS (SELECT b.p, b.e, b.k, coalesce(n.x, b.x) AS x FROM {1} b LEFT JOIN (SELECT v.p, e, k, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM v JOIN {2} USING (i, p) GROUP BY ALL) n USING (p, e, k)),"""
+OP13 = f"""
+WITH rows AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS i, vec_id, label, embedding AS y FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+v AS MATERIALIZED (SELECT i, j * 16 // n AS p, j - (j * 16 // n) * n // 16 AS k, CAST(floor(256 * x::DOUBLE) AS BIGINT) AS x FROM (SELECT i, len(y) AS n, unnest(y) AS x, unnest(range(len(y))) AS j FROM rows)),
+b0 AS (SELECT p, i AS e, k, x FROM v WHERE i < 64),
+{_nearest.format("n0", "b0")} {_refined.format("b1", "b0", "n0")}
+{_nearest.format("n1", "b1")} {_refined.format("b2", "b1", "n1")}
+{_nearest.format("n2", "b2")}
+c AS (SELECT i, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM n2 GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, k)) FROM b2) AS codebooks_sha256 FROM rows JOIN c USING (i)
+"""
+
+SQL = {"op4_substrings": OP4, "op5_quality": OP5, "op6_mixing": OP6, "op12_lexical": OP12, "op13_codes": OP13}

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .codes import code_report
 from .common import table
 from .decontaminate import contaminated
+from .lexical import rank_documents
 from .mixing import mix_report
 from .pii import pii_report
 from .quality import quality_report
+from .runindex import suffix_report
 from .secrets import secret_report
 from .sharding import shard_documents
 from .simhash import simhash_report
@@ -60,6 +63,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toolcalls": op8_toolcalls,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op11_suffixes": op11_suffixes,
+    "op12_lexical": op12_lexical,
+    "op13_codes": op13_codes,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
