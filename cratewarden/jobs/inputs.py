@@ -66,8 +66,8 @@ INPUTS = {
     "addresses": """SELECT concat(CASE CAST(c_custkey % 13 AS INT) WHEN 0 THEN 'Info' WHEN 1 THEN 'noreply' WHEN 2 THEN 'postmaster+x' WHEN 3 THEN 'staff' WHEN 4 THEN 'bad address' WHEN 5 THEN 'sales' ELSE concat('user', CAST(c_custkey AS STRING)) END, '@',
  CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'mailinator.example' ELSE concat('d', CAST(c_custkey % 40 AS STRING), '.example') END, CASE WHEN c_custkey % 10 = 0 THEN '.' ELSE '' END) AS address, c_custkey AS k FROM {customer}""",
     "smtp_probes": """SELECT concat('user', CAST(c_custkey AS STRING), '@d', CAST(c_custkey % 40 AS STRING), '.example') AS address, CAST(c_custkey % 6 AS INT) AS rc, c_custkey % 4 > 0 AS connected, c_custkey % 5 > 0 AS banner, c_custkey % 3 > 0 AS mail_from, c_custkey % 2 = 0 AS tls, c_custkey % 29 = 0 AS open_relay, c_custkey % 7 = 0 AS fallback_alive FROM {customer}""",
-    "phpcs": """SELECT concat('pkg', CAST(l_suppkey AS STRING)) AS package_id, CASE CAST(l_partkey % 15 AS INT) WHEN 0 THEN '5.2' WHEN 1 THEN '5.3' WHEN 2 THEN '5.4' WHEN 3 THEN '5.5' WHEN 4 THEN '5.6' WHEN 5 THEN '7.0' WHEN 6 THEN '7.1' WHEN 7 THEN '7.2' WHEN 8 THEN '7.3' WHEN 9 THEN '7.4' WHEN 10 THEN '8.0' WHEN 11 THEN '8.1' WHEN 12 THEN '8.2' WHEN 13 THEN '8.3' ELSE '8.4' END AS php_version,
- concat('src/f', CAST(l_partkey % 9 AS STRING), '.php') AS file, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 80 AS INT) AS col, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'ERROR' WHEN l_returnflag = 'A' THEN 'WARNING' ELSE 'WARNING' END AS type, concat('message ', CAST(l_linenumber AS STRING)) AS message, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('Compat.Rule', CAST(l_suppkey % 5 AS STRING)) END AS source, CAST(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber % 6 END AS INT) AS severity, l_partkey % 2 = 0 AS fixable
+    "phpcs": """SELECT concat('pkg', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey % 32 AS STRING)) AS package_id, CASE CAST(l_partkey % 15 AS INT) WHEN 0 THEN '5.2' WHEN 1 THEN '5.3' WHEN 2 THEN '5.4' WHEN 3 THEN '5.5' WHEN 4 THEN '5.6' WHEN 5 THEN '7.0' WHEN 6 THEN '7.1' WHEN 7 THEN '7.2' WHEN 8 THEN '7.3' WHEN 9 THEN '7.4' WHEN 10 THEN '8.0' WHEN 11 THEN '8.1' WHEN 12 THEN '8.2' WHEN 13 THEN '8.3' ELSE '8.4' END AS php_version,
+ concat('src/f', CAST(l_partkey % 9 AS STRING), '.php') AS file, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 80 AS INT) AS col, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'ERROR' WHEN l_linenumber = 6 AND l_partkey % 4 = 0 THEN NULL ELSE 'WARNING' END AS type, concat('message ', CAST(l_linenumber AS STRING)) AS message, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('Compat.Rule', CAST(l_suppkey % 5 AS STRING)) END AS source, CAST(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber % 6 END AS INT) AS severity, l_partkey % 2 = 0 AS fixable
  FROM {lineitem}""",
     "plugin_files": """SELECT concat('pkg', CAST(doc_id AS STRING)) AS package_id, 'plugin.php' AS path, concat('<?php', chr(10), '/*', chr(10), ' * Plugin Name: Demo ', CAST(doc_id AS STRING), chr(10), ' * Version: 1.', CAST(doc_id % 9 AS STRING), chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' * Author: Ann ', CAST(doc_id AS STRING), chr(10)) END, CASE WHEN doc_id % 4 = 0 THEN concat(' * Author URI: mailto:a', CAST(doc_id AS STRING), '@x.example', chr(10)) WHEN doc_id % 4 = 1 THEN concat(' * Author URI: https://x.example/me', chr(10)) ELSE '' END, CASE WHEN doc_id % 5 < 2 THEN concat(' * Support: help', CAST(doc_id % 3 AS STRING), '@x.example', chr(10)) ELSE '' END, CASE WHEN doc_id % 7 < 3 THEN concat(' * Security: mailto:sec@x.example', chr(10)) ELSE '' END, ' */', chr(10), text) AS content FROM {documents} WHERE doc_id % 10 <> 9
  UNION ALL SELECT concat('pkg', CAST(doc_id AS STRING)), 'readme.txt', concat('=== Demo ===', chr(10), 'Contributors: bob, eve', chr(10), CASE WHEN doc_id % 6 = 0 THEN concat('Donate link: https://x.example/give?to=me@x.example', chr(10)) ELSE '' END, 'Stable tag: 1.', CAST(doc_id % 9 AS STRING), chr(10), chr(10), '== Description ==', chr(10), 'Some text.', chr(10), '== Support ==', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Write to help0@x.example please' ELSE 'See https://x.example/support/desk now' END, chr(10), '== Security ==', chr(10), 'Report at https://x.example/security/report ok', chr(10)) FROM {documents} WHERE doc_id % 4 <> 3
@@ -85,8 +85,11 @@ INPUTS["manifests"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS pack
  WHEN 3 THEN concat('# yarn lockfile v1', chr(10), chr(10), '"@sc/pk@^1.0", "@sc/pk@^1.1":', chr(10), '  version "', v, '"', chr(10), '  resolved "u"', chr(10), chr(10), 'left-pad@^1:', chr(10), '  version "1.3.0"', chr(10), '  version "8.8"', chr(10))
  WHEN 4 THEN concat('# c', chr(10), 'flask[async]==', v, ' ; python_version > "3"', chr(10), 'requests >= 2.0,<3', chr(10), 'noversion', chr(10), '-r x.txt') WHEN 5 THEN concat('{{"default":{{"p":{{"version":"==', v, '"}},"q":{{"version":"==1"}}}},"develop":{{"q":{{"version":"==2"}},"r":{{}}}}}}')
  WHEN 6 THEN concat('module m', chr(10), 'require (', chr(10), chr(9), 'github.com/a/b v', v, chr(10), chr(9), '// c', chr(10), ')', chr(10), 'require github.com/c/d v2', chr(10), chr(9), 'github.com/no/no v9') ELSE 'nothing' END AS content, v FROM (SELECT *, concat('1.', CAST(p_size AS STRING)) AS v FROM {part}) p"""
-INPUTS["vuln_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'oops' ELSE concat('{{"matches":[{{"vulnerability":{{"id":"CVE-', CAST(p_partkey AS STRING), '","severity":"High","cvss":[{{"version":"3.1","metrics":{{"baseScore":', CAST(p_size % 10 AS STRING), '.5}}}},{{"version":"2.0","metrics":{{"baseScore":1.0}}}}]}}}},{{"vulnerability":{{"id":"GHSA-x"}}}}]}}') END AS content, p_size FROM {part}"""
-INPUTS["lint_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'PHP Fatal error' ELSE concat('{{"totals":{{}},"files":{{"a.php":{{"errors":1,"warnings":0,"messages":[{{"message":"m', CAST(p_size AS STRING), '","source":"S.R","severity":5,"fixable":true,"type":"ERROR","line":', CAST(p_size AS STRING), ',"column":1}}]}},"b.php":{{"errors":0,"warnings":1,"messages":[{{"message":"w","type":"WARNING","line":2}}]}}}}}}') END AS content, p_size FROM {part}"""
+INPUTS["vuln_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'oops' WHEN p_partkey % 9 = 1 THEN '{{"matches":[]}}' ELSE concat('{{"matches":[{{"vulnerability":{{"id":"CVE-', CAST(p_partkey AS STRING), '","severity":"High","cvss":[{{"version":"3.1","metrics":{{"baseScore":', CAST(p_size % 10 AS STRING), '.5}}}},{{"version":"2.0","metrics":{{"baseScore":1.0}}}}]}}}},{{"vulnerability":{{"id":"GHSA-x"}}}}]}}') END AS content, p_size FROM {part}"""
+INPUTS["lint_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package_id, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'PHP Fatal error' WHEN p_partkey % 9 = 1 THEN CASE WHEN p_partkey % 2 = 0 THEN '{{}}' ELSE '{{"totals":{{"errors":0,"warnings":0,"fixable":0}},"files":{{}}}}' END ELSE concat('{{"totals":{{', CASE WHEN p_partkey % 9 = 2 THEN '"errors":7,"warnings":3' ELSE '' END, '}},"files":{{"a.php":{{"errors":1,"warnings":0,"messages":[{{"message":"m', CAST(p_size AS STRING), '","source":"S.R","severity":5,"fixable":true,"type":"ERROR","line":', CAST(p_size AS STRING), ',"column":1}}]}},"b.php":{{"errors":0,"warnings":1,"messages":[{{"message":"w","type":"WARNING","line":2}}]}}}}}}') END AS content, p_size FROM {part}"""
+#: Packages that were looked at; some have no message, match or component.
+INPUTS["lint_packages"] = "SELECT concat('pkg', CAST(s_suppkey AS STRING), '-', CAST(n AS STRING)) AS package_id FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (26), (27), (28), (29), (30), (31), (32), (33), (34), (35), (36), (37), (38), (39)) AS r(n)"
+INPUTS["scanned"] = "SELECT DISTINCT concat(CASE WHEN o_orderkey % 9 = 0 THEN 'clean' ELSE 'pkg' END, CAST(CAST(FLOOR(o_orderkey / 64) AS BIGINT) AS STRING)) AS package_id FROM {orders}"
 INPUTS["target_lists"] = """SELECT c_custkey AS k, concat('a', CAST(c_custkey AS STRING), '@x.example, b.example;c.example', chr(10), '# comment, z', chr(10), '  d', CAST(c_custkey AS STRING), '.example  ', chr(10), chr(10), 'e .example,,#f') AS value FROM {customer}"""
 
 #: What an input needs on top that the two engines write differently: column, Spark's and DuckDB's expression.

@@ -28,13 +28,13 @@ jobs.add("readme_fields", lambda p: joined(G.readme_fields(p), "contributors"),
 _EMAIL = r"[\w.+-]+@[\w.-]+\.[a-zA-Z]{2,}"
 jobs.add("extract_contact", lambda p: p.filter("path <> 'plugin.php'").select("package_id", "path", *(G.extract_contact(F.col("content"), k).alias(k.replace(".", "_")) for k in ("support", "security", "security.txt"))), "plugin_files", sql=rf"""SELECT package_id, path, coalesce(nullif(regexp_extract(content, '{_EMAIL}'), ''), nullif(regexp_extract(content, '(?i)https?://[^\s\)]+(?:support|help|contact|forum)[^\s\)]*'), ''), nullif(regexp_extract(content, 'https?://[^\s\)]+'), '')) AS support, coalesce(nullif(regexp_extract(content, '{_EMAIL}'), ''), nullif(regexp_extract(content, '(?i)https?://[^\s\)]+(?:security|report|vulnerability)[^\s\)]*'), ''), nullif(regexp_extract(content, 'https?://[^\s\)]+'), '')) AS security,
  nullif(trim(regexp_extract(content, '(?mi)^Contact:[ \t]*([^\r\n]+?)[ \t]*$', 1)), '') AS security_txt FROM plugin_files WHERE path <> 'plugin.php'""")
-jobs.add("contact_info", lambda p: joined(G.contact_info(p), "contributors", "issues"), "plugin_files", sql=f"""{BASE}, c AS (SELECT *, list_filter([CASE WHEN NOT has_main THEN 'Could not identify the main plugin file' END, CASE WHEN has_main AND author IS NULL THEN 'Missing Author header in the main file comment block' END, CASE WHEN has_main AND author_uri IS NULL THEN 'Missing Author URI header in the main file comment block' END, CASE WHEN NOT has_readme THEN 'No contributors listed in readme.txt' END,
- CASE WHEN coalesce(author_uri, '') NOT LIKE '%@%' AND donate IS NULL THEN 'No email address found in any contact field' END], lambda x: x IS NOT NULL) AS i FROM q) SELECT package_id, author AS publisher, author_uri AS publisher_uri, CASE WHEN has_readme THEN 'bob|eve' END AS contributors, donate AS donate_link, array_to_string(i, '|') AS issues, len(i) = 0 AS passes FROM c""")
+jobs.add("contact_info", lambda p: joined(G.contact_info(p), "contributors", "issues"), "plugin_files", sql=f"""{BASE}, c AS (SELECT *, list_filter([CASE WHEN NOT has_main THEN 'no_main_file' END, CASE WHEN has_main AND author IS NULL THEN 'no_author_header' END, CASE WHEN has_main AND author_uri IS NULL THEN 'no_author_uri_header' END, CASE WHEN NOT has_readme THEN 'no_contributors' END,
+ CASE WHEN coalesce(author_uri, '') NOT LIKE '%@%' AND donate IS NULL THEN 'no_contact_email' END], lambda x: x IS NOT NULL) AS i FROM q) SELECT package_id, author AS publisher, author_uri AS publisher_uri, CASE WHEN has_readme THEN 'bob|eve' END AS contributors, donate AS donate_link, array_to_string(i, '|') AS issues, (author IS NOT NULL OR author_uri IS NOT NULL) AND (coalesce(author_uri, '') LIKE '%@%' OR donate IS NOT NULL) AS passes FROM c""")
 jobs.add("support_info", lambda p: joined(G.support_info(p), "issues"), "plugin_files", sql=f"""{BASE}, s AS (SELECT *, list_filter([support, md, rsupport], lambda x: x IS NOT NULL) AS given FROM q), t AS (SELECT *, len(list_distinct(given)) <= 1 AS consistent, coalesce(support, md) IS NOT NULL OR coalesce(rsupport, '') LIKE '%@%' AS email FROM s),
- u AS (SELECT *, list_filter([CASE WHEN NOT has_main THEN 'Could not identify the main plugin file' WHEN support IS NULL THEN 'Missing Support header in the main file comment block' END, CASE WHEN NOT md_exists THEN 'No SUPPORT.md file found' END, CASE WHEN md_exists AND md IS NULL THEN 'SUPPORT.md exists but no contact information could be extracted' END, CASE WHEN NOT consistent THEN 'Inconsistent support contacts: ' || array_to_string(list_filter(['header: ' || support, 'support.md: ' || md, 'readme.txt: ' || rsupport], lambda x: x IS NOT NULL), ', ') END, CASE WHEN NOT email THEN 'No email address found in any support contact field' END], lambda x: x IS NOT NULL) AS i FROM t)
+ u AS (SELECT *, list_filter([CASE WHEN NOT has_main THEN 'no_main_file' WHEN support IS NULL THEN 'no_support_header' END, CASE WHEN NOT md_exists THEN 'no_support_file' END, CASE WHEN md_exists AND md IS NULL THEN 'support_file_without_contact' END, CASE WHEN NOT consistent THEN 'support_contacts_differ: ' || array_to_string(list_filter(['header: ' || support, 'support.md: ' || md, 'readme.txt: ' || rsupport], lambda x: x IS NOT NULL), ', ') END, CASE WHEN NOT email THEN 'no_support_email' END], lambda x: x IS NOT NULL) AS i FROM t)
  SELECT package_id, support AS header, md AS file, rsupport AS readme, coalesce(support, md, rsupport) AS "primary", consistent, array_to_string(i, '|') AS issues, support IS NOT NULL AND email AND consistent AS passes FROM u""")
-jobs.add("security_info", lambda p: joined(G.security_info(p), "issues"), "plugin_files", sql=f"""{BASE}, s AS (SELECT *, CAST(sec IS NOT NULL OR txt IS NOT NULL AS INT) + CAST(rsecurity IS NOT NULL AS INT) <= 1 AS consistent FROM q), u AS (SELECT *, list_filter([CASE WHEN NOT has_main THEN 'Could not identify the main plugin file' WHEN sec IS NULL THEN 'Missing Security header in the main file comment block' END, CASE WHEN NOT txt_exists THEN 'No security.md or security.txt file found' END,
- CASE WHEN NOT consistent THEN 'Inconsistent security contacts: ' || array_to_string(list_filter([CASE WHEN sec IS NOT NULL THEN 'header: sec@x.example' END, CASE WHEN txt IS NOT NULL THEN 'security.txt: sec@x.example' END, 'readme.txt: ' || rsecurity], lambda x: x IS NOT NULL), ', ') END], lambda x: x IS NOT NULL) AS i FROM s)
+jobs.add("security_info", lambda p: joined(G.security_info(p), "issues"), "plugin_files", sql=f"""{BASE}, s AS (SELECT *, CAST(sec IS NOT NULL OR txt IS NOT NULL AS INT) + CAST(rsecurity IS NOT NULL AS INT) <= 1 AS consistent FROM q), u AS (SELECT *, list_filter([CASE WHEN NOT has_main THEN 'no_main_file' WHEN sec IS NULL THEN 'no_security_header' END, CASE WHEN NOT txt_exists THEN 'no_security_file' END,
+ CASE WHEN NOT consistent THEN 'security_contacts_differ: ' || array_to_string(list_filter([CASE WHEN sec IS NOT NULL THEN 'header: sec@x.example' END, CASE WHEN txt IS NOT NULL THEN 'security.txt: sec@x.example' END, 'readme.txt: ' || rsecurity], lambda x: x IS NOT NULL), ', ') END], lambda x: x IS NOT NULL) AS i FROM s)
  SELECT package_id, sec AS header, CAST(NULL AS VARCHAR) AS md, txt, rsecurity AS readme, coalesce(sec, txt, rsecurity) AS "primary", consistent, array_to_string(i, '|') AS issues, sec IS NOT NULL AND consistent AS passes FROM u""")
 META = f"{BASE}, m AS (SELECT package_id, CASE WHEN has_main THEN 'Demo ' || k END AS name, '1.' || (k % 9) AS version, sec FROM q WHERE has_main OR has_readme)"
 jobs.add("package_metadata", lambda p: G.package_metadata(p).select("package_id", F.get_json_object("document", "$.name").alias("name"), F.get_json_object("document", "$.version").alias("version"), F.get_json_object("document", "$.license").alias("license")), "plugin_files", sql=f"{META} SELECT package_id, name, version, 'GPL-2.0-or-later' AS license FROM m")
@@ -47,12 +47,13 @@ inputs.INPUTS["fixes"] = "SELECT concat('pkg', CAST(l.l_suppkey % 37 AS STRING))
 jobs.add("patch_latency", G.patch_latency, "fixes", sql="SELECT package_id, count(*) AS n, round(avg(date_diff('day', exposed, patched)), 4) AS mean_days, CAST(median(date_diff('day', exposed, patched)) AS DOUBLE) AS median_days FROM fixes GROUP BY 1")
 
 # --- linter ---
-jobs.add("phpcs_totals", lambda p: N.phpcs_totals(p, min_severity=2), "phpcs", sql="SELECT package_id, count(*) FILTER (type = 'ERROR') AS errors, count(*) FILTER (type = 'WARNING') AS warnings, count(*) FILTER (fixable) AS fixable, count(DISTINCT file) AS files FROM phpcs WHERE coalesce(severity, 5) >= 2 GROUP BY 1")
-jobs.add("phpcs_issues", N.phpcs_issues, "phpcs", sql="SELECT package_id, file, line, col, type, message, coalesce(source, '') AS source, CAST(coalesce(severity, 5) AS INT) AS severity, fixable FROM phpcs")
+LINTED = ", ph AS (SELECT * REPLACE (coalesce(type, 'ERROR') AS type, coalesce(severity, 0) AS severity) FROM phpcs)"
+jobs.add("phpcs_totals", lambda p, w: N.phpcs_totals(p, w, min_severity=2), "phpcs", "lint_packages", sql=f"{LINTED} SELECT w.package_id, count(*) FILTER (type = 'ERROR') AS errors, count(*) FILTER (type = 'WARNING') AS warnings, count(*) FILTER (fixable) AS fixable, count(DISTINCT file) AS files FROM lint_packages w LEFT JOIN (SELECT * FROM ph WHERE severity >= 2) p ON w.package_id = p.package_id GROUP BY 1")
+jobs.add("phpcs_issues", N.phpcs_issues, "phpcs", sql=f"{LINTED} SELECT package_id, file, line, col, type, message, coalesce(source, '') AS source, CAST(severity AS INT) AS severity, fixable FROM ph")
 VERS = R.values([(v, n) for n, v in enumerate(R.PHP_VERSIONS)], "php_version, n")
-MATRIX = f", vs AS (SELECT * FROM {VERS}), mt AS (SELECT w.package_id, w.php_version, w.n, count(p.file) FILTER (p.type = 'ERROR') AS errors, count(p.file) FILTER (p.type = 'WARNING') AS warnings FROM (SELECT DISTINCT package_id, php_version, n FROM (SELECT package_id FROM phpcs) a, vs) w LEFT JOIN phpcs p ON p.package_id = w.package_id AND p.php_version = w.php_version GROUP BY ALL), mx AS (SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'warning' ELSE 'passed' END AS status FROM mt)"
-jobs.add("php_version_matrix", N.php_version_matrix, "phpcs", sql=f"{MATRIX} SELECT package_id, php_version, errors, warnings, status FROM mx")
+MATRIX = f"{LINTED}, vs AS (SELECT * FROM {VERS}), mt AS (SELECT w.package_id, w.php_version, w.n, count(p.file) FILTER (p.type = 'ERROR') AS errors, count(p.file) FILTER (p.type = 'WARNING') AS warnings FROM (SELECT package_id, php_version, n FROM lint_packages, vs) w LEFT JOIN ph p ON p.package_id = w.package_id AND p.php_version = w.php_version GROUP BY ALL), mx AS (SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'warning' ELSE 'passed' END AS status FROM mt)"
+jobs.add("php_version_matrix", N.php_version_matrix, "phpcs", "lint_packages", sql=f"{MATRIX} SELECT package_id, php_version, errors, warnings, status FROM mx")
 jobs.add("php_affected_versions", lambda p: joined(N.php_affected_versions(p), "versions"), "phpcs", sql=f", vs AS (SELECT * FROM {VERS}) SELECT package_id, file, line, coalesce(source, '') AS source, arg_min(message, (n, message)) AS message, array_to_string(list_transform(list_sort(list(DISTINCT n)), lambda x: {R.PHP_VERSIONS}[x + 1]), '|') AS versions FROM phpcs JOIN vs USING (php_version) GROUP BY ALL")
-jobs.add("php_range", lambda p: N.php_range(N.php_version_matrix(p)), "phpcs", sql=f"""{MATRIX}, r AS (SELECT package_id, arg_min(php_version, n) FILTER (status <> 'failed') AS lo, arg_max(php_version, n) FILTER (status <> 'failed') AS hi FROM mx GROUP BY 1) SELECT package_id, lo AS min_version, hi AS max_version, CASE WHEN lo = hi THEN '=' || lo ELSE '>=' || lo || ' <=' || hi END AS version_range,
+jobs.add("php_range", lambda p, w: N.php_range(N.php_version_matrix(p, w)), "phpcs", "lint_packages", sql=f"""{MATRIX}, r AS (SELECT package_id, arg_min(php_version, n) FILTER (status <> 'failed') AS lo, arg_max(php_version, n) FILTER (status <> 'failed') AS hi FROM mx GROUP BY 1) SELECT package_id, lo AS min_version, hi AS max_version, CASE WHEN lo = hi THEN '=' || lo ELSE '>=' || lo || ' <=' || hi END AS version_range,
  CASE WHEN lo = hi THEN '~' || lo || '.0' WHEN split_part(lo, '.', 1) = split_part(hi, '.', 1) THEN '>=' || lo ELSE '^' || lo || CASE WHEN lo < '7' AND lo < '6' AND hi >= '6' THEN ' || ^6.0' ELSE '' END || CASE WHEN lo < '7' AND hi >= '7' THEN ' || ^7.0' ELSE '' END || CASE WHEN hi >= '8' THEN ' || ^8.0' ELSE '' END END AS composer FROM r""")
-jobs.add("php_errors_by_file", lambda p: N.php_errors_by_file(p).select("package_id", "file", F.array_join(F.transform("errors", lambda e: F.concat(e["line"].cast("string"), F.lit(":"), e["source"])), "|").alias("errors")), "phpcs", sql="SELECT package_id, file, string_agg(line || ':' || source, '|' ORDER BY line, source) AS errors FROM (SELECT DISTINCT package_id, file, line, coalesce(source, '') AS source FROM phpcs WHERE type = 'ERROR') GROUP BY ALL")
+jobs.add("php_errors_by_file", lambda p: N.php_errors_by_file(p).select("package_id", "file", F.array_join(F.transform("errors", lambda e: F.concat(e["line"].cast("string"), F.lit(":"), e["source"])), "|").alias("errors")), "phpcs", sql="SELECT package_id, file, string_agg(line || ':' || source, '|' ORDER BY line, source) AS errors FROM (SELECT DISTINCT package_id, file, line, coalesce(source, '') AS source FROM phpcs WHERE coalesce(type, 'ERROR') = 'ERROR') GROUP BY ALL")

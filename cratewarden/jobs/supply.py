@@ -38,10 +38,12 @@ for _name, _sql in MANIFEST_ROWS.items():
     _file = next(f for f, p in M.PARSERS.items() if p is _parse)
     jobs.add(_name, lambda m, parse=_parse, file=_file: parse(m.filter(F.col("path").endswith("/" + file)).select("package_id", "path", "content")), "manifests", sql=_sql)
 jobs.add("read_manifests", M.read_manifests, "manifests", sql=" UNION ALL ".join(f"({q})" for q in MANIFEST_ROWS.values()))
-VULNS = "SELECT package_id, 'CVE-' || k AS vuln_id, 'High' AS severity, 2 AS n_cvss, CAST(p_size % 10 + 0.5 AS DOUBLE) AS score FROM vuln_reports WHERE k % 9 <> 0 UNION ALL SELECT package_id, 'GHSA-x', 'Unknown', 0, CAST(0 AS DOUBLE) FROM vuln_reports WHERE k % 9 <> 0"
+VULNS = "SELECT package_id, 'CVE-' || k AS vuln_id, 'High' AS severity, 2 AS n_cvss, CAST(p_size % 10 + 0.5 AS DOUBLE) AS score FROM vuln_reports WHERE k % 9 > 1 UNION ALL SELECT package_id, 'GHSA-x', 'Unknown', 0, CAST(0 AS DOUBLE) FROM vuln_reports WHERE k % 9 > 1"
 jobs.add("read_vuln_report", lambda r: V.pick_cvss(D.read_vuln_report(r)).select("package_id", "vuln_id", "severity", F.size("cvss").alias("n_cvss"), "score"), "vuln_reports", sql=VULNS)
-jobs.add("read_phpcs_report", D.read_phpcs_report, "lint_reports", sql="""SELECT package_id, 'a.php' AS file, p_size AS line, 1 AS col, 'ERROR' AS type, 'm' || p_size AS message, 'S.R' AS source, 5 AS severity, true AS fixable FROM lint_reports WHERE k % 9 <> 0
- UNION ALL SELECT package_id, 'b.php', 2, NULL, 'WARNING', 'w', NULL, NULL, false FROM lint_reports WHERE k % 9 <> 0 UNION ALL SELECT package_id, NULL, NULL, NULL, 'PARSE_ERROR', 'unreadable report', NULL, NULL, NULL FROM lint_reports WHERE k % 9 = 0""")
+jobs.add("read_phpcs_report", D.read_phpcs_report, "lint_reports", sql="""SELECT package_id, 'a.php' AS file, p_size AS line, 1 AS col, 'ERROR' AS type, 'm' || p_size AS message, 'S.R' AS source, 5 AS severity, true AS fixable FROM lint_reports WHERE k % 9 > 1
+ UNION ALL SELECT package_id, 'b.php', 2, NULL, 'WARNING', 'w', NULL, NULL, false FROM lint_reports WHERE k % 9 > 1 UNION ALL SELECT package_id, NULL, NULL, NULL, 'PARSE_ERROR', 'unreadable report', NULL, NULL, NULL FROM lint_reports WHERE k % 9 = 0""")
+jobs.add("read_phpcs_totals", D.read_phpcs_totals, "lint_reports", sql="""SELECT package_id, k % 9 <> 0 AS success, CAST(CASE WHEN k % 9 < 2 THEN 0 WHEN k % 9 = 2 THEN 7 ELSE 1 END AS BIGINT) AS errors, CAST(CASE WHEN k % 9 < 2 THEN 0 WHEN k % 9 = 2 THEN 3 ELSE 1 END AS BIGINT) AS warnings, CAST(CASE WHEN k % 9 < 2 THEN 0 ELSE 1 END AS BIGINT) AS fixable, CAST(CASE WHEN k % 9 < 2 THEN 0 ELSE 2 END AS BIGINT) AS files FROM lint_reports""")
+jobs.add("scanned_packages", D.scanned_packages, "vuln_reports", sql="SELECT DISTINCT package_id FROM vuln_reports WHERE k % 9 <> 0")
 jobs.add("read_target_list", D.read_target_list, "target_lists", sql="SELECT unnest(['a' || k || '@x.example', 'b.example', 'c.example', 'd' || k || '.example', 'e.example']) AS target FROM target_lists")
 
 # --- discovery ---
@@ -72,7 +74,7 @@ jobs.add("sbom_added", B.sbom_added, "components", "baseline", sql="SELECT packa
 jobs.add("sbom_removed", B.sbom_removed, "components", "baseline", sql="SELECT package_id, name FROM baseline EXCEPT SELECT package_id, name FROM components")
 jobs.add("sbom_common", B.sbom_common, "components", "baseline", sql="SELECT package_id, name FROM components INTERSECT SELECT package_id, name FROM baseline")
 jobs.add("label_diff", lambda a, b: B.label_diff(B.diff_packages(a, b), "manifest", True).select("package_id", "name", "label", "note"), "components", "baseline", sql=f"{DIFF} SELECT package_id, name, CASE change WHEN 'only_a' THEN 'sbom_only' WHEN 'only_b' THEN 'manifest_only' ELSE 'changed' END AS label, CASE WHEN change = 'only_a' AND starts_with(purl, 'pkg:wordpress/') THEN 'platform package, not expected in a manifest' END AS note FROM diff WHERE change <> 'same'")
-jobs.add("diff_summary", lambda a, b: B.diff_summary(B.label_diff(B.diff_packages(a, b))), "components", "baseline", sql=f"{DIFF} SELECT package_id, count(*) FILTER (label = 'added') AS added, count(*) FILTER (label = 'removed') AS removed, count(*) FILTER (label = 'changed') AS changed, CAST(0 AS BIGINT) AS sbom_only, CAST(0 AS BIGINT) AS manifest_only, count(*) AS total FROM lab GROUP BY 1")
+jobs.add("diff_summary", lambda a, b, w: B.diff_summary(B.label_diff(B.diff_packages(a, b)), w), "components", "baseline", "scanned", sql=f"{DIFF} SELECT package_id, count(*) FILTER (label = 'added') AS added, count(*) FILTER (label = 'removed') AS removed, count(*) FILTER (label = 'changed') AS changed, CAST(0 AS BIGINT) AS sbom_only, CAST(0 AS BIGINT) AS manifest_only, count(label) AS total FROM (SELECT package_id, label FROM lab UNION ALL SELECT package_id, NULL FROM scanned) GROUP BY 1")
 
 # --- licenses ---
 _norm = "CASE " + " ".join(f"WHEN regexp_matches(license, {lit(p)}) THEN {lit(i)}" for p, i in R.LICENSE_SPELLINGS) + " ELSE license END"
@@ -118,7 +120,7 @@ jobs.add("normalise_name", lambda c: c.select("name").distinct().select("name",
 jobs.add("typosquat", A.typosquat, "components", sql=f"{SQUAT} SELECT * FROM squat")
 jobs.add("dependency_confusion", A.dependency_confusion, "components", sql=f"{CONF} SELECT * FROM conf")
 jobs.add("suspicious_names", A.suspicious_names, "components", sql=f"{SUSP} SELECT * FROM susp")
-jobs.add("audit_summary", lambda c: A.audit_summary(A.audit_findings(c)), "components", sql=f"{AUDIT} {AUDIT_SUM}")
+jobs.add("audit_summary", lambda c, w: A.audit_summary(A.audit_findings(c), w), "components", "scanned", sql=f"{AUDIT} {AUDIT_SUM.replace('FROM found', 'FROM (FROM found UNION ALL SELECT package_id, NULL FROM scanned)').replace('ELSE 100', 'WHEN ' + chr(39) + 'suspicious' + chr(39) + ' THEN 100 ELSE 0')}")
 
 # --- vulnerabilities ---
 
@@ -132,10 +134,12 @@ def scored_matches(matches):
 WEIGHT = "CASE severity WHEN 'Critical' THEN 100.0 WHEN 'High' THEN 25.0 WHEN 'Medium' THEN 5.0 WHEN 'Low' THEN 1.0 WHEN 'Negligible' THEN 0.1 ELSE 0.0 END"
 SCORED = f", sc AS (SELECT package_id, vuln_id, severity, CAST(coalesce(v31, v30, v2, 0.0) AS DOUBLE) AS score FROM matches), vr AS (SELECT package_id, CAST(round(sum(CAST(score AS DECIMAL(10,3)) * CAST({WEIGHT} AS DECIMAL(5,1))), 2) AS DOUBLE) AS weighted_risk FROM sc GROUP BY 1), vrisk AS (SELECT *, CASE WHEN weighted_risk >= 1000 THEN 'CRITICAL' WHEN weighted_risk >= 500 THEN 'HIGH' WHEN weighted_risk >= 100 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM vr)"
 jobs.add("pick_cvss", lambda m: V.pick_cvss(scored_matches(m)).select("package_id", "vuln_id", "severity", "score"), "matches", sql=f"{SCORED} SELECT * FROM sc")
-jobs.add("vuln_counts", lambda m: V.vuln_counts(scored_matches(m)), "matches", sql=f"{SCORED} SELECT package_id, {', '.join(f'count(*) FILTER (severity = {lit(s)}) AS {s.lower()}' for s in R.SEVERITY_WEIGHTS)}, count(*) FILTER (severity = 'Unknown') AS unknown, count(*) AS total, count(*) FILTER (severity <> 'Unknown' AND score = 0) AS unscored FROM sc GROUP BY 1")
-jobs.add("vuln_risk", lambda m: V.vuln_risk(scored_matches(m)), "matches", sql=f"{SCORED} SELECT * FROM vrisk")
+jobs.add("vuln_counts", lambda m, w: V.vuln_counts(scored_matches(m), w), "matches", "scanned", sql=f"{SCORED} SELECT package_id, {', '.join(f'count(*) FILTER (severity = {lit(s)}) AS {s.lower()}' for s in R.SEVERITY_WEIGHTS)}, count(*) FILTER (severity = 'Unknown') AS unknown, count(severity) AS total, count(*) FILTER (severity <> 'Unknown' AND score = 0) AS unscored FROM (SELECT package_id, severity, score FROM sc UNION ALL SELECT package_id, NULL, NULL FROM scanned) GROUP BY 1")
+jobs.add("vuln_risk", lambda m, w: V.vuln_risk(scored_matches(m), w), "matches", "scanned", sql=f"{SCORED} SELECT * FROM vrisk UNION ALL SELECT package_id, 0.0::DOUBLE, 'LOW' FROM scanned WHERE package_id NOT IN (SELECT package_id FROM sc)")
 jobs.add("scrub_vuln_report", lambda m: V.scrub_vuln_report(m.select("package_id", "vuln_id", F.struct(F.when(F.col("v2").isNotNull(), F.concat(F.lit("/root/.cache/db/"), "vuln_id")).otherwise(F.concat(F.lit("/app/"), "vuln_id")).alias("path"), F.lit("/real").alias("realPath"), F.lit("x").alias("matchDetails")).alias("details"))).select("package_id", "vuln_id", F.to_json("details").alias("details")), "matches", sql="""SELECT package_id, vuln_id, CASE WHEN v2 IS NOT NULL THEN '{"path":"(local cache)"}' ELSE '{"path":"/app/' || vuln_id || '"}' END AS details FROM matches""")
-jobs.add("merge_sbom_vulns", lambda s, m: V.merge_sbom_vulns(s.select("package_id", "content"), scored_matches(m)).select("package_id", F.get_json_object("document", "$.risk_assessment.level").alias("level"), F.get_json_object("document", "$.vulnerability_scan.matches[0].vuln_id").alias("first_match"), F.get_json_object("document", "$.sbom").isNotNull().alias("has_sbom")), "sboms", "matches", sql=f"""{SCORED}, f AS (SELECT package_id, min(vuln_id) AS first_match FROM sc GROUP BY 1)
- SELECT coalesce(s.package_id, f.package_id) AS package_id, level, first_match, s.package_id IS NOT NULL AS has_sbom FROM sboms s FULL JOIN f ON s.package_id = f.package_id LEFT JOIN vrisk v ON f.package_id = v.package_id""")
+_fields = lambda d, *paths: d.select("package_id", *(F.get_json_object("document", f"$.{p}").alias(n) for n, p in paths))
+jobs.add("merge_sbom_vulns", lambda s, m, w: _fields(V.merge_sbom_vulns(s.select("package_id", "content"), scored_matches(m), w), ("level", "risk_assessment.level"), ("first_match", "vulnerability_scan.matches[0].vuln_id"), ("listed", "vulnerability_scan.matches"), ("sbom", "sbom"), ("critical", "risk_assessment.vuln_counts.critical"), ("high_cvss", "risk_assessment.cvss_totals.high")).withColumns({"listed": F.col("listed").isNotNull(), "has_sbom": F.col("sbom").isNotNull(), "high_cvss": F.col("high_cvss").cast("double")}).drop("sbom"), "sboms", "matches", "scanned", sql=f"""{SCORED}, f AS (SELECT package_id, min(vuln_id) AS first_match, CAST(count(*) FILTER (severity = 'Critical') AS VARCHAR) AS critical, CAST(coalesce(sum(CAST(score AS DECIMAL(10,3))) FILTER (severity = 'High'), 0) AS DOUBLE) AS high_cvss FROM sc GROUP BY 1),
+ g AS (SELECT package_id, first_match, coalesce(critical, '0') AS critical, coalesce(high_cvss, 0) AS high_cvss FROM f FULL JOIN scanned USING (package_id)), h AS (SELECT g.*, coalesce(level, 'LOW') AS level FROM g LEFT JOIN vrisk USING (package_id))
+ SELECT coalesce(s.package_id, h.package_id) AS package_id, level, first_match, level IS NOT NULL AS listed, critical, high_cvss, s.package_id IS NOT NULL AS has_sbom FROM sboms s FULL JOIN h ON s.package_id = h.package_id""")
 jobs.add("risk_delta", lambda m: B.risk_delta(V.vuln_risk(scored_matches(m)).select("package_id", F.col("weighted_risk").alias("risk")), V.vuln_risk(scored_matches(m).filter("severity <> 'Low'")).filter("weighted_risk > 200").select("package_id", F.col("weighted_risk").alias("risk"))), "matches", sql=f"""{SCORED}, b AS (SELECT package_id, CAST(round(sum(CAST(score AS DECIMAL(10,3)) * CAST({WEIGHT} AS DECIMAL(5,1))), 2) AS DOUBLE) AS risk_b FROM sc WHERE severity <> 'Low' GROUP BY 1 HAVING risk_b > 200)
  SELECT package_id, weighted_risk AS risk_a, risk_b, round(weighted_risk - risk_b, 2) AS delta, CASE WHEN risk_b IS NULL THEN NULL WHEN round(weighted_risk - risk_b, 2) > 0 THEN 'increased' WHEN round(weighted_risk - risk_b, 2) < 0 THEN 'decreased' ELSE 'unchanged' END AS direction FROM vr FULL JOIN b USING (package_id)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.packages import with_clean
 from ..functions.text import listed, normalise_composer, normalise_name
 from ..refdata import AUDIT_WEIGHTS, INTERNAL_NAME, INTERNAL_SCOPE, POPULAR, POPULAR_COMPOSER, SUSPICIOUS_VERSION, TEST_NAME, small
 
@@ -72,7 +73,8 @@ def audit_findings(components: DataFrame) -> DataFrame:
     return out
 
 
-def audit_summary(findings: DataFrame) -> DataFrame:
+def audit_summary(findings: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Per package: findings by kind and the weighted risk; 0 for the clean ones of `packages`."""
     counts = {k: F.count_if(F.col("kind") == k) for k in AUDIT_WEIGHTS}
     score = sum((counts[k] * w for k, w in AUDIT_WEIGHTS.items()), F.lit(0))
-    return findings.groupBy("package_id").agg(*(c.alias(k) for k, c in counts.items()), score.cast("long").alias("risk_score"))
+    return with_clean(findings.select("package_id", "kind"), packages).groupBy("package_id").agg(*(c.alias(k) for k, c in counts.items()), score.cast("long").alias("risk_score"))

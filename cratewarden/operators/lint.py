@@ -8,29 +8,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.packages import with_clean
 from ..refdata import PHP_VERSIONS, small
 
 
-def phpcs_totals(phpcs: DataFrame, kind: str | None = None, min_severity: int = 0) -> DataFrame:
-    """Per package: errors, warnings, fixable messages and files, of one type and from a severity on if asked for."""
-    rows = phpcs.filter(F.coalesce("severity", F.lit(5)) >= min_severity)
+def phpcs_totals(phpcs: DataFrame, packages: DataFrame | None = None, *, kind: str | None = None, min_severity: int = 0) -> DataFrame:
+    """Per package: errors, warnings, fixable messages and files, of one type and from a severity on if asked for; 0 for the clean ones of `packages`.
+
+    What a message leaves out counts as in `phpcs_issues`. The totals that a
+    report states itself are in `sources.readers.read_phpcs_totals`.
+    """
+    rows = phpcs_issues(phpcs).filter(F.col("severity") >= min_severity)
     if kind:
         rows = rows.filter(F.col("type") == kind)
+    rows = with_clean(rows.select("package_id", "type", "fixable", "file"), packages)
     return rows.groupBy("package_id").agg(F.count_if(F.col("type") == "ERROR").alias("errors"), F.count_if(F.col("type") == "WARNING").alias("warnings"), F.count_if("fixable").alias("fixable"), F.countDistinct("file").alias("files"))
 
 
 def phpcs_issues(phpcs: DataFrame) -> DataFrame:
-    """The flat list, with defaults for what a report leaves out."""
-    return phpcs.select("package_id", "file", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("col", F.lit(0)).alias("col"), F.coalesce("type", F.lit("WARNING")).alias("type"), F.coalesce("message", F.lit("")).alias("message"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("severity", F.lit(5)).alias("severity"), F.coalesce("fixable", F.lit(False)).alias("fixable"))
+    """The flat list, with defaults for what a report leaves out: an ERROR of severity 0 at 0:0, not fixable."""
+    default = {"line": 0, "col": 0, "type": "ERROR", "message": "", "source": "", "severity": 0, "fixable": False}
+    return phpcs.select("package_id", "file", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in default.items()))
+
 
+def php_version_matrix(phpcs: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """(package_id, php_version, errors, warnings, status) for every package and version: passed, warning or failed.
 
-def php_version_matrix(phpcs: DataFrame) -> DataFrame:
-    """(package_id, php_version, errors, warnings, status) for every package and version: passed, warning or failed."""
+    Packages are the given ones, as a package without any message passes
+    everywhere, or else those that have a message.
+    """
     versions = small(phpcs.sparkSession, [(v,) for v in PHP_VERSIONS], "php_version")
-    wanted = phpcs.select("package_id").distinct().crossJoin(F.broadcast(versions))  # fifteen rows for each package
-    counts = phpcs.groupBy("package_id", "php_version").agg(F.count_if(F.col("type") == "ERROR").alias("errors"), F.count_if(F.col("type") == "WARNING").alias("warnings"))
-    rows = wanted.join(counts, ["package_id", "php_version"], "left").fillna(0, ["errors", "warnings"])
-    return rows.withColumn("status", F.when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "warning").otherwise("passed"))
+    listed = (phpcs if packages is None else packages).select("package_id").distinct()
+    wanted = listed.crossJoin(F.broadcast(versions))  # fifteen rows for each package
+    rows = phpcs.select("package_id", "php_version", F.coalesce("type", F.lit("ERROR")).alias("type")).unionByName(wanted, allowMissingColumns=True)
+    counts = rows.groupBy("package_id", "php_version").agg(F.count_if(F.col("type") == "ERROR").alias("errors"), F.count_if(F.col("type") == "WARNING").alias("warnings"), F.max(F.col("type").isNull()).alias("wanted"))
+    return counts.filter("wanted").drop("wanted").withColumn("status", F.when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "warning").otherwise("passed"))
 
 
 def _major_minor(version):
@@ -38,10 +50,14 @@ def _major_minor(version):
 
 
 def php_affected_versions(phpcs: DataFrame) -> DataFrame:
-    """(package_id, file, line, source, message, versions): each distinct issue, and the versions that it affects in numeric order."""
-    per = phpcs.withColumn("source", F.coalesce("source", F.lit(""))).groupBy("package_id", "file", "line", "source", "php_version").agg(F.min("message").alias("message"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(_major_minor(F.col("php_version")).alias("k"), F.col("php_version").alias("v")))), lambda x: x["v"])
-    return per.groupBy("package_id", "file", "line", "source").agg(F.min_by("message", _major_minor(F.col("php_version"))).alias("message"), listed.alias("versions"))
+    """(package_id, file, line, source, message, versions): each distinct issue, and the versions that it affects in numeric order.
+
+    One aggregate; a group holds at most one entry for each version.
+    """
+    key = F.struct(_major_minor(F.col("php_version")).alias("k"), F.col("php_version").alias("v"))
+    first = F.min(F.struct(_major_minor(F.col("php_version")).alias("k"), F.col("message").alias("m")))
+    rows = phpcs.withColumn("source", F.coalesce("source", F.lit(""))).groupBy("package_id", "file", "line", "source").agg(first.alias("first"), F.array_sort(F.collect_set(key)).alias("met"))
+    return rows.select("package_id", "file", "line", "source", F.col("first.m").alias("message"), F.transform("met", lambda x: x["v"]).alias("versions"))
 
 
 def php_range(matrix: DataFrame) -> DataFrame:
@@ -59,5 +75,5 @@ def php_range(matrix: DataFrame) -> DataFrame:
 
 def php_errors_by_file(phpcs: DataFrame) -> DataFrame:
     """(package_id, file, errors): the distinct errors of each file, in order of line."""
-    rows = phpcs.filter("type = 'ERROR'").select("package_id", "file", "line", F.coalesce("source", F.lit("")).alias("source")).distinct()
+    rows = phpcs.filter(F.coalesce("type", F.lit("ERROR")) == "ERROR").select("package_id", "file", "line", F.coalesce("source", F.lit("")).alias("source")).distinct()
     return rows.groupBy("package_id", "file").agg(F.array_sort(F.collect_list(F.struct("line", "source"))).alias("errors"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packages import with_clean
 from ..functions.text import basename
 from ..refdata import CANDIDATE_PRIORITY, MANIFEST_TYPES, small
 from ..sources.readers import CYCLONEDX, SPDX
@@ -157,9 +158,11 @@ def label_diff(diff: DataFrame, mode: str = "sbom", manifest_only: bool = False)
     return diff.withColumns({"label": label, "note": note}).filter("label is not null")
 
 
-def diff_summary(labelled: DataFrame) -> DataFrame:
+def diff_summary(labelled: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Per package: differences by label and in all; 0 for those of `packages` whose sides agree."""
     labels = ["added", "removed", "changed", "sbom_only", "manifest_only"]
-    return labelled.groupBy("package_id").agg(*(F.count_if(F.col("label") == x).alias(x) for x in labels), F.count(F.lit(1)).alias("total"))
+    rows = with_clean(labelled.select("package_id", "label"), packages)
+    return rows.groupBy("package_id").agg(*(F.count_if(F.col("label") == x).alias(x) for x in labels), F.count("label").alias("total"))
 
 
 def risk_delta(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ CYCLONEDX = (
     "evidence:struct<occurrences:array<struct<location:string>>>,licenses:array<struct<expression:string,license:struct<id:string,name:string>>>>>>"
 )
 VULNERABILITIES = "struct<matches:array<struct<vulnerability:struct<id:string,severity:string,cvss:array<struct<version:string,metrics:struct<baseScore:double>>>>>>>"
+LINTER_TOTALS = "struct<totals:struct<errors:int,warnings:int,fixable:int>>"
 LINTER = "struct<files:map<string,struct<errors:int,warnings:int,messages:array<struct<message:string,source:string,severity:int,fixable:boolean,type:string,line:int,column:int>>>>>"
 
 
@@ -125,14 +126,33 @@ def read_vuln_report(df: DataFrame) -> DataFrame:
 
 
 def read_phpcs_report(df: DataFrame) -> DataFrame:
-    """df (package_id, content) -> messages; a report that doesn't parse gives one row of type PARSE_ERROR."""
+    """df (package_id, content) -> messages; a report that doesn't parse gives one row of type PARSE_ERROR. A clean report has no row here, but in `read_phpcs_totals`."""
     doc = df.withColumn("doc", F.from_json("content", LINTER))
     rows = doc.filter("doc.files is not null").select("package_id", F.explode("doc.files").alias("file", "f")).select("package_id", "file", F.explode("f.messages").alias("m"))
     good = rows.select("package_id", "file", "m.line", F.col("m.column").alias("col"), "m.type", "m.message", "m.source", "m.severity", F.coalesce("m.fixable", F.lit(False)).alias("fixable"))
-    bad = doc.filter("doc.files is null").select("package_id", F.lit("PARSE_ERROR").alias("type"), F.lit("unreadable report").alias("message"))
+    bad = doc.filter(F.try_parse_json("content").isNull()).select("package_id", F.lit("PARSE_ERROR").alias("type"), F.lit("unreadable report").alias("message"))
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+def read_phpcs_totals(df: DataFrame) -> DataFrame:
+    """df (package_id, content) -> (package_id, success, errors, warnings, fixable, files) of each report, clean ones too.
+
+    The report's own totals count; where it has none, those of its files, and
+    for fixable ones its messages. A report that doesn't parse has no success and zeros.
+    """
+    doc = df.select("package_id", F.try_parse_json("content").isNotNull().alias("success"), F.from_json("content", LINTER_TOTALS)["totals"].alias("t"), F.map_values(F.from_json("content", LINTER)["files"]).alias("files"))
+    zero = F.lit(0).cast("long")
+    summed = lambda field: F.aggregate("files", zero, lambda n, f: n + F.coalesce(field(f).cast("long"), zero))
+    fixable = summed(lambda f: F.size(F.filter(f["messages"], lambda m: F.coalesce(m["fixable"], F.lit(False)))) * F.when(f["messages"].isNotNull(), 1).otherwise(0))
+    counts = {"errors": summed(lambda f: f["errors"]), "warnings": summed(lambda f: f["warnings"]), "fixable": fixable}
+    return doc.select("package_id", "success", *(F.coalesce(F.when(F.col("success"), F.coalesce(F.col("t")[c].cast("long"), n)), zero).alias(c) for c, n in counts.items()), F.coalesce(F.array_size("files"), F.lit(0)).cast("long").alias("files"))
+
+
+def scanned_packages(reports: DataFrame) -> DataFrame:
+    """The packages (package_id) whose report parses: the list for summaries of a scan, since a clean package is in no row of its findings."""
+    return reports.filter(F.try_parse_json("content").isNotNull()).select("package_id").distinct()
+
+
 def read_target_list(df: DataFrame, column: str = "value") -> DataFrame:
     """Targets of lists parted by commas, semicolons and newlines, without white space, blanks and lines of comment."""
     lines = df.select(F.explode(F.split(column, "\n")).alias("line")).filter(~F.col("line").rlike(r"^\s*#"))
