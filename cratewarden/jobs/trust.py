@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import content as C
+from ..operators import files as O
 from ..operators import integrity as I
 from ..operators import licenses as L
 from ..operators import provenance as P
 from ..operators import vulns as V
 from ..sources import sinks as S
+from ..sources.shared import new_path
 from . import supply
 from .filescan import FINDINGS
 from .registry import Registry
@@ -96,14 +99,18 @@ def _gates(s, m, c):
 jobs.add("ci_gates", _gates, "sboms", "matches", "components", sql=f"""{TOTAL}, sev AS (SELECT package_id, count(*) FILTER (severity IN ('Critical', 'High')) AS n FROM sc GROUP BY 1), g AS (SELECT t.package_id, list_filter([CASE WHEN total_risk >= 1000 THEN 'risk at or above 1000' END, CASE WHEN n > 0 THEN n || ' severe vulnerabilities' END, CASE WHEN gpl_incompatible > 0 THEN gpl_incompatible || ' GPL-incompatible licenses' END, CASE WHEN dependency_confusion > 0 THEN dependency_confusion || ' dependency confusions' END, CASE WHEN typosquat > 0 THEN typosquat || ' typosquats' END], lambda x: x IS NOT NULL) AS f
  FROM total t LEFT JOIN sev USING (package_id) LEFT JOIN ls USING (package_id) LEFT JOIN au USING (package_id)) SELECT package_id, array_to_string(f, '; ') AS failures, len(f) = 0 AS passed FROM g""")
 jobs.add("rank_packages", lambda s, m, c: P.rank_packages(_risks(s, m, c)).select("package_id", "total_risk", "level"), "sboms", "matches", "components", sql=f"{TOTAL} SELECT package_id, total_risk, level FROM total ORDER BY total_risk DESC, package_id LIMIT 20")
-jobs.add("write_package_documents", lambda f, e: S.package_documents(**_documents(f, e)).select("package_id", F.get_json_object("document", "$.stats.files").cast("bigint").alias("files"), F.get_json_object("document", "$.filescan.total_issues").cast("bigint").alias("total_issues")), "files", "entries", sql=f"{FINDINGS}, s AS (SELECT package_id, count(*) AS files FROM files GROUP BY 1), c AS (SELECT package_id, count(*) AS n FROM found GROUP BY 1) SELECT package_id, files, coalesce(n, 0) AS total_issues FROM s LEFT JOIN c USING (package_id)")
-
-
-def _documents(files, entries):
-    from ..operators import content as C
-    from ..operators import files as O
-
-    return {"stats": O.file_totals(files), "filescan": C.content_summary(C.all_content_findings(files), files)}
+jobs.add("write_package_documents", lambda f: _kept_documents(f).select("package_id", F.get_json_object("document", "$.stats.files").cast("bigint").alias("files"), F.get_json_object("document", "$.filescan.total_issues").cast("bigint").alias("total_issues")), "files", sql=f"{FINDINGS}, s AS (SELECT package_id, count(*) AS files FROM files GROUP BY 1), c AS (SELECT package_id, count(*) AS n FROM found GROUP BY 1) SELECT package_id, files, coalesce(n, 0) AS total_issues FROM s LEFT JOIN c USING (package_id)")
+
+
+def _kept_documents(files):
+    """What a store holds after two scans that each write their own key, the second of them twice."""
+    spark = files.sparkSession
+    path = new_path(spark, "package-documents")
+    S.write_package_documents(S.package_documents(stats=O.file_totals(files)), path)
+    scan = S.package_documents(filescan=C.content_summary(C.all_content_findings(files), files))
+    for _ in range(2):
+        S.write_package_documents(scan, path)
+    return S.read_package_documents(spark, path)
 
 
 jobs.add("result_envelope", lambda s: S.result_envelope(P.slsa_levels(_builds(s)).select("package_id", "slsa_level", F.col("unmet").alias("issues")), "slsa").select("package_id", F.get_json_object("envelope", "$.tool").alias("tool"), F.get_json_object("envelope", "$.success").alias("success"), F.get_json_object("envelope", "$.summary.issue_count").alias("issue_count"), F.get_json_object("envelope", "$.data.slsa_level").alias("slsa_level")), "sboms", sql=f"{BUILDS} SELECT package_id, 'slsa' AS tool, CASE WHEN len(unmet) = 0 THEN 'true' ELSE 'false' END AS success, CAST(len(unmet) AS VARCHAR) AS issue_count, CAST(slsa_level AS VARCHAR) AS slsa_level FROM bv")

@@ -2,15 +2,6 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
-import lzma
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,50 +41,6 @@ def read_package_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(~F.col("path").rlike(EXCLUDED))
 
 
-def _members(name: str, data: bytes) -> Iterator[tuple[str, int, bytes]]:
-    """(path, size, content) of the files in an archive, opened one at a time."""
-    if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            for item in archive.infolist():
-                if not item.is_dir():
-                    yield item.filename, item.file_size, archive.read(item)
-        return
-    openers = {".gz": gzip.open, ".tgz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
-    opener = next((o for e, o in openers.items() if name.endswith(e)), None)
-    stream = opener(io.BytesIO(data)) if opener else io.BytesIO(data)
-    with stream, tarfile.open(fileobj=stream, mode="r|") as archive:
-        for item in archive:
-            if item.isfile():
-                yield item.name, item.size, archive.extractfile(item).read()
-
-
-def expand_archives(archives: DataFrame, batch_bytes: int = 32 << 20) -> DataFrame:
-    """archives (package_id, path, content) -> (package_id, archive, path, size, content, error), a row for each inner file.
-
-    Members are streamed and each is read whole: a task holds one archive, and
-    at most batch_bytes and one member of what came out of it. What isn't an
-    archive gives one row with an error.
-    """
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["package_id", "archive", "path", "size", "content", "error"]
-        for frame in frames:
-            rows, held = [], 0
-            for package, name, data in zip(frame["package_id"], frame["path"], frame["content"], strict=True):
-                try:
-                    for path, size, content in _members(name, data):
-                        rows.append((package, name, path, size, content, None))
-                        held += len(content)
-                        if held > batch_bytes:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, held = [], 0
-                except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, NotImplementedError, RuntimeError) as error:
-                    rows.append((package, name, None, None, None, type(error).__name__))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return archives.select("package_id", "path", "content").mapInPandas(task, "package_id string, archive string, path string, size long, content binary, error string")
-
-
 def read_sbom(df: DataFrame) -> DataFrame:
     """df (package_id, sbom_id, content) -> components; documents of neither format give no rows.
 
