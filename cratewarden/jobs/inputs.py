@@ -90,6 +90,10 @@ INPUTS["lint_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS p
 #: Packages that were looked at; some have no message, match or component.
 INPUTS["lint_packages"] = "SELECT concat('pkg', CAST(s_suppkey AS STRING), '-', CAST(n AS STRING)) AS package_id FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (26), (27), (28), (29), (30), (31), (32), (33), (34), (35), (36), (37), (38), (39)) AS r(n)"
 INPUTS["scanned"] = "SELECT DISTINCT concat(CASE WHEN o_orderkey % 9 = 0 THEN 'clean' ELSE 'pkg' END, CAST(CAST(FLOOR(o_orderkey / 64) AS BIGINT) AS STRING)) AS package_id FROM {orders}"
+#: A registry of names, and imports of them: as they are, with a letter gone, doubled or changed, two changed, or at three edits.
+INPUTS["registry"] = "SELECT CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '/') ELSE replace(p_name, ' ', '-') END AS name FROM {part}"
+INPUTS["imports"] = """SELECT concat('pkg', CAST(CAST(FLOOR(l.l_orderkey / 64) AS BIGINT) AS STRING)) AS package_id, CASE CAST(l.l_partkey % 7 AS INT) WHEN 0 THEN p.n WHEN 1 THEN concat(substring(p.n, 1, 2), substring(p.n, 4)) WHEN 2 THEN concat(substring(p.n, 1, 4), substring(p.n, 4)) WHEN 3 THEN concat(substring(p.n, 1, 5), 'q', substring(p.n, 7))
+ WHEN 4 THEN concat('q', substring(p.n, 2, 6), 'q', substring(p.n, 9)) WHEN 5 THEN concat('qqq', p.n) ELSE concat(upper(p.n), 'x') END AS name, CAST(l.l_linenumber AS STRING) AS version FROM {lineitem} l JOIN (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '/') ELSE replace(p_name, ' ', '-') END AS n FROM {part}) p ON l.l_partkey = p.p_partkey"""
 INPUTS["target_lists"] = """SELECT c_custkey AS k, concat('a', CAST(c_custkey AS STRING), '@x.example, b.example;c.example', chr(10), '# comment, z', chr(10), '  d', CAST(c_custkey AS STRING), '.example  ', chr(10), chr(10), 'e .example,,#f') AS value FROM {customer}"""
 
 #: What an input needs on top that the two engines write differently: column, Spark's and DuckDB's expression.

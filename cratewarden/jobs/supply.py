@@ -118,6 +118,8 @@ AUDIT = f"{SQUAT}{CONF}{SUSP}, found AS (SELECT package_id, 'typosquat' AS kind
 AUDIT_SUM = "SELECT package_id, count(*) FILTER (kind = 'dependency_confusion') AS dependency_confusion, count(*) FILTER (kind = 'typosquat') AS typosquat, count(*) FILTER (kind = 'suspicious') AS suspicious, CAST(sum(CASE kind WHEN 'dependency_confusion' THEN 500 WHEN 'typosquat' THEN 400 ELSE 100 END) AS BIGINT) AS risk_score FROM found GROUP BY 1"
 jobs.add("normalise_name", lambda c: c.select("name").distinct().select("name", T.normalise_name(F.col("name")).alias("bare")), "components", sql=f"SELECT DISTINCT name, {BARE} AS bare FROM components")
 jobs.add("typosquat", A.typosquat, "components", sql=f"{SQUAT} SELECT * FROM squat")
+REGISTRY = f", reg AS (SELECT list, k, min(name) AS shown FROM (SELECT 'flat' AS list, {BARE} AS k, name FROM registry UNION ALL SELECT 'composer', split_part(lower(name), '/', 1) || '/' || {BARE}, name FROM registry WHERE regexp_matches(lower(name), '^[^@/]+/[^/]+$')) GROUP BY ALL)"
+jobs.add("typosquat_registry", A.typosquat, "imports", "registry", sql=REGISTRY + SQUAT.replace("components", "imports").replace(f"(SELECT * FROM {COMP})", "(SELECT k, shown FROM reg WHERE list = 'composer')").replace(f"(SELECT * FROM {POP})", "(SELECT k, shown FROM reg WHERE list = 'flat')") + " SELECT * FROM squat")
 jobs.add("dependency_confusion", A.dependency_confusion, "components", sql=f"{CONF} SELECT * FROM conf")
 jobs.add("suspicious_names", A.suspicious_names, "components", sql=f"{SUSP} SELECT * FROM susp")
 jobs.add("audit_summary", lambda c, w: A.audit_summary(A.audit_findings(c), w), "components", "scanned", sql=f"{AUDIT} {AUDIT_SUM.replace('FROM found', 'FROM (FROM found UNION ALL SELECT package_id, NULL FROM scanned)').replace('ELSE 100', 'WHEN ' + chr(39) + 'suspicious' + chr(39) + ' THEN 100 ELSE 0')}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.packages import with_clean
@@ -20,14 +20,50 @@ def _popular(spark) -> DataFrame:
     return small(spark, rows, "list, popular, canonical, length")
 
 
-def typosquat(components: DataFrame, max_distance: int = 2) -> DataFrame:
+def deletions(key: Column, most: int) -> Column:
+    """The distinct texts that a text becomes when up to `most` of its characters are left out, itself included."""
+    found = F.array(key)
+    for _ in range(most):
+        places = lambda t: F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>"))
+        less = lambda t: F.transform(places(t), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, less))))
+    return found
+
+
+def registry_keys(registry: DataFrame) -> DataFrame:
+    """registry (name) -> (list, popular, canonical): each name as it is compared, vendor/package names also whole; of names that are compared alike the first stands for all."""
+    low = F.lower("name")
+    both = listed(
+        F.when(low.rlike("^[^@/]+/[^/]+$"), F.struct(F.lit("composer").alias("list"), normalise_composer(F.col("name")).alias("popular"))),
+        F.struct(F.lit("flat").alias("list"), normalise_name(F.col("name")).alias("popular")),
+    )
+    rows = registry.filter("name is not null").select("name", F.explode(both).alias("k")).select("name", "k.*")
+    return rows.groupBy("list", "popular").agg(F.min("name").alias("canonical"))
+
+
+def shared_deletions(keys: DataFrame, registry: DataFrame, max_distance: int) -> DataFrame:
+    """keys (list, key), registry (list, popular, canonical) -> the candidate pairs (list, key, popular, canonical), no pair within max_distance left out.
+
+    Two texts within d edits share a text that either becomes by leaving out up
+    to d characters. Both sides are indexed by hashes of those texts and meet in
+    an equi-join, so a name meets only names that are nearly its own; a text
+    of n characters has some n ** d / d! of them.
+    """
+    index = lambda df, c: df.withColumn("h", F.explode(F.transform(deletions(F.col(c), max_distance), lambda t: F.xxhash64(t))))
+    own = index(keys.select("list", "key").distinct(), "key")
+    return own.join(index(registry, "popular"), ["list", "h"]).select("list", "key", "popular", "canonical").distinct()
+
+
+def typosquat(components: DataFrame, popular: DataFrame | None = None, max_distance: int = 2) -> DataFrame:
     """Names at 1 to max_distance edits of a popular one: (package_id, name, version, target, distance, stage).
 
-    vendor/package names are held against the vendor/package list, then the
-    vendor and the package alone against the popular names. An exact hit
+    vendor/package names are held against the vendor/package names of the list, then the
+    vendor and the package alone against the others. An exact hit
     anywhere on a list clears the name, as does one at an earlier stage; else
-    the smallest distance counts, then the canonical name. Distinct names meet
-    the lists by an equi-join on lengths that differ by max_distance at most.
+    the smallest distance counts, then the canonical name. `popular` (name) is a
+    table of any size, such as a registry: distinct names meet it by
+    `shared_deletions`. Without one the fixed lists count, under 100
+    names that distinct names meet by length.
     """
     low = F.lower("name")
     pair = low.rlike("^[^@/]+/[^/]+$")
@@ -38,9 +74,12 @@ def typosquat(components: DataFrame, max_distance: int = 2) -> DataFrame:
         stage(3, "package", "flat", normalise_name(F.col("name"))),
     )
     keys = components.select("name").distinct().select("name", F.explode(stages).alias("s")).select("name", "s.*")
-    lengths = F.sequence(F.length("key") - max_distance, F.length("key") + max_distance)
-    near = keys.withColumn("length", F.explode(lengths)).join(F.broadcast(_popular(components.sparkSession)), ["list", "length"])
-    near = near.withColumn("distance", F.levenshtein("key", "popular", max_distance)).filter("distance >= 0")
+    if popular is None:
+        lengths = F.sequence(F.length("key") - max_distance, F.length("key") + max_distance)
+        met = keys.withColumn("length", F.explode(lengths)).join(F.broadcast(_popular(components.sparkSession)), ["list", "length"])
+    else:
+        met = keys.join(shared_deletions(keys, registry_keys(popular), max_distance), ["list", "key"])
+    near = met.withColumn("distance", F.levenshtein("key", "popular", max_distance)).filter("distance >= 0")
     best = near.groupBy("name").agg(F.min(F.struct("n", "distance", "canonical", "stage")).alias("b")).filter("b.distance >= 1")
     found = best.select("name", F.col("b.canonical").alias("target"), "b.distance", "b.stage")
     return components.select("package_id", "name", "version").join(found, "name").select("package_id", "name", "version", "target", "distance", "stage")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +18,29 @@ def file_digests(files: DataFrame) -> DataFrame:
 
 
 def tree_digest(files: DataFrame) -> DataFrame:
-    """Per package, the SHA-256 of `hash  path` lines sorted by path. Only hashes and paths are shuffled."""
-    lines = files.select("package_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("h"))
-    listed = F.array_sort(F.collect_list(F.struct("path", "h")))
-    text = F.array_join(F.transform(listed, lambda x: F.concat(x["h"], F.lit("  "), x["path"], F.lit("\n"))), "")
-    return lines.groupBy("package_id").agg(F.sha2(text, 256).alias("digest"))
+    """(package_id, digest): the SHA-256 of a package's `hash  path` lines, sorted by path, then hash. Paths without content are left out.
+
+    Only hashes and paths are shuffled. Each task sorts its packages' lines,
+    to disk where they are many, and feeds them to one running digest, so
+    memory doesn't grow with a package; its digest is by nature one sequence.
+    """
+    lines = files.select("package_id", F.coalesce("path", F.lit("")).alias("path"), F.sha2(F.col("content").cast("binary"), 256).alias("h")).filter("h is not null")
+    ordered = lines.repartition("package_id").sortWithinPartitions("package_id", "path", "h")
+    return ordered.mapInArrow(_digest_task, "package_id string, digest string")
+
+
+def _digest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = lambda package, digest: pa.RecordBatch.from_pylist([{"package_id": package, "digest": digest.hexdigest()}], pa.schema([("package_id", pa.string()), ("digest", pa.string())]))
+    current = digest = None
+    for batch in batches:
+        for package, path, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if digest is None or package != current:
+                if digest is not None:
+                    yield row(current, digest)
+                current, digest = package, hashlib.sha256()
+            digest.update(f"{h}  {path}\n".encode())
+    if digest is not None:
+        yield row(current, digest)
 
 
 def _json(path: str) -> Column:
