@@ -91,9 +91,16 @@ INPUTS["lint_reports"] = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS p
 INPUTS["lint_packages"] = "SELECT concat('pkg', CAST(s_suppkey AS STRING), '-', CAST(n AS STRING)) AS package_id FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (26), (27), (28), (29), (30), (31), (32), (33), (34), (35), (36), (37), (38), (39)) AS r(n)"
 INPUTS["scanned"] = "SELECT DISTINCT concat(CASE WHEN o_orderkey % 9 = 0 THEN 'clean' ELSE 'pkg' END, CAST(CAST(FLOOR(o_orderkey / 64) AS BIGINT) AS STRING)) AS package_id FROM {orders}"
 #: A registry of names, and imports of them: as they are, with a letter gone, doubled or changed, two changed, or at three edits.
-INPUTS["registry"] = "SELECT CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '/') ELSE replace(p_name, ' ', '-') END AS name FROM {part}"
+INPUTS["registry"] = "SELECT concat(replace(p_name, ' ', CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE '-' END), substring(md5(CAST(p_partkey AS STRING)), 1, 6)) AS name FROM {part}"
 INPUTS["imports"] = """SELECT concat('pkg', CAST(CAST(FLOOR(l.l_orderkey / 64) AS BIGINT) AS STRING)) AS package_id, CASE CAST(l.l_partkey % 7 AS INT) WHEN 0 THEN p.n WHEN 1 THEN concat(substring(p.n, 1, 2), substring(p.n, 4)) WHEN 2 THEN concat(substring(p.n, 1, 4), substring(p.n, 4)) WHEN 3 THEN concat(substring(p.n, 1, 5), 'q', substring(p.n, 7))
- WHEN 4 THEN concat('q', substring(p.n, 2, 6), 'q', substring(p.n, 9)) WHEN 5 THEN concat('qqq', p.n) ELSE concat(upper(p.n), 'x') END AS name, CAST(l.l_linenumber AS STRING) AS version FROM {lineitem} l JOIN (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '/') ELSE replace(p_name, ' ', '-') END AS n FROM {part}) p ON l.l_partkey = p.p_partkey"""
+ WHEN 4 THEN concat('q', substring(p.n, 2, 6), 'q', substring(p.n, 9)) WHEN 5 THEN concat('qqq', p.n) ELSE concat(upper(p.n), 'x') END AS name, CAST(l.l_linenumber AS STRING) AS version FROM {lineitem} l JOIN (SELECT p_partkey, concat(replace(p_name, ' ', CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE '-' END), substring(md5(CAST(p_partkey AS STRING)), 1, 6)) AS n FROM {part}) p ON l.l_partkey = p.p_partkey"""
+#: A catalogue of packages with four facets, one of them missing at times.
+INPUTS["catalogue"] = """SELECT p_partkey AS k, CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'GPL-2.0' WHEN 1 THEN 'MIT' WHEN 2 THEN 'Apache-2.0' WHEN 3 THEN 'GPL-3.0' END AS license, p_type AS kind, CASE CAST(p_size % 6 AS INT) WHEN 0 THEN '5.6' WHEN 1 THEN '7.4' WHEN 2 THEN '7.10' WHEN 3 THEN '8.0' WHEN 4 THEN '8.10' ELSE '10.0' END AS php, p_partkey % 3 = 0 AS multisite FROM {part}"""
+INPUTS["releases"] = """SELECT concat('pkg', CAST(l_suppkey AS STRING)) AS package_id, concat(CASE WHEN l_partkey % 2 = 0 THEN 'v' ELSE '' END, CAST(l_linenumber AS STRING), '.', CAST(l_partkey % 30 AS STRING), CASE WHEN l_partkey % 11 = 0 THEN '.0' WHEN l_partkey % 11 = 1 THEN '-rc1' ELSE concat('.', CAST(CAST(l_quantity AS INT) AS STRING)) END) AS version, CAST(l_shipdate AS DATE) AS released, CAST(l_linenumber AS BIGINT) AS a, CAST(l_partkey % 30 AS BIGINT) AS b, CASE WHEN l_partkey % 11 < 2 THEN CAST(0 AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END AS c, CASE WHEN l_partkey % 11 = 1 THEN 0 ELSE 1 END AS d FROM {lineitem}"""
+INPUTS["affected"] = """SELECT concat('pkg', CAST(o_custkey % 120 AS STRING)) AS package_id, concat('CVE-', CAST(o_orderkey AS STRING)) AS vuln_id, concat(CAST(o_orderkey % 9 AS STRING), '.', CAST(o_custkey % 31 AS STRING), CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('.', CAST(o_orderkey % 50 AS STRING)) END) AS last_affected, CAST(o_orderdate AS DATE) AS exposed, CAST(o_orderkey % 9 AS BIGINT) AS a, CAST(o_custkey % 31 AS BIGINT) AS b, CASE WHEN o_orderkey % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(o_orderkey % 50 AS BIGINT) END AS c FROM {orders}"""
+#: A graph for each package: nodes are lines of orders; some edges lead to nodes that aren't there, some back.
+INPUTS["nodes"] = "SELECT concat('pkg', CAST(CAST(FLOOR(l_orderkey / 32) AS BIGINT) AS STRING)) AS package_id, CAST('s' AS STRING) AS sbom_id, CAST((l_orderkey % 32) * 8 + l_linenumber AS STRING) AS spdxid, l_orderkey % 32 = 3 AND l_linenumber = 1 AS is_root, CAST((l_orderkey % 32) * 8 + l_linenumber AS BIGINT) AS n FROM {lineitem}"
+INPUTS["links"] = f"""SELECT package_id, sbom_id, spdxid AS source, CAST(CASE m WHEN 0 THEN (n * 3 + 1) % 256 WHEN 1 THEN (n * 5 + 2) % 256 ELSE n - 1 END AS STRING) AS target FROM ({INPUTS["nodes"]}) g CROSS JOIN (VALUES (0), (1), (2)) AS r(m) WHERE m < 2 OR n % 16 > 12"""
 INPUTS["target_lists"] = """SELECT c_custkey AS k, concat('a', CAST(c_custkey AS STRING), '@x.example, b.example;c.example', chr(10), '# comment, z', chr(10), '  d', CAST(c_custkey AS STRING), '.example  ', chr(10), chr(10), 'e .example,,#f') AS value FROM {customer}"""
 
 #: What an input needs on top that the two engines write differently: column, Spark's and DuckDB's expression.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators import graph as H
 from ..operators import licenses as L
 from ..operators import sbom as B
 from ..operators import vulns as V
@@ -76,6 +77,15 @@ jobs.add("sbom_common", B.sbom_common, "components", "baseline", sql="SELECT pac
 jobs.add("label_diff", lambda a, b: B.label_diff(B.diff_packages(a, b), "manifest", True).select("package_id", "name", "label", "note"), "components", "baseline", sql=f"{DIFF} SELECT package_id, name, CASE change WHEN 'only_a' THEN 'sbom_only' WHEN 'only_b' THEN 'manifest_only' ELSE 'changed' END AS label, CASE WHEN change = 'only_a' AND starts_with(purl, 'pkg:wordpress/') THEN 'platform package, not expected in a manifest' END AS note FROM diff WHERE change <> 'same'")
 jobs.add("diff_summary", lambda a, b, w: B.diff_summary(B.label_diff(B.diff_packages(a, b)), w), "components", "baseline", "scanned", sql=f"{DIFF} SELECT package_id, count(*) FILTER (label = 'added') AS added, count(*) FILTER (label = 'removed') AS removed, count(*) FILTER (label = 'changed') AS changed, CAST(0 AS BIGINT) AS sbom_only, CAST(0 AS BIGINT) AS manifest_only, count(label) AS total FROM (SELECT package_id, label FROM lab UNION ALL SELECT package_id, NULL FROM scanned) GROUP BY 1")
 
+jobs.add("read_relationships", H.read_relationships, "sboms", sql="SELECT package_id, sbom_id, 'SPDXRef-DocumentRoot-Directory-..-packages-app' AS source, 'SPDXRef-b' AS target FROM sboms WHERE k % 4 < 2")
+jobs.add("component_depths", H.component_depths, "nodes", "links", sql="""
+ , walk(package_id, spdxid, depth) AS (SELECT DISTINCT package_id, spdxid, 0 FROM nodes WHERE is_root UNION SELECT l.package_id, l.target, depth + 1 FROM walk w JOIN links l ON l.package_id = w.package_id AND l.source = w.spdxid WHERE depth < 60), far AS (SELECT package_id, spdxid, min(depth) AS depth FROM walk GROUP BY ALL)
+ SELECT n.package_id, n.sbom_id, n.spdxid, depth, CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth = 0 THEN 'root' WHEN depth = 1 THEN 'direct' ELSE 'transitive' END AS reach FROM (SELECT DISTINCT package_id, sbom_id, spdxid FROM nodes) n LEFT JOIN far USING (package_id, spdxid)""")
+jobs.sql["component_depths"] = jobs.sql["component_depths"].replace("WITH ", "WITH RECURSIVE ", 1)
+_three = lambda c, b: {"built": c, "declared": b, "deployed": c.filter("length(name) % 3 > 0").unionByName(b.filter("length(name) % 3 = 0").select(*c.columns))}
+jobs.add("reconcile_sboms", lambda c, b: H.reconcile_sboms(**_three(c, b)), "components", "baseline", sql=""", src AS (SELECT 1 AS bit, package_id, name, version FROM components UNION SELECT 2, package_id, name, version FROM baseline UNION SELECT 4, package_id, name, version FROM components WHERE length(name) % 3 > 0 UNION SELECT 4, package_id, name, version FROM baseline WHERE length(name) % 3 = 0),
+ e AS (SELECT package_id, name, version, CAST(sum(bit) AS BIGINT) AS sources, CAST(count(*) AS INT) AS held FROM src GROUP BY ALL), k AS (SELECT package_id, count(DISTINCT bit) AS known FROM src GROUP BY 1) SELECT package_id, name, version, sources, held, count(*) OVER (PARTITION BY package_id, name) AS versions, CASE WHEN held = known THEN 'agreed' WHEN 2 * held > known THEN 'majority' WHEN 2 * held = known THEN 'tied' ELSE 'minority' END AS verdict FROM e JOIN k USING (package_id)""")
+
 # --- licenses ---
 _norm = "CASE " + " ".join(f"WHEN regexp_matches(license, {lit(p)}) THEN {lit(i)}" for p, i in R.LICENSE_SPELLINGS) + " ELSE license END"
 jobs.add("normalise_license", lambda c: c.select("license").distinct().select("license", T.normalise_license(F.col("license")).alias("spdx")), "components", sql=f"SELECT DISTINCT license, {_norm} AS spdx FROM components")

@@ -29,3 +29,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A Parquet table that may not be there yet: None then. Its partition columns are part of the schema."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema).parquet(path)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stored
 
 #: Folders of a document store; a package is in that of its hash. Fixed for the life of a store.
 BUCKETS = 64
 #: A document's top-level keys, each with its value as it stands.
 KEYS = "map<string,variant>"
+STORE = "package_id string, document string, bucket int"
 
 
 def package_documents(**parts: DataFrame) -> DataFrame:
@@ -34,15 +35,6 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("package_id"), F.lit(buckets)).cast("int")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """What a store holds, or None if there is none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return None
-    return spark.read.schema("package_id string, document string, bucket int").parquet(path)
-
-
 def write_package_documents(documents: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Merge documents (package_id, document) into the store at `path`: their top-level keys replace those of a package's record, its other keys stay.
 
@@ -59,7 +51,7 @@ def write_package_documents(documents: DataFrame, path: str, buckets: int = BUCK
     touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
     if not touched:
         return
-    old = _stored(spark, path)
+    old = stored(spark, path, STORE)
     if old is None:
         rows = new.withColumn("document", merged(F.lit("{}"), F.col("new")))
     else:
@@ -73,7 +65,7 @@ def write_package_documents(documents: DataFrame, path: str, buckets: int = BUCK
 
 def read_package_documents(spark: SparkSession, path: str, *packages: str, buckets: int = BUCKETS) -> DataFrame:
     """(package_id, document) of a store: of some packages, from their buckets alone, or of all; none if there is no store yet."""
-    rows = _stored(spark, path)
+    rows = stored(spark, path, STORE)
     if rows is None:
         return spark.createDataFrame([], "package_id string, document string")
     if packages:
