@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources import archives as A
 from ..sources.shared import new_path
+from ..sources.trees import open_uri
 from . import inputs
 from .registry import Registry
 
@@ -77,9 +78,9 @@ def bundle(spark: SparkSession, rows: DataFrame, root: str) -> None:
     """Write rows (bundle, k, text) as zip files <root>/<bundle>.zip, a member a row, from tasks."""
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
-        store, path = A._open(f"{root}/{frame['bundle'].iloc[0]}.zip")
+        store, path = open_uri(f"{root}/{frame['bundle'].iloc[0]}.zip")
         store.create_dir(path.rsplit("/", 1)[0])
-        with store.open_output_stream(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        with store.open_output_stream(path, compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             for k, text in sorted(zip(frame["k"], frame["text"], strict=True)):
                 archive.writestr(f"doc/{k}.txt", text.encode())
         return frame[["bundle"]].head(1)

@@ -10,7 +10,9 @@ from ..operators import content as C
 from ..operators import files as O
 from ..operators import permissions as P
 from ..operators import verdicts as W
+from ..sources.readers import read_package_files
 from ..sources.shared import new_path
+from ..sources.trees import open_uri
 from .registry import Registry
 
 jobs = Registry()
@@ -25,7 +27,27 @@ BARE = R.values(R.pairs(R.KNOWN_NAMES), "bare, c")
 CATEGORISED = f""", cat AS (SELECT f.*, coalesce(e.c, n.c, 'other') AS category, {NAME} AS name, CASE WHEN coalesce(e.c, n.c, 'other') IN {within(R.TEXT_CATEGORIES)} AND size > 0 THEN length(content) - length(replace(content, chr(10), '')) ELSE 0 END AS lines
  FROM (SELECT *, {EXT} AS ext FROM files) f LEFT JOIN (SELECT * FROM {CATEGORIES}) e ON f.ext = e.ext LEFT JOIN (SELECT * FROM {BARE}) n ON f.ext IS NULL AND lower({NAME}) = n.bare)"""
 
-jobs.add("read_package_files", lambda f: O.drop_excluded(f).select("package_id", "path", "size"), "files", sql=r"SELECT package_id, path, size FROM files WHERE NOT regexp_matches(path, '(^|/)(\.git|\.svn|\.hg|node_modules|vendor|venv|\.venv|__pycache__)/')")
+
+
+def _tree(files):
+    """The files, written by tasks as a tree of <package>/<path> below a new folder of the shared one, and read by the reader."""
+    root = new_path(files.sparkSession, "tree")
+
+    def write(batches):
+        for batch in batches:
+            for package, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, at = open_uri(f"{root}/{package}/{path}")
+                store.create_dir(at.rsplit("/", 1)[0])
+                with store.open_output_stream(at, compression=None) as out:
+                    out.write(content.encode())
+            yield batch.select([0]).slice(0, 1)
+
+    files.groupBy("package_id", "path").agg(F.min("content").alias("content")).mapInArrow(write, "package_id string").count()
+    return read_package_files(files.sparkSession, root).select("package_id", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+jobs.add("read_package_files", _tree, "files", sql=r"SELECT package_id, path, CAST(strlen(min(content)) AS BIGINT) AS size, sha256(min(content)) AS sha256 FROM files WHERE NOT regexp_matches(path, '(^|/)(\.git|\.svn|\.hg|node_modules|vendor|venv|\.venv|__pycache__)/') GROUP BY package_id, path")
+jobs.add("drop_excluded", lambda f: O.drop_excluded(f).select("package_id", "path", "size"), "files", sql=r"SELECT package_id, path, size FROM files WHERE NOT regexp_matches(path, '(^|/)(\.git|\.svn|\.hg|node_modules|vendor|venv|\.venv|__pycache__)/')")
 jobs.add("with_extension", lambda f: O.with_extension(f).select("package_id", "path", "ext"), "files", sql=f"SELECT package_id, path, {EXT} AS ext FROM files")
 jobs.add("format_bytes", lambda f: f.select("package_id", "path", T.format_bytes(F.col("size") * F.col("size")).alias("shown")), "files", sql="""SELECT package_id, path, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN ((b + 512) // 1024) || ' KB' WHEN b < 1073741824 THEN ((b*10 + 524288) // 1048576 // 10) || '.' || ((b*10 + 524288) // 1048576 % 10) || ' MB'
  ELSE ((b*10 + 536870912) // 1073741824 // 10) || '.' || ((b*10 + 536870912) // 1073741824 % 10) || ' GB' END AS shown FROM (SELECT *, size * size AS b FROM files)""")

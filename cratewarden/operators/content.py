@@ -1,8 +1,8 @@
 """Content scan: malicious patterns, types that disagree with extensions, embedded code, image hygiene, risk.
 
-Files without any of the words that patterns need are dropped by plain search
-before any line is made, and so are lines without one, before the combined
-expression of all patterns reads what is left; from there on everything is in
+Files without any of the words that patterns need are dropped by plain search,
+and then those whose whole text the combined expression of all patterns doesn't meet, before
+any line is made; lines are sorted out in the same way. From there on everything is in
 proportion to the hits.
 """
 
@@ -70,8 +70,9 @@ def _worded(text: Column) -> Column:
     return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, (low.contains(w) for w in PATTERN_WORDS)))
 
 
-def _matched(line: Column) -> Column:
-    return _worded(line) & line.rlike(COMBINED)
+def _matched(text: Column) -> Column:
+    """Whether a line, or any line of a text, may meet a pattern: no pattern is anchored, and none but through white space reaches over a line."""
+    return _worded(text) & text.rlike(COMBINED)
 
 
 def pattern_hits(files: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def pattern_hits(files: DataFrame) -> DataFrame:
     An inner explode would make the optimizer test the arrays first, and so make them twice.
     """
     lines = F.filter(F.transform(F.split("content", "\n"), lambda text, at: F.struct((at + 1).alias("line"), text.alias("text"))), lambda x: _matched(x["text"]))
-    rows = files.filter(_worded(F.col("content"))).select("package_id", "path", F.inline_outer(lines)).filter("line is not null")
+    rows = files.filter(_matched(F.col("content"))).select("package_id", "path", F.inline_outer(lines)).filter("line is not null")
     ids = F.array(*(F.when(F.col("text").rlike(FLAGS + p), F.lit(n)) for n, p in enumerate(PATTERNS, 1)))
     hits = rows.select("package_id", "path", "line", "text", F.explode_outer(F.filter(ids, lambda i: i.isNotNull())).alias("pattern_id"))
     kind = severity = None
@@ -179,7 +180,7 @@ def all_content_findings(files: DataFrame, limit: int = SCAN_LIMIT) -> DataFrame
     """
     path, ext, mime, content = F.col("path"), F.col("ext"), F.col("mime"), F.col("content")
     scanned = _scannable(F.col("size"), path, limit)
-    lines = F.when(scanned & _worded(content), F.filter(F.split(content, "\n"), _matched))
+    lines = F.when(scanned & _matched(content), F.filter(F.split(content, "\n"), _matched))
     rows = files.select("package_id", "path", "mime", "content", "size", extension(path).alias("ext"), lines.alias("lines")).withColumn("expected", _expected(ext))
     finding = lambda test, kind, name, severity: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("type"), severity.alias("severity")))
     hit = lambda pattern: F.exists("lines", lambda line: line.rlike(pattern))

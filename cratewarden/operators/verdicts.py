@@ -33,7 +33,7 @@ def with_digest(files: DataFrame) -> DataFrame:
 def judge(files: DataFrame) -> DataFrame:
     """files (digest, content) -> a verdict for each. Content beyond the bounds of the scan is judged as well, and is not asked for."""
     content = F.col("content")
-    lines = F.when(C._worded(content), F.filter(F.split(content, "\n"), C._matched))
+    lines = F.when(C._matched(content), F.filter(F.split(content, "\n"), C._matched))
     hit = lambda pattern: F.exists("lines", lambda line: line.rlike(pattern))
     types = F.array_compact(F.array(*(F.when(hit(C._any(PATTERNS[first - 1 : last])), F.lit(name)) for name, _, first, last in PATTERN_TYPES)))
     rows = files.select("digest", "content", lines.alias("lines"))

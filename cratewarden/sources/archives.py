@@ -29,10 +29,11 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .trees import list_tree, open_uri
+
 #: What damaged or unsupported archives raise. Failures of the store itself are StoreError, and end the task, to be tried again.
 DAMAGE = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError, NotImplementedError, RuntimeError, ValueError, struct.error, OverflowError, KeyError, IndexError)
 PIECE = 1 << 20
@@ -186,22 +187,12 @@ def expand_archives(archives: DataFrame, *, keep: int = KEEP, most: int = MOST)
     return archives.select("package_id", "path", F.col("content").cast("binary").alias("content")).mapInArrow(task, f"package_id string, archive string, {COLUMNS}")
 
 
-def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """A URI of Spark's as pyarrow opens it: file:/x is file:///x, and s3a is s3."""
-    scheme, colon, rest = uri.partition(":")
-    if not colon or not scheme.isalnum():
-        return pyarrow.fs.FileSystem.from_uri(f"file://{uri}")
-    if scheme == "file":
-        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
-
-
 def _plan_task(part_bytes: int, part_members: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(archive, kind, first, last): parts of each archive. Reads the first bytes, and of a zip the directory."""
     for batch in batches:
         rows = []
         for uri in batch.column(0).to_pylist():
-            store, path = _open(uri)
+            store, path = open_uri(uri)
             with store.open_input_file(path) as file:
                 source = io.BufferedReader(_Stored(file), 1 << 16)
                 name = kind(source.read(8))
@@ -228,7 +219,7 @@ def _read_task(keep: int, most: int, batches: Iterator[pa.RecordBatch]) -> Itera
     schema = pa.schema([("archive", pa.string()), *_SCHEMA])
 
     def found(uri: str, name: str, first: int, last: int | None) -> Iterator[tuple[dict, dict]]:
-        store, path = _open(uri)
+        store, path = open_uri(uri)
         with store.open_input_file(path) as file:
             source = io.BufferedReader(_Stored(file), PIECE)
             try:
@@ -243,8 +234,8 @@ def _read_task(keep: int, most: int, batches: Iterator[pa.RecordBatch]) -> Itera
 
 
 def plan_archives(spark: SparkSession, root: str, *, part_bytes: int = PART_BYTES, part_members: int = PART_MEMBERS) -> DataFrame:
-    """(archive, kind, first, last) of the parts of all archives below a folder; of the files only names are listed, and tails read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    """(archive, kind, first, last) of the parts of all archives below a folder; of zips only the tails are read."""
+    listed = list_tree(spark, root, "^$").filter("kind = 'file'").select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"))
     return listed.mapInArrow(partial(_plan_task, part_bytes, part_members), "archive string, kind string, first long, last long")
 
 
@@ -252,7 +243,7 @@ def read_archives(spark: SparkSession, root: str, *, part_bytes: int = PART_BYTE
     """(archive, path, size, sha256, content, flag, error) of each member of the archives below a folder.
 
     Parts are dealt to `tasks` tasks, by default one for each sixteen parts, and as many as run
-    at once at least. A folder without archives has no rows, and an empty file none, as Spark lists it not. Works with stores that pyarrow opens.
+    at once at least. A folder without archives has no rows. Works with stores that pyarrow opens.
     """
     parts = plan_archives(spark, root, part_bytes=part_bytes, part_members=part_members)
     many = tasks or max(spark.sparkContext.defaultParallelism, -(-parts.count() // 16))

@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from cratewarden.jobs import inputs
@@ -76,21 +75,21 @@ def test_provenance_risk_floor(spark):
 
 
 def test_read_package_files(spark, tmp_path):
-    for path in ("pkg/a.txt", "pkg/.git/config", "pkg/sub/b c.php", "other/vendor/x"):
+    """Hidden, empty and oddly named files too; nothing of excluded folders, and no links."""
+    files = {"pkg/a.txt": "hello", "pkg/.git/config": "x", "pkg/sub/b c.php": "hello", "other/vendor/x": "x", "pkg/.env": "SECRET=1", "pkg/_under/.hidden/x.tar.gz": "plain", "pkg/empty": "", "pkg/é 100%.md": "q", "top.txt": "x", "pkg/sub/node_modules/y/z": "x"}
+    for path, text in files.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / path).write_text("hello")
-    rows = D.read_package_files(spark, str(tmp_path)).select("package_id", "path", "size").collect()
-    assert {(r.package_id, r.path, r.size) for r in rows} == {("pkg", "a.txt", 5), ("pkg", "sub/b c.php", 5)}
+        (tmp_path / path).write_text(text)
+    (tmp_path / "pkg" / "loop").symlink_to(tmp_path / "pkg")
+    expected = {("pkg", p.removeprefix("pkg/")): files[p] for p in files if p.startswith("pkg/") and ".git/" not in p and "node_modules" not in p}
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        rows = D.read_package_files(spark, root).collect()
+        assert {(r.package_id, r.path): r.content.decode() for r in rows} == expected and all(r.size == len(r.content) for r in rows)
+    assert {(r.package_id, r.path) for r in D.read_package_files(spark, str(tmp_path), content=False).collect()} == set(expected)
+    assert {r.path: r.content for r in D.read_package_files(spark, str(tmp_path), keep=4).collect()}["a.txt"] is None
+    assert D.read_package_files(spark, f"{tmp_path}/nowhere").count() == 0
 
 
 def test_linter_messages_come_from_every_row(spark):
     sf = "/root/testdata/sf0.001"
     assert inputs.frame(spark, sf, "phpcs").count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
-
-
-@pytest.mark.parametrize(("path", "root", "expected"), [
-    ("file:/data/x.y/pkg/a/b.php", "/data/x.y", "pkg/a/b.php"), ("file:///data/pkg/a", "file:///data/", "pkg/a"), ("s3a://bucket/in/pkg/a.txt", "s3a://bucket/in", "pkg/a.txt"),
-    ("hdfs://host:8020/in/pkg/a", "hdfs://host:8020/in", "pkg/a"), ("gs://b-1/in+more/pkg/c d", "gs://b-1/in+more/", "pkg/c d"), ("s3a://bucket/inner/a", "s3a://bucket/in", None),
-])
-def test_paths_below_roots_of_any_scheme(spark, path, root, expected):
-    assert spark.range(1).select(D.below(F.lit(path), root)).first()[0] == expected
