@@ -15,13 +15,15 @@ from .shared import new_path
 
 
 def open_uri(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """A URI of Spark's as pyarrow opens it: file:/x is file:///x, and s3a is s3."""
+    """The store and the path in it of a URI as Spark writes it, in plain characters: a bare path and file:/x are local, s3a is s3."""
     scheme, colon, rest = uri.partition(":")
     if not colon or not scheme.isalnum():
-        return pyarrow.fs.FileSystem.from_uri(f"file://{uri}")
+        return pyarrow.fs.LocalFileSystem(), uri
     if scheme == "file":
         return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+    authority, _, path = rest.removeprefix("//").partition("/")
+    store, base = pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority}/")
+    return store, f"{base.rstrip('/')}/{path}"
 
 
 def list_tree(spark: SparkSession, root: str, excluded: str = EXCLUDED) -> DataFrame:
