@@ -9,29 +9,28 @@ lower case.
 The CGK embedding reads a sequence with a pointer that at step j moves on by
 the random bit f_j(symbol), so sequences at a small edit distance fall into step
 again after each edit and agree in most steps: edit distance becomes Hamming
-distance. A band samples a few steps of such a walk, and a window is a
-candidate for the items whose sampled symbols agree in any band; WALKS walks of
-BANDS bands reach the target recall (see `recall`). Every candidate is verified
-by a banded edit distance.
-
-Not every window of every document is walked. n words with k edits leave an
-untouched run of ceil((n - k) / (k + 1)) words, so a window within k edits
-shares a run of `gram_size` words with the item, at places that differ by k at
-most: only the 2k + 1 windows around each shared gram can be near. Each edit
-spoils `gram_size` grams of q words at most, so such a window shares at least
-n - q + 1 - kq of them. No window is lost by leaving out the others. Windows
-that hang over an end are few, and are verified without a walk.
+distance. A band samples a few steps of such a walk, and a window is proposed
+for the items whose sampled symbols agree in any band; WALKS walks of
+BANDS bands reach the target recall (see `recall`). Windows over an end walk as well, on
+symbols of no word. Proposals are verified by a banded edit distance,
+and the windows around each that is near are measured too, for the nearest.
+
+Windows that no item can be near are not walked: n words within k edits keep
+n - q + 1 - kq of the item's runs of q words at least, whatever the item, so a
+window of n words needs as many runs that occur in items of n words. This
+knows neither items nor places in them, and leaves no near window out; which
+item a window meets is for the walks to say.
 
 Scale. Documents pass through one narrow stage. The benchmark is tested in
 blocks of about BLOCK_ITEMS items or BLOCK_BYTES bytes. Tasks index the blocks
-and write them to the shared folder, where each Python worker reads a block
+and write them to the shared folder, as plain arrays, where each Python worker reads a block
 once, so items don't pass through the driver; a benchmark of any size runs in
-as many passes as it has blocks.
+as many passes as it has blocks, and a task holds one block.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import cut, open_uri, shared_dir
+from .common import cut, open_uri, scratch_name, shared_dir
 
 MAX_EDITS = 0.2
 WALKS, BANDS, SAMPLES = 6, 6, 2
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 64 << 20
-#: Shared grams, and windows, that a task handles at once.
-SLICE, WINDOWS = 1 << 21, 20_000
+#: Words of windows that are walked, or measured, at once.
+AT_ONCE = 1 << 20
 #: Share of a walk's steps that agree, at worst, for a window within the threshold (measured: 0.45 to 0.95).
 WORST_AGREEMENT = 0.4
 
@@ -80,20 +79,22 @@ class Index:
 
     ids: list[int | None]
     tokens: list[np.ndarray]
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by gram size: hash sorted, item, offset
-    tables: dict[int, list[dict[int, np.ndarray]]] = field(default_factory=dict)  # by item size: for each band, key -> items
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by gram size: hashes in order, each with every size of items that have it
+    tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)  # by item size: for each band, keys in order and their items
 
     def __post_init__(self):
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        if self.tables:
+            return
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         sizes: dict[int, list[int]] = {}
         for i, words in enumerate(self.tokens):
-            g = wordhash.windows(words, q := gram_size(len(words)))
-            found.setdefault(q, []).append((g, np.full(len(g), i), np.arange(len(g))))
+            found.setdefault(q := gram_size(len(words)), []).append((wordhash.windows(words, q), len(words)))
             sizes.setdefault(len(words), []).append(i)
         for q, parts in found.items():
-            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.grams[q] = h[order], item[order], at[order]
+            h, n = np.concatenate([g for g, _ in parts]), np.concatenate([np.full(len(g), n) for g, n in parts])
+            order = np.lexsort((n, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (n[order][1:] != n[order][:-1])])
+            self.grams[q] = h[order][new], n[order][new]
         for n, items in sizes.items():
             keys = band_keys(np.concatenate([self.tokens[i] for i in items]), np.arange(len(items)) * n, n)
             self.tables[n] = []
@@ -101,25 +102,54 @@ class Index:
                 order = np.argsort(band, kind="stable")
                 self.tables[n].append((band[order], np.array(items)[order]))
 
-
-def band_keys(words: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each band, the key of the n-word window at each start: a hash of the sampled symbols of a CGK walk."""
-    out = []
+    def saved(self) -> bytes:
+        """The index as plain arrays."""
+        out = io.BytesIO()
+        known = np.array([i is not None for i in self.ids])
+        arrays = {"ids": np.array([i or 0 for i in self.ids], np.int64), "known": known, "words": np.concatenate(self.tokens), "sizes": np.array([len(t) for t in self.tokens])}
+        arrays |= {f"gram-{part}-{q}": x for q, both in self.grams.items() for part, x in zip("hn", both, strict=True)}
+        arrays |= {f"band-{part}-{n}": np.stack([both[k] for both in bands]) for n, bands in self.tables.items() for k, part in enumerate("ki")}
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> Index:
+        with np.load(io.BytesIO(data), allow_pickle=False) as arrays:
+            of = {name: arrays[name] for name in arrays.files}
+        sized = lambda kind: [int(name.rsplit("-", 1)[1]) for name in of if name.startswith(kind)]
+        ids = [int(i) if k else None for i, k in zip(of["ids"], of["known"], strict=True)]
+        grams = {q: (of[f"gram-h-{q}"], of[f"gram-n-{q}"]) for q in sized("gram-h")}
+        tables = {n: list(zip(of[f"band-k-{n}"], of[f"band-i-{n}"], strict=True)) for n in sized("band-k")}
+        return cls(ids, np.split(of["words"], np.cumsum(of["sizes"])[:-1]), grams, tables)
+
+
+@lru_cache(maxsize=4096)
+def _plan(n: int) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """For windows of n words: by step, the (walk, band) that sample there, and by step and walk the multiplier whose top bit moves the pointer."""
+    samples: list[list[tuple[int, int]]] = [[] for _ in range(2 * n)]
+    factors = np.zeros((2 * n, WALKS, 1), np.uint64)
     for walk in range(WALKS):
         rng = np.random.default_rng((n, walk))
-        steps = np.sort(np.stack([rng.choice(2 * n, SAMPLES, replace=False) if 2 * n >= SAMPLES else np.zeros(SAMPLES, int) for _ in range(BANDS)]), axis=1)
-        sampled = steps.tolist()
-        place, end = starts.astype(np.int64), starts + n
-        keys = [np.full(len(starts), band + 1, np.uint64) for band in range(BANDS)]
-        for j in range(int(steps.max()) + 1):
-            # a pointer has moved j words at most, so none is past its window before step n
-            symbol = words[place] if j < n else np.where(place < end, words[np.minimum(place, end - 1)], _U(0))
-            for band in (b for b in range(BANDS) if j in sampled[b]):
-                keys[band] = wordhash.mix(keys[band] * _U(0x9E3779B97F4A7C15) ^ symbol)
-            # f_j: one bit of the symbol under a multiplier of its own step
-            place += ((symbol * _U(int(rng.integers(1, 2**63)) | 1)) >> _U(63)).view(np.int64)
-        out += keys
-    return out
+        for band in range(BANDS):
+            for j in np.sort(rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False)).tolist():
+                samples[j].append((walk, band))
+        factors[:, walk, 0] = rng.integers(1, 2**63, 2 * n, dtype=np.uint64) | _U(1)
+    last = max(j for j, met in enumerate(samples) if met)
+    return samples[: last + 1], factors
+
+
+def band_keys(words: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each band, the key of the n-word window at each start: a hash of the sampled symbols of a CGK walk. All walks go in step."""
+    samples, factors = _plan(n)
+    place, end = np.broadcast_to(starts.astype(np.int64), (WALKS, len(starts))).copy(), starts + n
+    keys = [[np.full(len(starts), band + 1, np.uint64) for band in range(BANDS)] for _ in range(WALKS)]
+    for j, met in enumerate(samples):
+        # a pointer has moved j words at most, so none is past its window before step n
+        symbol = words[place] if j < n else np.where(place < end, words[np.minimum(place, end - 1)], _U(0))
+        for walk, band in met:
+            keys[walk][band] = wordhash.mix(keys[walk][band] * _U(0x9E3779B97F4A7C15) ^ symbol[walk])
+        place += ((symbol * factors[j]) >> _U(63)).view(np.int64)
+    return [key for own in keys for key in own]
 
 
 def edit_distance(words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: int, limit: int, missing: np.ndarray | int = 0) -> np.ndarray:
@@ -143,75 +173,92 @@ def edit_distance(words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: i
     return row[np.arange(len(row)), limit - missing]
 
 
-def _shared(index: Index, found: np.ndarray, q: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The places of grams of q words that a text shares with items, first row and number of rows of each in the gram table, and slices of them.
-
-    A slice (from, to) holds about SLICE rows of the table and one place at
-    least, so a gram that very many items share takes no more memory than others.
-    """
-    grams, _, _ = index.grams[q]
+def walked(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(item size, starts, rows) of the windows that have as many grams of q words from items of that size as a near one must. Starts before a row's, or too near its end, hang over."""
+    grams, sizes = index.grams[q]
     bits = np.zeros(1 << 20, bool)
     bits[(grams & _U((1 << 20) - 1)).astype(np.int64)] = True
+    found = wordhash.windows(hashes, q)
     at = np.flatnonzero(bits[(found & _U((1 << 20) - 1)).astype(np.int64)])
+    row = np.searchsorted(bounds, at, "right") - 1
+    at, row = at[at + q <= bounds[row + 1]], row[at + q <= bounds[row + 1]]
     low = np.searchsorted(grams, found[at], "left")
-    n_same = np.searchsorted(grams, found[at], "right") - low
-    at, low, n_same = at[n_same > 0], low[n_same > 0], n_same[n_same > 0]
-    total = np.cumsum(n_same)
-    begin = 0
-    while begin < len(at):
-        end = max(begin + 1, int(np.searchsorted(total, total[begin] - n_same[begin] + SLICE, "right")))
-        yield begin, end, at, low, n_same
-        begin = end
-
-
-def _starts(index: Index, hashes: np.ndarray, bounds: np.ndarray, q: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """By item size, the starts of windows that may be near an item, from shared grams of q words, and (start, missing words, item) of those over an end."""
-    _, item, offset = index.grams[q]
-    lengths = np.array([len(t) for t in index.tokens])
-    reach = int(lengths.max() * (1 + 2 * MAX_EDITS)) + q
-    found = wordhash.windows(hashes, q)
-    for first, end, every, every_low, every_n in _shared(index, found, q):
-        # a window that shares a gram in this slice has its other grams within `reach`
-        left, right = np.searchsorted(every, every[first] - reach, "left"), np.searchsorted(every, every[end - 1] + reach, "right")
-        at, low, n_same = every[left:right], every_low[left:right], every_n[left:right]
-        which = np.repeat(low, n_same) + np.arange(n_same.sum()) - np.repeat(np.cumsum(n_same) - n_same, n_same)
-        begin = np.repeat(at, n_same) - offset[which]
-        sizes = lengths[item[which]]
-        row = np.searchsorted(bounds, np.repeat(at, n_same), "right") - 1
-        # all shared grams of a near window lie within 2k of each other
-        k, place = (sizes * MAX_EDITS).astype(np.int64), item[which] * (1 << 40) + begin
-        line = np.sort(place)
-        together = np.searchsorted(line, place + 2 * k, "right") - np.searchsorted(line, place - 2 * k, "left")
-        enough = (together >= sizes - q + 1 - k * q) & np.repeat((at >= every[first]) & (at <= every[end - 1]), n_same)
-        begin, sizes, row, which = begin[enough], sizes[enough], row[enough], item[which][enough]
-        out = {}
-        for n in np.unique(sizes):
-            own = sizes == n
-            k = allowed(int(n))
-            around = begin[own][:, None] + np.arange(-k, k + 1)
-            lower, upper = bounds[row[own]][:, None], bounds[row[own] + 1][:, None]
-            keep = (around >= lower) & (around + n <= upper)
-            start, missing = np.maximum(around, lower), np.where(around < lower, lower - around, around + n - upper)
-            over = ~keep & (missing <= k) & (start + n - missing <= upper)
-            edge = np.stack([start[over], missing[over], np.broadcast_to(which[own][:, None], over.shape)[over]])
-            out[int(n)] = np.unique(around[keep]), np.unique(edge, axis=1)
-        yield out
+    many = np.searchsorted(grams, found[at], "right") - low
+    # a row for each shared gram and each size of items that have it, of which there are few
+    which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at, row, size = np.repeat(at, many), np.repeat(row, many), sizes[which]
+    if not len(at):
+        return
+    order = np.argsort(size, kind="stable")
+    each, begins = np.unique(size[order], return_index=True)
+    for n, own in zip(each.tolist(), np.split(order, begins[1:]), strict=True):
+        k = allowed(n)
+        needed = max(1, n - q + 1 - k * q)
+        if len(own) < needed:
+            continue
+        first, last, of = at[own][: len(own) - needed + 1], at[own][needed - 1 :], row[own][: len(own) - needed + 1]
+        together = (row[own][needed - 1 :] == of) & (last - first <= n - q)
+        first, last, of = first[together], last[together], of[together]
+        # starts of windows that hold all `needed` of these grams, and miss k words at most
+        begin, end = np.maximum(last + q - n, bounds[of] - k), np.minimum(first, bounds[of + 1] - n + k)
+        begin, end, of = begin[begin <= end], end[begin <= end], of[begin <= end]
+        if not len(of):
+            continue
+        # ends are in order within a row, so each run begins after the one before
+        begin = np.concatenate([begin[:1], np.where(of[1:] == of[:-1], np.maximum(begin[1:], end[:-1] + 1), begin[1:])])
+        length = np.maximum(end - begin + 1, 0)
+        starts = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        yield n, starts, np.repeat(of, length)
+
+
+def _missing(starts: np.ndarray, rows: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(bounds[rows] - starts, 0) + np.maximum(starts + n - bounds[rows + 1], 0)
+
+
+def proposed(index: Index, hashes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, rows: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, rows, items) of the windows of n words that meet an item in some band of a walk."""
+    step = max(1, AT_ONCE // n)
+    for i in range(0, len(starts), step):
+        at, row = starts[i : i + step], rows[i : i + step]
+        over = _missing(at, row, bounds, n) > 0
+        for own in (np.flatnonzero(~over), np.flatnonzero(over)):
+            if not len(own):
+                continue
+            if over[own[0]]:
+                place = at[own][:, None] + np.arange(n)
+                inside = (place >= bounds[row[own]][:, None]) & (place < bounds[row[own] + 1][:, None])
+                walk = band_keys(np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], _U(0)).ravel(), np.arange(len(own)) * n, n)
+            else:
+                walk = band_keys(hashes, at[own], n)
+            window, item = met_items(index, walk, n)
+            yield at[own][window], row[own][window], item
+
+
+def _measured(index: Index, hashes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, rows: np.ndarray, items: np.ndarray, n: int, limit: int) -> np.ndarray:
+    missing, out = _missing(starts, rows, bounds, n), []
+    step = max(1, AT_ONCE // (n + 2 * limit + 1))
+    for i in range(0, len(starts), step):
+        s = slice(i, i + step)
+        out.append(edit_distance(hashes, np.maximum(starts[s], bounds[rows[s]]), np.stack([index.tokens[x] for x in items[s]]), n, limit, missing[s]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(starts, items, distances, words) of the verified windows."""
     for q in index.grams:
-        for proposed in _starts(index, hashes, bounds, q):
-            for n, (starts, (at, missing, item)) in proposed.items():
-                for i in range(0, len(starts), WINDOWS):
-                    part = starts[i : i + WINDOWS]
-                    row, met = met_items(index, band_keys(hashes, part, n), n)
-                    at, item, missing = np.concatenate([at, part[row]]), np.concatenate([item, met]), np.concatenate([missing, np.zeros(len(row), np.int64)])
-                for i in range(0, len(at), WINDOWS):
-                    s = slice(i, i + WINDOWS)
-                    distance = edit_distance(hashes, at[s], np.stack([index.tokens[x] for x in item[s]]), n, allowed(n), missing[s])
-                    near = distance <= allowed(n)
-                    yield at[s][near], item[s][near], distance[near], n - missing[s][near]
+        for n, all_starts, all_rows in walked(index, hashes, bounds, q):
+            k = allowed(n)
+            for starts, rows, items in proposed(index, hashes, bounds, all_starts, all_rows, n):
+                # a window some words beside a near one is at twice its edits at most
+                close = _measured(index, hashes, bounds, starts, rows, items, n, min(2 * k, n)) <= min(2 * k, n)
+                beside = np.arange(-k, k + 1)
+                around = np.stack([x.ravel() for x in np.broadcast_arrays(starts[close][:, None] + beside, rows[close][:, None], items[close][:, None])])
+                at, row, item = np.unique(around, axis=1)
+                missing = _missing(at, row, bounds, n)
+                at, row, item = at[missing <= k], row[missing <= k], item[missing <= k]
+                distance = _measured(index, hashes, bounds, at, row, item, n, k)
+                near = distance <= k
+                yield np.maximum(at, bounds[row])[near], item[near], distance[near], n - _missing(at, row, bounds, n)[near]
 
 
 def met_items(index: Index, keys: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +312,7 @@ def index_blocks(benchmark: DataFrame) -> list[str]:
         for uri in uris:
             files, path = open_uri(uri)
             with files.open_output_stream(path) as out:
-                pickle.dump(Index([i for i, _ in found], [w for _, w in found]), out, protocol=5)
+                out.write(Index([i for i, _ in found], [w for _, w in found]).saved())
         return pa.table({"uri": pa.array(uris, pa.string())})
 
     made = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(many))).groupBy("block").applyInArrow(build, "uri string")
@@ -277,7 +324,7 @@ def opened(uri: str) -> Index:
     """An index file, read once by each Python worker that needs it."""
     files, path = open_uri(uri)
     with files.open_input_stream(path) as source:
-        return pickle.loads(source.read())
+        return Index.loaded(source.read())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -299,19 +346,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a window near any item, also over an end; the columns and rows of `docs`, in one narrow stage for each block."""
-    schema = docs.schema
-    for uri in index_blocks(benchmark):
+    """The documents without a window near any item, also over an end; the columns and rows of `docs`.
+
+    One narrow stage for a benchmark of one block. For more, each block is a pass that names
+    contaminated texts by hash, and the documents are parted from those once.
+    """
+
+    def clean(uri: str, texts: pa.Array) -> np.ndarray:
+        out = np.ones(len(texts), bool)
+        for base, hashes, bounds in wordhash.chunks(texts, _SEPARATORS, _FOLD):
+            for at, _, _, n in matches(opened(uri), hashes, bounds):
+                # the last word is in the row also where the window hangs over its start
+                out[base + np.searchsorted(bounds, at + n - 1, "right") - 1] = False
+        return out
 
-        def task(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
+    uris = index_blocks(benchmark)
+    if len(uris) == 1:
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for base, hashes, bounds in wordhash.chunks(batch.column(batch.schema.get_field_index("text")), _SEPARATORS, _FOLD):
-                    for at, *_ in matches(opened(uri), hashes, bounds):
-                        clean[base + np.searchsorted(bounds, at, "right") - 1] = False
-                yield batch.filter(pa.array(clean))
+                yield batch.filter(pa.array(clean(uris[0], batch.column(batch.schema.get_field_index("text")))))
 
-        docs = docs.mapInArrow(task, schema)
-    return docs
+        return docs.mapInArrow(task, docs.schema)
+    name = {c: scratch_name(docs, c) for c in ("one", "two")}
+    marks = {name["one"]: F.xxhash64("text"), name["two"]: F.xxhash64("text", F.octet_length("text"))}
+    dirty = None
+    for uri in uris:
 
+        def named(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select([1, 2]).filter(pa.array(~clean(uri, batch.column(0))))
 
+        part = docs.select("text", *(c.alias(n) for n, c in marks.items())).mapInArrow(named, f"`{name['one']}` long, `{name['two']}` long")
+        dirty = part if dirty is None else dirty.unionByName(part)
+    if dirty is None:
+        return docs
+    return docs.withColumns(marks).join(cut(dirty.distinct(), "contaminated-texts"), list(name.values()), "left_anti").select(*docs.columns)

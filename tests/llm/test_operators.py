@@ -684,12 +684,13 @@ def test_lsh_recall_without_the_gram_filter():
     assert met >= 0.9 * total
 
 
-def test_shared_grams_in_slices(spark, monkeypatch):
-    """Items and texts full of the same grams: slices of any size give the same windows."""
+def test_windows_at_once(spark, monkeypatch):
+    """Items and texts full of the same grams: any number of windows at once gives the same ones."""
     rng = random.Random(15)
     common = "which of the following is the best answer to this question".split()
     items = [" ".join(common + rng.choices("abcdefgh", k=8) + common[:5]) for _ in range(40)]
-    index = decontaminate.Index(list(range(40)), decontaminate.item_words(items))
+    index = decontaminate.Index.loaded(decontaminate.Index([*range(39), None], decontaminate.item_words(items)).saved())
+    assert index.ids == [*range(39), None]
     text = " ".join(" ".join(common * rng.randint(1, 3)) + " " + rng.choice(items) for _ in range(30))
     words_ = decontaminate.item_words([text])[0]
 
@@ -699,10 +700,52 @@ def test_shared_grams_in_slices(spark, monkeypatch):
     whole = found()
     assert len(whole) > 30
     for size in (200, 5000):
-        monkeypatch.setattr(decontaminate, "SLICE", size)
+        monkeypatch.setattr(decontaminate, "AT_ONCE", size)
         assert found() == whole
 
 
+def test_no_near_window_is_left_unwalked():
+    """The windows that are walked hold every one within the edits allowed, over an end too."""
+    rng = random.Random(16)
+    vocabulary = prose(rng, 60).split()
+    items = [rng.choices(vocabulary, k=n) for n in (1, 2, 4, 5, 6, 10, 15, 24) for _ in range(3)]
+    texts = []
+    for _ in range(40):
+        item = list(rng.choice(items))
+        for _ in range(rng.randint(0, decontaminate.allowed(len(item)))):
+            at = rng.randrange(len(item) + 1)
+            item[at : at + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 1)
+        texts.append(rng.choices(vocabulary, k=rng.choice([0, 0, 7])) + item + rng.choices(vocabulary, k=rng.choice([0, 0, 7])))
+    index = decontaminate.Index(list(range(len(items))), decontaminate.item_words([" ".join(i) for i in items]))
+    tokens_ = decontaminate.item_words([" ".join(t) for t in texts])
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens_])])
+    walked = {(n, int(s), int(r)) for q in index.grams for n, starts, rows_ in decontaminate.walked(index, np.concatenate(tokens_), bounds, q) for s, r in zip(starts, rows_, strict=True)}
+    near = 0
+    for r, text in enumerate(texts):
+        for item in items:
+            n, k = len(item), decontaminate.allowed(len(item))
+            for s in range(-k, len(text) - n + k + 1):
+                window = text[max(s, 0) : s + n]
+                if n - len(window) <= k and edits(window, item) <= k and (len(window) == n or edits(window, item) <= k):
+                    near += 1
+                    assert (n, int(bounds[r]) + s, r) in walked
+    assert near > 60
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Many blocks give what one gives."""
+    rng = random.Random(17)
+    items = [(i, prose(rng, rng.choice([5, 12, 30]))) for i in range(40)]
+    rows = [(n, prose(rng, 20) + " " + (items[n][1] if n % 2 else "") + " " + prose(rng, 20)) for n in range(40)] + [(None, items[3][1]), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __one", "'x' AS block").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = Counter(tuple(r) for r in decontaminate.contaminated(docs, benchmark).collect()), Counter(tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 9)
+    assert len(decontaminate.index_blocks(benchmark)) > 2
+    assert (Counter(tuple(r) for r in decontaminate.contaminated(docs, benchmark).collect()), Counter(tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect())) == whole
+    assert len(whole[0]) >= 21 and sum(whole[1].values()) == 43 - 21
+
+
 def test_null_item_ids_stay_apart(spark):
     text = "one two three four five six seven eight nine ten eleven"
     benchmark = spark.createDataFrame([(None, text), (-1, text + " twelve")], "item_id long, text string")
