@@ -1,34 +1,40 @@
 """Tool-call linking: calls meet results by identifier, in dependency order, as canonical JSON.
 
 Calls and results are hash-joined on (conversation, call id). A call's level is
-its longest chain of dependencies. It is found in rounds of path doubling: each
-round places the calls that wait for none, and an edge to a call that waits for
+its longest chain of dependencies. A conversation is put in topological order by the task that has it, in one go
+whatever its depth; one of more than TASK_CALLS calls and dependencies, in rounds over
+(conversation, call id): each round places the calls that wait for none, and an edge to a call that waits for
 one other alone jumps over it, so chains halve. Arguments are validated against
 the tool's schema, and each event is serialised as JSON with sorted keys and no
 spaces.
 
-Scale. Every join and aggregate is keyed by (conversation, call id), so a
+Scale. Every other join and aggregate is keyed by (conversation, call id), so a
 conversation that holds a third of all events is spread like any other; no
-conversation is gathered anywhere, and (level, turn, call_id) orders its rows.
+conversation beyond TASK_CALLS is gathered anywhere, and (level, turn, call_id) orders its rows.
 Rounds touch only calls that wait, and are written to the shared folder; their
 number grows with the logarithm of the longest chain, and with the depth of calls
-that wait for several others at once. There is no cap on rounds: they end when
+that wait for several others at once, in such large conversations alone. There is no cap on rounds: they end when
 nothing changes, which is also how cycles are found.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 KEY = ["conv_id", "call_id"]
+#: Calls and dependencies of a conversation that a task holds, some tens of MB.
+TASK_CALLS = 1 << 16
 
 #: The tools that `derive_events` uses. Properties: name -> (JSON type, whether required).
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
@@ -89,19 +95,72 @@ def canonical(value: object) -> str:
 def levels(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, depends_on), keys distinct and not null -> (conv_id, call_id, level); null in and behind cycles.
 
-    A dependency that is no call of the conversation counts as met.
+    A dependency that is no call of the conversation counts as met. A conversation of up to TASK_CALLS calls and
+    dependencies is ordered in one go by the task that has it, however deep it is; larger ones, which
+    no task should hold, in rounds over all of their calls at once.
+    """
+    nodes = cut(calls.select(*KEY, "depends_on"), "call-nodes")
+    size = nodes.groupBy("conv_id").agg(F.sum(1 + F.size("depends_on")).alias("size"))
+    large = size.filter(F.col("size") > TASK_CALLS).select("conv_id")
+    if large.isEmpty():
+        return _levels_in_tasks(nodes)
+    large = cut(large, "large-conversations")
+    return _levels_in_tasks(nodes.join(large, "conv_id", "left_anti")).unionByName(_levels_in_rounds(nodes.join(large, "conv_id", "left_semi")))
+
+
+def _levels_in_tasks(nodes: DataFrame) -> DataFrame:
+    """The calls of a conversation lie together, and are taken up when all that they wait for has been."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, held = None, {}
+        for batch in batches:
+            for conv_id, call_id, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and conv_id != conv:
+                    yield ordered(conv, held)
+                    held = {}
+                conv = conv_id
+                held[call_id] = needs
+        if held:
+            yield ordered(conv, held)
+
+    def ordered(conv: int, held: dict[str, list[str | None]]) -> pa.RecordBatch:
+        waits = {call: {n for n in needs if n in held} for call, needs in held.items()}
+        open_, behind = {call: len(needs) for call, needs in waits.items()}, {}
+        for call, needs in waits.items():
+            for n in needs:
+                behind.setdefault(n, []).append(call)
+        level, wave = {}, [call for call, n in open_.items() if not n]
+        for depth in itertools.count():
+            if not wave:
+                break
+            level |= dict.fromkeys(wave, depth)
+            after = []
+            for call in wave:
+                for next_ in behind.get(call, ()):
+                    open_[next_] -= 1
+                    if not open_[next_]:
+                        after.append(next_)
+            wave = after
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(held), pa.int64()), pa.array(list(held), pa.string()), pa.array([level.get(call) for call in held], pa.int32())], ["conv_id", "call_id", "level"])
+
+    return nodes.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(task, "conv_id long, call_id string, level int")
+
+
+def _levels_in_rounds(calls: DataFrame) -> DataFrame:
+    """The same for conversations of any size: chains by path doubling, calls that wait for several at once one level a round.
 
     What is known of a call is a row for each call it waits for, whose level and
     `steps` are a lower bound of its own, and one without such a call, whose
-    `steps` alone are.
+    `steps` alone are. Calls that are placed are one more folder of one table, so
+    the plan of a round doesn't grow.
     """
     nodes = cut(calls.select(*KEY, "depends_on"), "call-nodes")
-    n = nodes.count()
+    n, place, done = nodes.count(), f"{shared_dir(calls.sparkSession)}/calls-placed-{uuid.uuid4().hex}", []
+    placed_calls = lambda: calls.sparkSession.read.schema("conv_id long, call_id string, level long").parquet(*done)
     edges = nodes.select(*KEY, F.explode("depends_on").alias("needs")).filter("needs is not null").distinct()
     edges = edges.join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
     none = F.lit(None).cast("string")
     rows = nodes.select(*KEY, none.alias("needs"), F.lit(0).cast("long").alias("steps")).unionByName(edges.select(*KEY, "needs", F.lit(1).cast("long").alias("steps")))
-    found = None
     while True:
         rows = cut(rows, "call-rows")
         waits = F.col("needs").isNotNull()
@@ -110,10 +169,11 @@ def levels(calls: DataFrame) -> DataFrame:
         placed = known.filter("open = 0").select(*KEY, F.col("base").alias("level"))
         # a chain longer than there are calls runs in a circle, and is left where it is
         state = known.filter((F.col("open") == 0) | ((F.col("open") == 1) & (F.col("jump") <= n))).select("conv_id", F.col("call_id").alias("needs"), "base", "target", "jump")
-        if found is not None:
+        if done:
             # an edge may have jumped to a call that is placed already
-            state = state.unionByName(found.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("base")), allowMissingColumns=True)
-        found = placed if found is None else found.unionByName(placed)
+            state = state.unionByName(placed_calls().select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("base")), allowMissingColumns=True)
+        placed.write.parquet(f"{place}/{len(done)}")
+        done = [*done, f"{place}/{len(done)}"]
         met = rows.filter(waits).join(state, ["conv_id", "needs"], "left")
         seen = F.col("base").isNotNull()
         step = lambda needs, steps: F.struct(needs.alias("needs"), steps.cast("long").alias("steps"))
@@ -126,7 +186,7 @@ def levels(calls: DataFrame) -> DataFrame:
         if after.filter("moved").isEmpty():
             break
         rows = after.drop("moved")
-    return nodes.select(*KEY).join(found, KEY, "left").withColumn("level", F.col("level").cast("int"))
+    return nodes.select(*KEY).join(placed_calls(), KEY, "left").withColumn("level", F.col("level").cast("int"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:

@@ -537,8 +537,10 @@ def test_tool_calls_hold_whole_texts_and_every_row(spark):
     assert orphans == [(1, 0, "be brief"), (1, 1, "first"), (2, 0, "opening"), (2, 1, None), (2, 2, "odd")]
 
 
-def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
-    """A chain of 5,000 calls, a circle, calls behind it, and random dependencies, against brute force."""
+@pytest.mark.parametrize("held", [1 << 16, 30, 0])
+def test_levels(spark, monkeypatch, held):
+    """A chain of 5,000 calls, a circle, calls behind it, and random dependencies, against brute force: in tasks, in both ways, and all in rounds, of which there are few."""
+    monkeypatch.setattr(toolcalls, "TASK_CALLS", held)
     rng = random.Random(16)
     calls = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(5000)]
     calls += [(2, f"r{i}", [f"r{(i + 1) % 7}"]) for i in range(7)] + [(2, "behind", ["r3"]), (2, "far", ["behind", "free"]), (2, "free", ["nobody"]), (2, "self", ["self"])]
@@ -552,7 +554,16 @@ def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
         return max((1 + level(d) for d in random_[k]), default=0)
 
     expected = {(1, f"c{i}"): i for i in range(5000)} | {(2, f"r{i}"): None for i in range(7)} | {(2, "behind"): None, (2, "far"): None, (2, "free"): 0, (2, "self"): None} | {(3, k): level(k) for k in random_}
-    assert got == expected and rounds.count("call-known") < 20
+    assert got == expected and rounds.count("call-known") < (20 if held < 5000 else 1)
+
+
+def test_deep_wide_waits_take_no_rounds(spark, monkeypatch):
+    """200 levels of two calls that each wait for both before, twice over in one conversation's calls and with an identifier of another's."""
+    calls = [(1, f"c{k}-{i}", [f"c{k - 1}-{j}" for j in range(2)] if k else ["d0"]) for k in range(200) for i in range(2)] + [(2, "d0", None), (2, "d1", ["d0", None, "c0-0"])]
+    monkeypatch.setattr(toolcalls, "_levels_in_rounds", None)
+    frame = spark.createDataFrame([(c, k, sorted({*(d or [])} - {None}) + ([None] if d and None in d else [])) for c, k, d in calls], "conv_id long, call_id string, depends_on array<string>").repartition(5)
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(frame).collect()}
+    assert got == {(1, f"c{k}-{i}"): k for k in range(200) for i in range(2)} | {(2, "d0"): 0, (2, "d1"): 1}
 
 
 # --- 9 ---
