@@ -38,12 +38,28 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators: kind, pattern, and a cheap test that every text with a match passes.
 GENERATORS = {
     "local_phone": ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])", r"[0-9][ .-][0-9]{3}"),
-    "spelled_email": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}+){1,4}+", r"(?i) at |[\[(]at[\])]"),
+    "spelled_email": ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}+){1,126}+", r"(?i) at |[\[(]at[\])]"),
     "other_card": ("card", r"(?<![0-9.])[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])", r"[0-9]{4}"),
     "ipv6": ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]"),
 }
-INTRODUCING = r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|contact|reach(?: me| us)?(?: at)?|whatsapp|sms|e-?mail|mail|write(?: to)?|card|visa|mastercard|amex|credit|debit|pay(?: with)?|ip|host|address|from)\W*$"
-COUNTING = r"(?i)\b(?:order|invoice|version|page|isbn|item|ref(?:erence)?|total|room|id|serial|tracking|chapter|section|no|number|part|model|date|since|look(?:ing|s)?|time)\W*$"
+#: Words before a span that features look for, in the languages of the corpus: those that introduce personal data, and those that introduce other numbers.
+INTRODUCING = (
+    r"(?i)(?<!\p{L})(?:call|phone|tel|telephone|mobile|cell|fax|contact|reach(?: me| us)?(?: at)?|whatsapp|sms|e-?mail|mail|write(?: to)?|card|visa|mastercard|amex|credit|debit|pay(?: with)?|ip|host|address|from"
+    r"|telefon|handy|anruf(?:en)?|rufen sie|schreiben(?: an)?|karte|kreditkarte|adresse|t[ée]l[ée]phone|portable|appel(?:ez|er)|[ée]crire|courriel|carte|tel[ée]fono|m[óo]vil|llam(?:e|ar)|escrib(?:a|ir)|correo|tarjeta|direcci[óo]n)\W*$"
+)
+COUNTING = (
+    r"(?i)(?<!\p{L})(?:order|invoice|version|page|isbn|item|ref(?:erence)?|total|room|id|serial|tracking|chapter|section|no|number|part|model|date|since|look(?:ing|s)?|time"
+    r"|bestellung|rechnung|seite|nummer|teil|datum|kapitel|raum|commande|facture|num[ée]ro|chapitre|r[ée]f[ée]rence|salle|pedido|factura|p[áa]gina|n[úu]mero|cap[íi]tulo|referencia|fecha)\W*$"
+)
+#: Cues that labels are written with, by generator, one to each language at least: (of personal data, of other text). The first are among the words above, the second are not.
+LISTED = {
+    0: (("call", "phone:", "telefon", "appelez", "llame"), ("order", "rechnung", "page", "pedido")), 1: (("email", "schreiben an", "courriel", "correo:"), ("looking", "time")),
+    2: (("card", "visa", "karte", "tarjeta"), ("tracking", "serial", "facture")), 3: (("ip", "host", "adresse"), ("time", "section")),
+}
+UNLISTED = {
+    0: (("dial", "hotline", "durchwahl", "joignable au", "marque el"), ("batch", "ticket", "aktenzeichen", "dossier", "expediente", "score")), 1: (("questions to", "erreichbar unter", "joindre", "dudas a"), ("meet", "treffen", "rendez-vous", "vemos")),
+    2: (("account", "konto", "compte", "cuenta"), ("parcel", "sendung", "colis", "paquete")), 3: (("server", "rechner", "serveur", "equipo"), ("elapsed", "dauer", "dur\u00e9e", "plazo")),
+}
 DOMAINS = r"(?i)[. ](?:com|org|net|edu|gov|io|info|eu|uk|de|fr|es|it|nl)$"
 SAMPLE_ROWS, SAMPLE_WORDS = 200, 600
 PRECISION = 0.95
@@ -72,8 +88,9 @@ def features(span: Column, generator: Column) -> Column:
     return F.array(*(f.cast("double") for f in flags))
 
 
-def labelled_samples(docs: DataFrame) -> DataFrame:
-    """(label, generator, span, part): labelled spans in context, part 0 to 3 by hash."""
+def labelled_samples(docs: DataFrame, *cues: dict[int, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """(label, generator, span, part): labelled spans in context, part 0 to 3 by hash, written with LISTED and UNLISTED cues or those given."""
+    cues = cues or (LISTED, UNLISTED)
     sample = bounded_sample(docs.select("doc_id", "text"), SAMPLE_ROWS, "doc_id")
     word = sample.select(F.explode(words(F.col("text"))).alias("w")).select(F.regexp_replace(F.lower("w"), "[^a-z]++", "").alias("w")).filter(F.length("w") >= 2)
     word = word.groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h").limit(SAMPLE_WORDS)
@@ -89,17 +106,15 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     prose = [F.concat(w, lit(" at "), w, lit(" dot "), w), F.concat(w, lit(" at "), w, lit(".the"))]
     six = [F.concat_ws(":", *(x(k) for k in range(1, 9)))]
     clock = [F.concat_ws(":", *(d(k, 2) for k in range(1, 9)))]
-    introduced = {0: ("call", "phone:", "tel.", "mobile", "reach me at"), 1: ("email", "write to", "contact:"), 2: ("card", "visa", "pay with"), 3: ("ip", "host", "from")}
-    counted = {0: ("order", "invoice no.", "version", "page", "isbn", "ref"), 1: ("looking", "time"), 2: ("tracking", "serial", "id"), 3: ("time", "section")}
-    made = [(g, 1, cue, s) for g, some in ((0, phones), (1, emails), (2, cards), (3, six)) for s in some for cue in introduced[g]]
-    made += [(g, 0, cue, s) for g, some in ((0, phones[1:]), (1, prose), (2, cards), (3, clock)) for s in some for cue in counted[g]]
-    made += [(g, 1, "and", s) for g, s in ((0, phones[0]), *((1, e) for e in emails), (3, six[0]))] + [(g, 0, "and", s) for g, s in ((0, phones[2]), (0, phones[3]), (1, prose[0]), (2, cards[0]))]
+    yes, no = {0: phones, 1: emails, 2: cards, 3: six}, {0: phones[1:], 1: prose, 2: cards, 3: clock}
+    made = [(g, label, cue, t) for some in cues for g, both in some.items() for label, spans, own in ((1, yes, both[0]), (0, no, both[1])) for t in spans[g] for cue in own]
+    made += [(g, 1, "and", t) for g, t in ((0, phones[0]), *((1, e) for e in emails), (3, six[0]))] + [(g, 0, "and", t) for g, t in ((0, phones[2]), (0, phones[3]), (1, prose[0]), (2, cards[0]))]
     choices = F.array(*(
-        F.struct(lit(label).alias("label"), lit(g).alias("generator"), F.struct(lit(0).alias("start"), lit(0).alias("stop"), s.alias("text"), F.concat(w, lit(f" {cue} ")).alias("before"), F.concat(lit(" "), F.substring("m", 1, 2), lit(" ")).alias("after")).alias("span"))
-        for g, label, cue, s in made
+        F.struct(lit(label).alias("label"), lit(g).alias("generator"), F.struct(lit(0).alias("start"), lit(0).alias("stop"), t.alias("text"), F.concat(w, lit(f" {cue} ")).alias("before"), F.concat(lit(" "), F.substring("m", 1, 2), lit(" ")).alias("after")).alias("span"))
+        for g, label, cue, t in made
     ))
-    # each word takes every 6th choice, so a sample has at most SAMPLE_WORDS * len(made) / 6 rows
-    picked = rows.select(F.posexplode(choices).alias("k", "c"), "h").filter(F.pmod(F.col("h") + F.col("k"), F.lit(6)) == 0)
+    # each word takes every 12th choice, so a sample has at most SAMPLE_WORDS * len(made) / 12 rows
+    picked = rows.select(F.posexplode(choices).alias("k", "c"), "h").filter(F.pmod(F.col("h") + F.col("k"), F.lit(12)) == 0)
     return picked.select("c.label", "c.generator", "c.span", F.pmod(F.xxhash64("h", "k"), F.lit(4)).alias("part"))
 
 

@@ -1,4 +1,7 @@
-"""Leftmost, non-overlapping matches of patterns with their places, in built-in functions only, in time linear in the text.
+"""Leftmost, non-overlapping matches of patterns with their places, in built-in functions only.
+
+Time is linear in the text, and with very many matches, some hundred thousand, a little
+more, as blocks of them are folded one after the other.
 
 Each step is a column of its own, since what a lambda looks into must be
 computed once for a row, not once for an entry. The optimizer moves a column
