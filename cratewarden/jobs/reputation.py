@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..operators import domains as D
 from ..operators import emails as E
+from ..operators import identities as Q
 from .registry import Registry
 
 jobs = Registry()
@@ -75,3 +76,14 @@ EMAILS = ("addresses", "dns_records", "smtp_probes")
 jobs.add("email_score", lambda *t: _scored(*t).select("address", "score", "hard_verdict"), *EMAILS, sql=f"{SCORE} SELECT address, score, hard_verdict FROM scr")
 jobs.add("email_verdict", lambda *t: E.email_verdict(_scored(*t)), *EMAILS, sql=f"{SCORE} SELECT * FROM ev")
 jobs.add("email_summary", lambda *t: E.email_summary(E.email_verdict(_scored(*t))), *EMAILS, sql=f"{SCORE} SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (verdict = 'UNVERIFIABLE') AS unverifiable FROM ev")
+
+# --- publishers ---
+IDENTITIES = """, pk AS (SELECT package_id, nullif(regexp_replace(trim(lower(author)), '\\s+', ' ', 'g'), '') AS author, nullif(trim(regexp_replace(lower(address), '^mailto:', '')), '') AS address, lower(domain) AS domain FROM publishers),
+ ky AS (SELECT DISTINCT package_id, kind, value FROM (SELECT package_id, 'author' AS kind, author AS value FROM pk UNION ALL SELECT package_id, 'address', address FROM pk UNION ALL SELECT package_id, 'domain', coalesce(domain, nullif(regexp_extract(address, '@([^@]+)$', 1), '')) FROM pk) WHERE value IS NOT NULL),
+ few AS (SELECT kind, value FROM ky GROUP BY ALL HAVING count(*) <= 50), ln AS (SELECT DISTINCT x.package_id AS a, y.package_id AS b FROM ky x JOIN ky y USING (kind, value) JOIN few USING (kind, value)),
+ far(a, b) AS (SELECT package_id, package_id FROM pk UNION SELECT far.a, ln.b FROM far JOIN ln ON far.b = ln.a), pub AS (SELECT a AS package_id, min(b) AS publisher FROM far GROUP BY 1)"""
+jobs.add("publisher_identities", Q.publisher_identities, "publishers", sql=f"{IDENTITIES} SELECT * FROM pub")
+jobs.add("publisher_rollup", lambda p: Q.publisher_rollup(Q.publisher_identities(p), p.select("package_id", "verdict"), ("FLAGGED", "SUSPICIOUS", "CLEAN")), "publishers", sql=f"""{IDENTITIES}, v AS (SELECT package_id, CASE verdict WHEN 'FLAGGED' THEN 1 WHEN 'SUSPICIOUS' THEN 2 WHEN 'CLEAN' THEN 3 END AS o FROM publishers)
+ SELECT publisher, count(*) AS packages, count(o) AS judged, CASE min(o) WHEN 1 THEN 'FLAGGED' WHEN 2 THEN 'SUSPICIOUS' WHEN 3 THEN 'CLEAN' END AS worst, count(*) FILTER (o < 3) AS doubtful FROM pub JOIN v USING (package_id) GROUP BY 1""")
+for _name in ("publisher_identities", "publisher_rollup"):
+    jobs.sql[_name] = jobs.sql[_name].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -14,6 +14,7 @@ from cratewarden.operators import audit as A
 from cratewarden.operators import content as C
 from cratewarden.operators import facets as X
 from cratewarden.operators import graph as H
+from cratewarden.operators import identities as P
 from cratewarden.operators import integrity as I
 from cratewarden.operators import verdicts as W
 
@@ -159,3 +160,40 @@ def test_verdicts(spark, tmp_path):
     rows = lambda d: sorted(tuple(r) for r in d.select("package_id", "path", "kind", "type", "severity").collect())
     expected = rows(C.all_content_findings(df))
     assert rows(W.findings(listed.drop("content"), W.known_verdicts(spark, path))) == expected and len(expected) > 1000
+
+
+def test_publishers(spark):
+    """Equal to union-find, through chains, with common keys that don't link."""
+    rng = random.Random(6)
+    records = [(f"p{k:04}", rng.choice([None, "", "Admin", f"Ann  {rng.randrange(400)}"]), rng.choice([None, f"mailto:U{rng.randrange(500)}@d{rng.randrange(3)}.x", f"u{rng.randrange(500)}@own{k % 90}.x"]), rng.choice([None, None, "Forge.Example"])) for k in range(400)]
+    records += [(f"c{k:03}", f"link {k // 2}", None, f"x{(k + 1) // 2}.y") for k in range(120)] + [(None, "Ann 1", None, None), ("p0001", "Ann 2", None, None), ("none", None, None, None)]
+    shown = lambda t: None if t is None or not t.strip() else " ".join(t.lower().removeprefix("mailto:").split())
+    packages = defaultdict(set)
+    for package, author, address, domain in records:
+        if package:
+            a = shown(address)
+            for key in (("author", shown(author)), ("address", a), ("domain", shown(domain) or (a and a.split("@")[1]))):
+                if key[1]:
+                    packages[key].add(package)
+    parent = {r[0]: r[0] for r in records if r[0]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for members in packages.values():
+        if len(members) <= 20:
+            first = root(min(members))
+            for m in members:
+                a, b = sorted((root(m), first))
+                parent[b], first = a, a
+    expected = {p: root(p) for p in parent}
+    frame = spark.createDataFrame(records, "package_id string, author string, address string, domain string").withColumns({"least": F.lit(1), "label": F.lit("x")})
+    got = P.publisher_identities(frame, most=20)
+    assert {r.package_id: r.publisher for r in got.collect()} == expected
+    assert len({v for k, v in expected.items() if k.startswith("c")}) == 1
+    verdicts = spark.createDataFrame([("c003", "FLAGGED"), ("c003", "CLEAN"), ("c004", "CLEAN"), ("c005", "SUSPICIOUS"), ("c006", "odd"), ("none", None)], "package_id string, verdict string")
+    rolled = {r.publisher: r[1:] for r in P.publisher_rollup(got, verdicts, ("FLAGGED", "SUSPICIOUS", "CLEAN")).collect()}
+    assert rolled["c000"] == (120, 3, "FLAGGED", 2) and rolled["none"] == (1, 0, None, 0)
+    assert P.publisher_identities(frame.limit(0)).count() == 0
