@@ -101,6 +101,9 @@ INPUTS["affected"] = """SELECT concat('pkg', CAST(o_custkey % 120 AS STRING)) AS
 #: A graph for each package: nodes are lines of orders; some edges lead to nodes that aren't there, some back.
 INPUTS["nodes"] = "SELECT concat('pkg', CAST(CAST(FLOOR(l_orderkey / 32) AS BIGINT) AS STRING)) AS package_id, CAST('s' AS STRING) AS sbom_id, CAST((l_orderkey % 32) * 8 + l_linenumber AS STRING) AS spdxid, l_orderkey % 32 = 3 AND l_linenumber = 1 AS is_root, CAST((l_orderkey % 32) * 8 + l_linenumber AS BIGINT) AS n FROM {lineitem}"
 INPUTS["links"] = f"""SELECT package_id, sbom_id, spdxid AS source, CAST(CASE m WHEN 0 THEN (n * 3 + 1) % 256 WHEN 1 THEN (n * 5 + 2) % 256 ELSE n - 1 END AS STRING) AS target FROM ({INPUTS["nodes"]}) g CROSS JOIN (VALUES (0), (1), (2)) AS r(m) WHERE m < 2 OR n % 16 > 12"""
+#: Known libraries, packages that hold two of them each, reformatted and with some words exchanged, and what they declare.
+INPUTS["libraries"] = "SELECT concat('lib', CAST(doc_id AS STRING)) AS library, text AS content FROM {documents}"
+INPUTS["vendoring"] = "SELECT concat('pkg', CAST(CAST(FLOOR(doc_id / 2) AS BIGINT) AS STRING)) AS package_id, concat('intro ', upper(replace(replace(text, ' the ', ' that '), ' ', chr(10)))) AS content, concat('Lib', CAST(doc_id AS STRING)) AS name, doc_id AS k FROM {documents}"
 #: Who published what: names, addresses and domains that a few packages share, some that very many do, and some missing.
 INPUTS["publishers"] = """SELECT concat('pkg', CAST(c_custkey AS STRING)) AS package_id, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'Admin' WHEN 1 THEN NULL ELSE concat(' Ann  ', CAST(CAST(FLOOR(c_custkey / 4) AS BIGINT) AS STRING)) END AS author, CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN NULL WHEN 1 THEN concat('mailto:T', CAST((c_custkey * 31) % 997 AS STRING), '@gmail.example') ELSE concat('u', CAST(CAST(FLOOR(c_custkey / 3) AS BIGINT) AS STRING), '@d', CAST(CAST(FLOOR(c_custkey / 9) AS BIGINT) AS STRING), '.example') END AS address,
  CASE WHEN c_custkey % 11 = 0 THEN concat('D', CAST(CAST(FLOOR(c_custkey / 20) AS BIGINT) AS STRING), '.Example') END AS domain, CASE CAST(c_custkey % 13 AS INT) WHEN 0 THEN 'FLAGGED' WHEN 1 THEN 'SUSPICIOUS' WHEN 2 THEN 'unknown' ELSE 'CLEAN' END AS verdict FROM {customer}"""

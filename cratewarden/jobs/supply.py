@@ -10,9 +10,11 @@ from ..operators import audit as A
 from ..operators import graph as H
 from ..operators import licenses as L
 from ..operators import sbom as B
+from ..operators import vendored as N
 from ..operators import vulns as V
 from ..sources import manifests as M
 from ..sources import readers as D
+from ..sources.shared import cut
 from .registry import Registry
 
 jobs = Registry()
@@ -86,6 +88,17 @@ _three = lambda c, b: {"built": c, "declared": b, "deployed": c.filter("length(n
 jobs.add("reconcile_sboms", lambda c, b: H.reconcile_sboms(**_three(c, b)), "components", "baseline", sql=""", src AS (SELECT 1 AS bit, package_id, name, version FROM components UNION SELECT 2, package_id, name, version FROM baseline UNION SELECT 4, package_id, name, version FROM components WHERE length(name) % 3 > 0 UNION SELECT 4, package_id, name, version FROM baseline WHERE length(name) % 3 = 0),
  e AS (SELECT package_id, name, version, CAST(sum(bit) AS BIGINT) AS sources, CAST(count(*) AS INT) AS held FROM src GROUP BY ALL), k AS (SELECT package_id, count(DISTINCT bit) AS known FROM src GROUP BY 1) SELECT package_id, name, version, sources, held, count(*) OVER (PARTITION BY package_id, name) AS versions, CASE WHEN held = known THEN 'agreed' WHEN 2 * held > known THEN 'majority' WHEN 2 * held = known THEN 'tied' ELSE 'minority' END AS verdict FROM e JOIN k USING (package_id)""")
 
+
+def _vendored(libraries, packages):
+    """What each package holds and what it declares: one of its two libraries, and one that it hasn't."""
+    index = cut(N.library_index(libraries), "library-index")
+    found = cut(N.vendored_libraries(packages, index), "vendored")
+    declared = packages.filter("k % 2 = 0").select("package_id", "name").unionByName(packages.filter("k % 2 = 0").select("package_id", F.concat(F.lit("lib"), F.col("k") + 7).alias("name")))
+    return N.declared_and_found(found, declared, index).join(found, ["package_id", "library"], "left")
+
+
+jobs.add("vendored_libraries", _vendored, "libraries", "vendoring")
+
 # --- licenses ---
 _norm = "CASE " + " ".join(f"WHEN regexp_matches(license, {lit(p)}) THEN {lit(i)}" for p, i in R.LICENSE_SPELLINGS) + " ELSE license END"
 jobs.add("normalise_license", lambda c: c.select("license").distinct().select("license", T.normalise_license(F.col("license")).alias("spdx")), "components", sql=f"SELECT DISTINCT license, {_norm} AS spdx FROM components")

@@ -16,6 +16,7 @@ from cratewarden.operators import facets as X
 from cratewarden.operators import graph as H
 from cratewarden.operators import identities as P
 from cratewarden.operators import integrity as I
+from cratewarden.operators import vendored as V
 from cratewarden.operators import verdicts as W
 
 LETTERS = "abcdefgh"
@@ -197,3 +198,42 @@ def test_publishers(spark):
     rolled = {r.publisher: r[1:] for r in P.publisher_rollup(got, verdicts, ("FLAGGED", "SUSPICIOUS", "CLEAN")).collect()}
     assert rolled["c000"] == (120, 3, "FLAGGED", 2) and rolled["none"] == (1, 0, None, 0)
     assert P.publisher_identities(frame.limit(0)).count() == 0
+
+
+def test_vendored_libraries(spark):
+    """Copies that are reformatted and edited are found at 0.9 recall or more, and little else; headers that all share name no library."""
+    rng = random.Random(11)
+    code = lambda n: "\n".join(f"function {word(rng)}_{word(rng)}($a) {{ return {word(rng)}($a, {rng.randrange(999)}); }}" for _ in range(n))
+    header = "/* Permission is hereby granted, free of charge, to any person obtaining a copy of this software */\n" * 3
+    libraries = {f"lib{k}": header + code(rng.randint(8, 60)) for k in range(60)} | {"tiny": "x();", "none": None, "only header": header}
+    files, planted = [], set()
+    for k in range(80):
+        body = [header, code(40)]
+        for name in rng.sample([n for n in libraries if n.startswith("lib")], rng.randint(0, 3)):
+            lines = libraries[name].split("\n")
+            lines = [li.upper().replace("(", " ( ") if rng.random() < 0.3 else li for li in lines if rng.random() > 0.1]
+            lines = [li.replace("return", "return  $x +") if rng.random() < 0.15 else li for li in lines]
+            body.append("\n".join(lines))
+            planted.add((f"p{k}", name))
+        files += [(f"p{k}", "\n\t".join(body))]
+    files += [("empty", ""), ("null", None), (None, libraries["lib1"])]
+    index = V.library_index(spark.createDataFrame(list(libraries.items()), "library string, content string"), most=20).cache()
+    assert {r.library for r in index.select("library").distinct().collect()} == {n for n in libraries if n.startswith("lib")}
+    found = V.vendored_libraries(spark.createDataFrame(files, "package_id string, content string"), index).cache()
+    got = {(r.package_id, r.library) for r in found.collect()}
+    print("vendored: recall", len(got & planted) / len(planted), "precision", len(got & planted) / len(got))
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.98 * len(got)
+    some = sorted(got & planted)[:3]
+    components = spark.createDataFrame([(some[0][0], some[0][1].upper()), (some[1][0], "lib0 "), ("p0", "tiny"), ("other", "lib2")], "package_id string, name string")
+    verdicts = {(r.package_id, r.library): r.verdict for r in V.declared_and_found(found, components, index).collect()}
+    assert verdicts[some[0]] == "declared" and verdicts[some[2]] == "undeclared" and verdicts["other", "lib2"] == "unused" and ("p0", "tiny") not in verdicts and len(verdicts) == len(got) + 1
+
+
+def test_winnowing():
+    """Texts that share enough in a row share a fingerprint, whatever their spacing and case."""
+    rng = random.Random(13)
+    for _ in range(200):
+        shared = "".join(rng.choices("abcdefgh", k=V.GRAM + V.WINDOW - 1))
+        a, b = (("".join(rng.choices("ijklmnop", k=rng.randint(0, 60))) + shared + "".join(rng.choices("qrstuv", k=rng.randint(0, 60)))) for _ in range(2))
+        assert set(V.winnowed(a.encode())) & set(V.winnowed(" \n".join(b.upper()).encode()))
+    assert len(V.winnowed(b"short")) == 0 and len(V.winnowed(b"a" * 500)) == 1
