@@ -44,10 +44,10 @@ jobs.add("package_metadata", lambda p: G.package_metadata(p).select("package_id"
 jobs.add("required_meta_check", lambda p: joined(G.required_meta_check(G.package_metadata(p)), "missing"), "plugin_files", sql=f"{META} SELECT package_id, array_to_string(list_filter([CASE WHEN name IS NULL THEN 'name' END, CASE WHEN sec IS NULL THEN 'security' END], lambda x: x IS NOT NULL), '|') AS missing, name IS NOT NULL AND sec IS NOT NULL AS complete FROM m")
 jobs.add("security_contact_fallback", lambda p: G.security_contact_fallback(p.withColumn("content", F.when(F.length("package_id") % 2 == 0, F.replace("content", F.lit("bob, eve"), F.lit("eve"))).otherwise(F.col("content"))), "registry@x.example"), "plugin_files", sql=f"{BASE} SELECT package_id, coalesce(CASE WHEN has_readme AND length(package_id) % 2 = 0 THEN 'eve' END, author, 'registry@x.example') AS contact FROM q")
 jobs.add("facet_labels", lambda c: G.facet_labels(c, "license", "version"), "components", sql="SELECT 'license' AS facet, license AS value, count(*) AS n FROM components WHERE license IS NOT NULL GROUP BY ALL UNION ALL SELECT 'version', version, count(*) FROM components GROUP BY ALL")
-_chosen = {"license": F.col("value").isin("MIT", "GPL-2.0"), "php": X.version_order(F.col("value")) <= X.version_order(F.lit("8.0")), "multisite": F.col("value") != "true"}
+_chosen = lambda: {"license": F.col("value").isin("MIT", "GPL-2.0"), "php": X.version_order(F.col("value")) <= X.version_order(F.lit("8.0")), "multisite": F.col("value") != "true"}
 _tests = {"license": "license IN ('MIT', 'GPL-2.0')", "php": "php IN ('5.6', '7.4', '7.10', '8.0')", "multisite": "NOT multisite"}
 _facet = lambda f: f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM catalogue WHERE " + (" AND ".join(t for g, t in _tests.items() if g != f)) + " GROUP BY ALL"
-jobs.add("facet_counts", lambda c: X.facet_counts(X.facet_index(c, "license", "kind", "php", "multisite"), **_chosen), "catalogue", sql=" UNION ALL ".join(map(_facet, ("license", "kind", "php", "multisite"))))
+jobs.add("facet_counts", lambda c: X.facet_counts(X.facet_index(c, "license", "kind", "php", "multisite"), **_chosen()), "catalogue", sql=" UNION ALL ".join(map(_facet, ("license", "kind", "php", "multisite"))))
 inputs.INPUTS["commits"] = "SELECT concat('pkg', CAST(user_id % 31 AS STRING)) AS package_id, CAST(user_id AS STRING) AS author, ts FROM {events}"
 jobs.add("repo_activity", lambda c: G.repo_activity(c, datetime.date(2024, 1, 20), 1), "commits", sql="SELECT package_id, count(DISTINCT author) FILTER (ts <= DATE '2024-01-20' AND ts > DATE '2023-12-20') AS contributors, count(*) FILTER (ts <= DATE '2024-01-20' AND ts > DATE '2023-12-20') AS commits, CAST(date_diff('day', CAST(min(ts) AS DATE), DATE '2024-01-20') AS INT) AS age_days FROM commits GROUP BY 1")
 _sliding = "SELECT w.package_id, w.period, count(*) AS commits, count(DISTINCT author) AS contributors FROM (SELECT package_id, unnest(generate_series(min(date_trunc('week', ts)), (SELECT max(date_trunc('week', ts)) FROM commits), INTERVAL 1 WEEK)) AS period FROM commits GROUP BY 1) w JOIN commits c ON c.package_id = w.package_id AND date_trunc('week', c.ts) BETWEEN w.period - INTERVAL 1 WEEK AND w.period GROUP BY ALL"
