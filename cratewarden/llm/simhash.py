@@ -155,8 +155,8 @@ BANDS, ROWS = 32, 6
 MOST_BITS = 44
 #: Members of a bucket that are put in order together; larger buckets are parted, and tied by their first.
 BUCKET = 4096
-#: Bits of the counters by which shingles are ordered, 4 MB in all.
-COUNTERS = 20
+#: Bits of the counters by which shingles are ordered: as the shingles are many, from 4 to 32 MB in all.
+COUNTERS = (20, 23)
 
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,19 +229,21 @@ def _maybe_near(met: DataFrame, fps: DataFrame) -> DataFrame:
 
 
 def _shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles fall on each of 2 ** COUNTERS counters."""
-    shift = np.uint64(64 - COUNTERS)
+    """How many shingles fall on each of 2 ** COUNTERS counters, one for four shingles within the bounds."""
+    many = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    bits = min(COUNTERS[1], max(COUNTERS[0], (many // 4).bit_length()))
+    shift = np.uint64(64 - bits)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTERS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             at = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> shift
             counts += np.bincount(at.astype(np.int64), minlength=len(counts))
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["at", "n"])
 
-    found = sets.select("shingles").mapInArrow(task, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 ** COUNTERS rows at most
-    counts = np.zeros(1 << COUNTERS, np.uint32)
+    found = sets.select("shingles").mapInArrow(task, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 ** bits rows at most
+    counts = np.zeros(1 << bits, np.uint32)
     counts[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
     return counts
 
@@ -249,14 +251,14 @@ def _shingle_counts(sets: DataFrame) -> np.ndarray:
 def prefix_pairs(sets: DataFrame) -> DataFrame:
     """sets (node, component, shingles) -> (a, b): pairs of different components, among them all at similarity 0.8 or more.
 
-    Rows of a shingle's most frequent component meet those of others only, so one
-    large group costs nothing. Pairs inside a less frequent component are
-    compared and left out, so the work grows with the square of a second one.
+    Rows of one component never meet, however many share a shingle: the
+    components under a shingle are numbered, and rows meet those whose number
+    differs in a bit, bit by bit. A row is sent once for each bit of the number of components.
     """
     counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - COUNTERS)
+        shift = np.uint64(65 - len(counts.value).bit_length())
         for batch in batches:
             for node, component, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens = made.values.to_numpy(zero_copy_only=False)
@@ -269,12 +271,17 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(first), *same, pa.array(place), pa.array(place <= index)], ["token", "node", "component", "size", "place", "indexed"])
 
     rows = cut(sets.select("node", "component", "shingles").mapInArrow(task, "token long, node long, component long, size long, place long, indexed boolean"), "near-prefixes")
-    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
-    rows = cut(rows.join(parts.filter("parts > 1").drop("parts"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "near-prefixes")
-    left = rows.withColumn("turn", F.when(F.col("other"), 0).otherwise(1)).alias("x")
-    right = rows.filter("indexed").withColumn("turn", F.explode(F.when(F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).alias("y")
-    met = left.join(right, ["token", "turn"]).filter(
-        "x.component <> y.component and (x.size > y.size or (x.size = y.size and x.node > y.node)) and y.size * 5 >= x.size * 4"
+    each = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    numbered = each.join(shared, "token").withColumn("number", F.row_number().over(Window.partitionBy("token").orderBy(F.col("n").desc(), "component")) - 1)
+    # the bits in which numbers below `parts` can differ
+    numbered = numbered.select("token", "component", "number", F.length(F.bin(F.col("parts") - 1)).alias("width"))
+    rows = cut(rows.join(numbered, ["token", "component"]), "near-prefixes")
+    turns = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("own", F.getbit(F.col("number").cast("long"), F.col("turn")))
+    left = turns.withColumn("side", F.col("own").cast("int")).alias("x")
+    right = turns.filter("indexed").withColumn("side", (1 - F.col("own")).cast("int")).alias("y")
+    met = left.join(right, ["token", "turn", "side"]).filter(
+        "(x.size > y.size or (x.size = y.size and x.node > y.node)) and y.size * 5 >= x.size * 4"
         " and (least(x.size - x.place, y.size - y.place) + 1) * 9 >= (x.size + y.size) * 4"
     )
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()

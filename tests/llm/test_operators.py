@@ -536,6 +536,22 @@ def test_prefix_pairs_leave_out_no_near_pair(spark):
     assert near <= got <= apart
 
 
+def test_prefix_pairs_of_one_component_never_meet(spark):
+    """Two large components and some small ones share a rare shingle: only rows of different ones are compared, in any number of components."""
+    shingles = lambda node: sorted([5, *(node * 1000 + k for k in range(1, 4))])
+    for sizes in ([300, 200], [300, 200, 1, 1, 1], [2] * 9):
+        rows, node = [], 0
+        for component, many in enumerate(sizes):
+            for _ in range(many):
+                node += 1
+                rows.append((node, component, shingles(node)))
+        joined = simhash.prefix_pairs(spark.createDataFrame(rows, "node long, component long, shingles array<long>"))
+        apart = (len(rows) ** 2 - sum(n * n for n in sizes)) // 2
+        assert joined.count() <= apart
+        of = {n: c for n, c, _ in rows}
+        assert all(of[r.a] != of[r.b] for r in joined.collect())
+
+
 def test_near_copies_are_verified_on_shingle_sets(spark):
     """Pairs a few shingles above and below 0.8, on long texts."""
     rng = random.Random(8)
