@@ -252,8 +252,8 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     """sets (node, component, shingles) -> (a, b): pairs of different components, among them all at similarity 0.8 or more.
 
     Rows of one component never meet, however many share a shingle: the
-    components under a shingle are numbered, and rows meet those whose number
-    differs in a bit, bit by bit. A row is sent once for each bit of the number of components.
+    components under a shingle are numbered, and rows meet at the highest bit in
+    which their numbers differ, so once. A row is sent once for each bit of the number of components.
     """
     counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
 
@@ -277,10 +277,10 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     # the bits in which numbers below `parts` can differ
     numbered = numbered.select("token", "component", "number", F.length(F.bin(F.col("parts") - 1)).alias("width"))
     rows = cut(rows.join(numbered, ["token", "component"]), "near-prefixes")
-    turns = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("own", F.getbit(F.col("number").cast("long"), F.col("turn")))
+    turns = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumns({"own": F.getbit(F.col("number").cast("long"), F.col("turn")), "above": F.floor(F.col("number") / F.pow(F.lit(2), F.col("turn") + 1))})
     left = turns.withColumn("side", F.col("own").cast("int")).alias("x")
     right = turns.filter("indexed").withColumn("side", (1 - F.col("own")).cast("int")).alias("y")
-    met = left.join(right, ["token", "turn", "side"]).filter(
+    met = left.join(right, ["token", "turn", "above", "side"]).filter(
         "(x.size > y.size or (x.size = y.size and x.node > y.node)) and y.size * 5 >= x.size * 4"
         " and (least(x.size - x.place, y.size - y.place) + 1) * 9 >= (x.size + y.size) * 4"
     )
