@@ -7,9 +7,10 @@ def broadcasts(df):
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
 
 
-def test_registry_is_never_broadcast(spark):
-    """An index of names is many times its names, which Spark doesn't see when it plans a broadcast by size."""
-    components = spark.createDataFrame([("p", "reqeusts", "1"), ("p", "requests", "1")], "package_id string, name string, version string")
-    found = A.typosquat(components, spark.createDataFrame([("requests",)], "name string"))
+def test_registry_is_never_broadcast(spark, tmp_path):
+    """An index of names is many times its names, which Spark doesn't see when it plans a broadcast by the size of files."""
+    spark.createDataFrame([("p", "reqeusts", "1"), ("p", "requests", "1")], "package_id string, name string, version string").write.parquet(f"{tmp_path}/components")
+    spark.createDataFrame([("requests",)], "name string").write.parquet(f"{tmp_path}/registry")
+    found = A.typosquat(spark.read.parquet(f"{tmp_path}/components"), spark.read.parquet(f"{tmp_path}/registry"))
     assert broadcasts(found) == 0
     assert [(r.name, r.target, r.distance) for r in found.collect()] == [("reqeusts", "requests", 2)]
