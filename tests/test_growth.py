@@ -1,5 +1,9 @@
 """What must not grow in the driver, or in what is shuffled, when the tables do."""
 
+import duckdb
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
 from cratewarden.operators import audit as A
 
 
@@ -14,3 +18,14 @@ def test_registry_is_never_broadcast(spark, tmp_path):
     found = A.typosquat(spark.read.parquet(f"{tmp_path}/components"), spark.read.parquet(f"{tmp_path}/registry"))
     assert broadcasts(found) == 0
     assert [(r.name, r.target, r.distance) for r in found.collect()] == [("reqeusts", "requests", 2)]
+
+
+def test_sliding_activity_is_exact(spark, tmp_path):
+    """Equal to its SQL where a package has far more contributors than a sketch counts exactly."""
+    events = spark.range(90000).select((F.col("id") % 40000 * 31).alias("user_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") % 29).cast("int"))).alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select user_id, ts::timestamp as ts from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expected = con.execute(entry.oracle_sql()["sliding_activity"]).fetchall()
+    found = entry.queries()["sliding_activity"](spark, str(tmp_path)).select("package_id", "period", "commits", "contributors")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected) and max(r[3] for r in expected) > 20000
