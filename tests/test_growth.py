@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cratewarden.operators import audit as A
+from cratewarden.operators import identities as P
 
 
 def broadcasts(df):
@@ -29,3 +30,11 @@ def test_sliding_activity_is_exact(spark, tmp_path):
     expected = con.execute(entry.oracle_sql()["sliding_activity"]).fetchall()
     found = entry.queries()["sliding_activity"](spark, str(tmp_path)).select("package_id", "period", "commits", "contributors")
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected) and max(r[3] for r in expected) > 20000
+
+
+def test_publishers_are_never_broadcast(spark, monkeypatch):
+    """Neither in a round nor before or after."""
+    seen, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df, name: (seen.append(broadcasts(df)), cut(df, name))[1])
+    found = entry.queries()["publisher_rollup"](spark, "/root/testdata/sf0.001")
+    assert seen == [0] * len(seen) and len(seen) > 4 and broadcasts(found) == 0
