@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cratewarden.operators import audit as A
+from cratewarden.operators import graph as H
 from cratewarden.operators import identities as P
 
 
@@ -38,3 +39,15 @@ def test_publishers_are_never_broadcast(spark, monkeypatch):
     monkeypatch.setattr(P, "cut", lambda df, name: (seen.append(broadcasts(df)), cut(df, name))[1])
     found = entry.queries()["publisher_rollup"](spark, "/root/testdata/sf0.001")
     assert seen == [0] * len(seen) and len(seen) > 4 and broadcasts(found) == 0
+
+
+def test_sbom_graphs_are_walked_at_once_or_in_rounds(spark):
+    """Both ways give the same, the first without a broadcast; null keys link nothing."""
+    nodes = [("p", "s", str(k), k == 3) for k in range(40)] + [("q", "s", str(k), k % 9 == 0) for k in range(30)] + [(None, "s", "a", True), ("r", None, "a", True), ("q", "s", "0", False)]
+    edges = [(p, "s", str(k), str((k * m + 1) % 50)) for p in "pqz" for k in range(0, 50, 3) for m in (3, 5)] + [(None, "s", "a", "b"), ("p", "s", None, "1"), ("p", "s", "3", None)]
+    components = spark.createDataFrame(nodes, "package_id string, sbom_id string, spdxid string, is_root boolean")
+    links = spark.createDataFrame(edges, "package_id string, sbom_id string, source string, target string")
+    made = [H.component_depths(components, links, most=m) for m in (H.MOST, 70, 0)]
+    assert broadcasts(made[0]) == 0
+    one, two, three = (sorted(map(tuple, df.collect()), key=str) for df in made)
+    assert one == two == three and len(one) == 72 and (None, "s", "a", None, "unreachable") in one
