@@ -69,7 +69,7 @@ FILES = f"""SELECT package_id, archive, 'top/text.txt' AS path, CAST(strlen(text
 MEMBERS = f"""SELECT * EXCLUDE form FROM ({FILES}) f UNION ALL SELECT package_id, archive, NULL, NULL, NULL, true FROM ({PACKED}) p WHERE form IN (0, 6)"""
 _fields = lambda df, *key: df.select(*key, "path", "size", "sha256", F.col("error").isNotNull().alias("failed"))
 jobs.add("expand_archives", lambda p: _fields(A.expand_archives(pack(p)), "package_id", "archive"), "packed", sql=MEMBERS)
-jobs.add("whole_archives", lambda p: _fields(A.whole_archives(A.expand_archives(pack(p))), "package_id", "archive"), "packed", sql=f"SELECT * EXCLUDE form FROM ({FILES}) f WHERE form < 6")
+jobs.add("whole_archives", lambda p: _fields(A.whole_archives(A.expand_archives(pack(p)).drop("content")), "package_id", "archive"), "packed", sql=f"SELECT * EXCLUDE form FROM ({FILES}) f WHERE form < 6")
 
 inputs.INPUTS["bundled"] = "SELECT CAST(FLOOR(doc_id / 100) AS BIGINT) AS bundle, doc_id AS k, coalesce(text, '') AS text FROM {documents}"
 

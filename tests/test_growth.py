@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from cratewarden.operators import audit as A
 from cratewarden.operators import graph as H
 from cratewarden.operators import identities as P
+from cratewarden.sources import archives as R
 
 
 def broadcasts(df):
@@ -51,3 +52,17 @@ def test_sbom_graphs_are_walked_at_once_or_in_rounds(spark):
     assert broadcasts(made[0]) == 0
     one, two, three = (sorted(map(tuple, df.collect()), key=str) for df in made)
     assert one == two == three and len(one) == 72 and (None, "s", "a", None, "unreachable") in one
+
+
+def test_archives_are_opened_once(spark):
+    """What tells damaged archives is not a second pass over their bytes."""
+    rows = spark.createDataFrame([("p", "a.tar", b"no archive"), ("q", "b.tar", None)], "package_id string, path string, content binary")
+    opened = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    assert R.whole_archives(R.expand_archives(rows.mapInArrow(task, rows.schema))).count() == 0
+    assert opened.value == 2
