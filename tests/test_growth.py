@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from cratewarden.operators import audit as A
 from cratewarden.operators import graph as H
 from cratewarden.operators import identities as P
+from cratewarden.operators import vendored as V
 from cratewarden.sources import archives as R
 
 
@@ -66,3 +67,19 @@ def test_archives_are_opened_once(spark):
 
     assert R.whole_archives(R.expand_archives(rows.mapInArrow(task, rows.schema))).count() == 0
     assert opened.value == 2
+
+
+def test_vendored_in_one_shuffle_of_fingerprints(spark):
+    """Equal to sets of fingerprints in plain Python, also where a key has several files; each side is dealt by fingerprint alone, as two numbers."""
+    text = lambda k: " ".join(f"{'abcdefghij'[(k * i * i + i) % 10]}{k * i % 97}" for i in range(1, 90))
+    libraries = [(f"l{k}", text(k)) for k in range(12)] + [("l1", text(40)), ("twin", text(3)), (None, text(5)), ("empty", None)]
+    files = [(f"p{k % 5}", text(k) + " " + text(k + 20)) for k in range(14)] + [("p0", text(40)), (None, text(1))]
+    prints = lambda rows: {n: set().union(*(V.winnowed(t.encode()).tolist() for m, t in rows if m == n and t)) for n in {r[0] for r in rows if r[0]}}
+    own, held = prints(libraries), prints(files)
+    own = {n: {h for h in s if sum(h in o for o in own.values()) <= 1} for n, s in own.items()}
+    expected = {(p, n, len(s & hs), len(s)) for p, hs in held.items() for n, s in own.items() if s and len(s & hs) >= max(0.3 * len(s), min(5, len(s)))}
+    frames = spark.createDataFrame(libraries, "library string, content string"), spark.createDataFrame(files, "package_id string, content string")
+    found, known = V.find_vendored(*frames, most=1)
+    assert {tuple(r)[:4] for r in found.collect()} == expected and len(expected) > 5
+    assert {r.library for r in known.collect()} == {n for n, s in own.items() if s}
+    assert {tuple(r)[:4] for r in V.vendored_libraries(frames[1], V.library_index(frames[0], most=1)).collect()} == expected
