@@ -47,6 +47,8 @@ from .common import cut, open_uri, scratch_name, shared_dir
 MAX_EDITS = 0.2
 WALKS, BANDS, SAMPLES = 6, 6, 2
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 64 << 20
+#: Bytes of text that are matched at once where whole rows pass through.
+TEXT_BYTES = 1 << 19
 #: Words of windows that are walked, or measured, at once.
 AT_ONCE = 1 << 20
 #: Share of a walk's steps that agree, at worst, for a window within the threshold (measured: 0.45 to 0.95).
@@ -345,29 +347,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.start_word", "best.edits", "best.n_words")
 
 
+def _clean(uri: str, texts: pa.Array) -> np.ndarray:
+    """Which texts have no window near an item of the block."""
+    out = np.ones(len(texts), bool)
+    for base, hashes, bounds in wordhash.chunks(texts, _SEPARATORS, _FOLD, TEXT_BYTES):
+        for at, _, _, n in matches(opened(uri), hashes, bounds):
+            # the last word is in the row also where the window hangs over its start
+            out[base + np.searchsorted(bounds, at + n - 1, "right") - 1] = False
+    return out
+
+
+def _clean_task(uri: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in wordhash.parts(whole)):
+        yield batch.filter(pa.array(_clean(uri, batch.column(batch.schema.get_field_index("text")))))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a window near any item, also over an end; the columns and rows of `docs`.
 
     One narrow stage for a benchmark of one block. For more, each block is a pass that names
     contaminated texts by hash, and the documents are parted from those once.
     """
-
-    def clean(uri: str, texts: pa.Array) -> np.ndarray:
-        out = np.ones(len(texts), bool)
-        for base, hashes, bounds in wordhash.chunks(texts, _SEPARATORS, _FOLD):
-            for at, _, _, n in matches(opened(uri), hashes, bounds):
-                # the last word is in the row also where the window hangs over its start
-                out[base + np.searchsorted(bounds, at + n - 1, "right") - 1] = False
-        return out
-
     uris = index_blocks(benchmark)
     if len(uris) == 1:
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(clean(uris[0], batch.column(batch.schema.get_field_index("text")))))
-
-        return docs.mapInArrow(task, docs.schema)
+        return docs.mapInArrow(lambda batches: _clean_task(uris[0], batches), docs.schema)
     name = {c: scratch_name(docs, c) for c in ("one", "two")}
     marks = {name["one"]: F.xxhash64("text"), name["two"]: F.xxhash64("text", F.octet_length("text"))}
     dirty = None
@@ -375,7 +378,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def named(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.select([1, 2]).filter(pa.array(~clean(uri, batch.column(0))))
+                yield batch.select([1, 2]).filter(pa.array(~_clean(uri, batch.column(0))))
 
         part = docs.select("text", *(c.alias(n) for n, c in marks.items())).mapInArrow(named, f"`{name['one']}` long, `{name['two']}` long")
         dirty = part if dirty is None else dirty.unionByName(part)

@@ -161,13 +161,13 @@ COUNTERS = 20
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS = BANDS * ROWS // 64
-#: Shingles that are multiplied by all factors at once.
-_STEP = 512
+#: Shingles that are multiplied by all factors at once, and bytes of text that are hashed at once.
+_STEP, _BYTES = 512, 1 << 18
 
 
 def _shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     """The hashes of each text's set of shingles, sorted."""
-    words = (hashes[a:b] for _, hashes, bounds in wordhash.chunks(texts, fold=_FOLD) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    words = (hashes[a:b] for _, hashes, bounds in wordhash.chunks(texts, fold=_FOLD, size=_BYTES) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
     return [np.unique(wordhash.windows(w, min(shingle, len(w)))) if len(w) else np.zeros(0, np.uint64) for w in words]
 
 
@@ -179,24 +179,25 @@ def _smallest(made: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_shingle_set(docs: DataFrame, digest: str, size: str, bits: str, keys: str, shingle: int) -> DataFrame:
-    """`docs` with the `digest` (128 bits) and `size` of its shingle set, `bits` (longs) and `keys` of its smallest hashes."""
+def _set_task(shingle: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in wordhash.parts(whole)):
+        texts = batch.column(batch.schema.get_field_index("text"))
+        sets = _shingle_sets(texts, shingle)
+        least = wordhash.mix(np.array([_smallest(s) for s in sets], np.uint64).reshape(len(sets), BANDS * ROWS))
+        signs = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(sets), 0)
+        for k in range(ROWS):
+            key = wordhash.mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[:, k::ROWS])
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (signs, key.view(np.int64))]
+        digests, sizes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, digests, sizes, *lists], [*batch.schema.names, *names])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            sets = _shingle_sets(texts, shingle)
-            least = wordhash.mix(np.array([_smallest(s) for s in sets], np.uint64).reshape(len(sets), BANDS * ROWS))
-            signs = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
-            key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(sets), 0)
-            for k in range(ROWS):
-                key = wordhash.mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[:, k::ROWS])
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (signs, key.view(np.int64))]
-            digests, sizes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests, sizes, *lists], [*batch.schema.names, digest, size, bits, keys])
 
+def with_shingle_set(docs: DataFrame, digest: str, size: str, bits: str, keys: str, shingle: int) -> DataFrame:
+    """`docs` with the `digest` (128 bits) and `size` of its shingle set, `bits` (longs) and `keys` of its smallest hashes."""
     longs = T.ArrayType(T.LongType())
-    return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(digest, T.BinaryType()), T.StructField(size, T.LongType()), T.StructField(bits, longs), T.StructField(keys, longs)]))
+    schema = T.StructType([*docs.schema, T.StructField(digest, T.BinaryType()), T.StructField(size, T.LongType()), T.StructField(bits, longs), T.StructField(keys, longs)])
+    return docs.mapInArrow(lambda batches: _set_task(shingle, [digest, size, bits, keys], batches), schema)
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
