@@ -16,7 +16,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    tied = both.join(least, "a")
+    tied = both.join(least.hint("merge"), "a")
     if large:
         tied = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Rounds are written to the shared folder; their number grows with the
     logarithm of the longest chain. A hub's links meet only in partial
-    aggregates and in a join whose partitions Spark can split.
+    aggregates and in a merge join, whose partitions Spark can split; files of
+    few bytes hold very many links, so none is broadcast.
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = cut(links, "links")

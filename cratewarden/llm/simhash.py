@@ -17,8 +17,10 @@ link if it differs by 2 bits or less.
 
 Scale. Equal fingerprints are one row before anything is joined, so a group of
 copies costs nothing, and a distinct fingerprint has at most 2080 others within
-2 bits. 36 narrow rows are shuffled for each distinct fingerprint. Bits are
-counted in numpy, from 64-bit shingle hashes made in each task.
+2 bits. 36 narrow rows are shuffled for each distinct fingerprint. Spark plans
+broadcasts by the bytes of a file, which an explode doesn't change, so joins are
+hinted to merge. Bits are counted in numpy, from 64-bit shingle hashes made in
+each task.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def linked_fingerprints(fps: DataFrame, distance: int = 2) -> DataFrame:
     left = fps.select(F.col("fp").alias("a"), F.explode(homes).alias("key"))
     right = fps.select(F.col("fp").alias("b"), F.explode(replicas).alias("key"))
     # found from either side: one order is enough for the equal halves, and the anchors need both
-    met = left.join(right, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    met = left.join(right.hint("merge"), "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -121,10 +123,10 @@ def group_documents(docs: DataFrame, *, shingle: int = 3, distance: int = 2, kee
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     fps = cut(fps, "simhash-fingerprints")
     component = connected_components(linked_fingerprints(fps.select("fp"), distance))
-    named = fps.join(component, fps["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = fps.join(component.hint("merge"), fps["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return rows.join(labels, "fp")
+    labels = named.select("fp", "component").join(smallest.hint("merge"), "component").select("fp", "component_id")
+    return rows.join(labels.hint("merge"), "fp")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -210,12 +212,14 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
                 made = [s.view(np.int64) for s in _shingle_sets(part.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return cut(texts.join(wanted.select("node"), "node", "left_semi").select("node", "text").mapInArrow(task, "node long, shingles array<long>"), "near-sets")
+    return cut(texts.join(wanted.select("node").hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(task, "node long, shingles array<long>"), "near-sets")
 
 
 def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) whose shingle sets (node, shingles) are at similarity 0.8 or more."""
-    pairs = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "left"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "right"}), "b")
+    pairs = links
+    for node, side in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(sets.withColumnsRenamed({"node": node, "shingles": side}).hint("merge"), node)
     # of sets of m and n, s in both: s / (m + n - s) >= 4 / 5
     return pairs.filter(F.size(F.array_intersect("left", "right")) * 9 >= (F.size("left") + F.size("right")) * 4).select("a", "b")
 
@@ -223,7 +227,7 @@ def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
 def _maybe_near(met: DataFrame, fps: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sizes and bits allow similarity 0.8."""
     for node, side in (("a", "x"), ("b", "y")):
-        met = met.join(fps.select(F.col("node").alias(node), F.col("size").alias(f"{side}size"), F.col("bits").alias(f"{side}bits")), node)
+        met = met.join(fps.select(F.col("node").alias(node), F.col("size").alias(f"{side}size"), F.col("bits").alias(f"{side}bits")).hint("merge"), node)
     differing = [F.bit_count(F.col("xbits")[k].bitwiseXOR(F.col("ybits")[k])) for k in range(_WORDS)]
     sizes = F.least("xsize", "ysize") * 5 >= F.greatest("xsize", "ysize") * 4
     return met.filter(sizes & (sum(differing[1:], differing[0]) <= MOST_BITS)).select("a", "b")
@@ -271,10 +275,10 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
 
     rows = cut(sets.select("node", "component", "shingles").mapInArrow(task, "token long, node long, component long, size long, place long, indexed boolean"), "near-prefixes")
     parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
-    rows = cut(rows.join(parts.filter("parts > 1").drop("parts"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "near-prefixes")
+    rows = cut(rows.join(parts.filter("parts > 1").drop("parts").hint("merge"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "near-prefixes")
     left = rows.withColumn("turn", F.when(F.col("other"), 0).otherwise(1)).alias("x")
     right = rows.filter("indexed").withColumn("turn", F.explode(F.when(F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).alias("y")
-    met = left.join(right, ["token", "turn"]).filter(
+    met = left.join(right.hint("merge"), ["token", "turn"]).filter(
         "x.component <> y.component and (x.size > y.size or (x.size = y.size and x.node > y.node)) and y.size * 5 >= x.size * 4"
         " and (least(x.size - x.place, y.size - y.place) + 1) * 9 >= (x.size + y.size) * 4"
     )
@@ -286,7 +290,7 @@ def near_links(fps: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     points = fps.select("node", F.explode("keys").alias("key"))
     turned = F.col("node").bitwiseXOR(F.xxhash64("key"))  # the bucket's own order
     buckets = points.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(turned).alias("first")).filter("many > 1")
-    points = cut(points.join(buckets, "key").withColumn("first", F.col("first").bitwiseXOR(F.xxhash64("key"))), "near-buckets")
+    points = cut(points.join(buckets.hint("merge"), "key").withColumn("first", F.col("first").bitwiseXOR(F.xxhash64("key"))), "near-buckets")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BUCKET))
     before = F.lag("node").over(Window.partitionBy("key", "part").orderBy("turned"))
     met = points.withColumns({"part": part, "turned": turned}).withColumn("before", before).select("node", F.explode(F.array("first", "before")).alias("other")).filter("other is not null and node <> other")
@@ -294,11 +298,11 @@ def near_links(fps: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     sets = shingle_sets(texts, met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
     links = cut(verified(met, sets), "near-links")
     # what shares a bucket and is in two components still has to meet
-    placed = points.select("key", "node").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = points.select("key", "node").join(connected_components(links).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    nodes = cut(placed.join(parted, "key", "left_semi").select("node", "component").distinct(), "near-parted")
+    nodes = cut(placed.join(parted.hint("merge"), "key", "left_semi").select("node", "component").distinct(), "near-parted")
     sets = shingle_sets(texts, nodes, shingle)
-    rest = cut(prefix_pairs(sets.join(nodes, "node")).join(met, ["a", "b"], "left_anti"), "near-rest")
+    rest = cut(prefix_pairs(sets.join(nodes.hint("merge"), "node")).join(met.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
     return links.unionByName(cut(verified(rest, sets), "near-links"))
 
 
@@ -315,6 +319,6 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     fps = cut(fps, "near-fingerprints")
     texts = rows.select(F.col(row).alias("node"), "text")
     component = connected_components(near_links(fps, texts, shingle))
-    named = fps.select("node", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = fps.select("node", "first").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(stay.hint("merge"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
