@@ -1,5 +1,7 @@
 """What must not grow in the driver, or in what is shuffled, when the tables do."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from cratewarden.operators import identities as P
 from cratewarden.operators import vendored as V
 from cratewarden.sources import archives as R
 
+from .test_indexes import edits
+
 
 def broadcasts(df):
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
@@ -24,6 +28,26 @@ def test_registry_is_never_broadcast(spark, tmp_path):
     assert [(r.name, r.target, r.distance) for r in found.collect()] == [("reqeusts", "requests", 2)]
 
 
+def test_only_near_names_leave_the_index(spark, monkeypatch):
+    """All pairs of near names and no others, among short names, names that end alike in one letter less or more, and many with one end."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    ends = [word(9) for _ in range(3)]
+    names = {word(n) for n in range(12) for _ in range(25)} | {word(rng.randint(0, 5)) + e for e in ends for _ in range(40)}
+    names |= {n[:at] + rng.choice(("", "b", "cc", n[at : at + 1] + "a")) + n[at + 1 :] for n in sorted(names) for at in [rng.randint(0, len(n))]}
+    keys = spark.createDataFrame([("flat", n) for n in sorted(names)] + [("flat", None)], "list string, key string")
+    registry = spark.createDataFrame([("flat", n, n.upper()) for n in sorted(names) if rng.random() < 0.7] + [("composer", "ab", "AB"), ("flat", None, "n")], "list string, popular string, canonical string")
+    known = [r.popular for r in registry.filter("list = 'flat' and popular is not null").collect()]
+    between = {(a, b): edits(a, b) for a in names for b in known if abs(len(a) - len(b)) <= 2}
+    for most in (A.MOST, 12, 0):
+        monkeypatch.setattr(A, "MOST", most)
+        for distance in (1, 2):
+            got = {(r.key, r.popular, r.canonical, r.distance) for r in A.shared_deletions(keys, registry, distance).collect()}
+            assert got == {(a, b, b.upper(), d) for (a, b), d in between.items() if d <= distance}
+    nearest = {r.key: (r.distance, r.canonical) for r in A.nearest_names(keys, registry, 2).collect()}
+    assert nearest == {a: min(near) for a in names if (near := [(d, b.upper()) for b in known if (d := between.get((a, b), 3)) <= 2])}
+
+
 def test_sliding_activity_is_exact(spark, tmp_path):
     """Equal to its SQL where a package has far more contributors than a sketch counts exactly."""
     events = spark.range(90000).select((F.col("id") % 40000 * 31).alias("user_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") % 29).cast("int"))).alias("ts"))
