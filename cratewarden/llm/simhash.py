@@ -25,7 +25,7 @@ each task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from .common import cut, scratch_name
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Shingles whose bits are unpacked at once.
+#: Shingles whose bits are unpacked at once, and counters of shingles that are summed together.
 _BLOCK = 1 << 15
 
 
@@ -144,10 +144,11 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 #
 # Members of a bucket don't meet in all pairs: each meets the bucket's first and
 # the one before it, in an order of the bucket's own. A large group of near
-# copies thus costs one row for each member. What shares a bucket and is in two
-# components then meets by a prefix join on the shingles themselves, rarest
+# copies thus costs one row for each member. Buckets only spare comparisons: all
+# texts in two components then meet by a prefix join on the shingles themselves, rarest
 # first, which leaves out no pair at 0.8: the first common shingle of such sets,
 # of n and m <= n, is among the first n / 5 + 1 of one and m / 9 + 1 of the other.
+# A text thus gives a fifth of its shingles, and those of one text alone go at once.
 # Passages that many texts share come last in that order, so texts that share no
 # more than that don't meet. Sizes and bits only propose: every link is verified
 # on both shingle sets, and texts are one node only if their sets are equal.
@@ -233,47 +234,75 @@ def _maybe_near(met: DataFrame, fps: DataFrame) -> DataFrame:
     return met.filter(sizes & (sum(differing[1:], differing[0]) <= MOST_BITS)).select("a", "b")
 
 
-def _shingle_counts(sets: DataFrame) -> np.ndarray:
+Sets = Callable[[pa.RecordBatch], Iterator[tuple[pa.Array, list[np.ndarray]]]]
+
+
+def _made(shingle: int) -> Sets:
+    """The nodes and shingle sets of a batch (node, text), by parts."""
+    return lambda batch: ((part.column(0), _shingle_sets(part.column(1), shingle)) for part in wordhash.parts(batch))
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The nodes and shingle sets of a batch (node, shingles)."""
+    yield batch.column(0), [made.values.to_numpy(zero_copy_only=False).view(np.uint64) for made in batch.column(1)]
+
+
+def _shingle_counts(rows: DataFrame, sets: Sets) -> np.ndarray:
     """How many shingles fall on each of 2 ** COUNTERS counters."""
     shift = np.uint64(64 - COUNTERS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, np.int64)
         for batch in batches:
-            at = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> shift
-            counts += np.bincount(at.astype(np.int64), minlength=len(counts))
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["at", "n"])
-
-    found = sets.select("shingles").mapInArrow(task, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 ** COUNTERS rows at most
+            for _, made in sets(batch):
+                at = np.concatenate([np.zeros(0, np.uint64), *made]) >> shift
+                counts += np.bincount(at.astype(np.int64), minlength=len(counts))
+        blocks = counts.reshape(-1, _BLOCK)
+        held = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(blocks[held]), pa.list_(pa.int64()))], ["at", "n"])
+
+    def total(tasks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = 0, np.zeros(_BLOCK, np.int64)
+        for batch in tasks:
+            at = batch.column(0)[0].as_py()
+            counts += batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, _BLOCK).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([counts], pa.list_(pa.int64()))], ["at", "n"])
+
+    schema = "at long, n array<long>"
+    found = rows.mapInArrow(task, schema).groupBy("at").applyInArrow(total, schema).toArrow()  # 2 ** COUNTERS numbers at most
     counts = np.zeros(1 << COUNTERS, np.uint32)
-    counts[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    for at, held in zip(found.column("at").to_pylist(), found.column("n"), strict=True):
+        counts[at * _BLOCK : (at + 1) * _BLOCK] = np.minimum(held.values.to_numpy(zero_copy_only=False), 2**32 - 1)
     return counts
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """sets (node, component, shingles) -> (a, b): pairs of different components, among them all at similarity 0.8 or more.
+def prefixes(rows: DataFrame, sets: Sets) -> DataFrame:
+    """(token, node, size, place): of each node the rarest shingles of its set in order, as many as one that it is near has in common with it at least, if others have them too."""
+    counts = rows.sparkSession.sparkContext.broadcast(_shingle_counts(rows, sets))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - COUNTERS)
+        for batch in batches:
+            for nodes, made in sets(batch):
+                sizes = np.array([len(s) for s in made], np.int64)
+                probes = np.minimum(sizes, sizes - -(-4 * sizes // 5) + 1)
+                tokens = [s[np.lexsort((s, counts.value[s >> shift]))[:n]] for s, n in zip(made, probes.tolist(), strict=True)]
+                place = np.arange(1, probes.sum() + 1) - np.repeat(np.cumsum(probes) - probes, probes)
+                same = [pa.array(np.repeat(v, probes)) for v in (nodes.to_numpy(zero_copy_only=False), sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)), *same, pa.array(place)], ["token", "node", "size", "place"])
+
+    found = rows.mapInArrow(task, "token long, node long, size long, place long")
+    return found.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("many > 1").drop("many")
+
+
+def met_in_prefixes(rows: DataFrame) -> DataFrame:
+    """rows (token, node, size, place, component) -> (a, b): pairs of different components that may be near.
 
     Rows of a shingle's most frequent component meet those of others only, so one
     large group costs nothing. Pairs inside a less frequent component are
     compared and left out, so the work grows with the square of a second one.
     """
-    counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - COUNTERS)
-        for batch in batches:
-            for node, component, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = made.values.to_numpy(zero_copy_only=False)
-                n = len(tokens)
-                order = np.lexsort((tokens, counts.value[tokens.view(np.uint64) >> shift]))
-                probe, index = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
-                first = tokens[order[: min(n, probe)]]
-                place = np.arange(1, len(first) + 1)
-                same = [pa.array(np.full(len(first), v, np.int64)) for v in (node, component, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(first), *same, pa.array(place), pa.array(place <= index)], ["token", "node", "component", "size", "place", "indexed"])
-
-    rows = cut(sets.select("node", "component", "shingles").mapInArrow(task, "token long, node long, component long, size long, place long, indexed boolean"), "near-prefixes")
+    rows = cut(rows.withColumn("indexed", F.expr("place <= size - (8 * size + 8) div 9 + 1")), "near-prefixes")
     parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
     rows = cut(rows.join(parts.filter("parts > 1").drop("parts").hint("merge"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "near-prefixes")
     left = rows.withColumn("turn", F.when(F.col("other"), 0).otherwise(1)).alias("x")
@@ -285,24 +314,28 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """sets (node, component, shingles) -> (a, b): pairs of different components, among them all at similarity 0.8 or more."""
+    return met_in_prefixes(prefixes(sets.select("node", "shingles"), _held).join(sets.select("node", "component").hint("merge"), "node"))
+
+
 def near_links(fps: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """fps (node, size, bits, keys), sets all different, and their texts (node, text) -> (a, b): verified links that join all which share a key and are near."""
+    """fps (node, size, bits, keys), sets all different, and their texts (node, text) -> (a, b): verified links that join all which are near."""
     points = fps.select("node", F.explode("keys").alias("key"))
     turned = F.col("node").bitwiseXOR(F.xxhash64("key"))  # the bucket's own order
     buckets = points.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(turned).alias("first")).filter("many > 1")
-    points = cut(points.join(buckets.hint("merge"), "key").withColumn("first", F.col("first").bitwiseXOR(F.xxhash64("key"))), "near-buckets")
+    points = points.join(buckets.hint("merge"), "key").withColumn("first", F.col("first").bitwiseXOR(F.xxhash64("key")))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BUCKET))
     before = F.lag("node").over(Window.partitionBy("key", "part").orderBy("turned"))
     met = points.withColumns({"part": part, "turned": turned}).withColumn("before", before).select("node", F.explode(F.array("first", "before")).alias("other")).filter("other is not null and node <> other")
     met = cut(_maybe_near(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), fps), "near-met")
     sets = shingle_sets(texts, met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
     links = cut(verified(met, sets), "near-links")
-    # what shares a bucket and is in two components still has to meet
-    placed = points.select("key", "node").join(connected_components(links).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    nodes = cut(placed.join(parted.hint("merge"), "key", "left_semi").select("node", "component").distinct(), "near-parted")
-    sets = shingle_sets(texts, nodes, shingle)
-    rest = cut(prefix_pairs(sets.join(nodes.hint("merge"), "node")).join(met.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    # what is near and in two components still has to meet, whether it shares a bucket or not
+    placed = fps.select("node").join(connected_components(links).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = met_in_prefixes(prefixes(texts.select("node", "text"), _made(shingle)).join(placed.hint("merge"), "node"))
+    rest = cut(rest.join(met.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    sets = shingle_sets(texts, rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
     return links.unionByName(cut(verified(rest, sets), "near-links"))
 
 

@@ -517,6 +517,20 @@ def test_near_copies_meet_all_members_of_a_bucket(spark):
     assert got == {(pair, 1000 - pair) for pair in range(60)}
 
 
+def test_near_copies_meet_without_a_bucket(spark):
+    """Pairs at 0.8 that share no key are linked too, as are texts without words or with fewer than a shingle of them; copies of a text are no nodes."""
+    rng = random.Random(13)
+    rows = [(99, ""), (98, "few words")]
+    for pair in range(20):
+        own = prose(rng, 60 + 7 * pair)
+        rows += [(pair, own), (200 - pair, own + " and one more"), (1000 + pair, own), (1200 + pair, " ".join(own.split()[:40]))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    fps = simhash.with_shingle_set(texts, "digest", "size", "bits", "keys", 5).filter("node < 1000 or node >= 1200").withColumn("keys", F.array("node"))
+    sets = {n: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for n, w in ((n, t.split()) for n, t in rows) if not 1000 <= n < 1200}
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    assert len(near) >= 20 and {(r.a, r.b) for r in simhash.near_links(fps, texts, 5).collect()} == near
+
+
 def test_prefix_pairs_leave_out_no_near_pair(spark):
     """Sets of many sizes around a few bases, in components of which one is large, against all pairs."""
     rng = random.Random(5)
