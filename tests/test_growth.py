@@ -28,6 +28,15 @@ def test_registry_is_never_broadcast(spark, tmp_path):
     assert [(r.name, r.target, r.distance) for r in found.collect()] == [("reqeusts", "requests", 2)]
 
 
+def test_far_names_with_a_common_rest_are_no_pair(spark):
+    """Two letters gone from each give `abcd`, but they are three edits apart; such pairs grow with the square of a registry."""
+    keys = spark.createDataFrame([("flat", "1abcd2"), ("flat", "1abcd")], "list string, key string")
+    registry = spark.createDataFrame([("flat", "abcd34", "abcd34")], "list string, popular string, canonical string")
+    assert A.shared_deletions(keys, registry, 2).count() == 0
+    registry = spark.createDataFrame([("flat", "abcd3", "abcd3")], "list string, popular string, canonical string")
+    assert {(r.key, r.popular) for r in A.shared_deletions(keys, registry, 2).collect()} == {("1abcd2", "abcd3"), ("1abcd", "abcd3")}
+
+
 def test_only_near_names_leave_the_index(spark, monkeypatch):
     """All pairs of near names and no others, among short names, names that end alike in one letter less or more, and many with one end."""
     rng = random.Random(6)
